@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing, sharding, simhash
+from . import exact_dedup, langid, mixing, sharding, simhash
 
 
 def queries():
@@ -11,6 +11,7 @@ def queries():
         "op2_sharding": sharding.op2_sharding,
         "op3_exact_dedup": exact_dedup.op3_exact_dedup,
         "op5_simhash": simhash.op5_simhash,
+        "op7_langid": langid.op7_langid,
     }
 
 

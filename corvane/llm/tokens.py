@@ -79,3 +79,16 @@ def ngrams(data: np.ndarray, off: np.ndarray, sizes=(1, 2, 3), space: int = 1 <<
     if not owners:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     return np.concatenate(owners), np.concatenate(buckets)
+
+
+def word_hash(data: np.ndarray, off: np.ndarray, space: int) -> np.ndarray:
+    """Bucket of each word by a polynomial hash of its bytes."""
+    n = np.diff(off)
+    if not len(n):
+        return np.zeros(0, np.int64)
+    at = np.arange(off[-1] - off[0]) - np.repeat(off[:-1] - off[0], n)
+    power = np.multiply.accumulate(np.full(int(n.max()) + 1, 0x9E3779B97F4A7C15, np.uint64))
+    h = np.add.reduceat((data[off[0] : off[-1]].astype(np.uint64) + np.uint64(1)) * power[at], off[:-1] - off[0])
+    h ^= h >> np.uint64(31)
+    h *= np.uint64(0xBF58476D1CE4E5B9)
+    return ((h >> np.uint64(24)) % np.uint64(space)).astype(np.int64)
