@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, langid, mixing, sharding, simhash
+from . import exact_dedup, langid, mixing, sharding, simhash, toxicity
 
 
 def queries():
@@ -10,6 +10,7 @@ def queries():
         "op1_mixing": mixing.op1_mixing,
         "op2_sharding": sharding.op2_sharding,
         "op3_exact_dedup": exact_dedup.op3_exact_dedup,
+        "op4_toxicity": toxicity.op4_toxicity,
         "op5_simhash": simhash.op5_simhash,
         "op7_langid": langid.op7_langid,
     }
