@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, langid, mixing, sharding, simhash, toxicity
+from . import exact_dedup, langid, mixing, sharding, simhash, suffix_dedup, toxicity
 
 
 def queries():
@@ -13,6 +13,7 @@ def queries():
         "op4_toxicity": toxicity.op4_toxicity,
         "op5_simhash": simhash.op5_simhash,
         "op7_langid": langid.op7_langid,
+        "op10_suffix_dedup": suffix_dedup.op10_suffix_dedup,
     }
 
 
