@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, langid, mixing, sharding, simhash, suffix_dedup, toxicity
+from . import decontaminate, exact_dedup, langid, mixing, sharding, simhash, suffix_dedup, toxicity
 
 
 def queries():
@@ -13,9 +13,10 @@ def queries():
         "op4_toxicity": toxicity.op4_toxicity,
         "op5_simhash": simhash.op5_simhash,
         "op7_langid": langid.op7_langid,
+        "op9_decontamination": decontaminate.op9_decontamination,
         "op10_suffix_dedup": suffix_dedup.op10_suffix_dedup,
     }
 
 
 def oracle_sql():
-    return {"op1_mixing": mixing.SQL, "op3_exact_dedup": exact_dedup.SQL}
+    return {"op1_mixing": mixing.SQL, "op3_exact_dedup": exact_dedup.SQL, "op9_decontamination": decontaminate.SQL}
