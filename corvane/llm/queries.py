@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, exact_dedup, langid, mixing, sharding, simhash, suffix_dedup, toxicity
+from . import decontaminate, exact_dedup, langid, mixing, pii, sharding, simhash, suffix_dedup, toxicity
 
 
 def queries():
@@ -13,6 +13,7 @@ def queries():
         "op4_toxicity": toxicity.op4_toxicity,
         "op5_simhash": simhash.op5_simhash,
         "op7_langid": langid.op7_langid,
+        "op8_pii": pii.op8_pii,
         "op9_decontamination": decontaminate.op9_decontamination,
         "op10_suffix_dedup": suffix_dedup.op10_suffix_dedup,
     }
