@@ -246,8 +246,10 @@ def digest(found: DataFrame) -> DataFrame:
         rows = F.array_sort(F.transform(spans, lambda x: F.struct(x["begin"].alias("s"), F.array_position(kinds, x["kind"]).alias("k"), x["end"].alias("e"), x["kind"].alias("n"))))
         return F.array_join(F.transform(rows, lambda r: F.concat_ws(":", r["n"], r["s"], r["e"])), ",")
 
-    counts = [F.size(F.filter("base", lambda x, k=k: x["kind"] == k)).cast("long").alias(f"n_{k}") for k in KINDS]
-    return found.select("doc_id", *counts, F.sha2(spelled(F.col("base")), 256).alias("base_sha256"), spelled(F.concat("base", "added")).alias("spans"))
+    def count(kind):
+        return F.size(F.filter("base", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    return found.select("doc_id", *map(count, KINDS), F.sha2(spelled(F.col("base")), 256).alias("base_sha256"), spelled(F.concat("base", "added")).alias("spans"))
 
 
 def op8_pii(spark, sf_dir) -> DataFrame:
