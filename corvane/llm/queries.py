@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, exact_dedup, langid, mixing, pii, sharding, simhash, suffix_dedup, toxicity
+from . import chat, decontaminate, exact_dedup, langid, mixing, pii, sharding, simhash, suffix_dedup, toxicity
 
 
 def queries():
@@ -12,6 +12,7 @@ def queries():
         "op3_exact_dedup": exact_dedup.op3_exact_dedup,
         "op4_toxicity": toxicity.op4_toxicity,
         "op5_simhash": simhash.op5_simhash,
+        "op6_chat": chat.op6_chat,
         "op7_langid": langid.op7_langid,
         "op8_pii": pii.op8_pii,
         "op9_decontamination": decontaminate.op9_decontamination,
@@ -20,4 +21,4 @@ def queries():
 
 
 def oracle_sql():
-    return {"op1_mixing": mixing.SQL, "op3_exact_dedup": exact_dedup.SQL, "op9_decontamination": decontaminate.SQL}
+    return {"op1_mixing": mixing.SQL, "op3_exact_dedup": exact_dedup.SQL, "op6_chat": chat.SQL, "op9_decontamination": decontaminate.SQL}
