@@ -213,10 +213,13 @@ def fit(docs: DataFrame, id_col="doc_id", text_col="text", lang_col="lang", samp
     return Model.fit(texts, marks)
 
 
-def identify(docs: DataFrame, model: Model, id_col="doc_id", text_col="text", spans: bool = False) -> DataFrame:
-    """docs with lang_pred, score and, on request, spans (array of first word, end word, lang)."""
+def identify(docs: DataFrame, model: Model, id_col="doc_id", text_col="text", spans: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, lang_pred, score) of every row, and on request spans (array of first word, end word, lang) and the columns in keep."""
     sent = docs.sparkSession.sparkContext.broadcast(model)  # its size is fixed by SPACE and the number of languages
     schema = f"doc_id {docs.schema[id_col].dataType.simpleString()}, lang_pred string, score double" + ", spans array<struct<begin:int,end:int,lang:string>>" * spans
+    more = [c for c in keep if c not in (id_col, "doc_id", "lang_pred", "score", "spans")]
+    schema += "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in more)
+    names_ = ["doc_id", "lang_pred", "score", *["spans"] * spans, *more]
 
     def run(batches):
         for batch in batches:
@@ -230,9 +233,11 @@ def identify(docs: DataFrame, model: Model, id_col="doc_id", text_col="text", sp
                         cut = np.flatnonzero(np.diff(m, prepend=-1)) if len(m) else []
                         every.append([{"begin": int(x), "end": int(y), "lang": sent.value.langs[m[x]]} for x, y in zip(cut, [*cut[1:], len(m)], strict=True)])
                     cols.append(pa.array(every, pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32()), ("lang", pa.string())]))))
-                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "lang_pred", "score", "spans"][: len(cols)])
+                cols += [part.column(f"keep_{i}") for i in range(len(more))]
+                yield pa.RecordBatch.from_arrays(cols, names_)
 
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, schema)
+    kept = [F.col(c).alias(f"keep_{i}") for i, c in enumerate(more)]
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), *kept).mapInArrow(run, schema)
 
 
 def held_out(column, parts: int, part: int):
