@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, table, text_bytes
+from .common import discard, materialize, table, text_bytes
 from .tokens import slices
 
 LENGTH = 50
@@ -43,7 +43,9 @@ HOT_SHARE = 1024
 #: Distinct texts of a batch that send a gram each in their own name; beyond, it is known to repeat.
 FEW = 8
 #: Text bytes in a pack, and in a part of the exchanges, that the numbers of packs and parts aim at.
-PACK_BYTES = 16 << 20
+PACK_BYTES = 4 << 20
+#: Parts that what batches know about the texts of one pack is spread over.
+SPREAD = 16
 PIECE = 2 << 20
 LAST = np.iinfo(np.int64).max
 
@@ -118,9 +120,9 @@ def _cuts(*columns):
     return begin, np.append(begin[1:], n)
 
 
-def _exchange(parts: int):
-    """Step 1, sending: rows (part, texts, counts, grams) and, where gram is set, (text, gram known to repeat)."""
-    schema = pa.schema([("part", pa.int32()), ("texts", pa.binary()), ("counts", pa.binary()), ("grams", pa.binary()), ("text", pa.int64()), ("gram", pa.int64())])
+def _exchange(parts: int, packs: int):
+    """Step 1, sending: rows (part, texts, counts, grams). Grams that a batch finds to repeat go straight to their texts' packs, in parts below 0."""
+    schema = pa.schema([("part", pa.int64()), ("texts", pa.binary()), ("counts", pa.binary()), ("grams", pa.binary())])
 
     def run(batches):
         for batch in batches:
@@ -143,24 +145,27 @@ def _exchange(parts: int):
                 a, b = _cuts(h)
                 many = np.repeat(b - a > FEW, b - a)
                 q, short = _key(h, parts)
-                known = pa.RecordBatch.from_arrays([pa.nulls(int(many.sum()), f.type) for f in schema][:4] + [pa.array(ids[t[many]]), pa.array((short[many] * np.uint64(parts) + q[many].astype(np.uint64)).view(np.int64))], schema=schema)
-                if known.num_rows:
-                    yield known
+                rows = []
+                if many.any():
+                    who, gram = ids[t[many]], (short[many] * np.uint64(parts) + q[many].astype(np.uint64)).view(np.int64)
+                    pack = np.mod(who, packs)
+                    order = np.argsort(pack, kind="stable")
+                    who, gram, pack = who[order], gram[order], pack[order]
+                    for x, y in zip(*_cuts(pack), strict=True):
+                        rows.append((-1 - (int(pack[x]) * SPREAD + int(ids[0]) % SPREAD), who[x:y].astype("<i8").tobytes(), b"", gram[x:y].astype("<i8").tobytes()))
                 keep = ~many
                 keep[a[b - a > FEW]] = True
                 t = np.where(many, -1, t)[keep]
                 q, short = q[keep], short[keep]
                 order = np.lexsort((t, q))
                 q, t, short = q[order], t[order], short[order]
-                a, b = _cuts(q)
-                rows = []
-                for x, y in zip(a, b, strict=True):
+                for x, y in zip(*_cuts(q), strict=True):
                     c, d = _cuts(t[x:y])
                     who = t[x:y][c]
                     rows.append((int(q[x]), np.where(who < 0, -1, ids[who]).astype("<i8").tobytes(), (d - c).astype("<u4").tobytes(), _five(short[x:y]).tobytes()))
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=False)] + [pa.nulls(len(rows), pa.int64())] * 2, schema=schema)
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
-    return run, "part int, texts binary, counts binary, grams binary, text long, gram long"
+    return run, "part long, texts binary, counts binary, grams binary"
 
 
 def _meet(parts: int, packs: int):
@@ -169,6 +174,11 @@ def _meet(parts: int, packs: int):
     def run(key, t):
         q = key[0].as_py()
         texts = np.frombuffer(b"".join(t.column("texts").to_pylist()), "<i8")
+        if q < 0:
+            gram = np.frombuffer(b"".join(t.column("grams").to_pylist()), "<i8")
+            order = np.lexsort((gram, texts))
+            first, _ = _cuts(texts[order], gram[order])
+            return _deal(texts[order][first], gram[order][first], packs)
         counts = np.frombuffer(b"".join(t.column("counts").to_pylist()), "<u4")
         h = _eight(b"".join(t.column("grams").to_pylist()))
         who = np.repeat(texts, counts)
@@ -202,10 +212,9 @@ def _firsts(t: pa.Table):
 
 
 def _gather(parts: int):
-    """Step 2: runs of strings with repeated minimizers, as rows (part, head, bytes); runs repeated inside the pack are answered at once."""
+    """Step 2: runs of strings with repeated minimizers, as rows (part, head, places, runs); runs repeated inside the pack are answered at once, in a part below 0."""
 
     def run(key, texts, replies):
-        pack = key[0].as_py()
         out, dup = [], []
         own, least = _firsts(texts)
         ids = np.array([xxhash.xxh64_intdigest(x, 42) for x in own], np.uint64).view(np.int64)
@@ -241,9 +250,8 @@ def _gather(parts: int):
                 where += mine
             out.append((q, np.array(head, "<i8").tobytes(), np.array(where, "<i8").tobytes(), b"".join(x for x, _, _ in items)))
         if dup:
-            out.append((-1, np.array(dup, "<i8").tobytes(), b"", b""))
-        del pack
-        return pa.table({"part": pa.array([o[0] for o in out], pa.int32()), "head": pa.array([o[1] for o in out], pa.binary()), "places": pa.array([o[2] for o in out], pa.binary()), "runs": pa.array([o[3] for o in out], pa.binary())})
+            out.append((-1 - key[0].as_py(), np.array(dup, "<i8").tobytes(), b"", b""))
+        return pa.table({"part": pa.array([o[0] for o in out], pa.int64()), "head": pa.array([o[1] for o in out], pa.binary()), "places": pa.array([o[2] for o in out], pa.binary()), "runs": pa.array([o[3] for o in out], pa.binary())})
 
     return run
 
@@ -419,33 +427,16 @@ def suffix_dedup(docs: DataFrame, id_col="doc_id", text_col="text", texts: bool
     part = rows.groupBy("s", F.pmod(F.xxhash64("doc_id"), F.lit(64)).alias("salt")).agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first"), F.min("t").alias("t"))
     hot = part.groupBy("s").agg(F.sum("n").alias("n"), F.min("first").alias("first"), F.min("t").alias("hot_t")).where(F.col("n") > max(100, total[1] // HOT_SHARE))
     hot = materialize(hot.where("first is not null").select("s", "hot_t", "first"), "suffix-hot")  # at most HOT_SHARE rows
-    send, kind = _exchange(parts)
-    sent = materialize(base.select("text").mapInArrow(send, kind), "suffix-grams")
-    met = sent.where("part is not null").select("part", "texts", "counts", "grams").groupBy("part").applyInArrow(_meet(parts, packs), "pack int, texts binary, grams binary")
-    known = sent.where("gram is not null").select("text", "gram").distinct()
-
-    def deal(batches):
-        for b in batches:
-            yield from _deal(b.column("text").to_numpy(), b.column("gram").to_numpy(), packs).to_batches()
-
-    replies = materialize(met.unionByName(known.mapInArrow(deal, "pack int, texts binary, grams binary")), "suffix-replies")
+    send, kind = _exchange(parts, packs)
+    replies = base.select("text").mapInArrow(send, kind).groupBy("part").applyInArrow(_meet(parts, packs), "pack int, texts binary, grams binary")
+    replies = materialize(replies, "suffix-replies")
     _free(spark)
     # of hot copies only the first goes on; the others lose everything
     cold = base.withColumn("t", F.xxhash64("text")).join(F.broadcast(hot.select("hot_t", "first").dropDuplicates(["hot_t"])), F.col("t") == F.col("hot_t"), "left")
     cold = cold.where("first is null or doc_id = first").select("doc_id", "text", F.pmod("t", F.lit(packs)).cast("int").alias("pack"))
-    gathered = cold.where(F.octet_length("text") >= LENGTH).groupBy("pack").cogroup(replies.groupBy("pack")).applyInArrow(_gather(parts), "part int, head binary, places binary, runs binary")
-    gathered = materialize(gathered, "suffix-runs")
-    _free(spark)
-    # answers that were found inside packs are passed on without meeting in a task
-    inside = gathered.where("part < 0").select("head")
-
-    def split(batches):
-        for b in batches:
-            for x in b.column("head").to_pylist():
-                yield from _ranges(np.frombuffer(x, "<i8").reshape(-1, 4), packs).to_batches()
-
-    found = gathered.where("part >= 0").groupBy("part").applyInArrow(_sort(packs), "pack int, ranges binary")
-    found = materialize(found.unionByName(inside.mapInArrow(split, "pack int, ranges binary")), "suffix-ranges")
+    gathered = cold.where(F.octet_length("text") >= LENGTH).groupBy("pack").cogroup(replies.groupBy("pack")).applyInArrow(_gather(parts), "part long, head binary, places binary, runs binary")
+    found = materialize(gathered.groupBy("part").applyInArrow(_sort(packs), "pack int, ranges binary"), "suffix-ranges")
+    discard(replies)
     _free(spark)
     lost = cold.where(F.octet_length("text") >= LENGTH).groupBy("pack").cogroup(found.groupBy("pack")).applyInArrow(_cut, "doc_id long, t long, n_removed long, n_spans long, kept_sha256 string, kept binary")
     if not texts:
