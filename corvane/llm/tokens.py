@@ -24,14 +24,22 @@ def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES):
     yield batch.slice(begin)
 
 
+def _whole(texts: pa.Array, lower: bool) -> pa.Array:
+    """Texts in buffers of their own, from offset 0, with A-Z in lower case on request; nulls are empty."""
+    texts = pc.fill_null(texts, "").cast(pa.large_string())
+    _, off, data = texts.buffers()
+    off = np.frombuffer(off, np.int64)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int64)
+    data = np.frombuffer(data, np.uint8)[off[0] : off[-1]] if off[-1] > off[0] else np.zeros(0, np.uint8)
+    if lower:
+        data = data + (((data >= 65) & (data <= 90)).astype(np.uint8) << 5)
+    return pa.LargeStringArray.from_buffers(len(texts), pa.py_buffer(np.ascontiguousarray(off - off[0])), pa.py_buffer(np.ascontiguousarray(data)))
+
+
 class Words:
     """Words of a slice: codes into the slice's distinct words, and the offsets of each text's words."""
 
     def __init__(self, texts: pa.Array, lower: bool = True):
-        texts = pc.fill_null(texts, "").cast(pa.large_string())
-        if lower:
-            texts = pc.ascii_lower(texts)
-        lists = pc.ascii_split_whitespace(texts)
+        lists = pc.ascii_split_whitespace(_whole(texts, lower))
         at = lists.offsets.to_numpy().astype(np.int64)
         flat = lists.values.slice(at[0], at[-1] - at[0])
         coded = flat.dictionary_encode()
