@@ -50,7 +50,8 @@ class Words:
         if len(size) and (size == 0).any():  # white space at either end of a text leaves empty words
             full = size[codes] > 0
             at = np.concatenate([[0], np.cumsum(full)])[at]
-            codes = codes[full]
+            codes = (np.cumsum(size > 0) - 1)[codes[full]]
+            words = words.filter(pa.array(size > 0))
         self.codes, self.at, self.words = codes, at, words
         self.doc = np.repeat(np.arange(len(at) - 1), np.diff(at))
 
