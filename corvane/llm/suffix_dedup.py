@@ -24,7 +24,9 @@ after all others; rows of one id never shorten each other; repeated rows keep a
 
 from __future__ import annotations
 
+import gc
 import hashlib
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -384,7 +386,6 @@ def _cut(key, texts, found):
         for i in ids.get(t & (2**64 - 1), ()):
             if least[i] == low:
                 spans.setdefault(i, []).append((s, s + n + LENGTH - 1))
-    nothing = hashlib.sha256(b"").hexdigest()
     cut: dict[int, tuple] = {}
     for i, ranges in spans.items():
         x, kept, at, runs = own[i], [], 0, 0
@@ -402,10 +403,7 @@ def _cut(key, texts, found):
     for d, x in zip(texts.column("doc_id").to_pylist(), texts.column("text").cast(pa.binary()).to_pylist(), strict=True):
         x = x or b""
         i = number[x]
-        if (LAST if d is None else d) > least[i]:
-            if len(x) >= LENGTH:
-                out.append((d, xxhash.xxh64_intdigest(x, 42), len(x), 1, nothing, b""))
-        elif i in cut:
+        if i in cut and (LAST if d is None else d) == least[i]:
             out.append((d, xxhash.xxh64_intdigest(x, 42), *cut[i]))
     cols = list(zip(*dict.fromkeys(out), strict=True)) or [()] * 6
     signed = np.array(cols[1], np.uint64).view(np.int64)
@@ -413,8 +411,34 @@ def _cut(key, texts, found):
 
 
 def _free(spark) -> None:
-    """Shuffle files of finished stages go when the driver's JVM collects its garbage."""
+    """Shuffle files of finished stages go when the driver has let go of their plans."""
+    gc.collect()
     spark.sparkContext._jvm.System.gc()
+    time.sleep(1)  # the cleaner runs beside
+
+
+#: Bits of the map that tells which texts have repeats; its size doesn't grow with the input.
+BITS = 24
+
+
+def _slot(t: np.ndarray) -> np.ndarray:
+    return (t.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - BITS)).astype(np.int64)
+
+
+def _touched(found: DataFrame) -> np.ndarray:
+    """Bitmap of the texts that ranges were found in."""
+
+    def run(batches):
+        bits = np.zeros(1 << BITS, bool)
+        for b in batches:
+            for x in b.column("ranges").to_pylist():
+                bits[_slot(np.ascontiguousarray(np.frombuffer(x, "<i8").reshape(-1, 4)[:, 0]))] = True
+        yield pa.RecordBatch.from_arrays([pa.array([np.packbits(bits).tobytes()], pa.binary())], ["bits"])
+
+    out = np.zeros(1 << (BITS - 3), np.uint8)
+    for r in found.select("ranges").coalesce(4).mapInArrow(run, "bits binary").toLocalIterator():
+        out |= np.frombuffer(r["bits"], np.uint8)
+    return out
 
 
 def suffix_dedup(docs: DataFrame, id_col="doc_id", text_col="text", texts: bool = False) -> DataFrame:
@@ -424,9 +448,9 @@ def suffix_dedup(docs: DataFrame, id_col="doc_id", text_col="text", texts: bool
     rows = materialize(base.select("doc_id", F.xxhash64("text").alias("t"), F.sha2("text", 256).alias("s"), text_bytes(F.col("text")).alias("n_bytes")), "suffix-rows")
     total = rows.agg(F.sum("n_bytes"), F.count(F.lit(1))).head()
     parts = packs = max(48, (total[0] or 0) // PACK_BYTES)
-    part = rows.groupBy("s", F.pmod(F.xxhash64("doc_id"), F.lit(64)).alias("salt")).agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first"), F.min("t").alias("t"))
-    hot = part.groupBy("s").agg(F.sum("n").alias("n"), F.min("first").alias("first"), F.min("t").alias("hot_t")).where(F.col("n") > max(100, total[1] // HOT_SHARE))
-    hot = materialize(hot.where("first is not null").select("s", "hot_t", "first"), "suffix-hot")  # at most HOT_SHARE rows
+    part = rows.groupBy("s", F.pmod(F.xxhash64("doc_id"), F.lit(64)).alias("salt")).agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first"), F.min("t").alias("hot_t"))
+    groups = materialize(part.groupBy("s").agg(F.sum("n").alias("n"), F.min("first").alias("first"), F.min("hot_t").alias("hot_t")).where("n > 1 and first is not null"), "suffix-copies")
+    hot = groups.where(F.col("n") > max(100, total[1] // HOT_SHARE))  # at most HOT_SHARE rows
     send, kind = _exchange(parts, packs)
     replies = base.select("text").mapInArrow(send, kind).groupBy("part").applyInArrow(_meet(parts, packs), "pack int, texts binary, grams binary")
     replies = materialize(replies, "suffix-replies")
@@ -438,11 +462,22 @@ def suffix_dedup(docs: DataFrame, id_col="doc_id", text_col="text", texts: bool
     found = materialize(gathered.groupBy("part").applyInArrow(_sort(packs), "pack int, ranges binary"), "suffix-ranges")
     discard(replies)
     _free(spark)
-    lost = cold.where(F.octet_length("text") >= LENGTH).groupBy("pack").cogroup(found.groupBy("pack")).applyInArrow(_cut, "doc_id long, t long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    maps = spark.sparkContext.broadcast(_touched(found))
+
+    def touched(batches):
+        for b in batches:
+            k = _slot(b.column("t").to_numpy())
+            yield b.filter(pa.array((maps.value[k >> 3] >> (7 - (k & 7)).astype(np.uint8)) & 1 > 0)).drop_columns(["t"])
+
+    some = cold.where(F.octet_length("text") >= LENGTH).select("doc_id", "text", "pack", F.xxhash64("text").alias("t")).mapInArrow(touched, "doc_id long, text string, pack int")
+    lost = some.groupBy("pack").cogroup(found.groupBy("pack")).applyInArrow(_cut, "doc_id long, t long, n_removed long, n_spans long, kept_sha256 string, kept binary")
     if not texts:
         lost = lost.drop("kept")
     lost = lost.withColumnsRenamed({"doc_id": "d", "t": "u", "n_removed": "r", "n_spans": "k", "kept_sha256": "left"})
-    out = rows.join(F.broadcast(hot.select("s", "first")), "s", "left").join(lost, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("t") == F.col("u")), "left")
+    # copies lose everything: of hot groups by broadcast, of the others (few rows each) by a join
+    cool = groups.where(F.col("n") <= max(100, total[1] // HOT_SHARE)).select("s", F.col("first").alias("f2"))
+    out = rows.join(F.broadcast(hot.select("s", F.col("first").alias("f1"))), "s", "left").join(cool, "s", "left")
+    out = out.withColumn("first", F.coalesce("f1", "f2")).join(lost, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("t") == F.col("u")), "left")
     copy = F.col("first").isNotNull() & ~F.col("doc_id").eqNullSafe(F.col("first")) & (F.col("n_bytes") >= LENGTH)
     cols = [
         "doc_id", "n_bytes",
