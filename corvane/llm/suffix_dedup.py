@@ -114,6 +114,8 @@ def _eight(b: bytes) -> np.ndarray:
 def _cuts(*columns):
     """Bounds of the runs of equal values in sorted columns."""
     n = len(columns[0])
+    if not n:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
     change = np.zeros(n, bool)
     change[:1] = True
     for c in columns:
@@ -369,7 +371,7 @@ def _ranges(x: np.ndarray, packs: int) -> pa.Table:
     pack = np.mod(x[:, 0], packs)
     order = np.argsort(pack, kind="stable")
     x, pack = x[order], pack[order]
-    a, b = _cuts(pack) if len(pack) else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+    a, b = _cuts(pack)
     return pa.table({"pack": pa.array(pack[a], pa.int32()), "ranges": pa.array([x[i:j].astype("<i8").tobytes() for i, j in zip(a, b, strict=True)], pa.binary())})
 
 
