@@ -70,6 +70,8 @@ class Model:
     @classmethod
     def fit(cls, texts, langs):
         names = sorted(set(langs))
+        if not names:
+            return cls([], np.zeros((0, SPACE), np.float32), np.zeros((0, len(NAMES)), bool))
         counts = np.zeros((len(names), SPACE))
         scripts = np.zeros((len(names), len(NAMES)))
         for k, lang in enumerate(names):
@@ -231,7 +233,7 @@ def identify(docs: DataFrame, model: Model, id_col="doc_id", text_col="text", sp
                     for a, b in zip(w.at[:-1], w.at[1:], strict=True):
                         m = marks[a:b] if len(marks) else []
                         cut = np.flatnonzero(np.diff(m, prepend=-1)) if len(m) else []
-                        every.append([{"begin": int(x), "end": int(y), "lang": sent.value.langs[m[x]]} for x, y in zip(cut, [*cut[1:], len(m)], strict=True)])
+                        every.append([{"begin": int(x), "end": int(y), "lang": sent.value.langs[m[x]]} for x, y in zip(cut, np.append(cut[1:], len(m)), strict=True)] if len(m) else [])
                     cols.append(pa.array(every, pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32()), ("lang", pa.string())]))))
                 cols += [part.column(f"keep_{i}") for i in range(len(more))]
                 yield pa.RecordBatch.from_arrays(cols, names_)

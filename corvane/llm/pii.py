@@ -32,6 +32,9 @@ KINDS = ("email", "ip", "card", "phone")
 SAMPLE = 4000
 SURE = 0.95
 ROUNDS = 10
+#: Letters and digits that words need to be joined by a skip edge, and the least log-potential of equal labels there.
+SAME = 7
+BOND = 12.0
 FEATURES = 64
 LOCAL = re.compile(r"[A-Za-z0-9._%+-]")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -118,9 +121,10 @@ class Nodes:
                 if near is not None:
                     chain.append((near, i))
                 same = "".join(c for c in word.lower() if c.isalnum())
-                if same in last:
-                    skip.append((last[same], i))
-                last[same] = i
+                if len(same) >= SAME:
+                    if same in last:
+                        skip.append((last[same], i))
+                    last[same] = i
                 before, near = word, i
         self.known = np.array(self.known, np.int64)
         self.owner = np.repeat(np.arange(len(features)), [len(f) for f in features]) if features else np.zeros(0, np.int64)
@@ -167,7 +171,7 @@ class Field:
             n = (n + n.T) / 2
             return np.clip(np.log(n / n.sum()) - np.log(np.outer(share, share) / share.sum() ** 2), -3, 3)
 
-        skip = np.maximum(pairs(nodes.skip), 2.0 * np.eye(labels) - 1.0)
+        skip = np.maximum(pairs(nodes.skip), BOND * np.eye(labels) - 1.0)
         return cls(w, pairs(nodes.chain), skip)
 
     def marginals(self, nodes: Nodes, rounds: int = ROUNDS) -> np.ndarray:
