@@ -28,9 +28,11 @@ def average_ranks(df: DataFrame, col: str, out: str, pieces: int = 256) -> DataF
 
 
 def spearman(df: DataFrame, a: str, b: str) -> DataFrame:
-    """One row: spearman, times 100."""
+    """One row: spearman, times 100; NaN where a side is constant."""
     both = average_ranks(average_ranks(df.select(a, b), a, "_ra"), b, "_rb")
-    return both.agg((F.corr("_ra", "_rb") * 100).alias("spearman"))
+    # a constant side has no correlation
+    r = F.try_divide(F.covar_pop("_ra", "_rb"), F.stddev_pop("_ra") * F.stddev_pop("_rb"))
+    return both.agg(F.coalesce(r * 100, F.lit(NAN)).alias("spearman"))
 
 
 def pair_cosines(pairs: DataFrame, emb: DataFrame, key: str = "vec_id", vec: str = "embedding", a: str = "a", b: str = "b") -> DataFrame:
