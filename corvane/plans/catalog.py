@@ -297,6 +297,14 @@ def qrels_group(spark, d):
     return tables.grouped_qrels(_emb(spark, d).select(F.col("label").alias("query_id"), F.col("vec_id").alias("corpus_id"))).withColumn("docs", F.array_join("docs", ","))
 
 
+@query("SELECT toxic AS query_id, string_agg(doc_id || ':' || quality, ',' ORDER BY doc_id) AS grades FROM labels GROUP BY 1")
+def graded_qrels(spark, d):
+    """Grades stay beside their documents; a grade of 0 is a judgment too."""
+    q = tables.table(spark, d, "labels").select(F.col("toxic").alias("query_id"), F.col("doc_id").alias("corpus_id"), F.col("quality").alias("score"))
+    entries = F.transform(F.array_sort(F.map_entries("grades")), lambda x: F.concat_ws(":", x["key"].cast("string"), x["value"].cast("string")))
+    return tables.grouped_qrels(q, graded=True).select("query_id", F.array_join(entries, ",").alias("grades"))
+
+
 @query("SELECT least(o_custkey, o_orderkey % 1000) AS lo, greatest(o_custkey, o_orderkey % 1000) AS hi, max_by(o_totalprice, o_orderkey) AS score FROM orders GROUP BY 1, 2")
 def last_wins_gold(spark, d):
     o = tables.table(spark, d, "orders").select("o_custkey", (F.col("o_orderkey") % 1000).alias("other"), "o_totalprice", "o_orderkey")
