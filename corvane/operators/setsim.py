@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import token_set
+from ..sources.stage import staged
 
 
 def classes(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -23,12 +24,12 @@ def classes(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def jaccard_join(df: DataFrame, threshold: float, id_col: str, text_col: str) -> DataFrame:
     """(a, b, jaccard): pairs of class representatives, a < b, that reach the threshold."""
-    reps = classes(df, id_col, text_col).where(F.col("id") == F.col("class_id")).select("id", "tokens").dropDuplicates(["id"])
+    reps = staged(classes(df, id_col, text_col).where(F.col("id") == F.col("class_id")).select("id", "tokens").dropDuplicates(["id"]), "sets")
     words = reps.select("id", F.size("tokens").alias("n"), F.explode("tokens").alias("w"))
     freq = words.groupBy("w").agg(F.count(F.lit(1)).alias("f"))
     ordered = words.join(freq, "w").groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct("f", "w"))).alias("x"))
     keep = F.col("n") - F.ceil(F.col("n") * threshold - 1e-9).cast("int") + 1
-    prefix = ordered.select("id", "n", F.explode(F.slice("x", F.lit(1), keep)).alias("t")).select("id", "n", "t.w")
+    prefix = staged(ordered.select("id", "n", F.explode(F.slice("x", F.lit(1), keep)).alias("t")).select("id", "n", "t.w"), "prefixes")
     a, b = prefix.select(F.col("id").alias("a"), F.col("n").alias("na"), "w"), prefix.select(F.col("id").alias("b"), F.col("n").alias("nb"), "w")
     near = a.join(b, "w").where((F.col("a") < F.col("b")) & (F.col("na") >= F.col("nb") * threshold - 1e-9) & (F.col("nb") >= F.col("na") * threshold - 1e-9)).select("a", "b").distinct()
     both = near.join(reps.select(F.col("id").alias("a"), F.col("tokens").alias("x")), "a").join(reps.select(F.col("id").alias("b"), F.col("tokens").alias("y")), "b")
