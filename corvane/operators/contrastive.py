@@ -63,6 +63,17 @@ def unit(x):
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
 
 
+def _largest(s: np.ndarray, k: int) -> np.ndarray:
+    """Columns of each row's k largest values, descending; the first columns on ties, as a stable sort gives them."""
+    top = np.sort(np.argpartition(-s, k - 1, axis=1)[:, :k], axis=1)
+    v = np.take_along_axis(s, top, axis=1)
+    top = np.take_along_axis(top, np.argsort(-v, axis=1, kind="stable"), axis=1)
+    tied = (s >= v.min(axis=1, keepdims=True)).sum(axis=1) > k
+    if tied.any():
+        top[tied] = np.argsort(-s[tied], axis=1, kind="stable")[:, :k]
+    return top
+
+
 def neighbours(x: np.ndarray, k: int, block: int = 2048):
     """(index, similarity) of each row's k nearest others."""
     k = max(1, min(k, len(x) - 1))
@@ -70,7 +81,7 @@ def neighbours(x: np.ndarray, k: int, block: int = 2048):
     for i in range(0, len(x), block):
         s = x[i : i + block] @ x.T
         s[np.arange(len(s)), np.arange(i, i + len(s))] = -np.inf
-        top = np.argsort(-s, axis=1, kind="stable")[:, :k]
+        top = _largest(s, k)
         idx[i : i + block], sim[i : i + block] = top, np.take_along_axis(s, top, axis=1)
     return idx, sim
 

@@ -492,7 +492,7 @@ Q["lpp_eigh_of_solve"] = _projection("lpp", mode="eigh_of_solve")
 def _learned(protocol, variant="full"):
     def run(spark, d):
         emb = _emb(spark, d)
-        return _r6(contrastive(emb, 16, protocol=protocol, variant=variant, **workloads.SHORT).transform(emb.select("vec_id", "embedding"), out="projected"))
+        return _r6(contrastive(emb, 16, protocol=protocol, variant=variant).transform(emb.select("vec_id", "embedding"), out="projected"))
 
     return run
 

@@ -19,8 +19,6 @@ from ..operators.fits import FITTERS, condition_number, zca
 from ..operators.knn import self_knn, topk_join
 from ..sources.tables import table
 
-#: Short training, so that a workload over the fixtures is a matter of seconds; settings of the protocol may be passed instead.
-SHORT = {"epochs": 2, "steps": 20, "batch": 64}
 SEEDS = (42, 43, 44)
 
 
@@ -44,10 +42,10 @@ def label_qrels(emb: DataFrame) -> DataFrame:
 
 
 def fitted(method: str, emb: DataFrame, r: int, seed: int = 42, **over):
-    """Projection by name: a closed form, or contrastive with a protocol and a variant ('contrastive:banked:no_qr')."""
+    """Projection by name: a closed form, or contrastive with a protocol and a variant ('contrastive:banked:no_qr'); over replaces single settings of the protocol."""
     name, *more = method.split(":")
     if name == "contrastive":
-        return contrastive(emb, r, protocol=more[0] if more else "annealed", variant=more[1] if len(more) > 1 else "full", seed=seed, **(SHORT | over))
+        return contrastive(emb, r, protocol=more[0] if more else "annealed", variant=more[1] if len(more) > 1 else "full", seed=seed, **over)
     return FITTERS[name](emb, r)
 
 

@@ -150,6 +150,24 @@ def test_training_is_repeatable_and_learns():
     assert same > 0.9
 
 
+def test_registered_fits_use_the_protocols_own_settings(spark, data, monkeypatch):
+    from corvane.plans import catalog, workloads
+
+    seen = []
+    monkeypatch.setattr(con, "train", lambda xw, rank, p, seed=42: seen.append(p) or np.eye(xw.shape[1], rank))
+    for name in con.PROTOCOLS:
+        catalog.Q[f"contrastive_{name}"](spark, data)
+        workloads.fitted(f"contrastive:{name}", workloads.vectors(spark, data), 4)
+    assert seen == [p for p in con.PROTOCOLS.values() for _ in range(2)]
+
+
+def test_neighbours_are_those_of_a_stable_sort():
+    x = np.random.default_rng(2).integers(0, 3, (60, 4)).astype(float)  # many ties
+    s = x @ x.T
+    np.fill_diagonal(s, -np.inf)
+    assert np.array_equal(con.neighbours(x, 7, block=16)[0], np.argsort(-s, axis=1, kind="stable")[:, :7])
+
+
 def test_average_ranks(spark):
     rows = [3.0, 1.0, 3.0, 2.0, 3.0]
     df = metrics.average_ranks(spark.createDataFrame([(x,) for x in rows], "x double"), "x", "r")
