@@ -63,6 +63,10 @@ def unit(x):
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
 
 
+#: Similarities that the neighbour search holds at once.
+SCORES = 1 << 22
+
+
 def _largest(s: np.ndarray, k: int) -> np.ndarray:
     """Columns of each row's k largest values, descending; the first columns on ties, as a stable sort gives them."""
     top = np.sort(np.argpartition(-s, k - 1, axis=1)[:, :k], axis=1)
@@ -77,6 +81,7 @@ def _largest(s: np.ndarray, k: int) -> np.ndarray:
 def neighbours(x: np.ndarray, k: int, block: int = 2048):
     """(index, similarity) of each row's k nearest others."""
     k = max(1, min(k, len(x) - 1))
+    block = max(1, min(block, SCORES // max(1, len(x))))
     idx, sim = np.zeros((len(x), k), np.int64), np.zeros((len(x), k))
     for i in range(0, len(x), block):
         s = x[i : i + block] @ x.T
@@ -200,13 +205,18 @@ def train(xw: np.ndarray, rank: int, p: Protocol, seed: int = 42) -> np.ndarray:
 
 
 def fit_rows(df: DataFrame, vec: str, id_col: str, limit: int) -> np.ndarray:
-    """At most limit rows, in id order; the sample is the reference protocols' own."""
-    t = df.where(F.col(vec).isNotNull()).select(F.col(id_col).alias("id"), F.col(vec).cast("array<double>").alias("v")).orderBy("id").limit(limit).toArrow()
-    return matrix(t.column("v"))
+    """The vectors, in id order; of more than limit ones, a sample of limit rows drawn over the whole table by a digest of the id.
+
+    The reference draws RandomState(42).choice over positions, which needs a number for every row; a digest
+    needs none, and depends neither on the order nor on the partitions of the table.
+    """
+    t = df.where(F.col(vec).isNotNull()).select(F.col(id_col).alias("id"), F.col(vec).cast("array<double>").alias("v"))
+    drawn = t.orderBy(F.xxhash64(F.lit("fit"), "id"), "id").limit(limit)
+    return matrix(drawn.orderBy("id").toArrow().column("v"))
 
 
 def contrastive(df: DataFrame, r: int, vec: str = "embedding", id_col: str = "vec_id", protocol: str = "annealed", variant: str = "full", seed: int = 42, whiten: bool = True, limit: int = 50_000, **over) -> Projector:
-    """Learned projection; over replaces single settings of the protocol."""
+    """Learned projection, fitted to at most limit rows (see ``fit_rows``); over replaces single settings of the protocol."""
     p = replace(PROTOCOLS[protocol], **(VARIANTS[variant] | over))
     x = fit_rows(df, vec, id_col, limit)
     mu = x.mean(axis=0)

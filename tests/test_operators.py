@@ -150,6 +150,15 @@ def test_training_is_repeatable_and_learns():
     assert same > 0.9
 
 
+def test_fit_rows_are_drawn_over_the_whole_table(spark):
+    df = spark.range(2000).select(F.col("id").alias("vec_id"), F.array(F.col("id").cast("double")).alias("embedding"))
+    got = con.fit_rows(df, "embedding", "vec_id", 400)[:, 0]
+    assert len(got) == 400 and np.array_equal(got, np.unique(got))
+    assert all(60 <= n <= 140 for n in np.histogram(got, bins=4, range=(0, 2000))[0])
+    assert np.array_equal(got, con.fit_rows(df.orderBy(F.desc("vec_id")).repartition(3), "embedding", "vec_id", 400)[:, 0])
+    assert np.array_equal(con.fit_rows(df, "embedding", "vec_id", 2000)[:, 0], np.arange(2000))
+
+
 def test_registered_fits_use_the_protocols_own_settings(spark, data, monkeypatch):
     from corvane.plans import catalog, workloads
 
