@@ -56,6 +56,7 @@ PROTOCOLS = {
 VARIANTS = {
     "full": {}, "random_pairs": {"positives": "random"}, "noise": {"positives": "noise"}, "no_hardneg": {"hard": None}, "no_qr": {"retract": 0},
     "no_refinement": {"refine": 0}, "no_cov": {"lam_cov": 0.0}, "no_orth": {"lam_orth": 0.0}, "no_both": {"lam_cov": 0.0, "lam_orth": 0.0}, "dropout": {"positives": "same"},
+    "bank_no_hardneg": {"bank": 4096}, "hardneg_no_bank": {"hard": 32}, "full_qr": {"bank": 4096, "hard": 32, "retract": 200},
 }
 
 

@@ -19,7 +19,9 @@ from ..operators.fits import FITTERS, condition_number, zca
 from ..operators.knn import self_knn, topk_join
 from ..sources.tables import table
 
+#: Seeds of the protocols of the main tables, and of those of the later ones.
 SEEDS = (42, 43, 44)
+LATER = (0, 1, 2)
 
 
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,22 +70,22 @@ def search(emb: DataFrame, model, k: int = 10) -> DataFrame:
     return metrics.retrieval_means(metrics.retrieval(topk_join(queries_of(z), z, k), label_qrels(emb), k))
 
 
-def correlation_table(emb: DataFrame, methods, dims, seeds=SEEDS[:1]) -> DataFrame:
+def correlation_table(emb: DataFrame, methods, dims, seeds=SEEDS) -> DataFrame:
     """One row per method, dimension and seed; learned methods alone take several seeds. Full-dimensional ones are scored once."""
     rows = []
     for m in methods:
         for r in dims if m not in ("base", "zca", "abtt") else [None]:
             for s in seeds if m.startswith("contrastive") else [None]:
-                rows.append(_row(correlation(emb, fitted(m, emb, r or 0, s or 42)), m, r, "spearman", "spearman", s))
+                rows.append(_row(correlation(emb, fitted(m, emb, r or 0, 42 if s is None else s)), m, r, "spearman", "spearman", s))
     return _all(rows)
 
 
-def search_table(emb: DataFrame, methods, dims, seeds=SEEDS[:1]) -> DataFrame:
+def search_table(emb: DataFrame, methods, dims, seeds=SEEDS) -> DataFrame:
     rows = []
     for m in methods:
         for r in dims if m not in ("base", "zca", "abtt") else [None]:
             for s in seeds if m.startswith("contrastive") else [None]:
-                rows.append(_row(search(emb, fitted(m, emb, r or 0, s or 42)), m, r, "ndcg10", "ndcg", s, recall_at_10=F.round("recall", 4)))
+                rows.append(_row(search(emb, fitted(m, emb, r or 0, 42 if s is None else s)), m, r, "ndcg10", "ndcg", s, recall_at_10=F.round("recall", 4)))
     return _all(rows)
 
 
@@ -107,66 +109,91 @@ def quora_main(spark, sf_dir):
 def cqadupstack(spark, sf_dir):
     """Two sub-collections (labels below 5, and the others) and averages over complete groups."""
     emb = vectors(spark, sf_dir)
-    rows = [search_table(emb.where(cond), ["base", "pca", "zca"], [16]).withColumn("dataset", F.lit(name)) for name, cond in (("low", "label < 5"), ("high", "label >= 5"))]
+    rows = [search_table(emb.where(cond), ["base", "abtt", "zca", "pca", "abtt_pca", "contrastive:annealed"], [16]).withColumn("dataset", F.lit(name)) for name, cond in (("low", "label < 5"), ("high", "label >= 5"))]
     every = _all(rows)
     mean = metrics.complete_average(every, ["method", "r", "metric_name"], "dataset", "metric_value", 2)
-    return every.select("dataset", "method", "r", "metric_value").unionByName(mean.select(F.lit("average").alias("dataset"), "method", "r", F.round("average", 4).alias("metric_value")))
+    return every.select("dataset", "method", "r", "seed", "metric_value").unionByName(mean.select(F.lit("average").alias("dataset"), "method", "r", F.lit(None).cast("int").alias("seed"), F.round("average", 4).alias("metric_value")))
 
 
 def sts_suite(spark, sf_dir):
     emb = vectors(spark, sf_dir)
-    rows = [correlation_table(emb.where(cond), ["base", "pca", "random"], [16]).withColumn("dataset", F.lit(name)) for name, cond in (("low", "label < 5"), ("high", "label >= 5"))]
+    rows = [correlation_table(emb.where(cond), ["base", "abtt", "zca", "pca", "random", "contrastive:annealed"], [16], LATER).withColumn("dataset", F.lit(name)) for name, cond in (("low", "label < 5"), ("high", "label >= 5"))]
     every = _all(rows)
     mean = metrics.complete_average(every, ["method", "r"], "dataset", "metric_value", 2)
-    return every.select("dataset", "method", "r", "metric_value").unionByName(mean.select(F.lit("average").alias("dataset"), "method", "r", F.round("average", 4).alias("metric_value")))
+    return every.select("dataset", "method", "r", "seed", "metric_value").unionByName(mean.select(F.lit("average").alias("dataset"), "method", "r", F.lit(None).cast("int").alias("seed"), F.round("average", 4).alias("metric_value")))
 
 
 def prompt_sources(spark, sf_dir):
-    """One source of vectors per template; encoders are outside, so sources differ by a fixed random rotation here."""
+    """One source of vectors per template, and the plain one, which alone is searched, as in the protocol; encoders are outside, so sources differ by a fixed random rotation here."""
     from ..operators.fits import random_matrix
     from ..operators.projector import Projector, Step
 
-    emb, rows = vectors(spark, sf_dir), []
+    emb, methods = vectors(spark, sf_dir), ["base", "contrastive:annealed"]
+    rows = [t(emb, methods, [16], LATER).withColumn("embedding_type", F.lit("mean_pool")) for t in (correlation_table, search_table)]
     for i, name in enumerate(TEMPLATES):
         turned = Projector(name, [Step(random_matrix(64, 64, i))]).transform(emb)
-        rows.append(correlation_table(turned, ["base", "contrastive:annealed"], [16]).withColumn("embedding_type", F.lit(name)))
+        rows.append(correlation_table(turned, methods, [16], LATER).withColumn("embedding_type", F.lit(name)))
     return _all(rows)
 
 
 def pooling_variants(spark, sf_dir):
     emb = vectors(spark, sf_dir)
     spaces = {"mean": emb, "last": emb.withColumn("embedding", F.reverse("embedding"))}
-    return _all([correlation_table(e, ["base", "pca", "zca", "contrastive:annealed"], [16]).withColumn("pooling", F.lit(p)) for p, e in spaces.items()])
+    return _all([correlation_table(e, ["base", "pca", "zca", "contrastive:annealed"], [16], LATER).withColumn("pooling", F.lit(p)) for p, e in spaces.items()])
 
 
 def layer_selection(spark, sf_dir):
-    """Base scores of four layers (slices of the vectors stand in), and the best layer, first on ties."""
+    """Base scores of four layers under two poolings, the best of them (first on ties), and the learned projection on the reference (last layer, mean), the second-last and the best.
+
+    Slices of the vectors stand in for layers, and the first and last three quarters of a slice for poolings.
+    """
     emb = vectors(spark, sf_dir)
-    cut = lambda i: emb.withColumn("embedding", F.slice("embedding", 16 * i + 1, 16))
-    base = _all([correlation_table(cut(i), ["base"], []).withColumn("layer_idx", F.lit(i)) for i in range(4)])
-    best = metrics.best_by(base, ["method"], "metric_value", "layer_idx", "layer_idx")
-    return base.select("method", "layer_idx", "metric_value").unionByName(best.select(F.lit("best").alias("method"), "layer_idx", "metric_value"))
+    names = ["early_middle", "middle", "second_last", "last"]
+    at = [(i, pool) for i in (3, 2, 1, 0) for pool in ("mean", "last")]  # in the protocol's order, which decides ties
+    cut = lambda i, pool: emb.withColumn("embedding", F.slice("embedding", 16 * i + (1 if pool == "mean" else 5), 12))
+    tag = lambda df, i, pool: df.withColumns({"layer_name": F.lit(names[i]), "layer_idx": F.lit(i), "pooling": F.lit(pool)})
+    base = _all([tag(correlation_table(cut(*x), ["base"], []), *x) for x in at])
+    value = {(row["layer_idx"], row["pooling"]): row["metric_value"] for row in base.collect()}  # eight rows
+    best = max(at, key=lambda x: value[x])
+    picked = list(dict.fromkeys([(3, "mean"), (2, "mean"), best]))
+    learned = _all([tag(correlation_table(cut(*x), ["contrastive:annealed"], [8], LATER), *x) for x in picked])
+    top = base.where((F.col("layer_idx") == best[0]) & (F.col("pooling") == best[1])).withColumn("method", F.lit("best"))
+    return _all([base, top, learned]).select("method", "layer_name", "layer_idx", "pooling", "r", "seed", "metric_value")
 
 
 def echo_whitening(spark, sf_dir):
-    return correlation_table(vectors(spark, sf_dir), ["base", "zca", "pca", "zca_topr", "contrastive:annealed"], [16])
+    return correlation_table(vectors(spark, sf_dir), ["base", "zca", "pca", "zca_topr", "contrastive:annealed"], [16], LATER)
 
 
 def cross_dataset(spark, sf_dir):
-    """Fitted on labels below 5, tested on the others: transfer against refit and base; each model is trained once."""
+    """Transfer against refit and base, by the mean over seeds; each model is trained once.
+
+    Pairs to pairs: fitted on labels below 5, tested on the others. Across tasks, the pairs of labels below 5 (sts) and
+    the search among the others (search) stand for the two tasks, and the searches among labels 0-2 and 3-4 for sub-collections.
+    """
     emb = vectors(spark, sf_dir)
-    train, test, rows = emb.where("label < 5"), emb.where("label >= 5"), []
+    sets = {"sts": emb.where("label < 5"), "search": emb.where("label >= 5"), "cqa-low": emb.where("label < 3"), "cqa-high": emb.where("label in (3, 4)")}
+    tests = [("sts", "search", "spearman"), ("sts", "search", "ndcg10"), ("search", "sts", "spearman"), ("search", "cqa-low", "ndcg10"), ("search", "cqa-high", "ndcg10")]
+    rows = []
     for m in ("pca", "contrastive:annealed"):
-        for mode, model in (("transfer", fitted(m, train, 16)), ("refit", fitted(m, test, 16)), ("base", fitted("base", test, 0))):
-            rows.append(_row(correlation(test, model), m, 16, "spearman", "spearman", fit_mode=mode))
-    return metrics.transfer(_all(rows), ["method", "r"], "fit_mode", "metric_value")
+        seeds = LATER if m.startswith("contrastive") else (None,)
+        model = {(d, s): fitted(m, x, 16, 42 if s is None else s) for d, x in sets.items() for s in seeds}
+        for train, test, metric in tests:
+            score = correlation if metric == "spearman" else search
+            value = "spearman" if metric == "spearman" else "ndcg"
+            for s in seeds:
+                for mode, f in (("transfer", model[train, s]), ("refit", model[test, s])):
+                    rows.append(_row(score(sets[test], f), m, 16, metric, value, s, fit_mode=mode, train_dataset=train, test_dataset=test))
+            rows.append(_row(score(sets[test], fitted("base", sets[test], 0)), m, 16, metric, value, None, fit_mode="base", train_dataset=train, test_dataset=test))
+    by = ["method", "r", "train_dataset", "test_dataset", "metric_name"]
+    return metrics.transfer(metrics.seed_summary(_all(rows), [*by, "fit_mode"], "metric_value"), by, "fit_mode", "mean")
 
 
 def positive_search(spark, sf_dir):
     emb = vectors(spark, sf_dir)
     rows = []
-    for name, over in (("random", {"positives": "random"}), ("noise", {"positives": "noise"}), ("knn5", {"k": 5}), ("knn10", {"k": 10})):
-        per = _all([_row(search(emb, fitted("contrastive:annealed", emb, 16, s, **over)), name, 16, "ndcg10", "ndcg", s) for s in SEEDS[:2]])
+    for name, over in (("random", {"positives": "random"}), ("noise", {"positives": "noise"}), ("knn1", {"k": 1}), ("knn5", {"k": 5}), ("knn10", {"k": 10}), ("knn40", {"k": 40})):
+        per = _all([_row(search(emb, fitted("contrastive:annealed", emb, 16, s, **over)), name, 16, "ndcg10", "ndcg", s) for s in LATER])
         rows.append(metrics.seed_summary(per, ["method", "r"], "metric_value"))
     return metrics.gap_to(_all(rows), ["r"], "method", "random", "mean", "std")
 
@@ -176,9 +203,16 @@ def spaces(emb: DataFrame, r: int = 16):
 
 
 def mined_precision(spark, sf_dir):
+    """Neighbours among the pairs' own vectors against gold partners, and of the queries among all vectors against judgments."""
     emb = vectors(spark, sf_dir)
     gold = metrics.gold_partners(scored_pairs(emb), 4.0)
-    return _all([metrics.mined_precision(self_knn(m.transform(emb), 10), gold, 10, 0.0).select(F.lit(s).alias("space"), *[F.round(c, 4).alias(c) for c in ("precision", "recall", "hit_rate")], "n") for s, m in spaces(emb).items()])
+    judged = label_qrels(emb).select(F.col("query_id").alias("anchor"), F.col("corpus_id").alias("partner"))
+    rows = []
+    for s, m in spaces(emb).items():
+        z = m.transform(emb)
+        for name, found, partners in (("sts", self_knn(z, 10), gold), ("search", topk_join(queries_of(z), z, 10), judged)):
+            rows.append(metrics.mined_precision(found, partners, 10, 0.0 if name == "sts" else -2.0).select(F.lit(name).alias("dataset"), F.lit(s).alias("space"), *[F.round(c, 4).alias(c) for c in ("precision", "recall", "hit_rate")], "n"))
+    return _all(rows)
 
 
 def neighbor_scores(spark, sf_dir):
@@ -188,12 +222,15 @@ def neighbor_scores(spark, sf_dir):
 
 
 def regularizer_audit(spark, sf_dir):
+    """Correlation with diagnostics, and search, of each variant and seed."""
     emb, rows = vectors(spark, sf_dir), []
     for v in ("full", "no_cov", "no_orth", "no_both", "no_hardneg", "no_qr", "no_refinement"):
-        model = fitted(f"contrastive:annealed:{v}", emb, 16)
-        geo = metrics.geometry(model.transform(emb))
-        score = correlation(emb, model)
-        rows.append(score.crossJoin(geo).select(F.lit(v).alias("method"), F.round("spearman", 4).alias("metric_value"), F.lit(round(condition_number(model), 4)).alias("cond_number"), *[F.round(c, 6).alias(c) for c in ("offdiag_cov", "avg_feature_std", "anisotropy_mean")]))
+        for s in SEEDS:
+            model = fitted(f"contrastive:annealed:{v}", emb, 16, s)
+            cond = F.lit(round(condition_number(model), 4))
+            sts = correlation(emb, model).crossJoin(metrics.geometry(model.transform(emb)))
+            rows.append(_row(sts, v, 16, "spearman", "spearman", s, cond_number=cond, **{c: F.round(c, 6) for c in ("offdiag_cov", "avg_feature_std", "anisotropy_mean")}))
+            rows.append(_row(search(emb, model), v, 16, "ndcg10", "ndcg", s, cond_number=cond))
     return _all(rows)
 
 
@@ -207,8 +244,10 @@ def anisotropy_table(spark, sf_dir):
 
 
 def component_ablation(spark, sf_dir):
-    methods = ["pca", "soft_exp", "random", "lpp", "zca_topr", "contrastive:ablation", "contrastive:ablation:random_pairs", "contrastive:ablation:no_refinement", "contrastive:banked"]
-    return metrics.wide_table(correlation_table(vectors(spark, sf_dir), methods, [8, 16]), "method", "r", [8, 16], "metric_value")
+    """The protocol's twelve variants, under its one seed; banked is the one with retraction and without refinement."""
+    learned = ["ablation:random_pairs", "ablation:bank_no_hardneg", "ablation:hardneg_no_bank", "ablation", "ablation:no_refinement", "banked", "ablation:full_qr"]
+    methods = ["pca", "soft_exp", "random", "lpp", "zca_topr", *[f"contrastive:{x}" for x in learned]]
+    return metrics.wide_table(correlation_table(vectors(spark, sf_dir), methods, [8, 16], SEEDS[:1]), "method", "r", [8, 16], "metric_value")
 
 
 WORKLOADS = {
