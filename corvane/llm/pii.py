@@ -3,10 +3,10 @@
 The patterns give the base spans. The field has a variable for every word with a digit or an at
 sign (other words are plain text for certain); its labels are none and the four kinds. Neighbouring
 variables share a chain potential; words of one document that are equal, or equal up to
-punctuation and case, are joined by skip edges from one occurrence to the next, so a word that a
-pattern knows in one place carries its kind to all its other places. Loopy message passing runs
-on all documents of a batch at once; words inside base spans are observed. Words whose marginal for a kind
-reaches ``SURE`` become additional spans.
+punctuation and case, are each joined by a skip edge to one hub variable, which takes the kind that a
+pattern knows of any of them, so the kind is one edge from all other places. Loopy message passing runs
+on all documents of a batch at once, on each until its messages settle; words inside base spans are
+observed. Words whose marginal for a kind reaches ``SURE`` become additional spans.
 
 The field is trained piecewise in numpy, on base spans as labels, over at most ``SAMPLE`` documents
 drawn by a digest of id and text: a softmax for the words' own shape, and smoothed log-odds of label
@@ -31,8 +31,10 @@ from .tokens import slices
 KINDS = ("email", "ip", "card", "phone")
 SAMPLE = 4000
 SURE = 0.95
-ROUNDS = 10
-#: Letters and digits that words need to be joined by a skip edge, and the least log-potential of equal labels there.
+#: Messages have settled when none changes by more than this; a document whose messages swing stops after ROUNDS.
+SETTLED = 1e-3
+ROUNDS = 1000
+#: Letters and digits that words need to be joined by skip edges unless they hold four groups of digits, and the least log-potential of equal labels there.
 SAME = 7
 BOND = 12.0
 FEATURES = 64
@@ -44,6 +46,7 @@ CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 TOKEN = re.compile(r"[^\x20\x09-\x0D]+")
 HINT = re.compile(r"[0-9@]")
+GROUPS = re.compile(r"[0-9]+")
 
 
 def _luhn(digits: str) -> bool:
@@ -81,6 +84,15 @@ def base_spans(text: str):
     return sorted(out, key=lambda s: (s[0], s[2], s[1]))
 
 
+def _same(word: str) -> str | None:
+    """What words that are joined have in common; None where a word is too short to be told from others."""
+    flat = "".join(c for c in word.lower() if c.isalnum())
+    if len(flat) >= SAME:
+        return flat
+    groups = GROUPS.findall(word)
+    return ".".join(groups) if len(groups) >= 4 else None
+
+
 def _shape(word: str, before: str) -> list[int]:
     """Numbers of the features that hold of a word."""
     digits = sum(c.isdigit() for c in word)
@@ -99,11 +111,13 @@ class Nodes:
     """Variables of a batch of texts: words with a hint, their features, edges, and labels known from base spans."""
 
     def __init__(self, texts, bases):
-        self.doc, self.span, self.known, features, chain, skip = [], [], [], [], [], []
+        self.doc, self.span, self.known, features, chain, skip, hub = [], [], [], [], [], [], []
+        self.hubs = 0
         for d, (text, base) in enumerate(zip(texts, bases, strict=True)):
             if not HINT.search(text):
                 continue
             last: dict[str, int] = {}
+            centre: dict[str, int] = {}
             before, at, near = "", 0, None
             for m in TOKEN.finditer(text):
                 word = m[0]
@@ -120,17 +134,24 @@ class Nodes:
                 features.append(_shape(word, before))
                 if near is not None:
                     chain.append((near, i))
-                same = "".join(c for c in word.lower() if c.isalnum())
-                if len(same) >= SAME:
+                same = _same(word)
+                if same is not None:
                     if same in last:
+                        if same not in centre:
+                            centre[same] = self.hubs
+                            self.hubs += 1
+                            hub.append((last[same], centre[same]))
                         skip.append((last[same], i))
+                        hub.append((i, centre[same]))
                     last[same] = i
                 before, near = word, i
         self.known = np.array(self.known, np.int64)
         self.owner = np.repeat(np.arange(len(features)), [len(f) for f in features]) if features else np.zeros(0, np.int64)
         self.feature = np.array([x for f in features for x in f], np.int64)
         self.chain = np.array(chain, np.int64).reshape(-1, 2)
+        #: neighbouring occurrences, which the potential is counted on, and (occurrence, hub), which messages pass along
         self.skip = np.array(skip, np.int64).reshape(-1, 2)
+        self.hub = np.array(hub, np.int64).reshape(-1, 2)
 
     def unary(self, weights):
         out = np.zeros((len(self.known), weights.shape[1]))
@@ -175,29 +196,41 @@ class Field:
         return cls(w, pairs(nodes.chain), skip)
 
     def marginals(self, nodes: Nodes, rounds: int = ROUNDS) -> np.ndarray:
-        """Beliefs of all variables after loopy message passing along chain and skip edges."""
-        u = nodes.unary(self.weights)
-        seen = nodes.known > 0
+        """Beliefs of all words after loopy message passing along chain edges and to and from hubs."""
+        n = len(nodes.known)
+        u = np.concatenate([nodes.unary(self.weights), np.zeros((nodes.hubs, self.weights.shape[1]))])
+        seen = np.flatnonzero(nodes.known > 0)
         u[seen] = -30.0
-        u[np.flatnonzero(seen), nodes.known[seen]] = 30.0
-        edges = np.concatenate([nodes.chain, nodes.skip])
+        u[seen, nodes.known[seen]] = 30.0
+        spoke = nodes.hub + [0, n]
+        told = spoke[nodes.known[spoke[:, 0]] > 0]
+        u[np.unique(told[:, 1])] = -1e6  # beyond what any number of places can say against it
+        u[told[:, 1], nodes.known[told[:, 0]]] = 1e6
+        edges = np.concatenate([nodes.chain, spoke])
         if not len(edges):
-            return _soft(u)
-        psi = np.concatenate([np.broadcast_to(self.chain, (len(nodes.chain), *self.chain.shape)), np.broadcast_to(self.skip, (len(nodes.skip), *self.skip.shape))])
-        src, dst = np.concatenate([edges[:, 0], edges[:, 1]]), np.concatenate([edges[:, 1], edges[:, 0]])
-        psi = np.concatenate([psi, psi.transpose(0, 2, 1)])
-        back = np.concatenate([np.arange(len(edges)) + len(edges), np.arange(len(edges))])
-        m = np.zeros((len(src), u.shape[1]))
+            return _soft(u[:n])
+        psi = np.concatenate([np.broadcast_to(self.chain, (len(nodes.chain), *self.chain.shape)), np.broadcast_to(self.skip, (len(spoke), *self.skip.shape))])
+        # a document whose messages have settled is left out of further rounds, so its result doesn't depend on the batch
+        doc = np.array(nodes.doc, np.int64)[edges[:, 0]]
+        m = np.zeros((2, len(edges), u.shape[1]))
+        live, busy = np.arange(len(edges)), np.zeros(int(doc.max()) + 1, bool)
         for _ in range(rounds):
+            a, b, p, now = edges[live, 0], edges[live, 1], psi[live], m[:, live]
             belief = u.copy()
-            np.add.at(belief, dst, m)
-            out = belief[src] - m[back]
-            new = np.logaddexp.reduce(out[:, :, None] + psi, axis=1)
-            new -= new.max(axis=1, keepdims=True)
-            m = 0.5 * m + 0.5 * new
-        belief = u.copy()
-        np.add.at(belief, dst, m)
-        return _soft(belief)
+            np.add.at(belief, b, now[0])
+            np.add.at(belief, a, now[1])
+            new = np.stack([np.logaddexp.reduce((belief[a] - now[1])[:, :, None] + p, axis=1), np.logaddexp.reduce((belief[b] - now[0])[:, :, None] + p.transpose(0, 2, 1), axis=1)])
+            new -= new.max(axis=2, keepdims=True)
+            new = 0.5 * now + 0.5 * new
+            m[:, live] = new
+            busy[:] = False
+            busy[doc[live[(np.abs(new - now) > SETTLED).any(axis=(0, 2))]]] = True
+            live = live[busy[doc[live]]]
+            if not len(live):
+                break
+        np.add.at(u, edges[:, 1], m[0])
+        np.add.at(u, edges[:, 0], m[1])
+        return _soft(u[:n])
 
     def find(self, texts):
         """(base spans, additional spans) of each text."""

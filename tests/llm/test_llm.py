@@ -369,6 +369,17 @@ def test_repeated_words_share_labels():
     assert base == [[(5, 16, 1)]] and (27, 40, 1) in more[0]
 
 
+def test_pii_known_word_reaches_all_its_places():
+    train = [f"write to user{i}@mail{i}.example.org or call +49 30 555{i:04d} in room {i} of 20{i:02d}, host 10.1.{i}.7" for i in range(90)]
+    field = pii.Field.fit(train)
+    far = "anna.berg@mail.example.org " + " and so on ".join(["Anna.Berg(@)mail.example,org;"] * 51)
+    short = "host 10.0.0.1 " + " and so on ".join(["10-0-0-1"] * 51)
+    base, more = field.find([far, short, "the year 2020 and the year 2021 and 2020"])
+    assert [len(b) for b in base] == [1, 1, 0]
+    assert [len(x) for x in more] == [51, 51, 0]
+    assert [field.find([t])[1][0] for t in (far, short)] == more[:2]
+
+
 def test_pii_edges(spark, edge, empty):
     got = {r["doc_id"]: r for r in pii.digest(pii.find_pii(edge, pii.fit(edge))).collect()}
     r = got[7]
