@@ -511,6 +511,17 @@ def test_pipeline_on_edges(spark, edge, empty, bench, tmp_path):
         assert (docs.count() == 0) == (name == "empty")
 
 
+def test_pipeline_stages_with_missing_and_repeated_ids(spark, bench, tmp_path):
+    bench.write.parquet(str(tmp_path / "benchmark.parquet"))
+    leak = "this is a text of some words that go on"
+    rows = [(None, leak), (None, "seven words without any id at all"), (1, leak), (1, "another text that has one id with it")]
+    docs = spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars int")
+    clean = corpus_pipeline.decontaminated(spark, docs, str(tmp_path))
+    assert {(r["doc_id"], r["text"]) for r in clean.collect()} == {rows[1], rows[3]}
+    assert None in {r["doc_id"] for r in corpus_pipeline.mixed(spark, docs, str(tmp_path)).collect()}
+    assert {(r["doc_id"], r["text"]) for r in corpus_pipeline.near_duplicates(spark, docs, str(tmp_path)).where("doc_id = 1").collect()} == {rows[2], rows[3]}
+
+
 def test_registered_queries(spark, data):
     import __spark_entry__ as e
 
