@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -17,14 +16,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one is made only where none is set, as in tests."""
+    """The folder that driver and executors share: spark.checkpoint.dir, the context's checkpoint folder, or else one in the warehouse."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         found = spark.sparkContext._jsc.sc().getCheckpointDir()
-        found = found.get() if found.isDefined() else None
-    if not found:
-        found = tempfile.mkdtemp(prefix="corvane-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        found = found.get() if found.isDefined() else f"{spark.conf.get('spark.sql.warehouse.dir')}/_shared"
     return found.rstrip("/")
 
 
@@ -38,11 +34,37 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
-def discard(df: DataFrame) -> None:
-    """Delete a table made by materialize, once nothing reads it any more."""
-    spark = df.sparkSession
-    path = spark._jvm.org.apache.hadoop.fs.Path(df._stored)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+def discard(*tables: DataFrame) -> None:
+    """Delete tables made by materialize, once nothing reads them any more."""
+    for df in tables:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df._stored)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+#: A key is hot if it holds more than one part in this of all rows, and more than HOT_ROWS of them.
+HOT_SHARE = 1024
+HOT_ROWS = 1000
+
+
+def hot_keys(rows: DataFrame, key: str) -> DataFrame:
+    """The keys that hold more than one part in HOT_SHARE of all rows: fewer than HOT_SHARE rows, whatever the input."""
+    n = rows.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+    least = max(HOT_ROWS, rows.count() // HOT_SHARE)
+    return n.where((F.col("n") > least) & F.col(key).isNotNull()).select(key)
+
+
+def lookup(rows: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """rows left-joined to right, which has one row a key: hot keys by broadcast, so none fills a task, all others by shuffle. rows should be stored, since it is read several times."""
+    hot = materialize(hot_keys(rows, key), "hot")
+    marked = rows.join(F.broadcast(hot.withColumn("_hot", F.lit(True))), key, "left")
+    few = F.broadcast(right.join(F.broadcast(hot), key, "left_semi"))  # fewer than HOT_SHARE rows
+    return marked.where("_hot").drop("_hot").join(few, key, "left").unionByName(marked.where("_hot is null").drop("_hot").join(right, key, "left"))
+
+
+def bounded(df: DataFrame, limit: int = 1 << 15) -> DataFrame:
+    """df (stored), to be broadcast if it has at most limit rows and joined by shuffle beyond."""
+    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
 
 
 def text_bytes(text: Column) -> Column:

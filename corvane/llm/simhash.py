@@ -10,12 +10,14 @@ all that came. No link is missed. The anchor's first codeword is the page that r
 to; the second is expanded where the page is compared, so about 71 copies of 8 bytes are moved.
 
 Copies are collapsed to distinct fingerprints before replication. An anchor emits a spanning forest
-of its links, never all pairs; links between reached fingerprints are not compared again, so a dense
-cluster costs little more than its size. Components follow in ``components``.
-
-Defined results: a null or wordless text has fingerprint zero and links like any other; null ids
-keep a row with their fingerprint and a component of the others' ids; repeated rows keep a row each;
-an empty table gives none.
+of its links, never all pairs. Components follow in ``components``, over fingerprints; each is named
+by the smallest id of its documents. As distinct fingerprints grow, a page is cut into sections by
+the second codeword, so that it never holds much more than ``PAGE`` fingerprints; then at most
+about 300 copies are moved.
+
+Defined results: a null or wordless text has fingerprint zero and links like any other; a row of null
+id links like any other and has the smallest id that it reaches (null if it reaches none); repeated
+rows keep a row each; an empty table gives none.
 """
 
 from __future__ import annotations
@@ -28,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, table
+from .common import discard, lookup, materialize, table
 from .components import components
 from .tokens import slices
 
@@ -126,17 +128,43 @@ def halves(fp: np.ndarray):
     return (u & np.uint64((1 << N) - 1)).astype(np.int64), ((u >> np.uint64(N)) & np.uint64((1 << N) - 1)).astype(np.int64)
 
 
-def _pages(batches):
-    for batch in batches:
-        every = batch.column(0).to_numpy()
-        for k in range(0, len(every), 20_000):
-            fp = every[k : k + 20_000]
-            i, page, _ = cover().near(halves(fp)[0])
-            order = np.argsort(page.astype(np.uint16), kind="stable")
-            page, packed = page[order], fp[i[order]]
-            cut = np.flatnonzero(np.diff(page, prepend=-1))
-            ends = np.append(cut[1:], len(page))
-            yield pa.RecordBatch.from_arrays([pa.array(page[cut], pa.int32()), pa.array([packed[a:b].tobytes() for a, b in zip(cut, ends, strict=True)], pa.binary())], ["page", "fps"])
+#: Distinct fingerprints that a section of a page aims at.
+PAGE = 1 << 18
+
+
+def _pages(sections: int):
+    """Sends each fingerprint to its pages, or to the sections of a page where it has a codeword."""
+
+    def keys(fp):
+        x, y = halves(fp)
+        i, page, e1 = cover().near(x)
+        if sections == 1:
+            return i, page
+        j, code, e2 = cover().near(y)
+        at = np.searchsorted(j, np.arange(len(fp) + 1))
+        order = np.lexsort((e2, j))  # each fingerprint's codewords by rising excess
+        code, e2 = code[order], e2[order]
+        fit = np.stack([np.add.reduceat(e2 <= THRESHOLD - e, at[:-1]) for e in range(THRESHOLD + 1)])
+        n = fit[e1, i]
+        who = np.repeat(np.arange(len(i)), n)
+        k = at[:-1][i][who] + np.arange(len(who)) - np.repeat(np.cumsum(n) - n, n)
+        both = np.unique(np.stack([i[who], page[who] * sections + code[k] % sections]), axis=1)
+        return both[0], both[1]
+
+    def run(batches):
+        step = 20_000 if sections == 1 else 2_000
+        for batch in batches:
+            every = batch.column(0).to_numpy()
+            for k in range(0, len(every), step):
+                fp = every[k : k + step]
+                i, page = keys(fp)
+                order = np.argsort(page, kind="stable")
+                page, packed = page[order], fp[i[order]]
+                cut = np.flatnonzero(np.diff(page, prepend=-1))
+                ends = np.append(cut[1:], len(page))
+                yield pa.RecordBatch.from_arrays([pa.array(page[cut], pa.int64()), pa.array([packed[a:b].tobytes() for a, b in zip(cut, ends, strict=True)], pa.binary())], ["page", "fps"])
+
+    return run
 
 
 def _forest(n: int, pairs) -> np.ndarray:
@@ -160,8 +188,9 @@ PART = 512
 CHUNK = 1 << 22
 
 
-def _compare(page: int, fps: np.ndarray, cover: Cover, threshold: int) -> np.ndarray:
-    """Component root (index) of each distinct fingerprint on a page."""
+def _compare(page: int, fps: np.ndarray, cover: Cover, threshold: int, sections: int = 1) -> np.ndarray:
+    """Component root (index) of each distinct fingerprint in a section of a page."""
+    page, section = divmod(page, sections)
     x, y = halves(fps)
     i, a, e1 = cover.near(x)
     here = a == page
@@ -171,11 +200,12 @@ def _compare(page: int, fps: np.ndarray, cover: Cover, threshold: int) -> np.nda
     def pairs():
         for k in range(0, len(fps), 200_000):
             j, b, e2 = cover.near(y[k : k + 200_000])
-            parts.append((j + k, b, e2))
+            m = (b % sections == section) & (e1[j + k] + e2 <= threshold)
+            parts.append((j[m] + k, b[m], e2[m]))
         every = 1 << (N - cover.low)
         step = every if len(fps) <= 20_000 else PART
         for lo in range(0, every, step):
-            got = [(j[m], b[m], e2[m]) for j, b, e2 in parts for m in [(b >= lo) & (b < lo + step) & (e1[j] + e2 <= threshold)]]
+            got = [(j[m], b[m], e2[m]) for j, b, e2 in parts for m in [(b >= lo) & (b < lo + step)]]
             j, b, e2 = (np.concatenate([g[q] for g in got]) for q in range(3))
             order = np.argsort(b, kind="stable")
             j, b, home = j[order], b[order], ((e1[j] == 0) & (e2 == 0))[order]
@@ -195,30 +225,33 @@ def _compare(page: int, fps: np.ndarray, cover: Cover, threshold: int) -> np.nda
     return _forest(len(fps), pairs())
 
 
-def links(distinct: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
+def links(distinct: DataFrame, threshold: int = THRESHOLD, sections: int | None = None) -> DataFrame:
     """(a, b): links between distinct fingerprints (column fp) that span every component."""
+    if sections is None:  # a page holds 1 in 58 fingerprints
+        sections = 1
+        while sections < 256 and distinct.count() // 58 > PAGE * sections:
+            sections *= 2
 
     def compare(key, t):
         fps = np.frombuffer(b"".join(t.column("fps").to_pylist()), dtype=np.int64)
-        root = _compare(key[0].as_py(), fps, cover(), threshold)
+        root = _compare(key[0].as_py(), fps, cover(), threshold, sections)
         linked = np.flatnonzero(root != np.arange(len(fps)))
         return pa.table({"a": fps[linked], "b": fps[root[linked]]}, schema=pa.schema([("a", pa.int64()), ("b", pa.int64())]))
 
-    return distinct.select("fp").mapInArrow(_pages, "page int, fps binary").groupBy("page").applyInArrow(compare, "a long, b long").distinct()
+    return distinct.select("fp").mapInArrow(_pages(sections), "page long, fps binary").groupBy("page").applyInArrow(compare, "a long, b long").distinct()
 
 
 def simhash_components(docs: DataFrame, id_col="doc_id", text_col="text", words: int = SHINGLE, threshold: int = THRESHOLD) -> DataFrame:
     """One row per document: doc_id, fingerprint (16 hex digits), component_id."""
     fps = materialize(fingerprints(docs, id_col, text_col, words), "simhash")
     firsts = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash-firsts")
-    pairs = links(firsts, threshold)
-    named = pairs.join(firsts.select(F.col("fp").alias("a"), F.col("first").alias("x")), "a").join(firsts.select(F.col("fp").alias("b"), F.col("first").alias("y")), "b")
-    comps = components(named.where("x is not null and y is not null"), "x", "y")
-    whole = firsts.join(comps, F.col("first") == F.col("node"), "left").select("fp", F.coalesce("component", "first").alias("component_id"))
-    # copies of one text share a fingerprint: the skewed side is split by salting both
-    salt = F.pmod(F.xxhash64("doc_id"), F.lit(16)).cast("int")
-    salts = fps.select("fp", salt.alias("salt")).distinct().join(whole, "fp")
-    return fps.withColumn("salt", salt).join(salts, ["fp", "salt"]).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    comps = components(links(firsts, threshold), "a", "b")
+    # a component is known by one of its fingerprints, and named by the smallest id of all; a fingerprint of null ids alone has none to give
+    named = firsts.join(comps.select(F.col("node").alias("fp"), "component"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+    names = named.groupBy("component").agg(F.min("first").alias("component_id"))
+    whole = materialize(named.select("fp", "component").join(names, "component").select("fp", "component_id"), "simhash-components")
+    discard(firsts)
+    return lookup(fps, whole, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def op5_simhash(spark, sf_dir) -> DataFrame:

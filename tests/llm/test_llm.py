@@ -254,12 +254,39 @@ def test_cover_misses_no_link():
     d = np.bitwise_count(u[:, None] ^ u[None]) <= 3
     for _ in range(len(fps)):
         want = np.minimum(want, np.where(d, want[None], len(fps)).min(axis=1))
-    pages = {}
-    i, page, _ = simhash.cover().near(simhash.halves(fps)[0])
-    for k, q in zip(i, page, strict=True):
-        pages.setdefault(int(q), []).append(k)
-    pairs = [(np.array(ks), np.array(ks)[simhash._compare(q, fps[ks], simhash.cover(), 3)]) for q, ks in pages.items()]
-    assert np.array_equal(simhash._forest(len(fps), pairs), want)
+    number = {f: i for i, f in enumerate(fps.tolist())}
+    for sections in (1, 4, 16):
+        pages = {}
+        for b in simhash._pages(sections)([pa.RecordBatch.from_arrays([pa.array(fps)], ["fp"])]):
+            for q, x in zip(b.column("page").to_pylist(), b.column("fps").to_pylist(), strict=True):
+                pages.setdefault(q, []).extend(number[f] for f in np.frombuffer(x, np.int64).tolist())
+        pairs = [(np.array(ks), np.array(ks)[simhash._compare(q, fps[ks], simhash.cover(), 3, sections)]) for q, ks in pages.items()]
+        assert np.array_equal(simhash._forest(len(fps), pairs), want)
+
+
+def test_links_through_rows_without_an_id(spark):
+    r = random.Random(5)
+    rows, want = [], {}
+    for g in range(12):
+        w = [f"g{g}w{i}" for i in range(300)]
+        chain, at = [w], 0
+        while len(chain) < 3 and at < 300:  # texts that differ by 2 or 3 bits from the one before
+            for at in range(at + 1, 300):
+                new = [*chain[-1][:at], "other", *chain[-1][at + 1 :]]
+                if 2 <= (fp_of(" ".join(new)) ^ fp_of(" ".join(chain[-1]))).bit_count() <= 3:
+                    chain.append(new)
+                    break
+        ids = [900 - g, None, 1000 + g]
+        rows += [(i, " ".join(x)) for i, x in zip(ids, chain, strict=False)]
+        r.shuffle(rows)
+    got = simhash.simhash_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    fps = [(i, fp_of(t)) for i, t in rows]
+    for i, f in fps:
+        near = {f}
+        while more := {x for _, x in fps for y in near if (x ^ y).bit_count() <= 3} - near:
+            near |= more
+        want[i, f"{f:016x}"] = min((j for j, x in fps if x in near and j is not None), default=None)
+    assert {(x["doc_id"], x["fingerprint"]): x["component_id"] for x in got} == want and len(got) == len(rows)
 
 
 def test_golay_code_is_perfect():
