@@ -5,6 +5,7 @@ words, which is cut into blocks of equal length. A golden-ratio sequence is mapp
 cumulative weights of the sources; the slots that fall to a source are ranked, and slot k takes
 block k of the (wrapping) stream. So at any point of the schedule every source has had its share,
 to within a few blocks. A source's last slot takes only as many words as its target leaves open.
+What a document gives, and where in the mix it stands, is read off the slots that take its blocks.
 
 Prefix sums over a source are taken in two levels, inside digest buckets and over the buckets'
 totals, so a source with a third of all rows is spread over all tasks.
@@ -16,10 +17,12 @@ shuffled order fall in any order, with equal totals); an empty table gives none.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, table, word_count
+from .common import bounded, materialize, table, word_count
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
@@ -58,7 +61,7 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, share=SHARE, most=MOST) ->
 
 
 def schedule(targets: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """One row per slot: (source, rank, block, take), ranked per source along the golden-ratio sequence."""
+    """One row per slot: (slot, source, rank, block, turn, take), ranked per source along the golden-ratio sequence; turn counts the passes over the stream."""
     spark = targets.sparkSession
     b = F.lit(block_words)
     src = targets.where("source_size > 0 and target > 0").select("source", "source_size", F.round("target").cast("long").alias("quota"))
@@ -74,19 +77,20 @@ def schedule(targets: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
     i = F.col("id")
     turn = (F.floor(i / F.lit(1 << 20)) * F.lit(GOLDEN_20) + (i % (1 << 20)) * F.lit(GOLDEN)) % 1.0
     points = spark.range(total).select(i.alias("slot"), turn.alias("u")).withColumn("cell", F.floor(F.col("u") * CELLS))
-    hit = points.join(F.broadcast(cells), "cell").where("u >= lo and u < hi").select("source", "slot")  # CELLS rows and one more for each source
+    cells = bounded(materialize(cells, "mix-cells"))
+    hit = points.join(cells, "cell").where("u >= lo and u < hi").select("source", "slot")
     ranked = _rank(hit)
-    # the sequence is a few slots off the exact share: those over are left out, those missing follow at the end
+    # the sequence is a few slots off the exact share: a source's slots over it are left out, those missing stand at the end, in order of rank
     counts = hit.groupBy(F.col("source").alias("s")).agg(F.count(F.lit(1)).alias("got"))
     late = src.join(counts, F.col("source").eqNullSafe(F.col("s")), "left").select("source", "slots", F.coalesce("got", F.lit(0)).alias("got"))
     late = late.where("got < slots").select("source", F.explode(F.sequence("got", F.col("slots") - 1)).alias("rank"))
-    every = ranked.select("source", "rank").unionByName(late)
-    s = F.broadcast(src.select(F.col("source").alias("s"), "source_size", "quota", "blocks", "slots"))
+    every = ranked.select("slot", "source", "rank").unionByName(late.select((F.lit(total) + F.col("rank")).alias("slot"), "source", "rank"))
+    s = bounded(src.select(F.col("source").alias("s"), "source_size", "quota", "blocks", "slots"))
     out = every.join(s, F.col("source").eqNullSafe(F.col("s"))).where("rank < slots")
     out = out.withColumn("block", F.col("rank") % F.col("blocks")).withColumn("turn", F.floor(F.col("rank") / F.col("blocks")))
     start = F.col("turn") * F.col("source_size") + F.col("block") * b
     take = F.least(b, F.col("source_size") - F.col("block") * b, F.col("quota") - start)
-    return out.select("source", "rank", "block", take.cast("long").alias("take"))
+    return out.select("slot", "source", "rank", "block", "turn", take.cast("long").alias("take"))
 
 
 def _rank(hit: DataFrame, span: int = 1 << 14) -> DataFrame:
@@ -98,9 +102,9 @@ def _rank(hit: DataFrame, span: int = 1 << 14) -> DataFrame:
     return inner.join(per, F.col("source").eqNullSafe(F.col("s")) & (F.col("span") == F.col("p"))).select("source", "slot", (F.col("r") + F.col("base")).alias("rank"))
 
 
-def mix(docs: DataFrame, id_col="doc_id", text_col="text", source_col="source", weights=WEIGHTS, share=SHARE, most=MOST, block_words=BLOCK_WORDS) -> DataFrame:
-    """One row per document: doc_id, size, source_size, target (of its source), taken, source."""
-    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size"))
+def mix(docs: DataFrame, id_col="doc_id", text_col="text", source_col="source", weights=WEIGHTS, share=SHARE, most=MOST, block_words=BLOCK_WORDS, keep: tuple[str, ...] = ()) -> DataFrame:
+    """One row per document: doc_id, size, source_size, target (of its source), taken, first_slot (null if not taken), slots (the first of each copy), source and the columns in keep."""
+    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size"), *keep)
     base = base.withColumn("mark", F.md5(F.concat(F.lit("mix:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))).cast("binary")))
     base = materialize(base.withColumn("uid", F.monotonically_increasing_id()), "mix-sizes")
     targets = materialize(source_targets(base, weights, share, most), "mix-targets")
@@ -114,20 +118,23 @@ def mix(docs: DataFrame, id_col="doc_id", text_col="text", source_col="source",
     b = F.lit(block_words)
     pieces = laid.select("uid", "source", "begin", "end", F.explode(F.sequence(F.floor(F.col("begin") / b), F.floor((F.col("end") - 1) / b))).alias("block"))
     pieces = pieces.select("uid", "source", "block", F.greatest(F.col("begin") - F.col("block") * b, F.lit(0)).alias("x"), F.least(F.col("end") - F.col("block") * b, b).alias("y"))
-    slots = schedule(targets, block_words).select(F.col("source").alias("s"), F.col("block").alias("k"), "take")
+    slots = schedule(targets, block_words).select(F.col("source").alias("s"), F.col("block").alias("k"), "take", "turn", "slot")
     words = F.greatest(F.least("y", "take") - F.col("x"), F.lit(0))
-    taken = pieces.join(slots, F.col("source").eqNullSafe(F.col("s")) & (F.col("block") == F.col("k"))).groupBy("uid").agg(F.sum(words).alias("taken"))
-    t = F.broadcast(targets.select(F.col("source").alias("s"), "source_size", "target"))  # a row for each source
+    met = pieces.join(slots, F.col("source").eqNullSafe(F.col("s")) & (F.col("block") == F.col("k"))).select("uid", "turn", "slot", words.alias("words")).where("words > 0")
+    copies = [F.min(F.when(F.col("turn") == i, F.col("slot"))) for i in range(math.ceil(most))]
+    taken = met.groupBy("uid").agg(F.sum("words").alias("taken"), F.min("slot").alias("first_slot"), F.filter(F.array(*copies), lambda x: x.isNotNull()).alias("slots"))
+    t = bounded(targets.select(F.col("source").alias("s"), "source_size", "target"))
     return base.join(taken, "uid", "left").join(t, F.col("source").eqNullSafe(F.col("s"))).select(
-        "doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "source"
+        "doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "first_slot", "slots", "source", *keep
     )
 
 
 def op1_mixing(spark, sf_dir) -> DataFrame:
-    return mix(table(spark, sf_dir, "documents")).drop("source")
+    return mix(table(spark, sf_dir, "documents")).drop("source", "slots")
 
 
-SQL = r"""
+#: The schedule again, slot by slot.
+SQL = rf"""
 WITH d AS (
   SELECT doc_id, source, CAST(coalesce(len(list_filter(regexp_split_to_array(text, '[\x20\x09-\x0D]+'), lambda x: x <> '')), 0) AS BIGINT) AS size,
          md5('mix:' || CAST(doc_id AS VARCHAR)) AS mark
@@ -142,13 +149,29 @@ WITH d AS (
   SELECT *, (CAST(1.5 AS DOUBLE) * sum(source_size) OVER () - coalesce(sum(top) OVER b, 0)) / (sum(w) OVER () - coalesce(sum(w) OVER b, 0)) AS level
   FROM w WINDOW b AS (ORDER BY top / w, i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
 ), t AS (
-  SELECT source, source_size, CASE WHEN level * w >= top THEN top ELSE w * max(CASE WHEN level * w < top THEN level END) OVER () END AS target FROM l
+  SELECT source, source_size, i, CASE WHEN level * w >= top THEN top ELSE w * max(CASE WHEN level * w < top THEN level END) OVER () END AS target FROM l
+), q AS (
+  SELECT source, source_size, i, CAST(round(target) AS BIGINT) AS quota, (source_size + {BLOCK_WORDS - 1}) // {BLOCK_WORDS} AS blocks FROM t WHERE source_size > 0 AND round(target) > 0
+), n AS (
+  SELECT *, (quota // source_size) * blocks + (quota % source_size + {BLOCK_WORDS - 1}) // {BLOCK_WORDS} AS slots FROM q
+), v AS (
+  SELECT *, CAST(sum(slots) OVER (ORDER BY i) - slots AS BIGINT) / CAST(sum(slots) OVER () AS BIGINT) AS lo, CAST(sum(slots) OVER (ORDER BY i) AS BIGINT) / CAST(sum(slots) OVER () AS BIGINT) AS hi, CAST(sum(slots) OVER () AS BIGINT) AS total FROM n
+), g AS (
+  SELECT slot, ((slot // 1048576) * CAST({GOLDEN_20!r} AS DOUBLE) + (slot % 1048576) * CAST({GOLDEN!r} AS DOUBLE)) % CAST(1 AS DOUBLE) AS u FROM range(0, (SELECT max(total) FROM v)) r(slot)
+), h AS (
+  SELECT i, slot, row_number() OVER (PARTITION BY i ORDER BY slot) - 1 AS rank FROM g JOIN v ON u >= lo AND u < hi
+), z AS (
+  SELECT i, slot, rank FROM h
+  UNION ALL SELECT v.i, total + r, r FROM v, LATERAL (SELECT unnest(range((SELECT count(*) FROM h WHERE h.i = v.i), slots)) AS r)
+), k AS (
+  SELECT v.source, v.i, slot, rank % blocks AS block, least({BLOCK_WORDS}, source_size - (rank % blocks) * {BLOCK_WORDS}, quota - (rank // blocks) * source_size - (rank % blocks) * {BLOCK_WORDS}) AS take
+  FROM z JOIN v USING (i) WHERE rank < slots
 ), p AS (
-  SELECT d.doc_id, d.size, t.source_size, t.target, CAST(round(t.target) AS BIGINT) AS quota,
-         CAST(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.mark, d.doc_id ROWS UNBOUNDED PRECEDING) - d.size AS BIGINT) AS a
+  SELECT d.doc_id, d.size, t.source_size, t.target, t.i, CAST(sum(d.size) OVER (PARTITION BY t.i ORDER BY d.mark, d.doc_id ROWS UNBOUNDED PRECEDING) - d.size AS BIGINT) AS a
   FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
-)
-SELECT doc_id, size, source_size, target,
-       CAST(least(size, greatest(quota - a, 0)) + least(size, greatest(quota - source_size - a, 0)) AS BIGINT) AS taken
-FROM p
+), m AS (
+  SELECT doc_id, slot, least(a + size, block * {BLOCK_WORDS} + take) - greatest(a, block * {BLOCK_WORDS}) AS words
+  FROM p JOIN k ON p.i = k.i AND block * {BLOCK_WORDS} < a + size AND block * {BLOCK_WORDS} + take > a
+), x AS (SELECT doc_id, sum(words) AS taken, min(slot) AS first_slot FROM m GROUP BY 1)
+SELECT doc_id, size, source_size, target, CAST(coalesce(taken, 0) AS BIGINT) AS taken, first_slot FROM p LEFT JOIN x USING (doc_id)
 """

@@ -5,6 +5,7 @@ import random
 import re
 import zlib
 
+import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -120,6 +121,25 @@ def test_schedule_is_even(spark):
     got = mixing.schedule(t, 100).collect()
     assert {s: sum(r["take"] for r in got if r["source"] == s) for s in "ab"} == {"a": 10_000, "b": 5_000}
     assert {r["rank"] for r in got if r["source"] == "b"} == set(range(50))
+    t = spark.createDataFrame([("a", 300_000, 400_000.0), ("b", 90_000, 70_000.0), ("c", 10_000, 20_000.0), (None, 5_000, 5_000.0)], "source string, source_size long, target double")
+    got = [r["source"] for r in sorted(mixing.schedule(t, 100).collect(), key=lambda r: r["slot"])]
+    share = {s: got.count(s) / len(got) for s in set(got)}
+    most = max(abs(got[:n].count(s) - n * share[s]) for n in range(len(got)) for s in share)
+    assert len(got) == 4950 and most <= 5
+
+
+def test_mix_is_read_off_the_schedule(spark):
+    r = random.Random(8)
+    docs = [(i, " ".join("w" for _ in range(r.randint(0, 900))), r.choice("aaab")) for i in range(200)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, source string")
+    got = mixing.mix(df).collect()
+    for x in got:
+        turns = -(-x["taken"] // x["size"]) if x["size"] else 0
+        assert len(x["slots"] or []) == turns and x["first_slot"] == (min(x["slots"]) if turns else None)
+    con = duckdb.connect()
+    con.register("documents", df.toPandas())
+    want = {q[0]: q[1:] for q in con.execute(mixing.SQL).fetchall()}
+    assert {x["doc_id"]: (x["size"], x["source_size"], x["target"], x["taken"], x["first_slot"]) for x in got} == want
 
 
 # --- sharding
