@@ -337,10 +337,45 @@ def test_quotation_linking(spark):
     assert got[1, 2, 2]["quote_level"] == 2 and (got[1, 2, 2]["parent_turn"], got[1, 2, 2]["n_linked"]) == (0, 2)
     assert (got[2, 0, 3]["parent_conv"], got[2, 0, 3]["parent_turn"], got[2, 0, 3]["thread_id"]) == (1, 1, 1)
     assert got[2, 1, 4]["parent_turn"] == 0 and got[3, 0, 0]["n_linked"] == 0 and got[3, 0, 0]["n_quotes"] == 1 and got[3, 0, 0]["own_text"] == "hm"
-    assert got[None, None, 0]["parent_conv"] is None
+    assert got[None, None, None]["parent_conv"] is None and got[None, None, None]["thread_id"] is None
     assert chat.link(df.where("conv_id > 99")).count() == 0
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_random_quotes_as_in_sql(spark, seed):
+    """Nested quotes, of whole passages, paragraphs and lines, within and across conversations, and of texts that nobody wrote."""
+    r = random.Random(seed)
+    vocab = [f"Word{i}" for i in range(30)]
+    line = lambda: " ".join(r.choice(vocab) for _ in range(r.randint(1, 3)))
+    rows, said = [], []
+    for c in range(40):
+        for t in range(r.randint(1, 6)):
+            parts = []
+            for _ in range(r.randint(0, 4)):
+                kind = r.random()
+                if kind < 0.5 and said:
+                    old = r.choice(said[-8:] if r.random() < 0.7 else said)
+                    old = r.choice([old, *old.split("\n"), *old.split("\n\n"), line()])
+                    marks = r.choice(["> ", ">", " > ", ">> ", "> > ", ">>>"])
+                    parts.append("\n".join(marks + (x.upper() if r.random() < 0.3 else x) for x in old.split("\n")))
+                else:
+                    parts.append(r.choice(["\n", "\n\n"]).join(line() for _ in range(r.randint(1, 3))))
+            text = r.choice(["\n", "\n\n"]).join(parts) if r.random() < 0.95 else None
+            said.append(text or "")
+            rows.append((c if r.random() < 0.97 else None, t if r.random() < 0.97 else None, "u", text, 1))
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, h int")
+    con = duckdb.connect()
+    con.execute("create table conversations (conv_id bigint, turn bigint, role varchar, text varchar)")
+    con.executemany("insert into conversations values (?, ?, ?, ?)", [x[:4] for x in rows])
+    cur = con.execute(chat.SQL)
+    names = [x[0] for x in cur.description]
+    want = sorted((tuple(x) for x in cur.fetchall()), key=repr)
+    got = sorted((tuple(x) for x in chat.link(df).select(*names).collect()), key=repr)
+    assert got == want
+    linked = [x for x in got if x[names.index("n_linked")]]
+    assert len(linked) > 20 and any(x[names.index("thread_id")] not in (None, x[names.index("conv_id")]) for x in got)
+
+
 def test_long_conversation_keeps_its_order(spark):
     df = spark.range(3000).select(F.lit(5).alias("conv_id"), F.col("id").alias("turn"), F.lit("u").alias("role"), F.concat(F.lit("line "), F.col("id")).alias("text"))
     got = chat.link(df).where("position <> turn or (turn > 0 and parent_turn <> turn - 1)").count()
