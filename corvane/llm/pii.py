@@ -1,16 +1,20 @@
 """Personal data: fixed patterns, and a skip-chain conditional random field that adds what they miss.
 
 The patterns give the base spans. The field has a variable for every word with a digit or an at
-sign (other words are plain text for certain); its labels are none and the four kinds. Neighbouring
+sign (other words are plain text for certain); its labels are none, the four kinds, and secrets (keys, tokens
+and passwords, of which a pattern knows those that are assigned to a telling name). Neighbouring
 variables share a chain potential; words of one document that are equal, or equal up to
 punctuation and case, are each joined by a skip edge to one hub variable, which takes the kind that a
 pattern knows of any of them, so the kind is one edge from all other places. Loopy message passing runs
 on all documents of a batch at once, on each until its messages settle; words inside base spans are
-observed. Words whose marginal for a kind reaches ``SURE`` become additional spans.
+observed. Neighbouring words whose marginals for one kind reach ``SURE`` become one additional span, if it has
+the digits or the sign that its kind can't be without.
 
-The field is trained piecewise in numpy, on base spans as labels, over at most ``SAMPLE`` documents
-drawn by a digest of id and text: a softmax for the words' own shape, and smoothed log-odds of label
-pairs for either kind of edge. Everything else covers all words of all texts.
+The field is trained piecewise in numpy, on the patterns' spans as labels, over at most ``SAMPLE`` documents of
+at most ``LONGEST`` bytes, drawn by a digest of id and text: a softmax for the words' own shape, smoothed log-odds of label
+pairs for chain edges, and one log-odds of equal against unequal labels for skip edges. A number that is long enough for a card
+and fails only the check digit teaches nothing, rather than that it is none. Everything else covers
+all words of all texts.
 
 Defined results: a null text counts as empty and has no spans; repeated rows give repeated results;
 without any document the field knows only the base spans.
@@ -29,15 +33,20 @@ from .common import table
 from .tokens import slices
 
 KINDS = ("email", "ip", "card", "phone")
+#: The kinds of base spans, and what the field adds to them.
+ALL = (*KINDS, "secret")
 SAMPLE = 4000
+#: Bytes of the longest text that the fit reads, so that the driver holds at most SAMPLE times as many.
+LONGEST = 1 << 17
 SURE = 0.95
 #: Messages have settled when none changes by more than this; a document whose messages swing stops after ROUNDS.
 SETTLED = 1e-3
 ROUNDS = 1000
-#: Letters and digits that words need to be joined by skip edges unless they hold four groups of digits, and the least log-potential of equal labels there.
+#: Letters and digits that words need to be joined by skip edges unless they hold four groups of digits.
 SAME = 7
-BOND = 12.0
-FEATURES = 64
+#: Skip edges with equal labels, to one with unequal ones, that training begins from.
+PRIOR = 1e5
+FEATURES = 96
 LOCAL = re.compile(r"[A-Za-z0-9._%+-]")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 # a match can't begin inside a run of digits, so the search is linear in the text
@@ -47,6 +56,12 @@ PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 TOKEN = re.compile(r"[^\x20\x09-\x0D]+")
 HINT = re.compile(r"[0-9@]")
 GROUPS = re.compile(r"[0-9]+")
+#: A value of eight characters or more that is assigned to a telling name; fixed values.
+NAMED = re.compile(r"""(?i)\b(?:[a-z0-9_-]*(?:token|secret|passwd|password|api[_-]?key|access[_-]?key|private[_-]?key))["']?\s{0,4}[:=]\s{0,4}["']?([^\s"']{8,})""")
+#: What a span added by the field drops at its ends.
+EDGE = " \t\n\r\x0b\x0c.,;:!?*#$%&'\"<>[]{}"
+#: Digits that a span can't be without, by kind.
+LEAST = {2: 12, 3: 7}
 
 
 def _luhn(digits: str) -> bool:
@@ -93,29 +108,45 @@ def _same(word: str) -> str | None:
     return ".".join(groups) if len(groups) >= 4 else None
 
 
+def secrets(text: str):
+    """(start, end, 4) of values that are assigned to a telling name."""
+    if "=" not in text and ":" not in text:
+        return []
+    return [(*m.span(1), 4) for m in NAMED.finditer(text) if HINT.search(m[1])]
+
+
 def _shape(word: str, before: str) -> list[int]:
     """Numbers of the features that hold of a word."""
     digits = sum(c.isdigit() for c in word)
     alpha = sum(c.isalpha() for c in word)
+    flat = "".join(c for c in word if c.isalnum()).lower()
     f = [0, 1 + min(digits, 20), 22 + min(alpha, 8), 31 + min(word.count("."), 4), 36 + min(word.count("-"), 4)]
     f += [41 + k for k, hold in enumerate(("@" in word, word[:1] == "+", "(" in word, "." in word.partition("@")[2], word.isdigit(), before[-1:].isdigit(), before[-1:] in (":", "="))) if hold]
-    flat = "".join(c for c in word if c.isdigit())
-    if 12 <= len(flat) <= 19:
-        f.append(48 + _luhn(flat))
-    if word.count(".") == 3 and all(p.isdigit() and len(p) <= 3 for p in word.strip(".,;").split(".")):
+    if word.count(".") == 3 and all(p.isdigit() and len(p) <= 3 for p in word.strip(EDGE).split(".")):
         f.append(50)
+    if digits and alpha and len(flat) >= 16:
+        f += [51 + min(len(flat) // 8, 8), 60 + all(c in "0123456789abcdef" for c in flat)]
+    if flat.isdigit():
+        f.append(62 + min(len(flat), 20))
     return f
 
 
+def _unproved(word: str) -> bool:
+    """Long enough for a card, but for the check digit."""
+    flat = word.strip(EDGE).replace("-", "")
+    return flat.isdigit() and 13 <= len(flat) <= 19 and not _luhn(flat)
+
+
 class Nodes:
     """Variables of a batch of texts: words with a hint, their features, edges, and labels known from base spans."""
 
     def __init__(self, texts, bases):
-        self.doc, self.span, self.known, features, chain, skip, hub = [], [], [], [], [], [], []
+        self.doc, self.span, self.known, self.silent, features, chain, skip, hub = [], [], [], [], [], [], [], []
         self.hubs = 0
         for d, (text, base) in enumerate(zip(texts, bases, strict=True)):
             if not HINT.search(text):
                 continue
+            base = sorted(base + secrets(text))
             last: dict[str, int] = {}
             centre: dict[str, int] = {}
             before, at, near = "", 0, None
@@ -127,10 +158,14 @@ class Nodes:
                 i = len(self.doc)
                 while at < len(base) and base[at][1] <= m.start():
                     at += 1
-                over = next((k for s, e, k in base[at : at + 8] if s < m.end() and e > m.start()), None)
+                over, j = None, at
+                while over is None and j < len(base) and base[j][0] < m.end():
+                    over = base[j][2] if base[j][1] > m.start() else None
+                    j += 1
                 self.doc.append(d)
                 self.span.append((m.start(), m.end()))
                 self.known.append(-1 if over is None else over + 1)
+                self.silent.append(over is None and _unproved(word))
                 features.append(_shape(word, before))
                 if near is not None:
                     chain.append((near, i))
@@ -170,16 +205,18 @@ class Field:
 
     @classmethod
     def fit(cls, texts, steps: int = 300, rate: float = 0.5):
-        labels = len(KINDS) + 1
+        labels = len(ALL) + 1
         nodes = Nodes(texts, [base_spans(t) for t in texts])
         y = np.maximum(nodes.known, 0)
         w = np.zeros((FEATURES, labels))
         if not len(y):
             return cls(w, np.zeros((labels, labels)), np.zeros((labels, labels)))
         square = np.full_like(w, 1e-6)
+        heard = ~np.array(nodes.silent)
         for _ in range(steps):
             p = _soft(nodes.unary(w))
             p[np.arange(len(y)), y] -= 1
+            p *= heard[:, None]
             g = 1e-4 * w
             np.add.at(g, nodes.feature, p[nodes.owner] / len(y))
             square += g * g
@@ -192,8 +229,10 @@ class Field:
             n = (n + n.T) / 2
             return np.clip(np.log(n / n.sum()) - np.log(np.outer(share, share) / share.sum() ** 2), -3, 3)
 
-        skip = np.maximum(pairs(nodes.skip), BOND * np.eye(labels) - 1.0)
-        return cls(w, pairs(nodes.chain), skip)
+        told = nodes.skip[heard[nodes.skip].all(axis=1)]
+        equal = int((y[told[:, 0]] == y[told[:, 1]]).sum())
+        bond = np.log((equal + PRIOR) / (len(told) - equal + 1))
+        return cls(w, pairs(nodes.chain[heard[nodes.chain].all(axis=1)]), bond * np.eye(labels))
 
     def marginals(self, nodes: Nodes, rounds: int = ROUNDS) -> np.ndarray:
         """Beliefs of all words after loopy message passing along chain edges and to and from hubs."""
@@ -235,23 +274,36 @@ class Field:
     def find(self, texts):
         """(base spans, additional spans) of each text."""
         bases = [base_spans(t) for t in texts]
-        more = [[] for _ in texts]
+        more = [secrets(t) for t in texts]
         nodes = Nodes(texts, bases)
         if len(nodes.known):
             p = self.marginals(nodes)
-            best = p.argmax(axis=1)
-            for i in np.flatnonzero((nodes.known < 0) & (best > 0) & (p.max(axis=1) >= SURE)):
-                more[nodes.doc[i]].append((*nodes.span[i], int(best[i]) - 1))
+            best = np.where((nodes.known < 0) & (p.max(axis=1) >= SURE), p.argmax(axis=1), 0)
+            after = dict(nodes.chain.tolist())
+            done = -1
+            for i in np.flatnonzero(best > 0).tolist():
+                if i <= done:
+                    continue
+                done = i
+                while best[after.get(done, -1)] == best[i] and done in after:
+                    done = after[done]
+                d, kind = nodes.doc[i], int(best[i]) - 1
+                start, end = nodes.span[i][0], nodes.span[done][1]
+                part = texts[d][start:end]
+                start += len(part) - len(part.lstrip(EDGE))
+                part = part.strip(EDGE)
+                if sum(c.isdigit() for c in part) >= LEAST.get(kind, 1) or (kind == 0 and "@" in part):
+                    more[d].append((start, start + len(part), kind))
         return bases, more
 
 
 def spell(spans) -> str:
-    return ",".join(f"{KINDS[k]}:{s}:{e}" for s, e, k in sorted(spans, key=lambda x: (x[0], x[2], x[1])))
+    return ",".join(f"{ALL[k]}:{s}:{e}" for s, e, k in sorted(spans, key=lambda x: (x[0], x[2], x[1])))
 
 
 def fit(docs: DataFrame, id_col="doc_id", text_col="text", sample: int = SAMPLE) -> Field:
     """Field trained on at most sample documents that have a digit or an at sign, drawn by a digest of the id."""
-    near = docs.where(F.col(text_col).rlike("[0-9@]"))
+    near = docs.where(F.col(text_col).rlike("[0-9@]") & (F.octet_length(F.col(text_col).cast("string")) <= LONGEST))
     rows = near.select(F.xxhash64(F.lit("pii"), F.col(id_col), F.col(text_col)).alias("mark"), F.col(text_col).cast("string").alias("text"))
     drawn = rows.select("mark").distinct().orderBy("mark").limit(sample)
     got = rows.join(F.broadcast(drawn), "mark", "left_semi").dropDuplicates(["mark"])  # at most sample rows
@@ -268,7 +320,7 @@ def find_pii(docs: DataFrame, field: Field, id_col="doc_id", text_col="text") ->
         for batch in batches:
             for part in slices(batch, "text"):
                 base, more = sent.value.find([x or "" for x in part.column("text").to_pylist()])
-                cols = [pa.array([[{"kind": KINDS[k], "begin": s, "end": e} for s, e, k in d] for d in side], span) for side in (base, more)]
+                cols = [pa.array([[{"kind": ALL[k], "begin": s, "end": e} for s, e, k in d] for d in side], span) for side in (base, more)]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), *cols], ["doc_id", "base", "added"])
 
     s = "array<struct<kind:string,begin:int,end:int>>"
@@ -277,7 +329,7 @@ def find_pii(docs: DataFrame, field: Field, id_col="doc_id", text_col="text") ->
 
 def digest(found: DataFrame) -> DataFrame:
     """Counts and spellings of base and all spans."""
-    kinds = F.array(*[F.lit(k) for k in KINDS])
+    kinds = F.array(*[F.lit(k) for k in ALL])
 
     def spelled(spans):
         rows = F.array_sort(F.transform(spans, lambda x: F.struct(x["begin"].alias("s"), F.array_position(kinds, x["kind"]).alias("k"), x["end"].alias("e"), x["kind"].alias("n"))))
@@ -286,7 +338,7 @@ def digest(found: DataFrame) -> DataFrame:
     def count(kind):
         return F.size(F.filter("base", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
 
-    return found.select("doc_id", *map(count, KINDS), F.sha2(spelled(F.col("base")), 256).alias("base_sha256"), spelled(F.concat("base", "added")).alias("spans"))
+    return found.select("doc_id", *map(count, KINDS), F.sha2(spelled(F.col("base")), 256).alias("base_sha256"), spelled(F.concat("base", "added")).alias("spans"), (F.size("base") + F.size("added")).cast("long").alias("n_spans"))
 
 
 def op8_pii(spark, sf_dir) -> DataFrame:
