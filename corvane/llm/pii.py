@@ -60,8 +60,9 @@ GROUPS = re.compile(r"[0-9]+")
 NAMED = re.compile(r"""(?i)\b(?:[a-z0-9_-]*(?:token|secret|passwd|password|api[_-]?key|access[_-]?key|private[_-]?key))["']?\s{0,4}[:=]\s{0,4}["']?([^\s"']{8,})""")
 #: What a span added by the field drops at its ends.
 EDGE = " \t\n\r\x0b\x0c.,;:!?*#$%&'\"<>[]{}"
-#: Digits that a span can't be without, by kind.
+#: Digits that a span can't be without, and the most that words are joined to, by kind; the other kinds are one word each.
 LEAST = {2: 12, 3: 7}
+MOST = {2: 19, 3: 15}
 
 
 def _luhn(digits: str) -> bool:
@@ -284,11 +285,13 @@ class Field:
             for i in np.flatnonzero(best > 0).tolist():
                 if i <= done:
                     continue
-                done = i
-                while best[after.get(done, -1)] == best[i] and done in after:
+                done, d, kind = i, nodes.doc[i], int(best[i]) - 1
+                start, end = nodes.span[i]
+                while kind in MOST and best[after.get(done, -1)] == best[i] and done in after:
+                    if sum(c.isdigit() for c in texts[d][start : nodes.span[after[done]][1]]) > MOST[kind]:
+                        break
                     done = after[done]
-                d, kind = nodes.doc[i], int(best[i]) - 1
-                start, end = nodes.span[i][0], nodes.span[done][1]
+                    end = nodes.span[done][1]
                 part = texts[d][start:end]
                 start += len(part) - len(part.lstrip(EDGE))
                 part = part.strip(EDGE)

@@ -494,6 +494,7 @@ HAND = [
     ("card 4111 1111 1111 1111 was charged", [(5, 24, 2)]),
     ("card 4111111111111112 has a slip of the pen", [(5, 21, 2)]),
     ("the number 5500005555555550 again", [(11, 27, 2)]),
+    ("both 4111111111111112 4111111111111113 fail", [(5, 21, 2), (22, 38, 2)]),
     ("call +49 (30) 555-0199 after six", [(5, 22, 3)]),
     ("host 10.20.30.40 is 10-20-30-40 in the log", [(5, 16, 1), (20, 31, 1)]),
     ('set token = "f33e61083db5dbdf4bd2369d2f80176e57f7fda2" here', [(13, 53, 4)]),
