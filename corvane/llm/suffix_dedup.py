@@ -14,9 +14,11 @@ id. Only suffixes whose first LENGTH bytes can occur twice are sorted:
    its smallest id are repeats.
 4. The repeats go back to their texts, where the covered bytes are cut.
 
-Grams only decide what is compared; matches are of whole bytes. Copies that make up more than one
-part in ``HOT_SHARE`` of the rows are settled by digest before texts are dealt out, the others meet
-in their pack, so no task gathers a large group. A gram in most texts is sent once a batch.
+Grams only decide what is compared; matches are of whole bytes. Of equal texts, the one of the smallest
+id alone is compared; the others lose everything, which a join by digest settles. Texts whose copies hold more than
+one part in ``HOT_PARTS`` of all bytes leave but that one row before texts are dealt out, and a batch deals
+each text once, so no pack gathers a large group. A gram in most texts is sent once a batch, a run in most texts
+once a pack. Texts and runs travel compressed.
 
 Defined results: a null text counts as empty; texts under LENGTH bytes lose nothing; a null id comes
 after all others; rows of one id never shorten each other; repeated rows keep a row each.
@@ -24,9 +26,7 @@ after all others; rows of one id never shorten each other; repeated rows keep a
 
 from __future__ import annotations
 
-import gc
 import hashlib
-import time
 
 import numpy as np
 import pyarrow as pa
@@ -41,11 +41,12 @@ from .tokens import slices
 LENGTH = 50
 GRAM = 24
 SPAN = LENGTH - GRAM + 1
-HOT_SHARE = 1024
+HOT_PARTS = 1 << 18
 #: Distinct texts of a batch that send a gram each in their own name; beyond, it is known to repeat.
 FEW = 8
-#: Text bytes in a pack, and in a part of the exchanges, that the numbers of packs and parts aim at.
+#: Text bytes in a pack, and behind a part of the exchange of grams, that the numbers of packs and parts aim at.
 PACK_BYTES = 4 << 20
+PART_BYTES = 16 << 20
 #: Parts that what batches know about the texts of one pack is spread over.
 SPREAD = 16
 PIECE = 2 << 20
@@ -97,18 +98,16 @@ def minimizers(group):
 
 
 def _key(h: np.ndarray, parts: int):
-    """Part of a gram, and the 40 bits that stand for it there."""
-    return (h % np.uint64(parts)).astype(np.int64), h >> np.uint64(24)
+    """Part of a gram, and the 32 bits that stand for it there; grams that share both are compared in vain, but not taken for equal."""
+    return (h % np.uint64(parts)).astype(np.int64), h >> np.uint64(32)
 
 
-def _five(h: np.ndarray) -> np.ndarray:
-    return np.ascontiguousarray(h.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5])
+def _small(b: bytes) -> bytes:
+    return len(b).to_bytes(8, "little") + pa.compress(b, codec="zstd", asbytes=True)
 
 
-def _eight(b: bytes) -> np.ndarray:
-    x = np.zeros((len(b) // 5, 8), np.uint8)
-    x[:, :5] = np.frombuffer(b, np.uint8).reshape(-1, 5)
-    return x.view("<u8").ravel()
+def _whole(b: bytes) -> bytes:
+    return pa.decompress(b[8:], int.from_bytes(b[:8], "little"), codec="zstd", asbytes=True)
 
 
 def _cuts(*columns):
@@ -166,7 +165,7 @@ def _exchange(parts: int, packs: int):
                 for x, y in zip(*_cuts(q), strict=True):
                     c, d = _cuts(t[x:y])
                     who = t[x:y][c]
-                    rows.append((int(q[x]), np.where(who < 0, -1, ids[who]).astype("<i8").tobytes(), (d - c).astype("<u4").tobytes(), _five(short[x:y]).tobytes()))
+                    rows.append((int(q[x]), np.where(who < 0, -1, ids[who]).astype("<i8").tobytes(), (d - c).astype("<u4").tobytes(), short[x:y].astype("<u4").tobytes()))
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
     return run, "part long, texts binary, counts binary, grams binary"
@@ -184,7 +183,7 @@ def _meet(parts: int, packs: int):
             first, _ = _cuts(texts[order], gram[order])
             return _deal(texts[order][first], gram[order][first], packs)
         counts = np.frombuffer(b"".join(t.column("counts").to_pylist()), "<u4")
-        h = _eight(b"".join(t.column("grams").to_pylist()))
+        h = np.frombuffer(b"".join(t.column("grams").to_pylist()), "<u4").astype(np.uint64)
         who = np.repeat(texts, counts)
         order = np.lexsort((who, h))
         h, who = h[order], who[order]
@@ -204,18 +203,42 @@ def _deal(who, gram, packs):
     return pa.table({"pack": pa.array(pack[a], pa.int32()), "texts": pa.array([who[x:y].tobytes() for x, y in zip(a, b, strict=True)], pa.binary()), "grams": pa.array([gram[x:y].tobytes() for x, y in zip(a, b, strict=True)], pa.binary())})
 
 
+def _send(packs: int):
+    """Deals texts into packs, those of a batch once each with their smallest id, as rows (pack, ids, sizes, texts)."""
+    schema = pa.schema([("pack", pa.int32()), ("ids", pa.binary()), ("sizes", pa.binary()), ("texts", pa.binary())])
+
+    def run(batches):
+        for batch in batches:
+            for part in slices(batch, "text", 4 * PIECE):
+                least: dict[bytes, int] = {}
+                for d, x in zip(part.column("doc_id").to_pylist(), part.column("text").cast(pa.binary()).to_pylist(), strict=True):
+                    d = LAST if d is None else d
+                    if d < least.get(x, LAST + 1):
+                        least[x] = d
+                by: dict[int, list] = {}
+                pack = np.mod(np.array([xxhash.xxh64_intdigest(x, 42) for x in least], np.uint64).view(np.int64), packs)
+                for k, (x, d) in zip(pack.tolist(), least.items(), strict=True):
+                    by.setdefault(k, []).append((d, x))
+                rows = [(k, np.array([d for d, _ in v], "<i8").tobytes(), np.array([len(x) for _, x in v], "<i8").tobytes(), _small(b"".join(x for _, x in v))) for k, v in by.items()]
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+
+    return run, "pack int, ids binary, sizes binary, texts binary"
+
+
 def _firsts(t: pa.Table):
-    """Distinct texts of a pack, each with its smallest id, and the rows of all ids."""
+    """Distinct texts of a pack, and the smallest id of each."""
     least: dict[bytes, int] = {}
-    for d, x in zip(t.column("doc_id").to_pylist(), t.column("text").cast(pa.binary()).to_pylist(), strict=True):
-        x = x or b""
-        d = LAST if d is None else d
-        if d < least.get(x, LAST + 1):
-            least[x] = d
+    for ids, sizes, texts in zip(*(t.column(c).to_pylist() for c in ("ids", "sizes", "texts")), strict=True):
+        every, at = _whole(texts), 0
+        for d, n in zip(np.frombuffer(ids, "<i8").tolist(), np.frombuffer(sizes, "<i8").tolist(), strict=True):
+            x, at = every[at : at + n], at + n
+            if d < least.get(x, LAST + 1):
+                least[x] = d
     return list(least), np.array(list(least.values()), np.int64)
 
 
-def _gather(parts: int):
+def _gather(parts: int, packs: int):
     """Step 2: runs of strings with repeated minimizers, as rows (part, head, places, runs); runs repeated inside the pack are answered at once, in a part below 0."""
 
     def run(key, texts, replies):
@@ -239,7 +262,7 @@ def _gather(parts: int):
             for j in hit:
                 i, a, _ = group[piece[j]]
                 s = int(first[j])
-                runs.setdefault(raw[s : s + int(n[j]) + LENGTH - 1], [int(q[j])]).append((int(least[i]), i, a + s - int(base[piece[j]])))
+                runs.setdefault(raw[s : s + int(n[j]) + LENGTH - 1], [int(h[j] % np.uint64(packs))]).append((int(least[i]), i, a + s - int(base[piece[j]])))
         by: dict[int, list] = {}
         for x, (q, *seen) in runs.items():
             low = min(d for d, _, _ in seen)
@@ -252,7 +275,7 @@ def _gather(parts: int):
             for x, low, mine in items:
                 head.append((low, len(x), len(mine)))
                 where += mine
-            out.append((q, np.array(head, "<i8").tobytes(), np.array(where, "<i8").tobytes(), b"".join(x for x, _, _ in items)))
+            out.append((q, np.array(head, "<i8").tobytes(), np.array(where, "<i8").tobytes(), _small(b"".join(x for x, _, _ in items))))
         if dup:
             out.append((-1 - key[0].as_py(), np.array(dup, "<i8").tobytes(), b"", b""))
         return pa.table({"part": pa.array([o[0] for o in out], pa.int64()), "head": pa.array([o[1] for o in out], pa.binary()), "places": pa.array([o[2] for o in out], pa.binary()), "runs": pa.array([o[3] for o in out], pa.binary())})
@@ -338,7 +361,7 @@ def _sort(packs: int):
             return _ranges(np.concatenate(found), packs)
         head = np.frombuffer(b"".join(t.column("head").to_pylist()), "<i8").reshape(-1, 3)
         places = np.frombuffer(b"".join(t.column("places").to_pylist()), "<i8").reshape(-1, 2)
-        data = np.frombuffer(b"".join(t.column("runs").to_pylist()), np.uint8)
+        data = np.frombuffer(b"".join(map(_whole, t.column("runs").to_pylist())), np.uint8)
         low, size, n = head[:, 0], head[:, 1], head[:, 2]
         strings = size - LENGTH + 1
         run_ = np.repeat(np.arange(len(head)), strings)
@@ -378,7 +401,6 @@ def _ranges(x: np.ndarray, packs: int) -> pa.Table:
 def _cut(key, texts, found):
     """Step 4: rows of the documents that lose bytes."""
     own, least = _firsts(texts)
-    number = {x: i for i, x in enumerate(own)}
     ids: dict[int, list[int]] = {}
     for i, x in enumerate(own):
         ids.setdefault(xxhash.xxh64_intdigest(x, 42), []).append(i)
@@ -401,83 +423,39 @@ def _cut(key, texts, found):
         kept.append(x[at:])
         left = b"".join(kept)
         cut[i] = (len(x) - len(left), runs, hashlib.sha256(left).hexdigest(), left)
-    out = []
-    for d, x in zip(texts.column("doc_id").to_pylist(), texts.column("text").cast(pa.binary()).to_pylist(), strict=True):
-        x = x or b""
-        i = number[x]
-        if i in cut and (LAST if d is None else d) == least[i]:
-            out.append((d, xxhash.xxh64_intdigest(x, 42), *cut[i]))
-    cols = list(zip(*dict.fromkeys(out), strict=True)) or [()] * 6
+    cols = list(zip(*[(None if least[i] == LAST else int(least[i]), xxhash.xxh64_intdigest(own[i], 42), *x) for i, x in cut.items()], strict=True)) or [()] * 6
     signed = np.array(cols[1], np.uint64).view(np.int64)
     return pa.table({"doc_id": pa.array(cols[0], pa.int64()), "t": pa.array(signed), "n_removed": pa.array(cols[2], pa.int64()), "n_spans": pa.array(cols[3], pa.int64()), "kept_sha256": pa.array(cols[4], pa.string()), "kept": pa.array(cols[5], pa.binary())})
 
 
-def _free(spark) -> None:
-    """Shuffle files of finished stages go when the driver has let go of their plans."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-    time.sleep(1)  # the cleaner runs beside
-
-
-#: Bits of the map that tells which texts have repeats; its size doesn't grow with the input.
-BITS = 24
-
-
-def _slot(t: np.ndarray) -> np.ndarray:
-    return (t.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - BITS)).astype(np.int64)
-
-
-def _touched(found: DataFrame) -> np.ndarray:
-    """Bitmap of the texts that ranges were found in."""
-
-    def run(batches):
-        bits = np.zeros(1 << BITS, bool)
-        for b in batches:
-            for x in b.column("ranges").to_pylist():
-                bits[_slot(np.ascontiguousarray(np.frombuffer(x, "<i8").reshape(-1, 4)[:, 0]))] = True
-        yield pa.RecordBatch.from_arrays([pa.array([np.packbits(bits).tobytes()], pa.binary())], ["bits"])
-
-    out = np.zeros(1 << (BITS - 3), np.uint8)
-    for r in found.select("ranges").coalesce(4).mapInArrow(run, "bits binary").toLocalIterator():
-        out |= np.frombuffer(r["bits"], np.uint8)
-    return out
-
-
 def suffix_dedup(docs: DataFrame, id_col="doc_id", text_col="text", texts: bool = False) -> DataFrame:
     """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, on request, kept (the remaining bytes)."""
     spark = docs.sparkSession
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     rows = materialize(base.select("doc_id", F.xxhash64("text").alias("t"), F.sha2("text", 256).alias("s"), text_bytes(F.col("text")).alias("n_bytes")), "suffix-rows")
-    total = rows.agg(F.sum("n_bytes"), F.count(F.lit(1))).head()
-    parts = packs = max(48, (total[0] or 0) // PACK_BYTES)
-    part = rows.groupBy("s", F.pmod(F.xxhash64("doc_id"), F.lit(64)).alias("salt")).agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first"), F.min("t").alias("hot_t"))
-    groups = materialize(part.groupBy("s").agg(F.sum("n").alias("n"), F.min("first").alias("first"), F.min("hot_t").alias("hot_t")).where("n > 1 and first is not null"), "suffix-copies")
-    hot = groups.where(F.col("n") > max(100, total[1] // HOT_SHARE))  # at most HOT_SHARE rows
+    total = rows.agg(F.sum("n_bytes")).head()[0] or 0
+    packs, parts = (max(48, total // n) for n in (PACK_BYTES, PART_BYTES))
+    part = rows.groupBy("s", F.pmod(F.xxhash64("doc_id"), F.lit(64)).alias("salt")).agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first"), F.min("t").alias("hot_t"), F.sum("n_bytes").alias("bytes"))
+    groups = materialize(part.groupBy("s").agg(F.sum("n").alias("n"), F.min("first").alias("first"), F.min("hot_t").alias("hot_t"), F.sum("bytes").alias("bytes")).where("n > 1 and first is not null"), "suffix-copies")
+    is_hot = F.col("bytes") > max(PACK_BYTES // 16, total // HOT_PARTS)
+    hot = materialize(groups.where(is_hot), "suffix-hot")  # at most HOT_PARTS rows, since each stands for more than that part of the bytes
     send, kind = _exchange(parts, packs)
     replies = base.select("text").mapInArrow(send, kind).groupBy("part").applyInArrow(_meet(parts, packs), "pack int, texts binary, grams binary")
     replies = materialize(replies, "suffix-replies")
-    _free(spark)
     # of hot copies only the first goes on; the others lose everything
-    cold = base.withColumn("t", F.xxhash64("text")).join(F.broadcast(hot.select("hot_t", "first").dropDuplicates(["hot_t"])), F.col("t") == F.col("hot_t"), "left")
-    cold = cold.where("first is null or doc_id = first").select("doc_id", "text", F.pmod("t", F.lit(packs)).cast("int").alias("pack"))
-    gathered = cold.where(F.octet_length("text") >= LENGTH).groupBy("pack").cogroup(replies.groupBy("pack")).applyInArrow(_gather(parts), "part long, head binary, places binary, runs binary")
+    long = base.where(F.octet_length("text") >= LENGTH).withColumn("t", F.xxhash64("text"))
+    cold = long.join(F.broadcast(hot.select("hot_t", "first").dropDuplicates(["hot_t"])), F.col("t") == F.col("hot_t"), "left").where("first is null or doc_id = first")
+    deal, kind = _send(packs)
+    cold = cold.select("doc_id", "text").mapInArrow(deal, kind)
+    gathered = cold.groupBy("pack").cogroup(replies.groupBy("pack")).applyInArrow(_gather(parts, packs), "part long, head binary, places binary, runs binary")
     found = materialize(gathered.groupBy("part").applyInArrow(_sort(packs), "pack int, ranges binary"), "suffix-ranges")
     discard(replies)
-    _free(spark)
-    maps = spark.sparkContext.broadcast(_touched(found))
-
-    def touched(batches):
-        for b in batches:
-            k = _slot(b.column("t").to_numpy())
-            yield b.filter(pa.array((maps.value[k >> 3] >> (7 - (k & 7)).astype(np.uint8)) & 1 > 0)).drop_columns(["t"])
-
-    some = cold.where(F.octet_length("text") >= LENGTH).select("doc_id", "text", "pack", F.xxhash64("text").alias("t")).mapInArrow(touched, "doc_id long, text string, pack int")
-    lost = some.groupBy("pack").cogroup(found.groupBy("pack")).applyInArrow(_cut, "doc_id long, t long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    lost = cold.groupBy("pack").cogroup(found.groupBy("pack")).applyInArrow(_cut, "doc_id long, t long, n_removed long, n_spans long, kept_sha256 string, kept binary")
     if not texts:
         lost = lost.drop("kept")
     lost = lost.withColumnsRenamed({"doc_id": "d", "t": "u", "n_removed": "r", "n_spans": "k", "kept_sha256": "left"})
-    # copies lose everything: of hot groups by broadcast, of the others (few rows each) by a join
-    cool = groups.where(F.col("n") <= max(100, total[1] // HOT_SHARE)).select("s", F.col("first").alias("f2"))
+    # copies lose everything: of hot groups by broadcast, of the others by a join
+    cool = groups.where(~is_hot).select("s", F.col("first").alias("f2"))
     out = rows.join(F.broadcast(hot.select("s", F.col("first").alias("f1"))), "s", "left").join(cool, "s", "left")
     out = out.withColumn("first", F.coalesce("f1", "f2")).join(lost, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("t") == F.col("u")), "left")
     copy = F.col("first").isNotNull() & ~F.col("doc_id").eqNullSafe(F.col("first")) & (F.col("n_bytes") >= LENGTH)
