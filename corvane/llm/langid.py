@@ -4,10 +4,11 @@ Every distinct word of a batch is scored once per language by the log-odds of it
 n-grams. The share of each script among a word's characters decides which languages may label it:
 those in whose training texts the script is usual. Viterbi over the words of a text, with a penalty
 for each switch of language, gives spans; the language with most letters in its spans labels the
-text, and the score is the mean posterior of that language over the text's words, softened by length.
+text, and the score is that language's share when the words' summed scores, over the root of their number, are
+taken for log-odds.
 
-The n-gram tables are counted on a sample of at most ``SAMPLE`` labelled rows, spread over the
-languages and drawn by a digest of the id; the sample is the one bounded part, everything else
+The n-gram tables are counted on a sample of at most ``SAMPLE`` labelled rows of at most ``LONGEST`` bytes, spread over the
+``LANGUAGES`` most frequent languages and drawn by a digest of the id; the sample is the one bounded part, everything else
 covers all words of all texts.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0; null languages teach
@@ -26,6 +27,9 @@ from .common import table
 from .tokens import Words, ngrams, slices
 
 SAMPLE = 4000
+#: Bytes of the longest text that the fit reads, so that the driver holds at most SAMPLE times as many, and the most languages that are learned: beyond, the most frequent.
+LONGEST = 1 << 17
+LANGUAGES = 200
 SPACE = 1 << 16
 SIZES = (1, 2, 3, 4)
 SWITCH = 6.0
@@ -197,16 +201,17 @@ def label(model: Model, texts: pa.Array):
 
 def fit(docs: DataFrame, id_col="doc_id", text_col="text", lang_col="lang", sample: int = SAMPLE) -> Model:
     """Model from at most sample rows with a language, as many of each as there are, drawn by a digest of the id."""
-    rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("doc_id"), F.col(lang_col).alias("lang"))
+    told = docs.where(F.col(lang_col).isNotNull() & (F.octet_length(F.col(text_col).cast("string")) <= LONGEST))
+    rows = told.select(F.col(id_col).alias("doc_id"), F.col(lang_col).alias("lang"))
     mark = F.xxhash64(F.lit("langid"), F.col("doc_id"))
-    langs = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(200)
+    langs = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES)
     names = [r["lang"] for r in langs.collect()]
     per = max(1, sample // max(1, len(names)))
-    wide = rows.withColumn("mark", mark)
+    wide = rows.where(F.col("lang").isin(names)).withColumn("mark", mark)
     # one bounded top list per language and bucket, then one per language: no language fills a task
     first = wide.withColumn("r", F.row_number().over(Window.partitionBy("lang", F.pmod("mark", F.lit(64))).orderBy("mark", "doc_id"))).where(F.col("r") <= per)
     ids = first.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("mark", "doc_id"))).where(F.col("r") <= per).select("doc_id").distinct()
-    got = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
+    got = told.where(F.col(lang_col).isin(names)).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     got = got.join(F.broadcast(ids), "doc_id", "left_semi").select("text", "lang").toLocalIterator()  # at most sample rows
     texts, marks = [], []
     for r in got:
