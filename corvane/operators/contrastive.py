@@ -92,6 +92,24 @@ def neighbours(x: np.ndarray, k: int, block: int = 2048):
     return idx, sim
 
 
+def _hardest(s: np.ndarray, h: int) -> np.ndarray:
+    """Columns of each row's h largest values, in no order: those of blocks' maxima bound the h-th from below, so few values are compared."""
+    n, m = s.shape
+    block = m // (2 * h)
+    if block < 4:
+        return np.argpartition(-s, h - 1, axis=1)[:, :h]
+    whole = m // block * block
+    least = -np.partition(-s[:, :whole].reshape(n, -1, block).max(axis=2), h - 1, axis=1)[:, h - 1]
+    row, col = np.nonzero(s >= least[:, None])
+    first = np.searchsorted(row, np.arange(n + 1))
+    wide = np.full((n, int(np.diff(first).max())), -np.inf)
+    at = np.arange(len(row)) - first[row]
+    wide[row, at] = s[row, col]
+    back = np.zeros(wide.shape, np.int64)
+    back[row, at] = col
+    return np.take_along_axis(back, np.argpartition(-wide, h - 1, axis=1)[:, :h], axis=1)
+
+
 def loss_and_gradient(x, w, temperature, p: Protocol, bank=None):
     """Loss and d loss / d W of a batch whose second half holds the positives of its first."""
     n, r = len(x), w.shape[1]
@@ -105,18 +123,28 @@ def loss_and_gradient(x, w, temperature, p: Protocol, bank=None):
     s[np.arange(n), pos] = -np.inf
     if bank is not None and len(bank):
         s = np.concatenate([s, z @ bank.T / temperature], axis=1)
+    rows = np.arange(n)
     if p.hard and p.hard < s.shape[1] - 1:
-        s[s < -np.partition(-s, p.hard - 1, axis=1)[:, p.hard - 1 : p.hard]] = -np.inf
+        # only the hardest negatives count, so all that follows is n x hard
+        col = _hardest(s, p.hard)
+        s = np.take_along_axis(s, col, axis=1)
+    else:
+        col = None
     top = np.maximum(own, s.max(axis=1))
     e = np.exp(s - top[:, None])
     total = e.sum(axis=1) + np.exp(own - top)
     loss = float(np.mean(top + np.log(total) - own))
     g = e / total[:, None] / n
-    g[np.arange(n), pos] = (np.exp(own - top) / total - 1) / n
-    inner = g[:, :n]
-    dz = (inner + inner.T) @ z / temperature
-    if g.shape[1] > n:
-        dz += g[:, n:] @ bank / temperature
+    if col is None:
+        inner, outer = g[:, :n], g[:, n:]
+        dz = outer @ bank / temperature if outer.shape[1] else 0.0
+    else:
+        near = col < n
+        inner = np.zeros((n, n))
+        inner[np.nonzero(near)[0], col[near]] = g[near]
+        dz = np.einsum("nh,nhr->nr", np.where(near, 0.0, g), bank[np.where(near, 0, col - n)]) / temperature if bank is not None and len(bank) else 0.0
+    inner[rows, pos] = (np.exp(own - top) / total - 1) / n
+    dz = dz + (inner + inner.T) @ z / temperature
     zc = z - z.mean(axis=0)
     cov = zc.T @ zc / max(n - 1, 1)
     eye = np.eye(r)
