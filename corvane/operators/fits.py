@@ -8,8 +8,9 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.stage import staged
 from .knn import self_knn, symmetric_edges
-from .linalg import covariance, eig_desc, moments, shrink
+from .linalg import covariance, eig_desc, mean, moments, shrink
 from .projector import Projector, Step
 
 SHRINK = 0.08
@@ -64,13 +65,13 @@ def random_matrix(d: int, r: int, seed: int = 42) -> np.ndarray:
 
 
 def random_projection(df: DataFrame, r: int, vec: str = "embedding", seed: int = 42, centred: bool = True) -> Projector:
-    mu, cov = covariance(df, vec)
+    mu = mean(df, vec)
     return Projector("random", [Step(random_matrix(len(mu), r, seed), mu if centred else None)])
 
 
 def _graph_moments(df: DataFrame, knn: DataFrame, vec: str, id_col: str, mu=None):
     """X'DX and X'LX of the symmetric neighbour graph, from vectors joined to its edges."""
-    edges = symmetric_edges(knn)
+    edges = staged(symmetric_edges(knn), "edges")  # read twice, and the search behind it is quadratic
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(vec).cast("array<double>").alias("v"))
     degree = edges.groupBy("a").agg(F.count(F.lit(1)).cast("double").alias("deg"))
     n, s, xdx = moments(rows.join(degree, F.col("id") == F.col("a")), "v", "deg")
@@ -87,7 +88,7 @@ def lpp(df: DataFrame, r: int, vec: str = "embedding", id_col: str = "vec_id", k
     generalized: least solutions of X'LX w = lambda X'DX w on uncentred rows. eigh_of_solve: centred,
     ridged, and the symmetric eigensolver applied to the lower triangle of the (unsymmetric) quotient.
     """
-    mu, _ = covariance(df, vec)
+    mu = mean(df, vec)
     if mode == "generalized":
         knn = self_knn(df.select(id_col, F.col(vec)), k, id_col=id_col, vec_col=vec)
         xdx, xlx = _graph_moments(df, knn, vec, id_col)

@@ -10,9 +10,18 @@ from pyspark.sql import functions as F
 from .knn import matrix
 
 
+#: Tasks that the rows of a Gram matrix are added up in.
+ADDERS = 64
+
+
 def moments(df: DataFrame, vec: str = "embedding", weight: str | None = None):
-    """(n, sum, X'WX) as numpy; partitions send one partial each, which are added up in Spark by position."""
+    """(n, sum, X'WX) as numpy. Partitions send one partial each, as a row of the matrix a row of the table; rows of one number are added up as they stream by, so a task holds D x D / ADDERS numbers."""
     cols = [F.col(vec).cast("array<double>").alias("v")] + ([F.col(weight).cast("double").alias("w")] if weight else [])
+    names = ["i", "n", "s", "g"]
+
+    def rows(i, n, s, g):
+        flat = pa.ListArray.from_arrays(pa.array(np.arange(len(i) + 1) * g.shape[1], pa.int32()), pa.array(g.ravel()))
+        return pa.RecordBatch.from_arrays([pa.array(i, pa.int32()), pa.array(n), pa.array(s), flat], names)
 
     def partial(batches):
         n, s, g = 0.0, None, None
@@ -25,24 +34,44 @@ def moments(df: DataFrame, vec: str = "embedding", weight: str | None = None):
             n += w.sum()
             s, g = (a, c) if s is None else (s + a, g + c)
         if s is not None:
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(s)), pa.int32()), pa.array(np.full(len(s), n)), pa.array(s), pa.array(g.tolist(), pa.list_(pa.float64()))], ["i", "n", "s", "g"])
+            yield rows(np.arange(len(s)), np.full(len(s), n), s, g)
 
-    parts = df.where(F.col(vec).isNotNull()).select(*cols).mapInArrow(partial, "i int, n double, s double, g array<double>")
-    rows = parts.select("i", "n", "s", F.posexplode("g").alias("j", "x")).groupBy("i", "j").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("x").alias("x"))
-    got = rows.orderBy("i", "j").toPandas()  # D x D rows
-    if not len(got):
+    def add(batches):
+        n, s, g = {}, {}, {}
+        for b in batches:
+            if not b.num_rows:
+                continue
+            for i, x, y, z in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), matrix(b.column(3)), strict=True):
+                n[i], s[i] = n.get(i, 0.0) + x, s.get(i, 0.0) + y
+                g[i] = g[i] + z if i in g else z
+        if g:
+            yield rows(np.array(list(g)), np.array(list(n.values())), np.array(list(s.values())), np.stack(list(g.values())))
+
+    schema = "i int, n double, s double, g array<double>"
+    parts = df.where(F.col(vec).isNotNull()).select(*cols).mapInArrow(partial, schema)
+    got = parts.repartition(ADDERS, "i").mapInArrow(add, schema).toArrow()  # D rows of D numbers
+    if not got.num_rows:
         return 0.0, np.zeros(0), np.zeros((0, 0))
-    d = int(got["i"].max()) + 1
-    return float(got["n"][0]), got["s"].to_numpy().reshape(d, d)[:, 0].copy(), got["x"].to_numpy().reshape(d, d)
+    order = np.argsort(got.column("i").to_numpy())
+    return float(got.column("n")[0].as_py()), got.column("s").to_numpy()[order], matrix(got.column("g"))[order]
 
 
-def covariance(df: DataFrame, vec: str = "embedding"):
-    """(mean, sample covariance)."""
-    n, s, g = moments(df, vec)
+def central(n: float, s: np.ndarray, g: np.ndarray):
+    """(mean, sample covariance) of moments."""
     mu = s / max(n, 1)
     return mu, (g - n * np.outer(mu, mu)) / max(n - 1, 1)
 
 
+def covariance(df: DataFrame, vec: str = "embedding"):
+    """(mean, sample covariance)."""
+    return central(*moments(df, vec))
+
+
+def mean(df: DataFrame, vec: str = "embedding") -> np.ndarray:
+    """The mean as numpy."""
+    return np.array([r["mean"] for r in mean_vector(df.where(F.col(vec).isNotNull()), vec).orderBy("pos").collect()])  # D rows
+
+
 def shrink(cov: np.ndarray, s: float = 0.08) -> np.ndarray:
     d = len(cov)
     return (1 - s) * cov + s * np.trace(cov) / d * np.eye(d)
@@ -63,4 +92,6 @@ def covariance_frame(df: DataFrame, vec: str = "embedding", shrinkage: float = 0
     _, c = covariance(df, vec)
     c = shrink(c, shrinkage) if shrinkage else c
     d = len(c)
-    return df.sparkSession.createDataFrame([(i, j, float(c[i, j])) for i in range(d) for j in range(d)], "i int, j int, cov double")
+    i, j = np.divmod(np.arange(d * d), max(d, 1))
+    cells = pa.table({"i": pa.array(i, pa.int32()), "j": pa.array(j, pa.int32()), "cov": pa.array(c.ravel())})
+    return df.sparkSession.createDataFrame(cells)

@@ -6,14 +6,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.vectors import dot, doubles, normalize_added
+from ..sources.stage import staged
 
 NAN = float("nan")
 
 
-def average_ranks(df: DataFrame, col: str, out: str, pieces: int = 256) -> DataFrame:
-    """df with the rank of col, ties averaged.
+def cumulative(df: DataFrame, col: str, pieces: int = 256) -> DataFrame:
+    """(_v, _n, _upto): each value of col, its number of rows, and the rows up to it.
 
-    Values are counted first and ranked inside value ranges on top of the ranges' totals, so neither
+    Values are counted first and summed inside value ranges on top of the ranges' totals, so neither
     ties nor the whole table meet in one task.
     """
     cuts = df.approxQuantile(col, [i / pieces for i in range(1, pieces)], 0.01) if df.schema[col].dataType.simpleString() != "string" else []
@@ -23,13 +24,22 @@ def average_ranks(df: DataFrame, col: str, out: str, pieces: int = 256) -> DataF
     per = counts.groupBy("_b").agg(F.sum("_n").alias("_t"))
     per = per.select(F.col("_b").alias("_p"), (F.sum("_t").over(Window.orderBy("_b")) - F.col("_t")).alias("_base"))  # a row a range
     upto = F.sum("_n").over(Window.partitionBy("_b").orderBy("_v"))
-    ranks = counts.withColumn("_u", upto).join(per, F.col("_b") == F.col("_p")).select("_v", (F.col("_base") + F.col("_u") - (F.col("_n") - 1) / 2.0).alias(out))
+    return counts.withColumn("_u", upto).join(per, F.col("_b") == F.col("_p")).select("_v", "_n", (F.col("_base") + F.col("_u")).alias("_upto"))
+
+
+def average_ranks(df: DataFrame, col: str, out: str, pieces: int = 256) -> DataFrame:
+    """df with the rank of col, ties averaged."""
+    ranks = cumulative(df, col, pieces).select("_v", (F.col("_upto") - (F.col("_n") - 1) / 2.0).alias(out))
     return df.join(ranks, F.col(col) == F.col("_v")).drop("_v")
 
 
 def spearman(df: DataFrame, a: str, b: str) -> DataFrame:
-    """One row: spearman, times 100; NaN where a side is constant."""
-    both = average_ranks(average_ranks(df.select(a, b), a, "_ra"), b, "_rb")
+    """One row: spearman, times 100; NaN where a side is constant. The pairs are written once, since ranking reads them several times."""
+    pairs = staged(df.select(F.col(a).alias("_a"), F.col(b).alias("_b_")).where("_a is not null and _b_ is not null"), "pairs")
+    both = pairs
+    for c, r in (("_a", "_ra"), ("_b_", "_rb")):
+        ranks = cumulative(pairs, c).select(F.col("_v").alias(f"{r}v"), (F.col("_upto") - (F.col("_n") - 1) / 2.0).alias(r))
+        both = both.join(ranks, F.col(c) == F.col(f"{r}v"))
     # a constant side has no correlation
     r = F.try_divide(F.covar_pop("_ra", "_rb"), F.stddev_pop("_ra") * F.stddev_pop("_rb"))
     return both.agg(F.coalesce(r * 100, F.lit(NAN)).alias("spearman"))
@@ -89,13 +99,25 @@ def mined_scores(knn: DataFrame, gold: DataFrame) -> DataFrame:
 
 
 def distribution(df: DataFrame, col: str) -> DataFrame:
-    """One row: mean, median, p25, p75, shares of at least 4 and 4.5, n."""
-    x = F.col(col).cast("double")
+    """One row: mean, median, p25, p75 (between neighbouring values in proportion), shares of at least 4 and 4.5, n.
+
+    The quantiles are read off the running counts of the distinct values, which stay spread over tasks.
+    """
+    x = staged(df.select(F.col(col).cast("double").alias("x")).where("x is not null"), "values")
     nan = lambda c: F.coalesce(c, F.lit(NAN))
-    return df.agg(
-        nan(F.avg(x)).alias("mean"), nan(F.percentile(x, F.lit(0.5))).alias("median"), nan(F.percentile(x, F.lit(0.25))).alias("p25"), nan(F.percentile(x, F.lit(0.75))).alias("p75"),
-        nan(F.avg((x >= 4.0).cast("double")) * 100).alias("pct_ge_4_0"), nan(F.avg((x >= 4.5).cast("double")) * 100).alias("pct_ge_4_5"), F.count(x).alias("n"),
-    )
+    n = x.count()
+
+    def quantile(q: float):
+        at = q * max(n - 1, 0)
+        low = int(at)
+        # the values at (zero-based) places low and low + 1
+        value = [F.max(F.when((F.col("_upto") - F.col("_n") <= k) & (F.col("_upto") > k), F.col("_v"))) for k in (low, min(low + 1, max(n - 1, 0)))]
+        return nan(value[0] + (value[1] - value[0]) * (at - low))
+
+    spread = cumulative(x, "x").agg(quantile(0.5).alias("median"), quantile(0.25).alias("p25"), quantile(0.75).alias("p75"))
+    share = lambda t: nan(F.avg((F.col("x") >= t).cast("double")) * 100)
+    means = x.agg(nan(F.avg("x")).alias("mean"), share(4.0).alias("pct_ge_4_0"), share(4.5).alias("pct_ge_4_5"), F.count("x").alias("n"))
+    return means.crossJoin(spread).select("mean", "median", "p25", "p75", "pct_ge_4_0", "pct_ge_4_5", "n")  # one row each
 
 
 def anisotropy(df: DataFrame, vec: str = "embedding") -> DataFrame:
@@ -112,11 +134,11 @@ def geometry(df: DataFrame, vec: str = "embedding") -> DataFrame:
     """One row: anisotropy_mean, offdiag_cov (mean absolute off-diagonal covariance over all cells), avg_feature_std (population)."""
     import numpy as np
 
-    from .linalg import covariance, moments
+    from .linalg import central, moments
 
     unit = df.where(F.col(vec).isNotNull()).select(normalize_added(vec).alias(vec))
-    n = moments(unit, vec)[0]
-    mu, cov = covariance(unit, vec)
+    n, *sums = moments(unit, vec)
+    mu, cov = central(n, *sums)
     r = len(mu)
     off = float(np.abs(cov - np.diag(np.diag(cov))).sum() / (r * r)) if r else NAN
     std = float(np.sqrt(np.diag(cov) * (n - 1) / n).mean()) if r else NAN
