@@ -2,7 +2,9 @@
 
 Texts with one token set form a class; classes are compared, and membership links texts to them.
 Tokens are ordered by rising frequency; two sets of similarity t must share a token among the first
-``size - ceil(t * size) + 1`` of each, so only rare tokens are joined on, never the common ones.
+``size - ceil(t * size) + 1`` of each, so only rare tokens are joined on, never the common ones. A
+pair goes on only if its sizes allow t, and if what follows its last common prefix token, on both sides, still
+leaves room for enough common tokens. Tokens travel as 64-bit hashes up to there; what is left is compared as text.
 """
 
 from __future__ import annotations
@@ -24,15 +26,25 @@ def classes(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def jaccard_join(df: DataFrame, threshold: float, id_col: str, text_col: str) -> DataFrame:
     """(a, b, jaccard): pairs of class representatives, a < b, that reach the threshold."""
-    reps = staged(classes(df, id_col, text_col).where(F.col("id") == F.col("class_id")).select("id", "tokens").dropDuplicates(["id"]), "sets")
-    words = reps.select("id", F.size("tokens").alias("n"), F.explode("tokens").alias("w"))
+    reps = classes(df, id_col, text_col).where(F.col("id") == F.col("class_id")).select("id", "tokens").dropDuplicates(["id"])
+    reps = staged(reps.withColumn("codes", F.transform("tokens", lambda w: F.xxhash64(w))), "sets")
+    words = reps.select("id", F.size("codes").alias("n"), F.explode("codes").alias("w"))
     freq = words.groupBy("w").agg(F.count(F.lit(1)).alias("f"))
     ordered = words.join(freq, "w").groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct("f", "w"))).alias("x"))
     keep = F.col("n") - F.ceil(F.col("n") * threshold - 1e-9).cast("int") + 1
-    prefix = staged(ordered.select("id", "n", F.explode(F.slice("x", F.lit(1), keep)).alias("t")).select("id", "n", "t.w"), "prefixes")
-    a, b = prefix.select(F.col("id").alias("a"), F.col("n").alias("na"), "w"), prefix.select(F.col("id").alias("b"), F.col("n").alias("nb"), "w")
-    near = a.join(b, "w").where((F.col("a") < F.col("b")) & (F.col("na") >= F.col("nb") * threshold - 1e-9) & (F.col("nb") >= F.col("na") * threshold - 1e-9)).select("a", "b").distinct()
-    both = near.join(reps.select(F.col("id").alias("a"), F.col("tokens").alias("x")), "a").join(reps.select(F.col("id").alias("b"), F.col("tokens").alias("y")), "b")
-    common = F.size(F.array_intersect("x", "y"))
-    j = common / (F.size("x") + F.size("y") - common)
+    prefix = ordered.select("id", "n", F.posexplode(F.slice("x", F.lit(1), keep)).alias("at", "t")).where("t.f > 1").select("id", "n", "at", "t.w")
+    prefix = staged(prefix, "prefixes")
+    a, b = (prefix.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("at").alias(f"p{x}"), "w") for x in "ab")
+    near = a.join(b, "w").where((F.col("a") < F.col("b")) & (F.col("na") >= F.col("nb") * threshold - 1e-9) & (F.col("nb") >= F.col("na") * threshold - 1e-9))
+    near = near.groupBy("a", "b", "na", "nb").agg(F.count(F.lit(1)).alias("met"), F.max("pa").alias("pa"), F.max("pb").alias("pb"))
+    # common tokens beyond the last one met lie behind it on both sides
+    most = F.col("met") + F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) - 1
+    near = near.where(most >= (F.col("na") + F.col("nb")) * (threshold / (1 + threshold)) - 1e-9).select("a", "b")
+    code = lambda x, y: reps.select(F.col("id").alias(x), F.col("codes").alias(y))
+    met = near.join(code("a", "x"), "a").join(code("b", "y"), "b")
+    common = lambda: F.size(F.array_intersect("x", "y"))
+    near = staged(met.where(common() >= (F.size("x") + F.size("y")) * (threshold / (1 + threshold)) - 1e-9).select("a", "b"), "near")
+    token = lambda x, y: reps.select(F.col("id").alias(x), F.col("tokens").alias(y))
+    both = near.join(token("a", "x"), "a").join(token("b", "y"), "b")
+    j = common() / (F.size("x") + F.size("y") - common())
     return both.select("a", "b", j.alias("jaccard")).where(F.col("jaccard") >= threshold - 1e-12)

@@ -234,10 +234,10 @@ TOK = r"tok AS (SELECT {id} AS id, list_sort(list_distinct(list_filter(regexp_sp
 
 @query(f"""WITH {TOK.format(id='doc_id', table='documents')}, r AS (SELECT min(id) AS id, t FROM tok WHERE len(t) > 0 GROUP BY t),
 w AS (SELECT id, len(t) AS n, unnest(t) AS w FROM r),
-c AS (SELECT a.id AS a, b.id AS b, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS k FROM w a JOIN w b ON a.w = b.w AND a.id < b.id AND a.n >= 0.8 * b.n AND b.n >= 0.8 * a.n GROUP BY 1, 2)
-SELECT a, b, round(k / CAST(na + nb - k AS DOUBLE), 6) AS jaccard FROM c WHERE k / CAST(na + nb - k AS DOUBLE) >= 0.8 - 1e-12""")
+c AS (SELECT a.id AS a, b.id AS b, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS k FROM w a JOIN w b ON a.w = b.w AND a.id < b.id AND a.n >= 0.5 * b.n AND b.n >= 0.5 * a.n GROUP BY 1, 2)
+SELECT a, b, round(k / CAST(na + nb - k AS DOUBLE), 6) AS jaccard FROM c WHERE k / CAST(na + nb - k AS DOUBLE) >= 0.5 - 1e-12""")
 def jaccard_pairs(spark, d):
-    return _r(setsim.jaccard_join(tables.table(spark, d, "documents"), 0.8, "doc_id", "text"), 6, "jaccard")
+    return _r(setsim.jaccard_join(tables.table(spark, d, "documents"), 0.5, "doc_id", "text"), 6, "jaccard")
 
 
 @query(f"WITH {TOK.format(id='doc_id', table='documents')} SELECT id, min(id) OVER (PARTITION BY t) AS class_id FROM tok WHERE len(t) > 0")
