@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .vectors import let, scaled
+
 
 def _kept(tokens) -> Column:
     t = F.col(tokens) if isinstance(tokens, str) else tokens
@@ -13,11 +15,13 @@ def _kept(tokens) -> Column:
 
 def mean_pool(tokens) -> Column:
     """Sum of unmasked states over max(count, 1e-9)."""
-    kept = _kept(tokens)
-    dims = F.sequence(F.lit(1), F.size(kept[0]["h"]))
-    total = F.transform(dims, lambda j: F.aggregate(kept, F.lit(0.0), lambda s, x: s + F.element_at(x["h"], j).cast("double")))
-    n = F.greatest(F.size(kept).cast("double"), F.lit(1e-9))
-    return F.transform(total, lambda x: x / n)
+
+    def mean(kept):
+        zero = F.array_repeat(F.lit(0.0), F.size(kept[0]["h"]))
+        total = F.aggregate(kept, zero, lambda s, x: F.zip_with(s, x["h"], lambda a, b: a + b.cast("double")))
+        return scaled(total, F.greatest(F.size(kept).cast("double"), F.lit(1e-9)))
+
+    return let(_kept(tokens), mean)
 
 
 def last_pool(tokens) -> Column:
@@ -26,5 +30,4 @@ def last_pool(tokens) -> Column:
 
 def second_last_pool(tokens) -> Column:
     """The state before the last; the first where there is only one."""
-    kept = _kept(tokens)
-    return F.coalesce(F.try_element_at(kept, F.lit(-2)), F.try_element_at(kept, F.lit(1)))["h"].cast("array<double>")
+    return let(_kept(tokens), lambda kept: F.coalesce(F.try_element_at(kept, F.lit(-2)), F.try_element_at(kept, F.lit(1)))["h"].cast("array<double>"))

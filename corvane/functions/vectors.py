@@ -12,6 +12,11 @@ def _c(x):
     return F.col(x) if isinstance(x, str) else x
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with value computed once: what a lambda refers to outside itself is computed anew for every element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def doubles(v) -> Column:
     return _c(v).cast("array<double>")
 
@@ -25,17 +30,18 @@ def norm(v) -> Column:
 
 
 def scaled(v, by) -> Column:
-    return F.transform(doubles(v), lambda x: x / by)
+    """v / by, where by may depend on v."""
+    return let(by, lambda n: F.transform(doubles(v), lambda x: x / n))
 
 
 def normalize_added(v) -> Column:
     """v / (|v| + eps)."""
-    return scaled(v, norm(v) + F.lit(EPS))
+    return let(doubles(v), lambda x: scaled(x, norm(x) + F.lit(EPS)))
 
 
 def normalize_clamped(v) -> Column:
     """v / max(|v|, eps)."""
-    return scaled(v, F.greatest(norm(v), F.lit(EPS)))
+    return let(doubles(v), lambda x: scaled(x, F.greatest(norm(x), F.lit(EPS))))
 
 
 def cosine(a, b) -> Column:

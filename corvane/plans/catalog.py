@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import pooling, text, vectors
-from ..operators import fits, knn, linalg, metrics, setsim
+from ..operators import failures, fits, knn, linalg, metrics, setsim
 from ..operators.contrastive import contrastive
-from ..sources import tables
+from ..sources import cache, tables
+from ..sources.stage import staged
 from . import workloads
 from .workloads import label_qrels, queries_of, scored_pairs
 
@@ -257,6 +261,37 @@ def failure_cases(spark, d):
     return out.orderBy(F.desc("lexical_overlap"), "a", "b").limit(30)
 
 
+JAC = r"coalesce(len(list_intersect(x.t, y.t)) / CAST(nullif(len(x.t) + len(y.t) - len(list_intersect(x.t, y.t)), 0) AS DOUBLE), 0)"
+CASE = f"""rank, round(sim, 4) AS cosine_similarity, round({JAC}, 3) AS lexical_overlap"""
+
+
+def _case_cols(df):
+    return df.select("anchor_id", "neighbor_id", "gold_label_or_score", F.col("rank").cast("long").alias("rank"), "cosine_similarity", "lexical_overlap")
+
+
+def _doc_texts(spark, d):
+    return tables.table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
+
+
+@query(f"""WITH {E}, {PAIRS}, {ALLNEAR.replace('AS neighbor_id FROM', 'AS neighbor_id, list_dot_product(a.v, b.v) AS sim, row_number() OVER (PARTITION BY a.vec_id ORDER BY list_dot_product(a.v, b.v) DESC, b.vec_id) AS rank FROM')}, {TOK.format(id='doc_id', table='documents')}
+SELECT anchor_id, neighbor_id, CAST(round(gold, 4) AS VARCHAR) AS gold_label_or_score, {CASE} FROM m JOIN p ON least(anchor_id, neighbor_id) = a AND greatest(anchor_id, neighbor_id) = b
+JOIN tok x ON x.id = anchor_id JOIN tok y ON y.id = neighbor_id WHERE sim >= 0 AND gold <= 4.5 AND {JAC} >= 0.02 ORDER BY lexical_overlap DESC, cosine_similarity DESC, anchor_id, neighbor_id LIMIT 30""")
+def failure_cases_scored(spark, d):
+    """Neighbours of a pair that is scored low, though their texts share words."""
+    emb = _emb(spark, d)
+    gold = metrics.last_wins(scored_pairs(emb).withColumn("ord", F.col("a")), "a", "b", "gold", "ord").withColumn("score", F.round("score", 4))
+    return _case_cols(failures.first(failures.scored_failures(knn.self_knn(emb, 40), _doc_texts(spark, d), gold, 0.0, 4.5, 0.02)))
+
+
+@query(f"""WITH {E}, {TOP}, {REL}, {TOK.format(id='doc_id', table='documents')}
+SELECT anchor_id, neighbor_id, 'not_duplicate' AS gold_label_or_score, {CASE} FROM t ANTI JOIN rel ON anchor_id = query_id AND neighbor_id = corpus_id
+JOIN tok x ON x.id = anchor_id JOIN tok y ON y.id = neighbor_id WHERE {JAC} >= 0.02 ORDER BY lexical_overlap DESC, cosine_similarity DESC, anchor_id, neighbor_id LIMIT 30""")
+def failure_cases_search(spark, d):
+    """Results that are no judged answer, though their texts share words."""
+    emb, texts = _emb(spark, d), _doc_texts(spark, d)
+    return _case_cols(failures.first(failures.unjudged_failures(knn.topk_join(queries_of(emb), emb, 10), texts, texts, label_qrels(emb), 0.02)))
+
+
 @query("SELECT text FROM documents UNION SELECT text FROM benchmark")
 def distinct_sentences(spark, d):
     a, b = tables.table(spark, d, "documents"), tables.table(spark, d, "benchmark")
@@ -369,6 +404,48 @@ def pool_second_last(spark, d):
     return _pooled(_tokens(spark, d), pooling.second_last_pool("tokens"))
 
 
+# --- encoders: the states, poolings and scores of encoded documents
+
+
+def _source_sql(name: str, e) -> str:
+    before, _, after = text.TEMPLATES[e.template].partition("{sentence}")
+    q = lambda x: "'" + x.replace("'", "''") + "'"
+    full = f"replace({q(text.TEMPLATES[e.template])}, '{{sentence}}', text)"
+    pool = "avg(h)" if e.pool == "mean" else "arg_max(h, i)"
+    return f"""SELECT {q(name)} AS source, id, j, {pool} AS x FROM (
+  SELECT id, i, j, c + CASE WHEN i > 1 THEN 0.5 * lag(c) OVER (PARTITION BY id, j ORDER BY i) ELSE 0 END AS h FROM (
+    SELECT id, i, j, (CAST('0x' || substr(md5('{e.layer}:' || w), 2 * j + 1, 2) AS INT) - CAST(127.5 AS DOUBLE)) / 127.5 AS c FROM (
+      SELECT id, unnest(range(1, len(words) + 1)) AS i, unnest(words) AS w FROM (
+        SELECT doc_id AS id, list_filter(regexp_split_to_array({full}, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')[1:128] AS words FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL)), range(0, 16) r(j))) GROUP BY 2, 3"""
+
+
+def _sources_sql(sources: dict) -> str:
+    return f"""WITH s AS ({" UNION ALL ".join(_source_sql(n, e) for n, e in sources.items())}),
+{TOK.format(id='doc_id', table='documents WHERE doc_id IS NOT NULL AND text IS NOT NULL')},
+p AS (SELECT x.id AS a, y.id AS b, 5 * {JAC} AS gold FROM tok x JOIN tok y ON y.id = x.id + 1 WHERE x.id % 2 = 0),
+c AS (SELECT u.source, p.a, any_value(gold) AS gold, round(sum(u.x * v.x) / sqrt(sum(u.x * u.x)) / sqrt(sum(v.x * v.x)), 9) AS cos FROM p JOIN s u ON u.id = a JOIN s v ON v.id = b AND u.j = v.j AND u.source = v.source GROUP BY 1, 2),
+r AS (SELECT source, rank() OVER (PARTITION BY source ORDER BY gold) + (count(*) OVER (PARTITION BY source, gold) - 1) / CAST(2 AS DOUBLE) AS rg,
+             rank() OVER (PARTITION BY source ORDER BY cos) + (count(*) OVER (PARTITION BY source, cos) - 1) / CAST(2 AS DOUBLE) AS rc FROM c)
+SELECT source, round(corr(rg, rc) * 100, 4) AS spearman FROM r GROUP BY source"""
+
+
+def _sources(sources: dict):
+    def run(spark, d):
+        pairs = staged(workloads.document_pairs(spark, d), "pairs")
+        rows = []
+        for name, e in sources.items():
+            cos = _r(metrics.pair_cosines(pairs, workloads.encoded(spark, d, e)), 9, "cos")
+            rows.append(_r(metrics.spearman(cos, "gold", "cos"), 4, "spearman").select(F.lit(name).alias("source"), "spearman"))
+        return workloads._all(rows)
+
+    return run
+
+
+LAYER_SOURCES = {f"{n}/{p}": replace(e, layer=i) for n, i in workloads.LAYERS.items() for p, e in workloads.POOLINGS.items()}
+for _name, _sources_ in (("prompt_source_scores", workloads.PROMPTS), ("pooling_scores", workloads.POOLINGS), ("layer_scores", LAYER_SOURCES)):
+    Q[_name], SQL[_name] = _sources(_sources_), _sources_sql(_sources_)
+
+
 # --- roll-ups of result rows; order aggregates stand in for results
 
 RES = "r AS (SELECT o_orderpriority AS method, year(o_orderdate) AS seed, o_orderstatus AS dataset, round(avg(o_totalprice), 4) AS value FROM orders GROUP BY 1, 2, 3)"
@@ -416,17 +493,26 @@ def gap_vs_random(spark, d):
     return _r(metrics.gap_to(rows, ["dataset"], "method", "1-URGENT", "mean", "std"), 4, "gap")
 
 
-@query()
+#: Numbers of vectors in the fixtures: the draws for these are written out in SQL, where the generator can't be called.
+SIZES = (500, 2000)
+
+
+def _draws(draw) -> str:
+    """(n, i, a, b): the drawn rows for each number of vectors."""
+    lists = {n: np.atleast_2d(draw(n)) for n in SIZES}
+    lit = lambda x: "[" + ",".join(map(str, x.tolist())) + "]"
+    parts = [f"SELECT {n} AS n, unnest(range(0, {x.shape[1]})) AS i, unnest({lit(x[0])}) AS a, unnest({lit(x[-1])}) AS b" for n, x in lists.items()]
+    return "draws AS (SELECT i, a, b FROM (" + " UNION ALL ".join(parts) + ") WHERE n = (SELECT count(*) FROM embeddings)), at AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS k FROM embeddings)"
+
+
+@query(f"WITH {_draws(lambda n: np.random.RandomState(42).choice(n, 100, replace=False))} SELECT CAST(i AS INT) AS draw, vec_id FROM draws JOIN at ON k = a")
 def seeded_sample(spark, d):
     """The vectors at the positions that the seeded draw picks, in draw order."""
-    emb = _emb(spark, d)
-    n = emb.count()
-    picks = tables.seeded_rows(spark, n, min(100, n))
-    at = metrics.average_ranks(emb.withColumn("x", F.col("vec_id").cast("double")), "x", "r").select(F.col("r").cast("long").alias("r1"), "vec_id")
-    return picks.join(at, F.col("ordinal") == F.col("r1") - 1).select("draw", "vec_id").orderBy("draw")
+    return cache.drawn(_emb(spark, d).select("vec_id"), "vec_id", 100).select("draw", "vec_id").orderBy("draw")
 
 
-@query()
+@query(f"""WITH {E}, {PAIRS}, {_draws(lambda n: tables.random_pairs(n, 100).T)},
+s AS (SELECT gold FROM draws JOIN p ON least(draws.a, draws.b) = p.a AND greatest(draws.a, draws.b) = p.b ORDER BY i LIMIT 100) SELECT {DIST.format('gold')} FROM s""")
 def random_pair_scores(spark, d):
     """Scores of the first annotated pairs of a seeded stream of index pairs."""
     emb = _emb(spark, d)
@@ -434,7 +520,15 @@ def random_pair_scores(spark, d):
     stream = spark.createDataFrame([(i, int(a), int(b)) for i, (a, b) in enumerate(draws)], "draw long, a long, b long")
     gold = scored_pairs(emb).select(F.col("a").alias("lo"), F.col("b").alias("hi"), "gold")
     hits = stream.withColumn("lo", F.least("a", "b")).withColumn("hi", F.greatest("a", "b")).join(gold, ["lo", "hi"])
-    return metrics.distribution(hits.orderBy("draw").limit(100), "gold")
+    return _r(metrics.distribution(hits.orderBy("draw").limit(100), "gold"), 4, *DCOLS)
+
+
+@query(f"""WITH {U}, {_draws(lambda n: workloads.similarity_draws(n).T)}
+SELECT round(avg(list_dot_product(x.v, y.v)), 6) AS self_sim FROM draws JOIN at l ON l.k = draws.a JOIN at r ON r.k = draws.b JOIN u x ON x.vec_id = l.vec_id JOIN u y ON y.vec_id = r.vec_id""")
+def self_similarity_seeded(spark, d):
+    """Mean cosine of 5,000 seeded pairs of places, but for those of a place with itself."""
+    emb = _emb(spark, d)
+    return _r(metrics.self_similarity(emb, workloads.similarity_pairs(emb)), 6, "self_sim")
 
 
 # --- projections
@@ -477,6 +571,70 @@ def abtt_residual(spark, d):
     return z.select("vec_id", F.abs(F.round(F.array_max(F.transform(left, lambda x: F.abs(x))), 6)).alias("residual"))
 
 
+ONE = "SELECT CAST(i AS INT) AS i, CAST(j AS INT) AS j, CASE WHEN i = j THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END AS {1} FROM range(0, {0}) a(i), range(0, {0}) b(j)"
+
+
+def _square(spark, m, name):
+    d = len(m)
+    return spark.createDataFrame([(i, j, round(float(m[i, j]), 6) + 0.0) for i in range(d) for j in range(d)], f"i int, j int, {name} double")
+
+
+def _uncorrelated(name, r=8, **kw):
+    """Correlations of a projection's components before normalisation: none, since they are principal directions of what enters the last step."""
+
+    def run(spark, d):
+        emb = _emb(spark, d)
+        model = fits.FITTERS[name](emb, r, **kw)
+        model.steps[-1] = replace(model.steps[-1], norm="")
+        c = linalg.covariance(model.transform(emb.select("embedding")))[1]
+        s = np.sqrt(np.diag(c))
+        return _square(spark, c / np.outer(s, s), "correlation")
+
+    return run
+
+
+for _fit in ("soft_exp", "soft_shrink", "abtt_pca", "zca_topr"):
+    Q[f"{_fit}_correlation"], SQL[f"{_fit}_correlation"] = _uncorrelated(_fit), ONE.format(8, "correlation")
+
+
+@query(ONE.format(64, "cov"))
+def zca_cov(spark, d):
+    """Covariance of vectors whitened without shrinking, before normalisation."""
+    emb = _emb(spark, d)
+    model = fits.zca(emb, s=0.0)
+    model.steps[0] = replace(model.steps[0], norm="")
+    return _square(spark, linalg.covariance(model.transform(emb.select("embedding")))[1], "cov")
+
+
+@query(f"""WITH {E}, {KNN}, ed AS (SELECT anchor_id AS a, neighbor_id AS b FROM k UNION SELECT neighbor_id, anchor_id FROM k)
+SELECT CAST(count(*) AS BIGINT) AS edges, round(sum(list_dot_product(x.v, x.v)), 4) AS degree_trace, round(sum(list_sum(list_transform(list_zip(x.v, y.v), lambda z: (z[1] - z[2]) * (z[1] - z[2])))) / 2, 4) AS laplace_trace
+FROM ed JOIN e x ON x.vec_id = a JOIN e y ON y.vec_id = b""")
+def lpp_traces(spark, d):
+    """Edges of the neighbour graph, and the traces of the two matrices that the projection is found from."""
+    emb = _emb(spark, d)
+    edges = staged(knn.symmetric_edges(knn.self_knn(emb, 10)), "edges")
+    xdx, xlx = fits._graph_moments(emb, knn.self_knn(emb, 10), "embedding", "vec_id")
+    return edges.agg(F.count(F.lit(1)).alias("edges")).select("edges", F.lit(round(float(np.trace(xdx)), 4)).alias("degree_trace"), F.lit(round(float(np.trace(xlx)), 4)).alias("laplace_trace"))
+
+
+@query(ONE.format(8, "product"))
+def lpp_orthonormal(spark, d):
+    """W'X'DXW of the generalised projection: its solutions are orthonormal under the degrees."""
+    emb = _emb(spark, d)
+    w = fits.lpp(emb, 8).steps[0].w
+    xdx, _ = fits._graph_moments(emb, knn.self_knn(emb, 10), "embedding", "vec_id")
+    return _square(spark, w.T @ xdx @ w, "product")
+
+
+@query(f"WITH {E}, {X.format('e')} SELECT round(sum(cov), 6) AS variance FROM c WHERE i = j")
+def pca_total_variance(spark, d):
+    """Variance of all principal directions together, from the condition of an unshrunk soft whitening that undoes nothing."""
+    emb = _emb(spark, d)
+    model = fits.soft_exp(emb, 64, power=0.0, s=0.0)
+    model.steps[0] = replace(model.steps[0], norm="")
+    return spark.createDataFrame([(round(float(np.trace(linalg.covariance(model.transform(emb.select("embedding")))[1])), 6),)], "variance double")
+
+
 def _projection(name, **kw):
     def run(spark, d):
         emb = _emb(spark, d)

@@ -2,21 +2,30 @@
 
 Stand-ins for external data: pairs are vectors 2i and 2i + 1, scored by how near their labels are;
 queries are the vectors whose id is divisible by 100, searched against all vectors; a vector of the
-same label is relevant, the query itself is not.
+same label is relevant, the query itself is not. Where encoders are compared (prompts, poolings, layers, echo), the
+vectors are encoded from the documents: pairs are documents 2i and 2i + 1, scored by their words in common, and a
+document of the same language and source is relevant.
 """
 
 from __future__ import annotations
 
+import os
+from concurrent.futures import ThreadPoolExecutor
+from dataclasses import replace
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import TEMPLATES
+from ..functions.text import jaccard
 from ..operators import metrics
 from ..operators.contrastive import contrastive
 from ..operators.fits import FITTERS, condition_number, zca
 from ..operators.knn import self_knn, topk_join
+from ..sources import cache
+from ..sources.encoders import Encoder
+from ..sources.stage import staged
 from ..sources.tables import table
 
 #: Seeds of the protocols of the main tables, and of those of the later ones.
@@ -34,6 +43,21 @@ def scored_pairs(emb: DataFrame) -> DataFrame:
     return p.where("a < b").select("a", "b", (F.lit(5.0) - F.abs(F.col("l1") - F.col("l2")) * 5.0 / 9.0).alias("gold"))
 
 
+def similarity_draws(n: int, size: int = 5000, seed: int = 42):
+    """Places of the pairs that self-similarity is averaged over."""
+    rng = np.random.RandomState(seed)
+    i, j = rng.randint(0, n, size), rng.randint(0, n, size)
+    return np.stack([i, j], axis=1)[i != j]
+
+
+def similarity_pairs(emb: DataFrame) -> DataFrame:
+    """(a, b): ids at the drawn places."""
+    at = staged(cache.ordinals(emb.select("vec_id"), "vec_id"), "places")
+    draws = emb.sparkSession.createDataFrame([(int(i), int(j)) for i, j in similarity_draws(at.count())], "i long, j long")
+    side = lambda i, x: at.select(F.col("ordinal").alias(i), F.col("vec_id").alias(x))
+    return F.broadcast(draws).join(side("i", "a"), "i").join(side("j", "b"), "j").select("a", "b")
+
+
 def queries_of(emb: DataFrame) -> DataFrame:
     return emb.where(F.col("vec_id") % 100 == 0)
 
@@ -52,7 +76,7 @@ def fitted(method: str, emb: DataFrame, r: int, seed: int = 42, **over):
 
 
 def _row(df: DataFrame, method: str, r: int | None, metric: str, value: str, seed: int | None = None, **more) -> DataFrame:
-    cols = [F.lit(method).alias("method"), F.lit(r).cast("int").alias("r"), F.lit(seed).cast("int").alias("seed"), F.lit(metric).alias("metric_name"), F.round(value, 4).alias("metric_value")]
+    cols = [F.lit(method).alias("method"), F.lit(r).cast("int").alias("r"), F.lit(seed).cast("int").alias("seed"), F.lit(metric).alias("metric_name"), F.bround(value, 4).alias("metric_value")]
     return df.select(*cols, *[(v if not isinstance(v, str) else F.lit(v)).alias(k) for k, v in more.items()])
 
 
@@ -60,9 +84,9 @@ def _all(rows: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), rows)
 
 
-def correlation(emb: DataFrame, model) -> DataFrame:
+def correlation(emb: DataFrame, model, pairs: DataFrame | None = None) -> DataFrame:
     z = model.transform(emb.select("vec_id", "embedding"))
-    return metrics.spearman(metrics.pair_cosines(scored_pairs(emb), z), "gold", "cos")
+    return metrics.spearman(metrics.pair_cosines(scored_pairs(emb) if pairs is None else pairs, z), "gold", "cos")
 
 
 def search(emb: DataFrame, model, k: int = 10) -> DataFrame:
@@ -70,99 +94,119 @@ def search(emb: DataFrame, model, k: int = 10) -> DataFrame:
     return metrics.retrieval_means(metrics.retrieval(topk_join(queries_of(z), z, k), label_qrels(emb), k))
 
 
-def correlation_table(emb: DataFrame, methods, dims, seeds=SEEDS) -> DataFrame:
-    """One row per method, dimension and seed; learned methods alone take several seeds. Full-dimensional ones are scored once."""
-    rows = []
-    for m in methods:
-        for r in dims if m not in ("base", "zca", "abtt") else [None]:
-            for s in seeds if m.startswith("contrastive") else [None]:
-                rows.append(_row(correlation(emb, fitted(m, emb, r or 0, 42 if s is None else s)), m, r, "spearman", "spearman", s))
-    return _all(rows)
+def _fits(emb: DataFrame, methods, dims, seeds):
+    """(method, dimension, seed, model) of a table's rows. Learned ones, which train on one core each, are trained side by side. Full-dimensional ones are fitted once; learned methods alone take several seeds."""
+    jobs = [(m, r, s) for m in methods for r in (dims if m not in ("base", "zca", "abtt") else [None]) for s in (seeds if m.startswith("contrastive") else [None])]
+    with ThreadPoolExecutor(max(1, min(8, (os.cpu_count() or 1) - 1))) as pool:
+        late = {j: pool.submit(fitted, j[0], emb, j[1] or 0, j[2]) for j in jobs if j[2] is not None}
+        return [(*j, late[j].result() if j in late else fitted(j[0], emb, j[1] or 0)) for j in jobs]
+
+
+def correlation_table(emb: DataFrame, methods, dims, seeds=SEEDS, pairs: DataFrame | None = None) -> DataFrame:
+    """One row per method, dimension and seed."""
+    return _all([_row(correlation(emb, f, pairs), m, r, "spearman", "spearman", s) for m, r, s, f in _fits(emb, methods, dims, seeds)])
 
 
 def search_table(emb: DataFrame, methods, dims, seeds=SEEDS) -> DataFrame:
-    rows = []
-    for m in methods:
-        for r in dims if m not in ("base", "zca", "abtt") else [None]:
-            for s in seeds if m.startswith("contrastive") else [None]:
-                rows.append(_row(search(emb, fitted(m, emb, r or 0, 42 if s is None else s)), m, r, "ndcg10", "ndcg", s, recall_at_10=F.round("recall", 4)))
-    return _all(rows)
+    return _all([_row(search(emb, f), m, r, "ndcg10", "ndcg", s, recall_at_10=F.bround("recall", 4)) for m, r, s, f in _fits(emb, methods, dims, seeds)])
+
+
+# --- encoded documents
+
 
+def document_pairs(spark, sf_dir) -> DataFrame:
+    """(a, b, gold) of documents 2i and 2i + 1: five times their words in common."""
+    d = table(spark, sf_dir, "documents").where("doc_id is not null and text is not null").select("doc_id", "text")
+    return d.where("doc_id % 2 = 0").select(F.col("doc_id").alias("a"), F.col("text").alias("x")).join(d.select((F.col("doc_id") - 1).alias("a"), F.col("doc_id").alias("b"), F.col("text").alias("y")), "a").select("a", "b", (jaccard("x", "y") * 5).alias("gold"))
 
-def sts_testonly(spark, sf_dir):
-    return correlation_table(vectors(spark, sf_dir), ["base", "pca", "soft_exp", "zca_topr", "contrastive:banked"], [8, 16])
 
+def encoded(spark, sf_dir, encoder: Encoder) -> DataFrame:
+    """(vec_id, embedding, label) of the documents."""
+    d = table(spark, sf_dir, "documents").where("doc_id is not null").select(F.col("doc_id").alias("vec_id"), "text", F.concat_ws("/", "lang", "source").alias("label"))
+    return staged(encoder.encode(d).where("embedding is not null").select("vec_id", "embedding", "label"), "encoded")
 
-def sts_baselines(spark, sf_dir):
-    return correlation_table(vectors(spark, sf_dir), ["base", "abtt", "lpp", "random", "abtt_pca", "soft_shrink"], [16])
+
+#: Sources of the prompt and echo tables, by name.
+PROMPTS = {
+    "mean_pool": Encoder(), "PromptEOL_A": Encoder(template="PromptEOL_A", pool="last"), "PromptEOL_B": Encoder(template="PromptEOL_B", pool="last"),
+    "Echo_mean": Encoder(template="Echo"), "Echo_last": Encoder(template="Echo", pool="last"),
+}
+POOLINGS = {"mean": Encoder(), "last": Encoder(pool="last")}
+#: Layers of the layer table, in the protocol's order, which decides ties: a third, half, all but one, all of 28.
+LAYERS = {"early_middle": 9, "middle": 14, "second_last": 27, "last": 28}
 
 
-def abtt_table(spark, sf_dir):
-    emb, methods = vectors(spark, sf_dir), ["base", "abtt", "pca", "abtt_pca", "zca", "contrastive:annealed"]
-    return correlation_table(emb, methods, [16]).unionByName(search_table(emb, methods, [16]), allowMissingColumns=True)
+def sts_testonly(spark, sf_dir, methods=("base", "pca", "soft_exp", "zca_topr", "contrastive:banked"), dims=(8, 16), seeds=SEEDS):
+    return correlation_table(vectors(spark, sf_dir), methods, dims, seeds)
 
 
-def quora_main(spark, sf_dir):
-    return search_table(vectors(spark, sf_dir), ["base", "pca", "soft_exp", "zca_topr", "random", "lpp", "contrastive:annealed"], [16])
+def sts_baselines(spark, sf_dir, methods=("base", "abtt", "lpp", "random", "abtt_pca", "soft_shrink"), dims=(16,), seeds=SEEDS):
+    return correlation_table(vectors(spark, sf_dir), methods, dims, seeds)
 
 
-def cqadupstack(spark, sf_dir):
-    """Two sub-collections (labels below 5, and the others) and averages over complete groups."""
+def abtt_table(spark, sf_dir, methods=("base", "abtt", "pca", "abtt_pca", "zca", "contrastive:annealed"), dims=(16,), seeds=SEEDS):
     emb = vectors(spark, sf_dir)
-    rows = [search_table(emb.where(cond), ["base", "abtt", "zca", "pca", "abtt_pca", "contrastive:annealed"], [16]).withColumn("dataset", F.lit(name)) for name, cond in (("low", "label < 5"), ("high", "label >= 5"))]
-    every = _all(rows)
-    mean = metrics.complete_average(every, ["method", "r", "metric_name"], "dataset", "metric_value", 2)
-    return every.select("dataset", "method", "r", "seed", "metric_value").unionByName(mean.select(F.lit("average").alias("dataset"), "method", "r", F.lit(None).cast("int").alias("seed"), F.round("average", 4).alias("metric_value")))
+    rows = [(m, r, s, correlation(emb, f), search(emb, f)) for m, r, s, f in _fits(emb, methods, dims, seeds)]
+    return _all([x for m, r, s, c, n in rows for x in (_row(c, m, r, "spearman", "spearman", s), _row(n, m, r, "ndcg10", "ndcg", s, recall_at_10=F.bround("recall", 4)))])
+
 
+def quora_main(spark, sf_dir, methods=("base", "pca", "soft_exp", "zca_topr", "random", "lpp", "contrastive:annealed"), dims=(16,), seeds=SEEDS):
+    return search_table(vectors(spark, sf_dir), methods, dims, seeds)
 
-def sts_suite(spark, sf_dir):
+
+def cqadupstack(spark, sf_dir, methods=("base", "abtt", "zca", "pca", "abtt_pca", "contrastive:annealed"), dims=(16,), seeds=SEEDS):
+    """Three sub-collections (labels 0 to 2, 3 to 5, and the others) and averages over complete groups."""
     emb = vectors(spark, sf_dir)
-    rows = [correlation_table(emb.where(cond), ["base", "abtt", "zca", "pca", "random", "contrastive:annealed"], [16], LATER).withColumn("dataset", F.lit(name)) for name, cond in (("low", "label < 5"), ("high", "label >= 5"))]
-    every = _all(rows)
-    mean = metrics.complete_average(every, ["method", "r"], "dataset", "metric_value", 2)
+    sets = (("low", "label < 3"), ("middle", "label between 3 and 5"), ("high", "label > 5"))
+    every = staged(_all([search_table(emb.where(cond), methods, dims, seeds).withColumn("dataset", F.lit(name)) for name, cond in sets]), "cqa")
+    mean = metrics.complete_average(every, ["method", "r", "metric_name"], "dataset", "metric_value", len(sets))
     return every.select("dataset", "method", "r", "seed", "metric_value").unionByName(mean.select(F.lit("average").alias("dataset"), "method", "r", F.lit(None).cast("int").alias("seed"), F.round("average", 4).alias("metric_value")))
 
 
-def prompt_sources(spark, sf_dir):
-    """One source of vectors per template, and the plain one, which alone is searched, as in the protocol; encoders are outside, so sources differ by a fixed random rotation here."""
-    from ..operators.fits import random_matrix
-    from ..operators.projector import Projector, Step
+def sts_suite(spark, sf_dir, methods=("base", "abtt", "zca", "pca", "random", "contrastive:annealed"), dims=(16,), seeds=LATER):
+    """Six sub-collections by label, and averages over complete groups."""
+    emb = vectors(spark, sf_dir)
+    sets = [(f"set{i}", F.floor(F.col("vec_id") / 2) % 6 == i) for i in range(6)]
+    every = staged(_all([correlation_table(emb.where(cond), methods, dims, seeds).withColumn("dataset", F.lit(name)) for name, cond in sets]), "suite")
+    mean = metrics.complete_average(every, ["method", "r"], "dataset", "metric_value", len(sets))
+    return every.select("dataset", "method", "r", "seed", "metric_value").unionByName(mean.select(F.lit("average").alias("dataset"), "method", "r", F.lit(None).cast("int").alias("seed"), F.round("average", 4).alias("metric_value")))
 
-    emb, methods = vectors(spark, sf_dir), ["base", "contrastive:annealed"]
-    rows = [t(emb, methods, [16], LATER).withColumn("embedding_type", F.lit("mean_pool")) for t in (correlation_table, search_table)]
-    for i, name in enumerate(TEMPLATES):
-        turned = Projector(name, [Step(random_matrix(64, 64, i))]).transform(emb)
-        rows.append(correlation_table(turned, methods, [16], LATER).withColumn("embedding_type", F.lit(name)))
-    return _all(rows)
 
+def prompt_sources(spark, sf_dir, methods=("base", "contrastive:annealed"), dims=(8,), seeds=LATER):
+    """Correlation of every source of vectors; the plain one alone is searched as well, as in the protocol."""
+    pairs = staged(document_pairs(spark, sf_dir), "pairs")
+    rows = []
+    for name, encoder in PROMPTS.items():
+        emb = encoded(spark, sf_dir, encoder)
+        rows.append(correlation_table(emb, methods, dims, seeds, pairs).withColumn("embedding_type", F.lit(name)))
+        if name == "mean_pool":
+            rows.append(search_table(emb, methods, dims, seeds).withColumn("embedding_type", F.lit(name)))
+    return _all(rows)
 
-def pooling_variants(spark, sf_dir):
-    emb = vectors(spark, sf_dir)
-    spaces = {"mean": emb, "last": emb.withColumn("embedding", F.reverse("embedding"))}
-    return _all([correlation_table(e, ["base", "pca", "zca", "contrastive:annealed"], [16], LATER).withColumn("pooling", F.lit(p)) for p, e in spaces.items()])
 
+def pooling_variants(spark, sf_dir, methods=("base", "pca", "zca", "contrastive:annealed"), dims=(8,), seeds=LATER):
+    pairs = staged(document_pairs(spark, sf_dir), "pairs")
+    return _all([correlation_table(encoded(spark, sf_dir, e), methods, dims, seeds, pairs).withColumn("pooling", F.lit(p)) for p, e in POOLINGS.items()])
 
-def layer_selection(spark, sf_dir):
-    """Base scores of four layers under two poolings, the best of them (first on ties), and the learned projection on the reference (last layer, mean), the second-last and the best.
 
-    Slices of the vectors stand in for layers, and the first and last three quarters of a slice for poolings.
-    """
-    emb = vectors(spark, sf_dir)
-    names = ["early_middle", "middle", "second_last", "last"]
-    at = [(i, pool) for i in (3, 2, 1, 0) for pool in ("mean", "last")]  # in the protocol's order, which decides ties
-    cut = lambda i, pool: emb.withColumn("embedding", F.slice("embedding", 16 * i + (1 if pool == "mean" else 5), 12))
-    tag = lambda df, i, pool: df.withColumns({"layer_name": F.lit(names[i]), "layer_idx": F.lit(i), "pooling": F.lit(pool)})
-    base = _all([tag(correlation_table(cut(*x), ["base"], []), *x) for x in at])
-    value = {(row["layer_idx"], row["pooling"]): row["metric_value"] for row in base.collect()}  # eight rows
+def layer_selection(spark, sf_dir, methods=("contrastive:annealed",), dims=(8,), seeds=LATER):
+    """Base scores of four layers under two poolings, the best of them (first on ties), and the learned projection on the reference (last layer, mean), the second-last and the best."""
+    pairs = staged(document_pairs(spark, sf_dir), "pairs")
+    at = [(name, pool) for name in LAYERS for pool in POOLINGS]
+    emb = {x: encoded(spark, sf_dir, replace(POOLINGS[x[1]], layer=LAYERS[x[0]])) for x in at}
+    tag = lambda df, name, pool: df.withColumns({"layer_name": F.lit(name), "layer_idx": F.lit(LAYERS[name]), "pooling": F.lit(pool)})
+    base = staged(_all([tag(correlation_table(emb[x], ["base"], [], pairs=pairs), *x) for x in at]), "layers")
+    value = {(row["layer_name"], row["pooling"]): row["metric_value"] for row in base.collect()}  # eight rows
     best = max(at, key=lambda x: value[x])
-    picked = list(dict.fromkeys([(3, "mean"), (2, "mean"), best]))
-    learned = _all([tag(correlation_table(cut(*x), ["contrastive:annealed"], [8], LATER), *x) for x in picked])
-    top = base.where((F.col("layer_idx") == best[0]) & (F.col("pooling") == best[1])).withColumn("method", F.lit("best"))
+    picked = list(dict.fromkeys([("last", "mean"), ("second_last", "mean"), best]))
+    learned = _all([tag(correlation_table(emb[x], methods, dims, seeds, pairs), *x) for x in picked])
+    top = base.where((F.col("layer_name") == best[0]) & (F.col("pooling") == best[1])).withColumn("method", F.lit("best"))
     return _all([base, top, learned]).select("method", "layer_name", "layer_idx", "pooling", "r", "seed", "metric_value")
 
 
-def echo_whitening(spark, sf_dir):
-    return correlation_table(vectors(spark, sf_dir), ["base", "zca", "pca", "zca_topr", "contrastive:annealed"], [16], LATER)
+def echo_whitening(spark, sf_dir, methods=("base", "zca", "pca", "zca_topr", "contrastive:annealed"), dims=(8,), seeds=LATER):
+    """Projections of the echo source."""
+    return correlation_table(encoded(spark, sf_dir, PROMPTS["Echo_mean"]), methods, dims, seeds, staged(document_pairs(spark, sf_dir), "pairs")).withColumn("embedding_type", F.lit("Echo_mean"))
 
 
 def cross_dataset(spark, sf_dir):
@@ -236,18 +280,18 @@ def regularizer_audit(spark, sf_dir):
 
 def anisotropy_table(spark, sf_dir):
     emb = vectors(spark, sf_dir)
-    pairs, rows = scored_pairs(emb).select("a", "b"), []
+    pairs, rows = staged(similarity_pairs(emb), "pairs"), []
     for name, model, r in [("base", fitted("base", emb, 0), 64)] + [("contrastive", fitted("contrastive:annealed", emb, r), r) for r in (8, 16)]:
         z = model.transform(emb)
         rows.append(metrics.anisotropy(z).crossJoin(metrics.self_similarity(z, pairs)).select(F.lit(name).alias("method"), F.lit(r).alias("dim"), F.round("anisotropy_mean", 6).alias("anisotropy_mean"), F.round("self_sim", 6).alias("self_sim")))
     return _all(rows)
 
 
-def component_ablation(spark, sf_dir):
+def component_ablation(spark, sf_dir, dims=(8, 16), seeds=SEEDS[:1]):
     """The protocol's twelve variants, under its one seed; banked is the one with retraction and without refinement."""
     learned = ["ablation:random_pairs", "ablation:bank_no_hardneg", "ablation:hardneg_no_bank", "ablation", "ablation:no_refinement", "banked", "ablation:full_qr"]
     methods = ["pca", "soft_exp", "random", "lpp", "zca_topr", *[f"contrastive:{x}" for x in learned]]
-    return metrics.wide_table(correlation_table(vectors(spark, sf_dir), methods, [8, 16], SEEDS[:1]), "method", "r", [8, 16], "metric_value")
+    return metrics.wide_table(correlation_table(vectors(spark, sf_dir), methods, dims, seeds), "method", "r", list(dims), "metric_value")
 
 
 WORKLOADS = {

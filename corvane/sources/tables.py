@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import random
+
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,9 +37,13 @@ def read_if_present(spark: SparkSession, path: str) -> DataFrame | None:
     return spark.read.parquet(path) if exists(spark, path) else None
 
 
+def read_pairs(spark: SparkSession, folder: str, split: str) -> DataFrame:
+    return spark.read.schema(PAIRS).option("multiLine", True).json(f"{folder}/sts_{split}.json")
+
+
 def sts_pairs(spark: SparkSession, folder: str, split: str = "test"):
     """(fit sentences, evaluation pairs) of a folder of JSON splits; split is 'test' or 'train+test' (with repeats)."""
-    read = lambda s: spark.read.schema(PAIRS).option("multiLine", True).json(f"{folder}/sts_{s}.json")
+    read = lambda s: read_pairs(spark, folder, s)
     if split not in ("test", "train+test"):
         raise ValueError(f"unknown split {split!r}")
     return sentences(read("valid")), read("test") if split == "test" else read("train").unionAll(read("test"))
@@ -114,18 +120,47 @@ def random_pairs(n: int, size: int, seed: int = 0, tries: int = 200) -> np.ndarr
     return draws[draws[:, 0] != draws[:, 1]]
 
 
-def save_results(rows: DataFrame, path: str) -> None:
-    """Result rows as CSV with a header and as JSON lines, nulls left out of the latter."""
-    rows.write.mode("overwrite").option("header", True).csv(f"{path}.csv")
-    rows.write.mode("overwrite").json(f"{path}.jsonl")
+def ensure_dir(spark: SparkSession, path: str) -> str:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(p)
+    return path
+
+
+def metadata_row(**values) -> dict:
+    """values without those that are None."""
+    return {k: v for k, v in values.items() if v is not None}
+
+
+def set_seed(seed: int) -> np.random.RandomState:
+    """Seeds the global generators of the driver, and gives one of its own; fits and draws take their seeds as arguments."""
+    random.seed(seed)
+    np.random.seed(seed)
+    return np.random.RandomState(seed)
+
+
+def results(spark: SparkSession, rows: list[dict]) -> DataFrame:
+    """Rows with any columns of RESULTS; the others are null."""
+    return spark.createDataFrame([metadata_row(**r) for r in rows], RESULTS)
+
+
+def save_results(rows: DataFrame, path: str) -> tuple[str, str]:
+    """Result rows as CSV with a header and as JSON lines, nulls left out of the latter; returns both places."""
+    places = f"{path}.csv", f"{path}.jsonl"
+    rows.write.mode("overwrite").option("header", True).csv(places[0])
+    rows.write.mode("overwrite").json(places[1])
+    return places
 
 
 def save_scores(scores: DataFrame, path: str, by: str = "space", value: str = "score") -> None:
     scores.groupBy(by).agg(F.sort_array(F.collect_list(value)).alias("scores")).write.mode("overwrite").json(path)
 
 
-def failure_report(cases: DataFrame, total: int, top: int = 30) -> str:
-    """Markdown of the first cases; at most top rows reach the driver."""
-    rows = cases.limit(top).collect()
-    lines = [f"{total} cases, {len(rows)} shown", "", "| anchor | neighbor | rank | cosine | overlap |", "|-|-|-|-|-|"]
-    return "\n".join(lines + [f"| {r['anchor_text']} | {r['neighbor_text']} | {r['rank']} | {r['cosine_similarity']} | {r['lexical_overlap']} |" for r in rows]) + "\n"
+def save_failures(cases: DataFrame, counts: dict[str, int], path: str, top: int = 30) -> str:
+    """Cases (see ``operators.failures``) as CSV of ten columns, and a Markdown report of the first, with the counts of all; at most top rows reach the driver."""
+    cases.write.mode("overwrite").option("header", True).option("quoteAll", True).csv(f"{path}.csv")
+    lines = ["# Mined neighbours that are lexically close, but not alike", "", *[f"- {k}: {v}" for k, v in counts.items()], ""]
+    for r in cases.limit(top).collect():
+        lines += [f"**[{r['dataset']}/{r['model']}]** rank {r['rank']}, cos={r['cosine_similarity']}, gold={r['gold_label_or_score']}, jaccard={r['lexical_overlap']}", f"- anchor: {r['anchor_text']}", f"- neighbor: {r['neighbor_text']}", ""]
+    report = "\n".join(lines)
+    cases.sparkSession.createDataFrame([(report,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}.md")
+    return report
