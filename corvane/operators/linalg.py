@@ -10,12 +10,8 @@ from pyspark.sql import functions as F
 from .knn import matrix
 
 
-#: Tasks that the rows of a Gram matrix are added up in.
-ADDERS = 64
-
-
 def moments(df: DataFrame, vec: str = "embedding", weight: str | None = None):
-    """(n, sum, X'WX) as numpy. Partitions send one partial each, as a row of the matrix a row of the table; rows of one number are added up as they stream by, so a task holds D x D / ADDERS numbers."""
+    """(n, sum, X'WX) as numpy. Partitions send one partial each, as a row of the matrix a row of the table; rows of one number are added up as they stream by, so a task holds D x D numbers at most, divided by the tasks."""
     cols = [F.col(vec).cast("array<double>").alias("v")] + ([F.col(weight).cast("double").alias("w")] if weight else [])
     names = ["i", "n", "s", "g"]
 
@@ -49,7 +45,7 @@ def moments(df: DataFrame, vec: str = "embedding", weight: str | None = None):
 
     schema = "i int, n double, s double, g array<double>"
     parts = df.where(F.col(vec).isNotNull()).select(*cols).mapInArrow(partial, schema)
-    got = parts.repartition(ADDERS, "i").mapInArrow(add, schema).toArrow()  # D rows of D numbers
+    got = parts.repartition(F.col("i")).mapInArrow(add, schema).toArrow()  # D rows of D numbers
     if not got.num_rows:
         return 0.0, np.zeros(0), np.zeros((0, 0))
     order = np.argsort(got.column("i").to_numpy())

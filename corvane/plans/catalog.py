@@ -502,10 +502,10 @@ def _draws(draw) -> str:
     lists = {n: np.atleast_2d(draw(n)) for n in SIZES}
     lit = lambda x: "[" + ",".join(map(str, x.tolist())) + "]"
     parts = [f"SELECT {n} AS n, unnest(range(0, {x.shape[1]})) AS i, unnest({lit(x[0])}) AS a, unnest({lit(x[-1])}) AS b" for n, x in lists.items()]
-    return "draws AS (SELECT i, a, b FROM (" + " UNION ALL ".join(parts) + ") WHERE n = (SELECT count(*) FROM embeddings)), at AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS k FROM embeddings)"
+    return "draws AS (SELECT i, a, b FROM (" + " UNION ALL ".join(parts) + ") WHERE n = (SELECT count(*) FROM embeddings)), places AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS k FROM embeddings)"
 
 
-@query(f"WITH {_draws(lambda n: np.random.RandomState(42).choice(n, 100, replace=False))} SELECT CAST(i AS INT) AS draw, vec_id FROM draws JOIN at ON k = a")
+@query(f"WITH {_draws(lambda n: np.random.RandomState(42).choice(n, 100, replace=False))} SELECT CAST(i AS INT) AS draw, vec_id FROM draws JOIN places ON k = a")
 def seeded_sample(spark, d):
     """The vectors at the positions that the seeded draw picks, in draw order."""
     return cache.drawn(_emb(spark, d).select("vec_id"), "vec_id", 100).select("draw", "vec_id").orderBy("draw")
@@ -524,7 +524,7 @@ def random_pair_scores(spark, d):
 
 
 @query(f"""WITH {U}, {_draws(lambda n: workloads.similarity_draws(n).T)}
-SELECT round(avg(list_dot_product(x.v, y.v)), 6) AS self_sim FROM draws JOIN at l ON l.k = draws.a JOIN at r ON r.k = draws.b JOIN u x ON x.vec_id = l.vec_id JOIN u y ON y.vec_id = r.vec_id""")
+SELECT round(avg(list_dot_product(x.v, y.v)), 6) AS self_sim FROM draws JOIN places l ON l.k = draws.a JOIN places r ON r.k = draws.b JOIN u x ON x.vec_id = l.vec_id JOIN u y ON y.vec_id = r.vec_id""")
 def self_similarity_seeded(spark, d):
     """Mean cosine of 5,000 seeded pairs of places, but for those of a place with itself."""
     emb = _emb(spark, d)
