@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,9 +32,26 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._stored = path
+    for made in _SCRATCH:
+        made.append(out)
     return out
 
 
+_SCRATCH: list[list[DataFrame]] = []
+
+
+@contextmanager
+def scratch():
+    """Tables that materialize makes inside are deleted at the end; what is to stay is written outside."""
+    made: list[DataFrame] = []
+    _SCRATCH.append(made)
+    try:
+        yield
+    finally:
+        _SCRATCH.remove(made)
+        discard(*made)
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete tables made by materialize, once nothing reads them any more."""
     for df in tables:

@@ -2,13 +2,16 @@
 
 import hashlib
 import itertools
+import os
 import random
 import re
+import shutil
 import zlib
 
 import duckdb
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -662,6 +665,77 @@ def test_pipeline_stages_with_missing_and_repeated_ids(spark, bench, tmp_path):
     assert {(r["doc_id"], r["text"]) for r in corpus_pipeline.near_duplicates(spark, docs, str(tmp_path)).where("doc_id = 1").collect()} == {rows[2], rows[3]}
 
 
+def test_pipeline_against_brute_force(spark, data, tmp_path):
+    """All stages after the first, chained, on whole fixtures with rows of null, repeated and shared ids."""
+    shutil.copy(f"{data}/benchmark.parquet", tmp_path / "benchmark.parquet")
+    items = [shingles(r["text"]) for r in spark.read.parquet(f"{data}/benchmark.parquet").collect()]
+    docs = [tuple(r) for r in spark.read.parquet(f"{data}/documents.parquet").collect()]
+    r = random.Random(9)
+    docs += [(None, *d[1:]) for d in r.sample(docs, 10)] + [(d[0], f"{d[1]} and more words of another kind {i}", *d[2:]) for i, d in enumerate(r.sample(docs, 10))] + r.sample(docs, 5)
+    rows = spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long")
+    rows.write.parquet(str(tmp_path / "documents.parquet"))
+
+    got = [tuple(x) for x in corpus_pipeline.language(spark, rows, str(tmp_path)).collect()]
+    assert sorted(map(repr, got)) == sorted(repr(d) for d in docs if re.search(r"[^\W\d_]", d[1] or ""))
+    docs = got
+
+    fps = {t: fp_of(t) for _, t, *_ in docs}
+    left, groups = set(fps.values()), []
+    while left:
+        group, todo = set(), [left.pop()]
+        while todo:
+            f = todo.pop()
+            group.add(f)
+            near = {g for g in left if (f ^ g).bit_count() <= 3}
+            left -= near
+            todo += near
+        groups.append(group)
+    home = {f: i for i, g in enumerate(groups) for f in g}
+    least = {}
+    for d in docs:
+        k = home[fps[d[1]]]
+        least[k] = min(least.get(k, (True, 0)), (d[0] is None, d[0] or 0))
+    rows = spark.createDataFrame(docs, rows.schema)
+    got = [tuple(x) for x in corpus_pipeline.near_duplicates(spark, rows, str(tmp_path)).collect()]
+    assert sorted(home[fps[d[1]]] for d in got) == sorted(least) and all((d[0] is None, d[0] or 0) == least[home[fps[d[1]]]] for d in got) and set(got) <= set(docs)
+    docs = got
+
+    rows = spark.createDataFrame(docs, rows.schema)
+    got = [tuple(x) for x in corpus_pipeline.decontaminated(spark, rows, str(tmp_path)).collect()]
+    dirty = [d for d in docs if any(s and len(s & shingles(d[1])) >= 0.8 * len(s) - 1e-9 for s in items)]
+    assert sorted(map(repr, got)) == sorted(repr(d) for d in docs if d not in dirty) and dirty
+    docs = got
+
+    rows = spark.createDataFrame(docs, rows.schema)
+    corpus_pipeline.mixed(spark, rows, str(tmp_path)).write.parquet(str(tmp_path / "mixed"))
+    files = sorted((tmp_path / "mixed").glob("*.parquet"))
+    got = [tuple(x.values()) for f in files for x in pq.read_table(f).to_pylist()]
+    size = {d[:2]: len(words(d[1])) for d in docs}
+    slots = mixing.mix(rows.withColumn("body", F.col("text")), keep=("body",)).collect()
+    assert sorted(repr(x[:2]) for x in got) == sorted(repr((x["doc_id"], x["body"])) for x in slots for _ in x["slots"] or [])
+    first = {(x["doc_id"], x["body"]): x["first_slot"] for x in slots if x["slots"]}
+    seen, at = set(), []
+    for x in got:
+        if x[:2] not in seen:
+            seen.add(x[:2])
+            at.append(first[x[:2]])
+    assert at == sorted(at) and all(got.count(x) == -(-next(y["taken"] for y in slots if (y["doc_id"], y["body"]) == x[:2]) // size[x[:2]]) for x in set(got))
+
+    out = corpus_pipeline.sharded(spark, spark.createDataFrame(got, rows.schema), str(tmp_path)).collect()
+    assert len(out) == len(got) and sorted(x["size"] for x in out) == sorted(len(x[1].encode()) + 1 for x in got)
+    by = {}
+    for x in out:
+        by.setdefault(x["shard"], []).append(x["slot"])
+    assert all(sorted(v) == list(range(len(v))) for v in by.values())
+
+
+def test_pipeline_deletes_what_it_no_longer_needs(spark, data):
+    folder = os.path.join(spark.conf.get("spark.checkpoint.dir"), "corvane")
+    before = set(os.listdir(folder)) if os.path.exists(folder) else set()
+    out = corpus_pipeline.run(spark, data)
+    assert out.count() > 0 and [x.split("-")[1] for x in set(os.listdir(folder)) - before] == ["sharded"]
+
+
 def test_registered_queries(spark, data):
     import __spark_entry__ as e
 
