@@ -1,10 +1,12 @@
 """Benchmark decontamination by size-partitioned MinHash containment search.
 
 An item is found in a document that holds at least ``THRESHOLD`` of its distinct word shingles. Items
-are partitioned by size class; from each item the shingles of least hash are kept as its sketch, with
-the number that its class needs: a document that holds enough of the item misses too few shingles
-to miss the whole sketch. So the search for sketch members in long documents loses no match, however
-long the document is, and only candidates are verified, by exact containment of shingle texts.
+are partitioned by size class, the power of two at or above their number of shingles. A class sets how many of an item's shingles
+make its sketch, as many as a document that holds enough of the largest item of the class may miss and ``MEET`` more, and so how many
+sketch members such a document must hold at least: a search by members loses no match, however long the document
+is, and a chance meeting of one member is no candidate. A sketch has the shingles of least hash among those that
+fewest items share, so openings that many items have in common are not searched for. Only candidates are
+verified, by exact containment of shingle texts.
 
 Documents are scanned once. Two bitmaps of fixed size (``BITS`` bits each, whatever the number of
 items) tell which of a document's shingles may belong to a sketch or an item; only documents with
@@ -27,6 +29,8 @@ from .tokens import Words, slices
 
 SHINGLE = 5
 THRESHOLD = 0.8
+#: Members of a sketch that a document with enough of the item is sure to hold, where the item has as many shingles to spare.
+MEET = 3
 BITS = 24
 
 
@@ -63,7 +67,7 @@ def _slot(h: np.ndarray) -> np.ndarray:
 
 
 def items_of(bench: DataFrame, id_col="item_id", text_col="text", threshold: float = THRESHOLD, n: int = SHINGLE) -> DataFrame:
-    """(item_id, shingles, need, sketch): distinct shingles, how many must be met, and the hashes of the sketch."""
+    """(item_id, shingles, hashes, need, keep, meet): distinct shingles, how many must be met, how many make the sketch, and how many of these must be met."""
 
     def run(batches):
         for batch in batches:
@@ -78,18 +82,25 @@ def items_of(bench: DataFrame, id_col="item_id", text_col="text", threshold: flo
                     for j in range(cut[i], cut[i + 1]):
                         own.setdefault(" ".join(spelled[c] for c in w.codes[first[j] : end[j]]), h[j])
                     size = len(own)
-                    # the class of an item is the power of two at or above its size; its sketch is as long as the class's largest needs
+                    need = int(np.ceil(threshold * size - 1e-9))
                     top = 1 << max(size - 1, 0).bit_length()
-                    keep = min(size, top - int(np.ceil(threshold * top - 1e-9)) + 1)
-                    sketch = np.sort(np.array(list(own.values()), np.uint64))[:keep]
-                    rows.append((list(own), int(np.ceil(threshold * size - 1e-9)), sketch.view(np.int64).tolist()))
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("item_id"), pa.array([r[0] for r in rows], pa.list_(pa.string())), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.list_(pa.int64()))],
-                    ["item_id", "shingles", "need", "sketch"],
-                )
+                    keep = min(size, top - int(np.ceil(threshold * top - 1e-9)) + MEET)
+                    rows.append((list(own), np.array(list(own.values()), np.uint64).view(np.int64).tolist(), need, keep, max(1, keep - (size - need))))
+                cols = [pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.list_(pa.string()), pa.list_(pa.int64()), pa.int32(), pa.int32(), pa.int32()))]
+                yield pa.RecordBatch.from_arrays([part.column("item_id"), *cols], ["item_id", "shingles", "hashes", "need", "keep", "meet"])
 
     kind = bench.schema[id_col].dataType.simpleString()
-    return bench.select(F.col(id_col).alias("item_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"item_id {kind}, shingles array<string>, need int, sketch array<long>").where(F.size("shingles") > 0)
+    schema = f"item_id {kind}, shingles array<string>, hashes array<long>, need int, keep int, meet int"
+    return bench.select(F.col(id_col).alias("item_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, schema).where(F.size("shingles") > 0)
+
+
+def sketches(items: DataFrame) -> DataFrame:
+    """(item, h, meet): the members of each item's sketch."""
+    every = items.select("item", "keep", "meet", F.explode("hashes").alias("h"))
+    shared = every.groupBy("h").agg(F.count(F.lit(1)).alias("n"))
+    order = F.struct(F.floor(F.log2("n")).alias("n"), F.shiftrightunsigned("h", 1).alias("r"), F.col("h").alias("h"))
+    own = every.join(shared, "h").groupBy("item", "keep", "meet").agg(F.array_sort(F.collect_list(order)).alias("all"))
+    return own.select("item", "meet", F.explode(F.slice("all", F.lit(1), F.col("keep"))["h"]).alias("h"))
 
 
 def _bitmap(hashes: DataFrame) -> np.ndarray:
@@ -102,25 +113,17 @@ def _bitmap(hashes: DataFrame) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array([np.packbits(bits).tobytes()], pa.binary())], ["bits"])
 
     out = np.zeros(1 << (BITS - 3), np.uint8)
-    for r in hashes.coalesce(4).mapInArrow(run, "bits binary").toLocalIterator():
+    for r in hashes.coalesce(32).mapInArrow(run, "bits binary").toLocalIterator():
         out |= np.frombuffer(r["bits"], np.uint8)
     return out
 
 
-def _hashes(items: DataFrame, n: int) -> DataFrame:
-    def run(batches):
-        for b in batches:
-            w = Words(pa.concat_arrays([b.column("s")]))
-            yield pa.RecordBatch.from_arrays([pa.array(shingle_hashes(w, n)[3].view(np.int64))], ["h"])
-
-    return items.select(F.explode("shingles").alias("s")).mapInArrow(run, "h long")
-
-
 def contamination(docs: DataFrame, bench: DataFrame, id_col="doc_id", text_col="text", item_col="item_id", item_text="text", threshold: float = THRESHOLD, n: int = SHINGLE) -> DataFrame:
     """One row per document and item that it contains: doc_id, item_id, n_shingles, n_hit, containment."""
     spark = docs.sparkSession
-    items = materialize(items_of(bench, item_col, item_text, threshold, n), "bench-items")
-    sketch, every = _bitmap(items.select(F.explode("sketch").alias("h"))), _bitmap(_hashes(items, n))
+    items = materialize(items_of(bench, item_col, item_text, threshold, n).withColumn("item", F.monotonically_increasing_id()), "bench-items")
+    members = materialize(sketches(items), "bench-sketches")
+    sketch, every = _bitmap(members.select("h")), _bitmap(items.select(F.explode("hashes").alias("h")))
     maps = spark.sparkContext.broadcast((sketch, every))  # two bitmaps of 2**BITS bits
 
     def has(bits, h):
@@ -157,8 +160,8 @@ def contamination(docs: DataFrame, bench: DataFrame, id_col="doc_id", text_col="
     kind = docs.schema[id_col].dataType.simpleString()
     near = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"doc_id {kind}, found array<string>, hits array<long>")
     near = materialize(near.withColumn("mark", F.xxhash64("found")), "bench-near")
-    pairs = near.select("doc_id", "mark", F.explode("hits").alias("h")).join(items.select("item_id", F.explode("sketch").alias("h")), "h").select("doc_id", "mark", "item_id").distinct()
-    pairs = pairs.join(items.select(F.col("item_id").alias("i"), "shingles", "need"), F.col("item_id").eqNullSafe(F.col("i")))
+    pairs = near.select("doc_id", "mark", F.explode("hits").alias("h")).join(members, "h").groupBy("doc_id", "mark", "item", "meet").agg(F.countDistinct("h").alias("hits")).where("hits >= meet")
+    pairs = pairs.select("doc_id", "mark", "item").join(items.select("item", "item_id", "shingles", "need"), "item")
     side = near.dropDuplicates(["doc_id", "mark"]).select(F.col("doc_id").alias("d"), F.col("mark").alias("m"), "found")
     met = pairs.join(side, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("mark") == F.col("m")))
     met = met.select("doc_id", "item_id", F.size("shingles").cast("long").alias("n_shingles"), F.size(F.array_intersect("shingles", "found")).cast("long").alias("n_hit"), "need").where("n_hit >= need")

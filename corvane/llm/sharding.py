@@ -21,11 +21,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, table, text_bytes
+from .common import lookup, materialize, table, text_bytes
 
 SHARDS = 8
 BITS = 12
-SALTS = 16
 SUBS = 1024
 
 
@@ -185,9 +184,7 @@ def shard(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", text_co
     spark = docs.sparkSession
     text = F.coalesce(F.col(text_col), F.lit(""))
     base = materialize(docs.select(F.col(id_col).alias("doc_id"), (text_bytes(F.col(text_col)) + 1).alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.sha2(text, 256).alias("sha")), "shard-rows")
-    base = base.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
-    parts = base.groupBy("sha", "salt").agg(F.sum("size").alias("n"))
-    groups = parts.groupBy("sha").agg(F.sum("n").alias("group_bytes")).withColumn("c", _class(F.col("group_bytes"))).withColumn("sub", F.pmod(F.xxhash64("sha"), F.lit(256)))
+    groups = base.groupBy("sha").agg(F.sum("size").alias("group_bytes")).withColumn("c", _class(F.col("group_bytes"))).withColumn("sub", F.pmod(F.xxhash64("sha"), F.lit(256)))
     groups = materialize(groups, "shard-groups")
     per = groups.groupBy("c", "sub").agg(F.count(F.lit(1)).alias("n"))
     hist = [(r["c"], r["n"]) for r in per.groupBy("c").agg(F.sum("n").alias("n")).collect()]  # bounded by BITS
@@ -196,10 +193,8 @@ def shard(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", text_co
     base_rank = per.select("c", "sub", (F.sum("n").over(Window.partitionBy("c").orderBy("sub")) - F.col("n")).alias("base"))
     ranked = groups.withColumn("r", F.row_number().over(Window.partitionBy("c", "sub").orderBy("sha")) - 1).join(base_rank, ["c", "sub"])
     hit = F.filter("at", lambda x: (x["a"] <= F.col("rank")) & (F.col("rank") < x["b"]))[0]["shard"]
-    homes = ranked.withColumn("rank", F.col("r") + F.col("base")).join(placed, "c").select("sha", hit.alias("shard"), "group_bytes")
-    keys = parts.select("sha", "salt").join(homes, "sha")
-    out = base.join(keys, ["sha", "salt"]).withColumn("sub", F.pmod(F.xxhash64("doc_id"), F.lit(SUBS)))
-    out = materialize(out.drop("salt"), "shard-homes")
+    homes = materialize(ranked.withColumn("rank", F.col("r") + F.col("base")).join(placed, "c").select("sha", hit.alias("shard"), "group_bytes"), "shard-groups-placed")
+    out = materialize(lookup(base, homes, "sha").withColumn("sub", F.pmod(F.xxhash64("doc_id"), F.lit(SUBS))), "shard-homes")
     # slots: rank inside (shard, sub) on top of the rows of the subs before
     before = out.groupBy("shard", "sub").agg(F.count(F.lit(1)).alias("n"))
     before = before.select("shard", "sub", (F.sum("n").over(Window.partitionBy("shard").orderBy("sub")) - F.col("n")).alias("base"))
