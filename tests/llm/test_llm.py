@@ -245,6 +245,29 @@ def test_toxicity_learns_and_scores_edges(spark, edge, empty):
     assert toxicity.fit(edge, labels.where("toxic is null")) is None
 
 
+def test_scores_are_those_of_single_windows():
+    r = random.Random(1)
+    vocab = ["".join(r.choice("abcdefghé") for _ in range(r.randint(1, 9))) for _ in range(300)]
+    texts = [" ".join(r.choice(vocab) for _ in range(n)) for n in (0, 1, 5, 63, 64, 65, 112, 113, 300, 1000)]
+    net = toxicity.train(texts, [i % 2 for i in range(len(texts))], epochs=1)
+    for t, s in zip(texts, net.score(pa.array(texts)), strict=True):
+        w = t.split()
+        begins = range(0, max(len(w) - toxicity.WIDTH, 0) + toxicity.STRIDE, toxicity.STRIDE) if w else [0]
+        alone = []
+        for b in begins:
+            one = Words(pa.array([" ".join(w[b : b + toxicity.WIDTH])]))
+            x, _ = net.inputs(one)
+            alone.append(float(net.forward(x, one.codes, np.array([0]), np.array([len(one.codes)]))[0]))
+        assert s == pytest.approx(max(alone), abs=1e-4)
+
+
+def test_toxicity_on_held_out_documents(spark):
+    d = "/root/testdata/sf0.1"
+    got = toxicity.op4_toxicity(spark, d).where("held_out").join(spark.read.parquet(f"{d}/labels.parquet").where("toxic is not null"), "doc_id").groupBy("toxic", "predicted").count().collect()
+    n = {(r["toxic"], r["predicted"]): r["count"] for r in got}
+    assert n[1, 1] >= 0.9 * (n[1, 1] + n.get((1, 0), 0)) and n[0, 0] >= 0.93 * (n[0, 0] + n.get((0, 1), 0)), n
+
+
 # --- SimHash
 
 
@@ -426,6 +449,27 @@ def test_language_spans_and_scripts(spark, edge, empty):
     assert {r["lang_pred"] for r in langid.identify(edge, langid.fit(empty)).collect()} == {"und"}
 
 
+def test_language_of_held_out_documents(spark):
+    d = "/root/testdata/sf0.01"
+    got = langid.op7_langid(spark, d).where("held_out").join(spark.read.parquet(f"{d}/documents.parquet").where("lang is not null"), "doc_id")
+    right, n = got.where("lang_pred <> 'und'").select(F.sum((F.col("lang") == F.col("lang_pred")).cast("int")), F.count("*")).head()
+    assert n > 250 and right >= 0.98 * n
+
+
+def test_language_of_mixed_texts():
+    """Spans of two languages, word by word, against where they were put together."""
+    rows = [(r["text"], r["lang"]) for r in pq.read_table("/root/testdata/sf0.01/documents.parquet").to_pylist() if r["text"] and r["lang"] and len(r["text"].split()) >= 60]
+    model = langid.Model.fit([t for t, _ in rows[100:]], [k for _, k in rows[100:]])
+    right = total = 0
+    for (a, x), (b, y) in zip(rows[:100:2], rows[1:100:2], strict=True):
+        parts = a.split()[:30], b.split()[:30]
+        _, _, w, marks = langid.label(model, pa.array([" ".join(parts[0] + parts[1])]))
+        want = [x] * 30 + [y] * 30
+        right += sum(model.langs[m] == k for m, k in zip(marks, want, strict=True))
+        total += 60
+    assert right >= 0.95 * total
+
+
 # --- personal data
 
 
