@@ -336,6 +336,59 @@ def test_links_through_rows_without_an_id(spark):
     assert {(x["doc_id"], x["fingerprint"]): x["component_id"] for x in got} == want and len(got) == len(rows)
 
 
+def alike(rows):
+    """Groups of (id, text) that are linked by five-word similarities of 0.8 or more, by comparing all pairs: the smallest id of each row's."""
+    sets = [shingles(t) for _, t in rows]
+    root = list(range(len(rows)))
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    holds = {}
+    for i, s in enumerate(sets):
+        for x in s or {None}:
+            holds.setdefault(x, []).append(i)
+    pairs = {(a, b) for v in holds.values() for i, a in enumerate(v) for b in v[:i]}
+    for a, b in pairs:
+        n = len(sets[a] & sets[b])
+        if n >= 0.8 * (len(sets[a]) + len(sets[b]) - n) - 1e-9:
+            root[max(top(a), top(b))] = min(top(a), top(b))
+    least = {}
+    for i, (d, _) in enumerate(rows):
+        least[top(i)] = min(least.get(top(i), d), d)
+    return [least[top(i)] for i in range(len(rows))]
+
+
+def test_similar_components(spark, edge, empty):
+    r = random.Random(10)
+    vocab = [f"w{i}" for i in range(500)]
+    rows = []
+    for _ in range(120):
+        text = [r.choice(vocab) for _ in range(r.randint(1, 400))]
+        rows.append((len(rows), " ".join(text)))
+        for _ in range(r.randint(0, 4)):
+            copy = [r.choice(vocab) if r.random() < r.choice([0, 0.01, 0.02, 0.1]) else w for w in text]
+            rows.append((len(rows), " ".join(copy).upper()))
+    rows += [(1000 + i, t) for i, t in enumerate(["", None, " \n", "one", "One"])]
+    got = dict(map(tuple, simhash.similar_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()))
+    want = dict(zip([d for d, _ in rows], alike(rows), strict=True))
+    assert len(got) == len(rows)
+    linked = [d for d in want if want[d] != d]
+    assert all(want[got[d]] == want[d] for d in got) and sum(got[d] == want[d] for d in linked) >= 0.9 * len(linked) and len(linked) > 50
+    assert {got[d] for d in (1000, 1001, 1002)} == {1000} and got[1004] == 1003
+    assert simhash.similar_components(empty).count() == 0 and simhash.similar_components(edge.where("doc_id is not null")).count() == len(EDGE) - 1
+
+
+def test_similar_documents_are_found(spark):
+    rows = [(r["doc_id"], r["text"]) for r in pq.read_table("/root/testdata/sf0.01/documents.parquet").to_pylist()]
+    got = dict(map(tuple, simhash.similar_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()))
+    want = dict(zip([d for d, _ in rows], alike(rows), strict=True))
+    linked = [d for d in want if want[d] != d]
+    assert all(want[got[d]] == want[d] for d in got) and sum(got[d] == want[d] for d in linked) >= 0.95 * len(linked)
+
+
 def test_golay_code_is_perfect():
     x = np.random.default_rng(0).integers(0, 1 << 23, 500)
     _, _, excess = simhash.cover().near(x)
@@ -723,25 +776,12 @@ def test_pipeline_against_brute_force(spark, data, tmp_path):
     assert sorted(map(repr, got)) == sorted(repr(d) for d in docs if re.search(r"[^\W\d_]", d[1] or ""))
     docs = got
 
-    fps = {t: fp_of(t) for _, t, *_ in docs}
-    left, groups = set(fps.values()), []
-    while left:
-        group, todo = set(), [left.pop()]
-        while todo:
-            f = todo.pop()
-            group.add(f)
-            near = {g for g in left if (f ^ g).bit_count() <= 3}
-            left -= near
-            todo += near
-        groups.append(group)
-    home = {f: i for i, g in enumerate(groups) for f in g}
-    least = {}
+    least, home = {}, dict(zip([d[1] for d in docs], alike([(i, d[1]) for i, d in enumerate(docs)]), strict=True))
     for d in docs:
-        k = home[fps[d[1]]]
-        least[k] = min(least.get(k, (True, 0)), (d[0] is None, d[0] or 0))
+        least[home[d[1]]] = min(least.get(home[d[1]], (True, 0)), (d[0] is None, d[0] or 0))
     rows = spark.createDataFrame(docs, rows.schema)
     got = [tuple(x) for x in corpus_pipeline.near_duplicates(spark, rows, str(tmp_path)).collect()]
-    assert sorted(home[fps[d[1]]] for d in got) == sorted(least) and all((d[0] is None, d[0] or 0) == least[home[fps[d[1]]]] for d in got) and set(got) <= set(docs)
+    assert sorted(home[d[1]] for d in got) == sorted(least) and all((d[0] is None, d[0] or 0) == least[home[d[1]]] for d in got) and set(got) <= set(docs)
     docs = got
 
     rows = spark.createDataFrame(docs, rows.schema)
