@@ -3,16 +3,23 @@
 Both sides are dealt into blocks; every pair of blocks meets in one task, which multiplies the two
 matrices and keeps the best k of each query; a ranking over at most k rows per query and block
 ends it. Top-k is decomposable, so the result is exact, and no task holds more than two blocks.
+Blocks are as large as ``BLOCK_BYTES`` allows, since each side is sent once for every block of the other, but small
+enough to keep the cluster's cores busy; a side of one block is all that the other is sent for once.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-BLOCK = 8192
+#: Bytes of a block's vectors, rows of the smallest block that is worth a task, and scores that are held at once.
+BLOCK_BYTES = 64 << 20
+LEAST = 1024
+SCORES = 1 << 22
 
 
 def matrix(column) -> np.ndarray:
@@ -28,9 +35,10 @@ def best_of(ids_q, q, ids_c, c, k: int, exclude_self: bool):
     order = np.argsort(ids_c, kind="stable")
     ids_c, c = ids_c[order], c[order]
     out = []
-    for i in range(0, len(ids_q), 1024):
-        s = q[i : i + 1024] @ c.T
-        own = ids_q[i : i + 1024]
+    step = max(1, min(1024, SCORES // max(len(c), 1)))
+    for i in range(0, len(ids_q), step):
+        s = q[i : i + step] @ c.T
+        own = ids_q[i : i + step]
         if exclude_self:
             s[own[:, None] == ids_c[None]] = -np.inf
         m = min(k, s.shape[1])
@@ -46,11 +54,16 @@ def best_of(ids_q, q, ids_c, c, k: int, exclude_self: bool):
     return [np.concatenate(x) for x in zip(*out, strict=True)]
 
 
-def topk_join(queries: DataFrame, corpus: DataFrame, k: int = 10, id_col: str = "vec_id", vec_col: str = "embedding", exclude_self: bool = False, block: int = BLOCK) -> DataFrame:
+def topk_join(queries: DataFrame, corpus: DataFrame, k: int = 10, id_col: str = "vec_id", vec_col: str = "embedding", exclude_self: bool = False, block: int | None = None) -> DataFrame:
     """(anchor_id, neighbor_id, rank, sim): the k highest dot products of every query against all of corpus."""
     side = lambda df: df.where(F.col(vec_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("v"))
     q, c = side(queries), side(corpus)
-    bq, bc = (max(1, -(-df.count() // block)) for df in (queries, corpus))
+    nq, nc = q.count(), c.count()
+    if block is None:
+        one = c.select(F.size("v")).head()
+        cores = queries.sparkSession.sparkContext.defaultParallelism
+        block = max(1, min(BLOCK_BYTES // (8 * max(one[0] if one else 1, 1)), max(LEAST, math.ceil(max(nq, nc) / math.sqrt(2 * cores)))))
+    bq, bc = (max(1, -(-n // block)) for n in (nq, nc))
     deal = lambda df, n, other, own, far: df.withColumn(own, F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")).withColumn(far, F.explode(F.sequence(F.lit(0), F.lit(other - 1))))
     left, right = deal(q, bq, bc, "bq", "bc"), deal(c, bc, bq, "bc", "bq")
 
