@@ -21,4 +21,4 @@ def queries():
 
 
 def oracle_sql():
-    return {"op1_mixing": mixing.SQL, "op3_exact_dedup": exact_dedup.SQL, "op6_chat": chat.SQL, "op9_decontamination": decontaminate.SQL}
+    return {"op1_mixing": mixing.SQL, "op3_exact_dedup": exact_dedup.SQL, "op6_chat": chat.SQL, "op9_decontamination": decontaminate.SQL, "op10_suffix_dedup": suffix_dedup.SQL}

@@ -472,3 +472,23 @@ def suffix_dedup(docs: DataFrame, id_col="doc_id", text_col="text", texts: bool
 
 def op10_suffix_dedup(spark, sf_dir) -> DataFrame:
     return suffix_dedup(table(spark, sf_dir, "documents"))
+
+
+#: Every string of fifty bytes, as hexadecimal digits; texts are cut into chunks that overlap, so that cutting one string is cheap.
+SQL = """
+WITH d AS (
+  SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents
+), p AS (
+  SELECT doc_id, n, c * 1000 AS a, substr(h, 2000 * c + 1, 2098) AS h FROM d, LATERAL (SELECT unnest(range(0, greatest((n + 950) // 1000, 0))) AS c) WHERE n >= 50
+), w AS (
+  SELECT doc_id, a + i AS pos, substr(h, 2 * i + 1, 100) AS s FROM p, LATERAL (SELECT unnest(range(0, least(1000, length(h) // 2 - 49))) AS i)
+), m AS (SELECT s, min(doc_id) AS low FROM w GROUP BY s HAVING min(doc_id) < max(doc_id)),
+r AS (SELECT doc_id, pos, CASE WHEN pos <= lag(pos) OVER (PARTITION BY doc_id ORDER BY pos) + 50 THEN 0 ELSE 1 END AS new FROM w JOIN m USING (s) WHERE doc_id > low),
+g AS (SELECT doc_id, pos, sum(new) OVER (PARTITION BY doc_id ORDER BY pos) AS k FROM r),
+x AS (SELECT doc_id, k, min(pos) AS a, max(pos) + 50 AS b FROM g GROUP BY ALL),
+y AS (SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS z FROM x),
+k AS (
+  SELECT y.doc_id, sum(b - a) AS n_removed, count(*) AS n_spans, string_agg(substr(h, 2 * z + 1, 2 * (a - z)), '' ORDER BY a) || substr(any_value(h), 2 * max(b) + 1) AS rest FROM y JOIN d USING (doc_id) GROUP BY 1
+)
+SELECT d.doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(rest, h))) AS kept_sha256 FROM d LEFT JOIN k USING (doc_id)
+"""

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from corvane.llm import chat, components, decontaminate, exact_dedup, langid, mixing, pii, sharding, simhash, suffix_dedup, toxicity
+from corvane.llm import chat, components, decontaminate, exact_dedup, langid, mixing, pii, queries, sharding, simhash, suffix_dedup, toxicity
 from corvane.llm.tokens import Words
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size string, h int, salt int, t int, mark int, score int, first int, kept int"
@@ -820,6 +820,18 @@ def test_pipeline_deletes_what_it_no_longer_needs(spark, data):
     assert out.count() > 0 and [x.split("-")[1] for x in set(os.listdir(folder)) - before] == ["sharded"]
 
 
+@pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
+def test_queries_as_in_sql(spark, data, name):
+    con = duckdb.connect()
+    for t in ("documents", "benchmark", "conversations"):
+        con.execute(f"create view {t} as select * from '{data}/{t}.parquet'")
+    cur = con.execute(queries.oracle_sql()[name])
+    names = [x[0] for x in cur.description]
+    want = sorted((tuple(x) for x in cur.fetchall()), key=repr)
+    df = queries.queries()[name](spark, data)
+    assert sorted(df.columns) == sorted(names) and sorted((tuple(x) for x in df.select(*names).collect()), key=repr) == want
+
+
 def test_registered_queries(spark, data):
     import __spark_entry__ as e
 
