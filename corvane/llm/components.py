@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import discard, materialize
 
 
 def _star(both: DataFrame, large: bool) -> DataFrame:
@@ -32,7 +32,8 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     while True:
         both = e.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(e.select(F.col("b").alias("u"), F.col("a").alias("v")))
         big = _star(both, True)
-        e = materialize(_star(big.select(F.col("a").alias("u"), F.col("b").alias("v")), False), "cc")
+        last, e = e, materialize(_star(big.select(F.col("a").alias("u"), F.col("b").alias("v")), False), "cc")
+        discard(last)
         now = e.agg(sign).head()[0]
         if now == seen:
             break
