@@ -12,7 +12,8 @@ the digits or the sign that its kind can't be without.
 
 The field is trained piecewise in numpy, on the patterns' spans as labels, over at most ``SAMPLE`` documents of
 at most ``LONGEST`` bytes, drawn by a digest of id and text: a softmax for the words' own shape, smoothed log-odds of label
-pairs for chain edges, and one log-odds of equal against unequal labels for skip edges. A number that is long enough for a card
+pairs for chain edges, and one log-odds of equal against unequal labels for skip edges. As few documents repeat such words,
+training also reads each document once more with altered copies of its base spans behind it, whose signs are others. A number that is long enough for a card
 and fails only the check digit teaches nothing, rather than that it is none. Everything else covers
 all words of all texts.
 
@@ -44,8 +45,6 @@ SETTLED = 1e-3
 ROUNDS = 1000
 #: Letters and digits that words need to be joined by skip edges unless they hold four groups of digits.
 SAME = 7
-#: Skip edges with equal labels, to one with unequal ones, that training begins from.
-PRIOR = 1e5
 FEATURES = 96
 LOCAL = re.compile(r"[A-Za-z0-9._%+-]")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -200,6 +199,20 @@ def _soft(x):
     return x / x.sum(axis=1, keepdims=True)
 
 
+def altered(text: str):
+    """(text, spans): the text and, behind it, its one-word base spans with other signs between their letters and digits; the spans of both."""
+    spans = base_spans(text)
+    out, more = text, []
+    for sign in "-/":
+        for s, e, k in spans:
+            word = text[s:e]
+            new = re.sub(r"[^0-9A-Za-z@]", sign, word)
+            if new != word and not TOKEN.sub("", word):
+                more.append((len(out) + 5, len(out) + 5 + len(new), k))
+                out += f"\nsee {new} too"
+    return out, sorted(spans + more)
+
+
 class Field:
     def __init__(self, weights, chain, skip):
         self.weights, self.chain, self.skip = weights, chain, skip
@@ -207,7 +220,8 @@ class Field:
     @classmethod
     def fit(cls, texts, steps: int = 300, rate: float = 0.5):
         labels = len(ALL) + 1
-        nodes = Nodes(texts, [base_spans(t) for t in texts])
+        twice = [(t, base_spans(t)) for t in texts] + [altered(t) for t in texts]
+        nodes = Nodes([t for t, _ in twice], [b for _, b in twice])
         y = np.maximum(nodes.known, 0)
         w = np.zeros((FEATURES, labels))
         if not len(y):
@@ -232,7 +246,7 @@ class Field:
 
         told = nodes.skip[heard[nodes.skip].all(axis=1)]
         equal = int((y[told[:, 0]] == y[told[:, 1]]).sum())
-        bond = np.log((equal + PRIOR) / (len(told) - equal + 1))
+        bond = np.log((equal + 1) / (len(told) - equal + 1))
         return cls(w, pairs(nodes.chain[heard[nodes.chain].all(axis=1)]), bond * np.eye(labels))
 
     def marginals(self, nodes: Nodes, rounds: int = ROUNDS) -> np.ndarray:

@@ -546,7 +546,7 @@ def test_base_spans():
 
 
 def test_repeated_words_share_labels():
-    texts = ["call +1 555 123 4567 now"] * 3 + ["card 4111 1111 1111 1111 and", "host 10.0.0.1 up, see 10.0.0.1", "room 12 of 345 on 2024-11-05 as [12-34-56-78] and 99"] * 3
+    texts = ["call +1 555 123 4567 now", "card 4111 1111 1111 1111 and", "host 10.0.0.1 up, see 10.0.0.1"] * 300 + ["room 12 of 345 on 2024-11-05 as [12-34-56-78] and 99"] * 3
     field = pii.Field.fit(texts)
     base, more = field.find(["host 10.11.12.13 is up and [10-11-12-13] is the same"])
     assert base == [[(5, 16, 1)]] and (28, 39, 1) in more[0]
@@ -590,7 +590,7 @@ def test_messages_give_exact_marginals_on_trees(text):
 
 #: Texts with whole spans labelled by hand.
 HAND = [
-    ("Write to [jane.roe@example.org] or jane.roe(@)example.org today", [(10, 30, 0), (35, 56, 0)]),
+    ("Write to [jane.roe@example.org] or jane.roe(@)example.org today", [(10, 30, 0), (35, 57, 0)]),
     ("card 4111 1111 1111 1111 was charged", [(5, 24, 2)]),
     ("card 4111111111111112 has a slip of the pen", [(5, 21, 2)]),
     ("the number 5500005555555550 again", [(11, 27, 2)]),
