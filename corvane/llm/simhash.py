@@ -19,7 +19,7 @@ about 300 copies are moved.
 fingerprint of shingles differs in some ten bits, beyond any cover of use. So it takes ``TABLES`` fingerprints of word pairs,
 which change less, under hashes of their own, searches the cover over the 46 bits that anchors are made of, and checks what is found on the
 shingles themselves. Every text is checked against one other for each table and group found there, never all
-pairs. At sf0.1 four tables find 0.97 of the pairs that are alike by 0.8 or more, and 3 pairs of a million others.
+pairs. At sf0.1 four tables find 0.97 of the pairs that are alike by 0.8 or more, and each table 3 of a million other pairs.
 
 Defined results: a null or wordless text has fingerprint zero and links like any other; a row of null
 id links like any other and has the smallest id that it reaches (null if it reaches none); repeated
