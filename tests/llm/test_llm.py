@@ -245,6 +245,12 @@ def test_toxicity_learns_and_scores_edges(spark, edge, empty):
     assert toxicity.fit(edge, labels.where("toxic is null")) is None
 
 
+def test_shift_of_the_output():
+    y, s = np.array([0, 0, 0, 0, 1, 1]), np.array([0.1, 0.6, 0.7, 0.8, 0.95, 0.99])
+    assert 1.4 < toxicity.shift(y, s) < 2.95
+    assert toxicity.shift(y[:4], s[:4]) == 0
+
+
 def test_scores_are_those_of_single_windows():
     r = random.Random(1)
     vocab = ["".join(r.choice("abcdefghé") for _ in range(r.randint(1, 9))) for _ in range(300)]
@@ -265,7 +271,7 @@ def test_toxicity_on_held_out_documents(spark):
     d = "/root/testdata/sf0.1"
     got = toxicity.op4_toxicity(spark, d).where("held_out").join(spark.read.parquet(f"{d}/labels.parquet").where("toxic is not null"), "doc_id").groupBy("toxic", "predicted").count().collect()
     n = {(r["toxic"], r["predicted"]): r["count"] for r in got}
-    assert n[1, 1] >= 0.9 * (n[1, 1] + n.get((1, 0), 0)) and n[0, 0] >= 0.93 * (n[0, 0] + n.get((0, 1), 0)), n
+    assert n[1, 1] >= 0.9 * (n[1, 1] + n.get((1, 0), 0)) and n[0, 0] >= 0.97 * (n[0, 0] + n.get((0, 1), 0)), n
 
 
 # --- SimHash
