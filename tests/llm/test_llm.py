@@ -742,7 +742,7 @@ def test_pipeline_on_edges(spark, edge, empty, bench, tmp_path):
     bench.write.parquet(str(tmp_path / "benchmark.parquet"))
     for name, docs in (("edge", edge.select(*corpus_pipeline.COLUMNS)), ("empty", empty.select(*corpus_pipeline.COLUMNS))):
         for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
-            out = stage(spark, docs, str(tmp_path))
+            out = stage(spark, docs.withColumns({c: F.lit(1) for c in ("key", "slot", "size", "taken", "first", "component_id", "t")}), str(tmp_path))
             if k < 4:
                 assert out.columns == list(corpus_pipeline.COLUMNS)
             out.write.parquet(str(tmp_path / name / str(k)))
