@@ -13,11 +13,12 @@ import math
 from dataclasses import dataclass, replace
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .fits import _zca_matrix
-from .knn import matrix
+from .knn import matrix, self_knn
 from .projector import Projector, Step
 
 
@@ -180,8 +181,8 @@ class Adam:
         return w * (1 - lr * decay) - lr * (self.m / (1 - 0.9**self.t)) / (np.sqrt(self.v / (1 - 0.999**self.t)) + 1e-8)
 
 
-def train(xw: np.ndarray, rank: int, p: Protocol, seed: int = 42) -> np.ndarray:
-    """W for whitened unit rows."""
+def train(xw: np.ndarray, rank: int, p: Protocol, seed: int = 42, search=neighbours) -> np.ndarray:
+    """W for whitened unit rows; search finds the nearest others of each row."""
     rng = np.random.default_rng(seed)
     n, d = xw.shape
     r = min(rank, d)
@@ -194,7 +195,7 @@ def train(xw: np.ndarray, rank: int, p: Protocol, seed: int = 42) -> np.ndarray:
     for turn in range(p.refine + 1):
         idx = sim = None
         if p.positives == "knn":
-            idx, sim = neighbours(xw if turn == 0 else unit(xw @ best), p.k)
+            idx, sim = search(xw if turn == 0 else unit(xw @ best), p.k)
         w = best if turn else w
         if turn and p.restart:
             adam, bank, at, since = Adam(w.shape), np.zeros((0, r)), 0, 0
@@ -233,6 +234,21 @@ def train(xw: np.ndarray, rank: int, p: Protocol, seed: int = 42) -> np.ndarray:
     return best
 
 
+#: Fit rows above which their neighbours are searched in Spark, since that is quadratic.
+ALONE = 8192
+
+
+def spark_neighbours(spark, x: np.ndarray, k: int):
+    """As neighbours, by the block top-k join; at most limit rows of k neighbours come back."""
+    k = max(1, min(k, len(x) - 1))
+    flat = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * x.shape[1], pa.int32()), pa.array(x.ravel()))
+    got = self_knn(spark.createDataFrame(pa.table({"vec_id": pa.array(np.arange(len(x))), "embedding": flat})), k).toArrow()
+    at = got.column("anchor_id").to_numpy() * k + got.column("rank").to_numpy() - 1
+    idx, sim = np.zeros(len(x) * k, np.int64), np.zeros(len(x) * k)
+    idx[at], sim[at] = got.column("neighbor_id").to_numpy(), got.column("sim").to_numpy()
+    return idx.reshape(-1, k), sim.reshape(-1, k)
+
+
 def fit_rows(df: DataFrame, vec: str, id_col: str, limit: int) -> np.ndarray:
     """The vectors, in id order; of more than limit ones, a sample of limit rows drawn over the whole table by a digest of the id.
 
@@ -252,7 +268,8 @@ def contrastive(df: DataFrame, r: int, vec: str = "embedding", id_col: str = "ve
     xc = x - mu
     s = _zca_matrix(xc.T @ xc / max(len(x) - 1, 1)) if whiten else np.eye(x.shape[1])
     xw = unit(xc @ s)
-    w = train(xw, r, p, seed)
+    far = {"search": lambda y, k: spark_neighbours(df.sparkSession, y, k)} if len(x) > ALONE else {}
+    w = train(xw, r, p, seed, **far)
     params = {"protocol": protocol, "variant": variant, "seed": str(seed)}
     if protocol == "annealed":
         y = xc @ s @ w

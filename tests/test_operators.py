@@ -190,6 +190,12 @@ def test_workloads_have_all_their_parts(spark, data, monkeypatch):
     assert {"spearman", "ndcg10"} == {r["metric_name"] for r in workloads.regularizer_audit(spark, data).select("metric_name").collect()} and len(seen) == 21
 
 
+def test_neighbours_by_spark(spark):
+    x = con.unit(np.random.default_rng(4).normal(size=(300, 5)))
+    for a, b in zip(con.neighbours(x, 7), con.spark_neighbours(spark, x, 7), strict=True):
+        assert np.allclose(a, b)
+
+
 def test_neighbours_are_those_of_a_stable_sort():
     x = np.random.default_rng(2).integers(0, 3, (60, 4)).astype(float)  # many ties
     s = x @ x.T
