@@ -208,8 +208,9 @@ def fit(docs: DataFrame, id_col="doc_id", text_col="text", lang_col="lang", samp
     names = [r["lang"] for r in langs.collect()]
     per = max(1, sample // max(1, len(names)))
     wide = rows.where(F.col("lang").isin(names)).withColumn("mark", mark)
-    # one bounded top list per language and bucket, then one per language: no language fills a task
-    first = wide.withColumn("r", F.row_number().over(Window.partitionBy("lang", F.pmod("mark", F.lit(64))).orderBy("mark", "doc_id"))).where(F.col("r") <= per)
+    # one bounded top list per language and bucket, four times as long as its share of the sample, then one per language: no language fills a task
+    few = min(per, per // 16 + 16)
+    first = wide.withColumn("r", F.row_number().over(Window.partitionBy("lang", F.pmod("mark", F.lit(64))).orderBy("mark", "doc_id"))).where(F.col("r") <= few)
     ids = first.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("mark", "doc_id"))).where(F.col("r") <= per).select("doc_id").distinct()
     got = told.where(F.col(lang_col).isin(names)).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     got = got.join(F.broadcast(ids), "doc_id", "left_semi").select("text", "lang").toLocalIterator()  # at most sample rows
