@@ -118,19 +118,20 @@ def loss_and_gradient(x, w, temperature, p: Protocol, bank=None):
     size = np.maximum(np.linalg.norm(y, axis=1, keepdims=True), 1e-12)
     z = y / size
     pos = (np.arange(n) + n // 2) % n
-    s = z @ z.T / temperature
-    np.fill_diagonal(s, -np.inf)
-    own = s[np.arange(n), pos].copy()
-    s[np.arange(n), pos] = -np.inf
-    if bank is not None and len(bank):
-        s = np.concatenate([s, z @ bank.T / temperature], axis=1)
     rows = np.arange(n)
-    if p.hard and p.hard < s.shape[1] - 1:
-        # only the hardest negatives count, so all that follows is n x hard
-        col = _hardest(s, p.hard)
-        s = np.take_along_axis(s, col, axis=1)
+    own = (z * z[pos]).sum(axis=1) / temperature
+    every = z if bank is None or not len(bank) else np.concatenate([z, bank])
+    if p.hard and p.hard < len(every) - 1:
+        # single precision is enough to find the hardest negatives; all that follows is n x hard, on exact values
+        rough = z.astype(np.float32) @ every.T.astype(np.float32)
+        rough[rows, rows] = rough[rows, pos] = -np.inf
+        col = _hardest(rough, p.hard)
+        s = np.einsum("nr,nhr->nh", z, every[col]) / temperature
+        s[(col == rows[:, None]) | (col == pos[:, None])] = -np.inf
     else:
         col = None
+        s = z @ every.T / temperature
+        s[rows, rows] = s[rows, pos] = -np.inf
     top = np.maximum(own, s.max(axis=1))
     e = np.exp(s - top[:, None])
     total = e.sum(axis=1) + np.exp(own - top)

@@ -170,18 +170,11 @@ def test_registered_fits_use_the_protocols_own_settings(spark, data, monkeypatch
     assert seen == [p for p in con.PROTOCOLS.values() for _ in range(2)]
 
 
-def test_workloads_have_all_their_parts(spark, data, monkeypatch):
+def test_workloads_train_all_variants_and_seeds(spark, data, monkeypatch):
     from corvane.plans import workloads
 
     seen = []
     monkeypatch.setattr(con, "train", lambda xw, rank, p, seed=42: seen.append((p, seed)) or np.eye(xw.shape[1], rank))
-    assert {r["dataset"] for r in workloads.mined_precision(spark, data).collect()} == {"sts", "search"}
-    cross = workloads.cross_dataset(spark, data).collect()
-    assert len(cross) == 10 and {("sts", "search", "ndcg10"), ("search", "sts", "spearman"), ("search", "cqa-low", "ndcg10")} <= {(r["train_dataset"], r["test_dataset"], r["metric_name"]) for r in cross}
-    layers = workloads.layer_selection(spark, data).collect()
-    assert sum(r["method"] == "base" for r in layers) == 8
-    assert {("last", "mean"), ("second_last", "mean")} <= {(r["layer_name"], r["pooling"]) for r in layers if r["method"] == "contrastive:annealed"}
-    seen.clear()
     assert workloads.component_ablation(spark, data).count() == 12 and len({p for p, _ in seen}) == 7
     seen.clear()
     emb = workloads.vectors(spark, data)
