@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 #: Bytes of a block's vectors, rows of the smallest block that is worth a task, and scores that are held at once.
 BLOCK_BYTES = 64 << 20
-LEAST = 1024
+LEAST = 4096
 SCORES = 1 << 22
 
 
@@ -58,11 +58,13 @@ def topk_join(queries: DataFrame, corpus: DataFrame, k: int = 10, id_col: str =
     """(anchor_id, neighbor_id, rank, sim): the k highest dot products of every query against all of corpus."""
     side = lambda df: df.where(F.col(vec_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("v"))
     q, c = side(queries), side(corpus)
-    nq, nc = q.count(), c.count()
+    nq, nc = queries.count(), corpus.count()
     if block is None:
-        one = c.select(F.size("v")).head()
         cores = queries.sparkSession.sparkContext.defaultParallelism
-        block = max(1, min(BLOCK_BYTES // (8 * max(one[0] if one else 1, 1)), max(LEAST, math.ceil(max(nq, nc) / math.sqrt(2 * cores)))))
+        block = max(LEAST, math.ceil(max(nq, nc) / math.sqrt(2 * cores)))
+        if block > LEAST or max(nq, nc) > LEAST:
+            one = c.select(F.size("v")).head()
+            block = max(1, min(block, BLOCK_BYTES // (8 * max(one[0] if one else 1, 1))))
     bq, bc = (max(1, -(-n // block)) for n in (nq, nc))
     deal = lambda df, n, other, own, far: df.withColumn(own, F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")).withColumn(far, F.explode(F.sequence(F.lit(0), F.lit(other - 1))))
     left, right = deal(q, bq, bc, "bq", "bc"), deal(c, bc, bq, "bc", "bq")

@@ -11,12 +11,19 @@ from ..sources.stage import staged
 NAN = float("nan")
 
 
-def cumulative(df: DataFrame, col: str, pieces: int = 256) -> DataFrame:
+#: Rows whose distinct values may be summed up in one task.
+FEW = 1 << 16
+
+
+def cumulative(df: DataFrame, col: str, pieces: int = 256, rows: int | None = None) -> DataFrame:
     """(_v, _n, _upto): each value of col, its number of rows, and the rows up to it.
 
     Values are counted first and summed inside value ranges on top of the ranges' totals, so neither
-    ties nor the whole table meet in one task.
+    ties nor the whole table meet in one task; a table that is known to have FEW rows at most needs no ranges.
     """
+    if rows is not None and rows <= FEW:
+        counts = df.where(F.col(col).isNotNull()).groupBy(F.col(col).alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
+        return counts.select("_v", "_n", F.sum("_n").over(Window.orderBy("_v")).alias("_upto"))
     cuts = df.approxQuantile(col, [i / pieces for i in range(1, pieces)], 0.01) if df.schema[col].dataType.simpleString() != "string" else []
     counts = df.where(F.col(col).isNotNull()).groupBy(F.col(col).alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
     bounds = F.array(*[F.lit(float(c)) for c in sorted(set(cuts))]) if cuts else F.array().cast("array<double>")
@@ -36,9 +43,9 @@ def average_ranks(df: DataFrame, col: str, out: str, pieces: int = 256) -> DataF
 def spearman(df: DataFrame, a: str, b: str) -> DataFrame:
     """One row: spearman, times 100; NaN where a side is constant. The pairs are written once, since ranking reads them several times."""
     pairs = staged(df.select(F.col(a).alias("_a"), F.col(b).alias("_b_")).where("_a is not null and _b_ is not null"), "pairs")
-    both = pairs
+    both, n = pairs, pairs.count()
     for c, r in (("_a", "_ra"), ("_b_", "_rb")):
-        ranks = cumulative(pairs, c).select(F.col("_v").alias(f"{r}v"), (F.col("_upto") - (F.col("_n") - 1) / 2.0).alias(r))
+        ranks = cumulative(pairs, c, rows=n).select(F.col("_v").alias(f"{r}v"), (F.col("_upto") - (F.col("_n") - 1) / 2.0).alias(r))
         both = both.join(ranks, F.col(c) == F.col(f"{r}v"))
     # a constant side has no correlation
     r = F.try_divide(F.covar_pop("_ra", "_rb"), F.stddev_pop("_ra") * F.stddev_pop("_rb"))
@@ -114,7 +121,7 @@ def distribution(df: DataFrame, col: str) -> DataFrame:
         value = [F.max(F.when((F.col("_upto") - F.col("_n") <= k) & (F.col("_upto") > k), F.col("_v"))) for k in (low, min(low + 1, max(n - 1, 0)))]
         return nan(value[0] + (value[1] - value[0]) * (at - low))
 
-    spread = cumulative(x, "x").agg(quantile(0.5).alias("median"), quantile(0.25).alias("p25"), quantile(0.75).alias("p75"))
+    spread = cumulative(x, "x", rows=n).agg(quantile(0.5).alias("median"), quantile(0.25).alias("p25"), quantile(0.75).alias("p75"))
     share = lambda t: nan(F.avg((F.col("x") >= t).cast("double")) * 100)
     means = x.agg(nan(F.avg("x")).alias("mean"), share(4.0).alias("pct_ge_4_0"), share(4.5).alias("pct_ge_4_5"), F.count("x").alias("n"))
     return means.crossJoin(spread).select("mean", "median", "p25", "p75", "pct_ge_4_0", "pct_ge_4_5", "n")  # one row each

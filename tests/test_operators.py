@@ -196,6 +196,20 @@ def test_neighbours_are_those_of_a_stable_sort():
     assert np.array_equal(con.neighbours(x, 7, block=16)[0], np.argsort(-s, axis=1, kind="stable")[:, :7])
 
 
+@pytest.mark.parametrize("few", [0, 1 << 16])
+def test_ranges_and_one_task_agree(spark, monkeypatch, few):
+    from corvane.operators import metrics
+
+    monkeypatch.setattr(metrics, "FEW", few)
+    x = np.random.default_rng(5).integers(0, 60, 400) / 8
+    df = spark.createDataFrame([(float(v), float(v * v + i % 7)) for i, v in enumerate(x)], "x double, y double")
+    got = metrics.distribution(df, "x").head()
+    assert (got["median"], got["p25"], got["p75"], got["n"]) == (pytest.approx(np.median(x)), pytest.approx(np.percentile(x, 25)), pytest.approx(np.percentile(x, 75)), 400)
+    rank = lambda v: np.array([(v < a).sum() + ((v == a).sum() + 1) / 2 for a in v])
+    y = x * x + np.arange(400) % 7
+    assert metrics.spearman(df, "x", "y").head()[0] == pytest.approx(100 * np.corrcoef(rank(x), rank(y))[0, 1])
+
+
 def test_average_ranks(spark):
     rows = [3.0, 1.0, 3.0, 2.0, 3.0]
     df = metrics.average_ranks(spark.createDataFrame([(x,) for x in rows], "x double"), "x", "r")
