@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, exact_dedup, langid, mixing, pii, sharding, simhash, suffix_dedup, toxicity
+from . import chat, decontaminate, exact_dedup, fill_middle, langid, mixing, pii, sharding, simhash, suffix_dedup, toxicity
 
 
 def queries():
@@ -17,8 +17,9 @@ def queries():
         "op8_pii": pii.op8_pii,
         "op9_decontamination": decontaminate.op9_decontamination,
         "op10_suffix_dedup": suffix_dedup.op10_suffix_dedup,
+        "op13_fill_in_middle": fill_middle.op13_fill_in_middle,
     }
 
 
 def oracle_sql():
-    return {"op1_mixing": mixing.SQL, "op3_exact_dedup": exact_dedup.SQL, "op6_chat": chat.SQL, "op9_decontamination": decontaminate.SQL, "op10_suffix_dedup": suffix_dedup.SQL}
+    return {"op1_mixing": mixing.SQL, "op3_exact_dedup": exact_dedup.SQL, "op6_chat": chat.SQL, "op9_decontamination": decontaminate.SQL, "op10_suffix_dedup": suffix_dedup.SQL, "op13_fill_in_middle": fill_middle.SQL}
