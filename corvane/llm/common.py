@@ -60,6 +60,18 @@ def discard(*tables: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+@contextmanager
+def tidy(spark: SparkSession):
+    """Shuffle files of the jobs run inside go as soon as the job is over."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, "false")
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 #: A key is hot if it holds more than one part in this of all rows, and more than HOT_ROWS of them.
 HOT_SHARE = 1024
 HOT_ROWS = 1000

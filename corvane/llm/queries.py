@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import align, chat, decontaminate, exact_dedup, fill_middle, langid, mixing, pii, sharding, simhash, suffix_dedup, toxicity
+from . import align, chat, decontaminate, exact_dedup, fill_middle, langid, mixing, pii, sharding, signature_tree, simhash, suffix_dedup, toxicity
 
 
 def queries():
@@ -17,6 +17,7 @@ def queries():
         "op8_pii": pii.op8_pii,
         "op9_decontamination": decontaminate.op9_decontamination,
         "op10_suffix_dedup": suffix_dedup.op10_suffix_dedup,
+        "op11_jaccard_join": signature_tree.op11_jaccard_join,
         "op12_tokenizer_alignment": align.op12_tokenizer_alignment,
         "op13_fill_in_middle": fill_middle.op13_fill_in_middle,
     }
