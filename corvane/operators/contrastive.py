@@ -94,14 +94,16 @@ def neighbours(x: np.ndarray, k: int, block: int = 2048):
 
 
 def _hardest(s: np.ndarray, h: int) -> np.ndarray:
-    """Columns of each row's h largest values, in no order: those of blocks' maxima bound the h-th from below, so few values are compared."""
+    """Columns of each row's h largest values, in no order: the h-th largest of the maxima of sets of columns bounds the h-th from below, so few values are compared."""
     n, m = s.shape
-    block = m // (2 * h)
-    if block < 4:
-        return np.argpartition(-s, h - 1, axis=1)[:, :h]
-    whole = m // block * block
-    least = -np.partition(-s[:, :whole].reshape(n, -1, block).max(axis=2), h - 1, axis=1)[:, h - 1]
-    row, col = np.nonzero(s >= least[:, None])
+    if m < 8 * h:
+        return np.argpartition(s, m - h, axis=1)[:, m - h :]
+    sets = 2 * h
+    top = s[:, :sets].copy()
+    for a in range(sets, m - sets + 1, sets):  # a set is every so many columns, so that whole rows are compared at once
+        np.maximum(top, s[:, a : a + sets], out=top)
+    least = np.partition(top, h, axis=1)[:, h]
+    row, col = np.divmod(np.flatnonzero(s >= least[:, None]), m)
     first = np.searchsorted(row, np.arange(n + 1))
     wide = np.full((n, int(np.diff(first).max())), -np.inf)
     at = np.arange(len(row)) - first[row]
@@ -123,28 +125,31 @@ def loss_and_gradient(x, w, temperature, p: Protocol, bank=None):
     every = z if bank is None or not len(bank) else np.concatenate([z, bank])
     if p.hard and p.hard < len(every) - 1:
         # single precision is enough to find the hardest negatives; all that follows is n x hard, on exact values
-        rough = z.astype(np.float32) @ every.T.astype(np.float32)
+        rough = z.astype(np.float32, copy=False) @ every.T.astype(np.float32, copy=False)
         rough[rows, rows] = rough[rows, pos] = -np.inf
         col = _hardest(rough, p.hard)
-        s = np.einsum("nr,nhr->nh", z, every[col]) / temperature
+        hard = every[col]
+        s = np.matmul(hard, z[:, :, None])[:, :, 0] / temperature
         s[(col == rows[:, None]) | (col == pos[:, None])] = -np.inf
     else:
         col = None
-        s = z @ every.T / temperature
+        s = z @ every.T
+        s /= temperature
         s[rows, rows] = s[rows, pos] = -np.inf
-    top = np.maximum(own, s.max(axis=1))
-    e = np.exp(s - top[:, None])
-    total = e.sum(axis=1) + np.exp(own - top)
+    top = x.dtype.type(1 / temperature)  # no cosine is above 1
+    s -= top
+    g = np.exp(s, out=s)
+    total = g.sum(axis=1) + np.exp(own - top)
     loss = float(np.mean(top + np.log(total) - own))
-    g = e / total[:, None] / n
+    g *= (1 / (n * total))[:, None]
     if col is None:
         inner, outer = g[:, :n], g[:, n:]
         dz = outer @ bank / temperature if outer.shape[1] else 0.0
     else:
         near = col < n
-        inner = np.zeros((n, n))
+        inner = np.zeros((n, n), x.dtype)
         inner[np.nonzero(near)[0], col[near]] = g[near]
-        dz = np.einsum("nh,nhr->nr", np.where(near, 0.0, g), bank[np.where(near, 0, col - n)]) / temperature if bank is not None and len(bank) else 0.0
+        dz = np.matmul(np.where(near, x.dtype.type(0), g)[:, None], hard)[:, 0] / temperature
     inner[rows, pos] = (np.exp(own - top) / total - 1) / n
     dz = dz + (inner + inner.T) @ z / temperature
     zc = z - z.mean(axis=0)
@@ -173,7 +178,7 @@ def loss_and_gradient(x, w, temperature, p: Protocol, bank=None):
 
 class Adam:
     def __init__(self, shape):
-        self.m, self.v, self.t = np.zeros(shape), np.zeros(shape), 0
+        self.m, self.v, self.t = np.zeros(shape, np.float32), np.zeros(shape, np.float32), 0
 
     def step(self, w, g, lr, decay):
         self.t += 1
@@ -182,24 +187,26 @@ class Adam:
         return w * (1 - lr * decay) - lr * (self.m / (1 - 0.9**self.t)) / (np.sqrt(self.v / (1 - 0.999**self.t)) + 1e-8)
 
 
-def train(xw: np.ndarray, rank: int, p: Protocol, seed: int = 42, search=neighbours) -> np.ndarray:
-    """W for whitened unit rows; search finds the nearest others of each row."""
+def train(xw: np.ndarray, rank: int, p: Protocol, seed: int = 42, search=neighbours, first=None) -> np.ndarray:
+    """W for whitened unit rows, in single precision; search finds the nearest others of each row, first has those of the rows as they are."""
     rng = np.random.default_rng(seed)
+    xw = xw.astype(np.float32, copy=False)
     n, d = xw.shape
     r = min(rank, d)
-    w = rng.normal(size=(d, r)) / math.sqrt(d)
+    w = (rng.normal(size=(d, r)) / math.sqrt(d)).astype(np.float32)
     batch = p.batch or max(64, min(1024, n // 64))
     steps = p.steps or min(160, max(100, math.ceil(n / (2 * batch))))
     span = p.epochs * steps
     best, best_loss, since, at = w, math.inf, 0, 0
-    adam, bank = Adam(w.shape), np.zeros((0, r))
+    least = math.inf  # of this round, where rounds are counted by themselves
+    adam, bank = Adam(w.shape), np.zeros((0, r), np.float32)
     for turn in range(p.refine + 1):
         idx = sim = None
         if p.positives == "knn":
-            idx, sim = search(xw if turn == 0 else unit(xw @ best), p.k)
+            idx, sim = first if turn == 0 and first is not None else search(xw if turn == 0 else unit(xw @ best), p.k)
         w = best if turn else w
         if turn and p.restart:
-            adam, bank, at, since = Adam(w.shape), np.zeros((0, r)), 0, 0
+            adam, bank, at, since, least = Adam(w.shape), np.zeros((0, r), np.float32), 0, 0, math.inf
         for _ in range(p.epochs):
             total = 0.0
             for _ in range(steps):
@@ -209,7 +216,7 @@ def train(xw: np.ndarray, rank: int, p: Protocol, seed: int = 42, search=neighbo
                 temp = p.temperature_end + 0.5 * (p.temperature - p.temperature_end) * (1 + math.cos(math.pi * at / max(1, span - 1)))
                 a = rng.integers(0, n, batch)
                 if p.positives == "noise":
-                    other = unit(xw[a] + p.sigma * rng.normal(size=(batch, d)))
+                    other = unit(xw[a] + p.sigma * rng.normal(size=(batch, d)).astype(np.float32))
                 elif p.positives == "random":
                     other = xw[rng.integers(0, n, batch)]
                 elif p.positives == "same":
@@ -226,8 +233,10 @@ def train(xw: np.ndarray, rank: int, p: Protocol, seed: int = 42, search=neighbo
                 if p.retract and at % p.retract == 0:
                     w = np.linalg.qr(w)[0]
                 total += loss
-            if total / steps + 1e-6 < best_loss:
-                best, best_loss, since = w.copy(), total / steps, 0
+            if total / steps + 1e-6 < least:
+                least, since = total / steps, 0
+                if least < best_loss:
+                    best, best_loss = w.copy(), least
             else:
                 since += 1
                 if since >= p.patience:
@@ -261,18 +270,31 @@ def fit_rows(df: DataFrame, vec: str, id_col: str, limit: int) -> np.ndarray:
     return matrix(drawn.orderBy("id").toArrow().column("v"))
 
 
+class Sample:
+    """The whitened rows that learned fits train on (see ``fit_rows``), and the projector that a trained matrix makes."""
+
+    def __init__(self, df: DataFrame, vec: str = "embedding", id_col: str = "vec_id", whiten: bool = True, limit: int = 50_000):
+        self.spark = df.sparkSession
+        x = fit_rows(df, vec, id_col, limit)
+        self.mu = x.mean(axis=0)
+        self.centred = x - self.mu
+        self.s = _zca_matrix(self.centred.T @ self.centred / max(len(x) - 1, 1)) if whiten else np.eye(x.shape[1])
+        self.unit = unit(self.centred @ self.s).astype(np.float32)
+
+    def neighbours(self, k: int):
+        """Of few rows here, of many in Spark."""
+        return neighbours(self.unit, k) if len(self.unit) <= ALONE else spark_neighbours(self.spark, self.unit, k)
+
+    def projector(self, w: np.ndarray, protocol: str, variant: str = "full", seed: int = 42) -> Projector:
+        params = {"protocol": protocol, "variant": variant, "seed": str(seed)}
+        if protocol == "annealed":
+            y = self.centred @ self.s @ w
+            return Projector("contrastive", [Step(self.s @ w, self.mu, y.mean(axis=0), np.maximum(y.std(axis=0, ddof=1), 1e-6), "add")], params)
+        return Projector("contrastive", [Step(self.s, self.mu, norm="clamp"), Step(w, None, (self.unit @ w).mean(axis=0))], params)
+
+
 def contrastive(df: DataFrame, r: int, vec: str = "embedding", id_col: str = "vec_id", protocol: str = "annealed", variant: str = "full", seed: int = 42, whiten: bool = True, limit: int = 50_000, **over) -> Projector:
-    """Learned projection, fitted to at most limit rows (see ``fit_rows``); over replaces single settings of the protocol."""
-    p = replace(PROTOCOLS[protocol], **(VARIANTS[variant] | over))
-    x = fit_rows(df, vec, id_col, limit)
-    mu = x.mean(axis=0)
-    xc = x - mu
-    s = _zca_matrix(xc.T @ xc / max(len(x) - 1, 1)) if whiten else np.eye(x.shape[1])
-    xw = unit(xc @ s)
-    far = {"search": lambda y, k: spark_neighbours(df.sparkSession, y, k)} if len(x) > ALONE else {}
-    w = train(xw, r, p, seed, **far)
-    params = {"protocol": protocol, "variant": variant, "seed": str(seed)}
-    if protocol == "annealed":
-        y = xc @ s @ w
-        return Projector("contrastive", [Step(s @ w, mu, y.mean(axis=0), np.maximum(y.std(axis=0, ddof=1), 1e-6), "add")], params)
-    return Projector("contrastive", [Step(s, mu, norm="clamp"), Step(w, None, (xw @ w).mean(axis=0))], params)
+    """Learned projection, fitted to at most limit rows (see ``fit_rows``) in a task; over replaces single settings of the protocol."""
+    from .grid import Job, fit_grid
+
+    return next(iter(fit_grid({0: df}, [Job(0, r, protocol, variant, seed, tuple(sorted(over.items())))], vec, id_col, whiten, limit).values()))

@@ -71,10 +71,13 @@ class Projector:
 
         return df.mapInArrow(run, schema)
 
-    def save(self, spark: SparkSession, path: str) -> None:
+    def rows(self) -> list[tuple]:
+        """A row of SCHEMA for each step."""
         row = lambda a: None if a is None else np.asarray(a, float).ravel().tolist()
-        rows = [(self.name, i, len(s.w), s.w.shape[1], row(s.w), row(s.mu_in), row(s.mu_out), row(s.std_out), s.norm, self.params) for i, s in enumerate(self.steps)]
-        spark.createDataFrame(rows, SCHEMA).coalesce(1).write.mode("overwrite").parquet(path)
+        return [(self.name, i, len(s.w), s.w.shape[1], row(s.w), row(s.mu_in), row(s.mu_out), row(s.std_out), s.norm, self.params) for i, s in enumerate(self.steps)]
+
+    def save(self, spark: SparkSession, path: str) -> None:
+        spark.createDataFrame(self.rows(), SCHEMA).coalesce(1).write.mode("overwrite").parquet(path)
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> Projector:

@@ -9,8 +9,6 @@ document of the same language and source is relevant.
 
 from __future__ import annotations
 
-import os
-from concurrent.futures import ThreadPoolExecutor
 from dataclasses import replace
 from functools import reduce
 
@@ -20,8 +18,8 @@ from pyspark.sql import functions as F
 
 from ..functions.text import jaccard
 from ..operators import metrics
-from ..operators.contrastive import contrastive
-from ..operators.fits import FITTERS, condition_number, zca
+from ..operators.fits import FITTERS, condition_number
+from ..operators.grid import Job, fit_grid
 from ..operators.knn import self_knn, topk_join
 from ..sources import cache
 from ..sources.encoders import Encoder
@@ -67,12 +65,23 @@ def label_qrels(emb: DataFrame) -> DataFrame:
     return q.join(emb.select(F.col("vec_id").alias("corpus_id"), "label"), F.col("l") == F.col("label")).where("query_id <> corpus_id").select("query_id", "corpus_id")
 
 
+def fit_all(samples: dict[str, DataFrame], wants) -> list:
+    """Projections of wants, (sample, method, rank, seed, settings): a closed form by name, or contrastive with a protocol and a variant ('contrastive:banked:no_qr') and single settings of the protocol. All learned ones are one grid of tasks; closed forms are fitted once each."""
+    jobs, known = {}, {}
+    for i, (sample, method, r, seed, over) in enumerate(wants):
+        name, *more = method.split(":")
+        if name == "contrastive":
+            jobs[i] = Job(sample, r, more[0] if more else "annealed", more[1] if len(more) > 1 else "full", seed, tuple(sorted(over.items())))
+    learned = fit_grid(samples, list(jobs.values()))
+    for i, (sample, method, r, _, _) in enumerate(wants):
+        if i not in jobs and (sample, method, r) not in known:
+            known[sample, method, r] = FITTERS[method](samples[sample], r or 0)
+    return [learned[jobs[i]] if i in jobs else known[w[:3]] for i, w in enumerate(wants)]
+
+
 def fitted(method: str, emb: DataFrame, r: int, seed: int = 42, **over):
-    """Projection by name: a closed form, or contrastive with a protocol and a variant ('contrastive:banked:no_qr'); over replaces single settings of the protocol."""
-    name, *more = method.split(":")
-    if name == "contrastive":
-        return contrastive(emb, r, protocol=more[0] if more else "annealed", variant=more[1] if len(more) > 1 else "full", seed=seed, **over)
-    return FITTERS[name](emb, r)
+    """One projection, see ``fit_all``."""
+    return fit_all({"all": emb}, [("all", method, r, seed, over)])[0]
 
 
 def _row(df: DataFrame, method: str, r: int | None, metric: str, value: str, seed: int | None = None, **more) -> DataFrame:
@@ -94,21 +103,27 @@ def search(emb: DataFrame, model, k: int = 10) -> DataFrame:
     return metrics.retrieval_means(metrics.retrieval(topk_join(queries_of(z), z, k), label_qrels(emb), k))
 
 
-def _fits(emb: DataFrame, methods, dims, seeds):
-    """(method, dimension, seed, model) of a table's rows. Learned ones, which train on one core each, are trained side by side. Full-dimensional ones are fitted once; learned methods alone take several seeds."""
-    jobs = [(m, r, s) for m in methods for r in (dims if m not in ("base", "zca", "abtt") else [None]) for s in (seeds if m.startswith("contrastive") else [None])]
-    with ThreadPoolExecutor(max(1, min(8, (os.cpu_count() or 1) - 1))) as pool:
-        late = {j: pool.submit(fitted, j[0], emb, j[1] or 0, j[2]) for j in jobs if j[2] is not None}
-        return [(*j, late[j].result() if j in late else fitted(j[0], emb, j[1] or 0)) for j in jobs]
+def _fits(samples: dict[str, DataFrame], methods, dims, seeds) -> list[tuple]:
+    """(sample, method, dimension, seed, model) of a table's rows. Full-dimensional methods are fitted once; learned ones alone take several seeds."""
+    wants = [(x, m, r, s, {}) for x in samples for m in methods for r in (dims if m not in ("base", "zca", "abtt") else [None]) for s in (seeds if m.startswith("contrastive") else [None])]
+    return [(*w[:4], f) for w, f in zip(wants, fit_all(samples, wants), strict=True)]
+
+
+def _table(score, samples: dict[str, DataFrame], methods, dims, seeds, metric: str, value: str, tag: str | None = None, **more) -> DataFrame:
+    """One row per sample, method, dimension and seed; tag names the column of the sample."""
+    rows = [_row(score(x, f), m, r, metric, value, s, **more, **({tag: x} if tag else {})) for x, m, r, s, f in _fits(samples, methods, dims, seeds)]
+    return _all(rows)
 
 
-def correlation_table(emb: DataFrame, methods, dims, seeds=SEEDS, pairs: DataFrame | None = None) -> DataFrame:
-    """One row per method, dimension and seed."""
-    return _all([_row(correlation(emb, f, pairs), m, r, "spearman", "spearman", s) for m, r, s, f in _fits(emb, methods, dims, seeds)])
+def correlation_table(emb: DataFrame | dict[str, DataFrame], methods, dims, seeds=SEEDS, pairs: DataFrame | None = None, tag: str | None = None) -> DataFrame:
+    """One row per method, dimension and seed, of one table of vectors or of several by name."""
+    samples = emb if isinstance(emb, dict) else {"all": emb}
+    return _table(lambda x, f: correlation(samples[x], f, pairs), samples, methods, dims, seeds, "spearman", "spearman", tag)
 
 
-def search_table(emb: DataFrame, methods, dims, seeds=SEEDS) -> DataFrame:
-    return _all([_row(search(emb, f), m, r, "ndcg10", "ndcg", s, recall_at_10=F.bround("recall", 4)) for m, r, s, f in _fits(emb, methods, dims, seeds)])
+def search_table(emb: DataFrame | dict[str, DataFrame], methods, dims, seeds=SEEDS, tag: str | None = None) -> DataFrame:
+    samples = emb if isinstance(emb, dict) else {"all": emb}
+    return _table(lambda x, f: search(samples[x], f), samples, methods, dims, seeds, "ndcg10", "ndcg", tag, recall_at_10=F.bround("recall", 4))
 
 
 # --- encoded documents
@@ -146,7 +161,7 @@ def sts_baselines(spark, sf_dir, methods=("base", "abtt", "lpp", "random", "abtt
 
 def abtt_table(spark, sf_dir, methods=("base", "abtt", "pca", "abtt_pca", "zca", "contrastive:annealed"), dims=(16,), seeds=SEEDS):
     emb = vectors(spark, sf_dir)
-    rows = [(m, r, s, correlation(emb, f), search(emb, f)) for m, r, s, f in _fits(emb, methods, dims, seeds)]
+    rows = [(m, r, s, correlation(emb, f), search(emb, f)) for _, m, r, s, f in _fits({"all": emb}, methods, dims, seeds)]
     return _all([x for m, r, s, c, n in rows for x in (_row(c, m, r, "spearman", "spearman", s), _row(n, m, r, "ndcg10", "ndcg", s, recall_at_10=F.bround("recall", 4)))])
 
 
@@ -157,8 +172,8 @@ def quora_main(spark, sf_dir, methods=("base", "pca", "soft_exp", "zca_topr", "r
 def cqadupstack(spark, sf_dir, methods=("base", "abtt", "zca", "pca", "abtt_pca", "contrastive:annealed"), dims=(16,), seeds=SEEDS):
     """Three sub-collections (labels 0 to 2, 3 to 5, and the others) and averages over complete groups."""
     emb = vectors(spark, sf_dir)
-    sets = (("low", "label < 3"), ("middle", "label between 3 and 5"), ("high", "label > 5"))
-    every = staged(_all([search_table(emb.where(cond), methods, dims, seeds).withColumn("dataset", F.lit(name)) for name, cond in sets]), "cqa")
+    sets = {"low": "label < 3", "middle": "label between 3 and 5", "high": "label > 5"}
+    every = staged(search_table({n: emb.where(c) for n, c in sets.items()}, methods, dims, seeds, "dataset"), "cqa")
     mean = metrics.complete_average(every, ["method", "r", "metric_name"], "dataset", "metric_value", len(sets))
     return every.select("dataset", "method", "r", "seed", "metric_value").unionByName(mean.select(F.lit("average").alias("dataset"), "method", "r", F.lit(None).cast("int").alias("seed"), F.round("average", 4).alias("metric_value")))
 
@@ -166,8 +181,8 @@ def cqadupstack(spark, sf_dir, methods=("base", "abtt", "zca", "pca", "abtt_pca"
 def sts_suite(spark, sf_dir, methods=("base", "abtt", "zca", "pca", "random", "contrastive:annealed"), dims=(16,), seeds=LATER):
     """Six sub-collections by label, and averages over complete groups."""
     emb = vectors(spark, sf_dir)
-    sets = [(f"set{i}", F.floor(F.col("vec_id") / 2) % 6 == i) for i in range(6)]
-    every = staged(_all([correlation_table(emb.where(cond), methods, dims, seeds).withColumn("dataset", F.lit(name)) for name, cond in sets]), "suite")
+    sets = {f"set{i}": emb.where(F.floor(F.col("vec_id") / 2) % 6 == i) for i in range(6)}
+    every = staged(correlation_table(sets, methods, dims, seeds, tag="dataset"), "suite")
     mean = metrics.complete_average(every, ["method", "r"], "dataset", "metric_value", len(sets))
     return every.select("dataset", "method", "r", "seed", "metric_value").unionByName(mean.select(F.lit("average").alias("dataset"), "method", "r", F.lit(None).cast("int").alias("seed"), F.round("average", 4).alias("metric_value")))
 
@@ -175,18 +190,16 @@ def sts_suite(spark, sf_dir, methods=("base", "abtt", "zca", "pca", "random", "c
 def prompt_sources(spark, sf_dir, methods=("base", "contrastive:annealed"), dims=(8,), seeds=LATER):
     """Correlation of every source of vectors; the plain one alone is searched as well, as in the protocol."""
     pairs = staged(document_pairs(spark, sf_dir), "pairs")
-    rows = []
-    for name, encoder in PROMPTS.items():
-        emb = encoded(spark, sf_dir, encoder)
-        rows.append(correlation_table(emb, methods, dims, seeds, pairs).withColumn("embedding_type", F.lit(name)))
-        if name == "mean_pool":
-            rows.append(search_table(emb, methods, dims, seeds).withColumn("embedding_type", F.lit(name)))
-    return _all(rows)
+    sources = {name: encoded(spark, sf_dir, e) for name, e in PROMPTS.items()}
+    fits = _fits(sources, methods, dims, seeds)
+    rows = [_row(correlation(sources[x], f, pairs), m, r, "spearman", "spearman", s, embedding_type=x) for x, m, r, s, f in fits]
+    plain = [_row(search(sources[x], f), m, r, "ndcg10", "ndcg", s, recall_at_10=F.bround("recall", 4), embedding_type=x) for x, m, r, s, f in fits if x == "mean_pool"]
+    return _all(rows + plain)
 
 
 def pooling_variants(spark, sf_dir, methods=("base", "pca", "zca", "contrastive:annealed"), dims=(8,), seeds=LATER):
     pairs = staged(document_pairs(spark, sf_dir), "pairs")
-    return _all([correlation_table(encoded(spark, sf_dir, e), methods, dims, seeds, pairs).withColumn("pooling", F.lit(p)) for p, e in POOLINGS.items()])
+    return correlation_table({p: encoded(spark, sf_dir, e) for p, e in POOLINGS.items()}, methods, dims, seeds, pairs, "pooling")
 
 
 def layer_selection(spark, sf_dir, methods=("contrastive:annealed",), dims=(8,), seeds=LATER):
@@ -199,7 +212,7 @@ def layer_selection(spark, sf_dir, methods=("contrastive:annealed",), dims=(8,),
     value = {(row["layer_name"], row["pooling"]): row["metric_value"] for row in base.collect()}  # eight rows
     best = max(at, key=lambda x: value[x])
     picked = list(dict.fromkeys([("last", "mean"), ("second_last", "mean"), best]))
-    learned = _all([tag(correlation_table(emb[x], methods, dims, seeds, pairs), *x) for x in picked])
+    learned = _all([tag(_row(correlation(emb[x], f, pairs), m, r, "spearman", "spearman", s), *x) for x, m, r, s, f in _fits({x: emb[x] for x in picked}, methods, dims, seeds)])
     top = base.where((F.col("layer_name") == best[0]) & (F.col("pooling") == best[1])).withColumn("method", F.lit("best"))
     return _all([base, top, learned]).select("method", "layer_name", "layer_idx", "pooling", "r", "seed", "metric_value")
 
@@ -209,7 +222,7 @@ def echo_whitening(spark, sf_dir, methods=("base", "zca", "pca", "zca_topr", "co
     return correlation_table(encoded(spark, sf_dir, PROMPTS["Echo_mean"]), methods, dims, seeds, staged(document_pairs(spark, sf_dir), "pairs")).withColumn("embedding_type", F.lit("Echo_mean"))
 
 
-def cross_dataset(spark, sf_dir):
+def cross_dataset(spark, sf_dir, methods=("pca", "contrastive:annealed"), dims=(16,), seeds=LATER):
     """Transfer against refit and base, by the mean over seeds; each model is trained once.
 
     Pairs to pairs: fitted on labels below 5, tested on the others. Across tasks, the pairs of labels below 5 (sts) and
@@ -218,72 +231,83 @@ def cross_dataset(spark, sf_dir):
     emb = vectors(spark, sf_dir)
     sets = {"sts": emb.where("label < 5"), "search": emb.where("label >= 5"), "cqa-low": emb.where("label < 3"), "cqa-high": emb.where("label in (3, 4)")}
     tests = [("sts", "search", "spearman"), ("sts", "search", "ndcg10"), ("search", "sts", "spearman"), ("search", "cqa-low", "ndcg10"), ("search", "cqa-high", "ndcg10")]
+    fits = _fits(sets, methods, dims, seeds)
+    model = {(x, m, r, s): f for x, m, r, s, f in fits}
+    base = dict(zip(sets, fit_all(sets, [(x, "base", None, None, {}) for x in sets]), strict=True))
     rows = []
-    for m in ("pca", "contrastive:annealed"):
-        seeds = LATER if m.startswith("contrastive") else (None,)
-        model = {(d, s): fitted(m, x, 16, 42 if s is None else s) for d, x in sets.items() for s in seeds}
+    for m, r, s in dict.fromkeys(f[1:4] for f in fits):
         for train, test, metric in tests:
-            score = correlation if metric == "spearman" else search
-            value = "spearman" if metric == "spearman" else "ndcg"
-            for s in seeds:
-                for mode, f in (("transfer", model[train, s]), ("refit", model[test, s])):
-                    rows.append(_row(score(sets[test], f), m, 16, metric, value, s, fit_mode=mode, train_dataset=train, test_dataset=test))
-            rows.append(_row(score(sets[test], fitted("base", sets[test], 0)), m, 16, metric, value, None, fit_mode="base", train_dataset=train, test_dataset=test))
+            score, value = (correlation, "spearman") if metric == "spearman" else (search, "ndcg")
+            modes = {"transfer": model[train, m, r, s], "refit": model[test, m, r, s]} | ({"base": base[test]} if s in (None, seeds[0]) else {})
+            rows += [_row(score(sets[test], f), m, r, metric, value, None if mode == "base" else s, fit_mode=mode, train_dataset=train, test_dataset=test) for mode, f in modes.items()]
     by = ["method", "r", "train_dataset", "test_dataset", "metric_name"]
     return metrics.transfer(metrics.seed_summary(_all(rows), [*by, "fit_mode"], "metric_value"), by, "fit_mode", "mean")
 
 
-def positive_search(spark, sf_dir):
+#: How positives are found, by name: settings of the protocol.
+POSITIVES = {"random": {"positives": "random"}, "noise": {"positives": "noise"}, "knn1": {"k": 1}, "knn5": {"k": 5}, "knn10": {"k": 10}, "knn40": {"k": 40}}
+
+
+def positive_search(spark, sf_dir, methods=tuple(POSITIVES), dims=(16,), seeds=LATER):
+    """Search by the way that positives are found, and the gap to random ones."""
     emb = vectors(spark, sf_dir)
-    rows = []
-    for name, over in (("random", {"positives": "random"}), ("noise", {"positives": "noise"}), ("knn1", {"k": 1}), ("knn5", {"k": 5}), ("knn10", {"k": 10}), ("knn40", {"k": 40})):
-        per = _all([_row(search(emb, fitted("contrastive:annealed", emb, 16, s, **over)), name, 16, "ndcg10", "ndcg", s) for s in LATER])
-        rows.append(metrics.seed_summary(per, ["method", "r"], "metric_value"))
-    return metrics.gap_to(_all(rows), ["r"], "method", "random", "mean", "std")
+    wants = [(name, r, s) for name in dict.fromkeys(("random", *methods)) for r in dims for s in seeds]
+    fits = fit_all({"all": emb}, [("all", "contrastive:annealed", r, s, POSITIVES[name]) for name, r, s in wants])
+    per = _all([_row(search(emb, f), name, r, "ndcg10", "ndcg", s) for (name, r, s), f in zip(wants, fits, strict=True)])
+    return metrics.gap_to(metrics.seed_summary(per, ["method", "r"], "metric_value"), ["r"], "method", "random", "mean", "std")
+
+
+#: Spaces that neighbours are mined in, by name.
+SPACES = {"raw": "base", "zca": "zca", "contrastive": "contrastive:annealed"}
 
 
-def spaces(emb: DataFrame, r: int = 16):
-    return {"raw": fitted("base", emb, 0), "zca": zca(emb), "contrastive": fitted("contrastive:annealed", emb, r)}
+def spaces(emb: DataFrame, methods=tuple(SPACES), dims=(16,), seeds=SEEDS[:1]) -> dict:
+    """Projection by the name of its space; a space with several dimensions or seeds is named by them."""
+    fits = _fits({"all": emb}, [SPACES.get(m, m) for m in methods], dims, seeds)
+    names = {v: k for k, v in SPACES.items()}
+    many = len(dims) > 1 or len(seeds) > 1
+    return {":".join([names.get(m, m), *(str(v) for v in (r, s) if many and v is not None)]): f for _, m, r, s, f in fits}
 
 
-def mined_precision(spark, sf_dir):
+def mined_precision(spark, sf_dir, methods=tuple(SPACES), dims=(16,), seeds=SEEDS[:1]):
     """Neighbours among the pairs' own vectors against gold partners, and of the queries among all vectors against judgments."""
     emb = vectors(spark, sf_dir)
     gold = metrics.gold_partners(scored_pairs(emb), 4.0)
     judged = label_qrels(emb).select(F.col("query_id").alias("anchor"), F.col("corpus_id").alias("partner"))
     rows = []
-    for s, m in spaces(emb).items():
+    for s, m in spaces(emb, methods, dims, seeds).items():
         z = m.transform(emb)
         for name, found, partners in (("sts", self_knn(z, 10), gold), ("search", topk_join(queries_of(z), z, 10), judged)):
             rows.append(metrics.mined_precision(found, partners, 10, 0.0 if name == "sts" else -2.0).select(F.lit(name).alias("dataset"), F.lit(s).alias("space"), *[F.round(c, 4).alias(c) for c in ("precision", "recall", "hit_rate")], "n"))
     return _all(rows)
 
 
-def neighbor_scores(spark, sf_dir):
+def neighbor_scores(spark, sf_dir, methods=tuple(SPACES), dims=(16,), seeds=SEEDS[:1]):
     emb = vectors(spark, sf_dir)
     gold = metrics.last_wins(scored_pairs(emb).withColumn("ord", F.col("a")), "a", "b", "gold", "ord")
-    return _all([metrics.distribution(metrics.mined_scores(self_knn(m.transform(emb), 40), gold), "score").select(F.lit(s).alias("space"), "*") for s, m in spaces(emb).items()])
+    return _all([metrics.distribution(metrics.mined_scores(self_knn(m.transform(emb), 40), gold), "score").select(F.lit(s).alias("space"), "*") for s, m in spaces(emb, methods, dims, seeds).items()])
 
 
-def regularizer_audit(spark, sf_dir):
-    """Correlation with diagnostics, and search, of each variant and seed."""
+def regularizer_audit(spark, sf_dir, methods=("full", "no_cov", "no_orth", "no_both", "no_hardneg", "no_qr", "no_refinement"), dims=(16,), seeds=SEEDS):
+    """Correlation with diagnostics, and search, of each variant and seed; methods are variants of the annealed protocol."""
     emb, rows = vectors(spark, sf_dir), []
-    for v in ("full", "no_cov", "no_orth", "no_both", "no_hardneg", "no_qr", "no_refinement"):
-        for s in SEEDS:
-            model = fitted(f"contrastive:annealed:{v}", emb, 16, s)
-            cond = F.lit(round(condition_number(model), 4))
-            sts = correlation(emb, model).crossJoin(metrics.geometry(model.transform(emb)))
-            rows.append(_row(sts, v, 16, "spearman", "spearman", s, cond_number=cond, **{c: F.round(c, 6) for c in ("offdiag_cov", "avg_feature_std", "anisotropy_mean")}))
-            rows.append(_row(search(emb, model), v, 16, "ndcg10", "ndcg", s, cond_number=cond))
+    for _, name, r, s, model in _fits({"all": emb}, [f"contrastive:annealed:{v}" for v in methods], dims, seeds):
+        v = name.rpartition(":")[2]
+        cond = F.lit(round(condition_number(model), 4))
+        sts = correlation(emb, model).crossJoin(metrics.geometry(model.transform(emb)))
+        rows.append(_row(sts, v, r, "spearman", "spearman", s, cond_number=cond, **{c: F.round(c, 6) for c in ("offdiag_cov", "avg_feature_std", "anisotropy_mean")}))
+        rows.append(_row(search(emb, model), v, r, "ndcg10", "ndcg", s, cond_number=cond))
     return _all(rows)
 
 
-def anisotropy_table(spark, sf_dir):
+def anisotropy_table(spark, sf_dir, methods=("base", "contrastive:annealed"), dims=(8, 16), seeds=SEEDS[:1]):
     emb = vectors(spark, sf_dir)
     pairs, rows = staged(similarity_pairs(emb), "pairs"), []
-    for name, model, r in [("base", fitted("base", emb, 0), 64)] + [("contrastive", fitted("contrastive:annealed", emb, r), r) for r in (8, 16)]:
+    for _, m, r, s, model in _fits({"all": emb}, methods, dims, seeds):
         z = model.transform(emb)
-        rows.append(metrics.anisotropy(z).crossJoin(metrics.self_similarity(z, pairs)).select(F.lit(name).alias("method"), F.lit(r).alias("dim"), F.round("anisotropy_mean", 6).alias("anisotropy_mean"), F.round("self_sim", 6).alias("self_sim")))
+        seed = {"seed": F.lit(s).cast("int")} if len(seeds) > 1 else {}
+        row = metrics.anisotropy(z).crossJoin(metrics.self_similarity(z, pairs))
+        rows.append(row.select(F.lit(m.partition(":")[0]).alias("method"), F.lit(r or model.steps[-1].w.shape[1]).alias("dim"), *[v.alias(k) for k, v in seed.items()], F.round("anisotropy_mean", 6).alias("anisotropy_mean"), F.round("self_sim", 6).alias("self_sim")))
     return _all(rows)
 
 

@@ -7,7 +7,7 @@ import duckdb
 import numpy as np
 import pytest
 
-from corvane.operators import contrastive
+from corvane.operators import grid
 from corvane.plans import catalog, workloads
 
 
@@ -49,8 +49,9 @@ def test_runs(spark, data, name, short):
 @pytest.fixture
 def short(monkeypatch):
     """Learned fits of a few steps, so that all workloads can be run; everything else is as registered."""
-    train = contrastive.train
-    monkeypatch.setattr(contrastive, "train", lambda xw, rank, p, seed=42: train(xw, rank, replace(p, epochs=1, steps=3, batch=32), seed))
+    train = grid._train
+    few = {"epochs": 1, "steps": 3, "batch": 32}
+    monkeypatch.setattr(grid, "_train", lambda samples, near, jobs: train(samples, near, [replace(j, over=tuple((dict(j.over) | few).items())) for j in jobs]))
 
 
 #: Rows of each workload: methods by dimensions, seeds, metrics, sets.

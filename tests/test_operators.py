@@ -1,6 +1,9 @@
 """Kernels against NumPy, and properties that hold for any input."""
 
+import os
+
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import Phase, given, settings
 from hypothesis import strategies as st
@@ -159,28 +162,107 @@ def test_fit_rows_are_drawn_over_the_whole_table(spark):
     assert np.array_equal(con.fit_rows(df, "embedding", "vec_id", 2000)[:, 0], np.arange(2000))
 
 
-def test_registered_fits_use_the_protocols_own_settings(spark, data, monkeypatch):
-    from corvane.plans import catalog, workloads
+@pytest.fixture
+def untrained(monkeypatch):
+    """Jobs of all grids, which give the first columns of the identity instead of being trained."""
+    from corvane.operators import grid
 
     seen = []
-    monkeypatch.setattr(con, "train", lambda xw, rank, p, seed=42: seen.append(p) or np.eye(xw.shape[1], rank))
+
+    def plan(samples, near, jobs):
+        seen.extend(jobs)
+
+        def run(batches):
+            for b in batches:
+                for i in b.column(0).to_pylist():
+                    w = np.eye(samples.value[jobs[i].sample].shape[1], jobs[i].rank)
+                    yield pa.RecordBatch.from_arrays([pa.array([i]), pa.array([jobs[i].rank], pa.int32()), pa.array([w.ravel().tolist()])], ["job", "r", "w"])
+
+        return run
+
+    monkeypatch.setattr(grid, "_train", plan)
+    return seen
+
+
+def test_registered_fits_use_the_protocols_own_settings(spark, data, untrained):
+    from corvane.plans import catalog, workloads
+
     for name in con.PROTOCOLS:
         catalog.Q[f"contrastive_{name}"](spark, data)
         workloads.fitted(f"contrastive:{name}", workloads.vectors(spark, data), 4)
-    assert seen == [p for p in con.PROTOCOLS.values() for _ in range(2)]
+    assert [j.settings() for j in untrained] == [p for p in con.PROTOCOLS.values() for _ in range(2)]
 
 
-def test_workloads_train_all_variants_and_seeds(spark, data, monkeypatch):
+def test_workloads_train_all_variants_and_seeds(spark, data, untrained):
+    from corvane.plans import workloads
+
+    assert workloads.component_ablation(spark, data).count() == 12 and len({j.settings() for j in untrained}) == 7
+    untrained.clear()
+    emb = workloads.vectors(spark, data)
+    assert {r["seed"] for r in workloads.correlation_table(emb, ["contrastive:annealed"], [4]).select("seed").collect()} == {j.seed for j in untrained} == {42, 43, 44}
+    untrained.clear()
+    assert {"spearman", "ndcg10"} == {r["metric_name"] for r in workloads.regularizer_audit(spark, data).select("metric_name").collect()} and len(untrained) == 21
+
+
+@pytest.mark.parametrize("name", ["cross_dataset", "positive_search", "mined_precision_spaces", "neighbor_scores_spaces", "regularizer_audit", "anisotropy_table"])
+def test_workloads_take_choices(spark, data, untrained, name):
+    from corvane.plans import workloads
+
+    methods = {"positive_search": ("knn5",), "regularizer_audit": ("no_qr",), "cross_dataset": ("contrastive:banked",), "mined_precision_spaces": ("contrastive",)}.get(name, ("contrastive:annealed",))
+    assert workloads.WORKLOADS[name](spark, data, methods=methods, dims=(4,), seeds=(5, 6)).count() > 0
+    assert {(j.rank, j.seed) for j in untrained} == {(4, 5), (4, 6)}
+
+
+def test_grid_gives_what_each_job_gives_alone(spark, data):
+    """Whole protocols, in tasks: a job's matrix doesn't depend on the others; equal jobs are one; the projector's rows are those of its parts."""
+    from corvane.operators.grid import Job, fit_grid, projector_rows
+    from corvane.plans import workloads
+
+    emb = workloads.vectors(spark, data)
+    samples = {"all": emb, "some": emb.where("label < 5")}
+    few = (("epochs", 2),)
+    jobs = [Job("all", 4, "annealed"), Job("all", 4, "annealed", seed=43), Job("some", 4, "annealed", over=few), Job("all", 4, "banked", over=few), Job("all", 4, "ablation", "random_pairs", over=few), Job("all", 4, "annealed")]
+    got = fit_grid(samples, jobs)
+    assert len(got) == 5
+    x = con.Sample(emb)
+    alone = x.projector(con.train(x.unit, 4, jobs[0].settings()), "annealed")
+    assert all(np.allclose(a.w, b.w, atol=1e-3) for a, b in zip(got[jobs[0]].steps, alone.steps, strict=True))
+    again = fit_grid(samples, jobs[2:4])
+    assert all(np.allclose(a.w, b.w, atol=1e-3) for j in jobs[2:4] for a, b in zip(got[j].steps, again[j].steps, strict=True))
+    assert not np.allclose(got[jobs[0]].steps[0].w, got[jobs[1]].steps[0].w, atol=1e-3)
+    rows = projector_rows(spark, got).collect()
+    assert len(rows) == 3 + 2 * 2 and {(r["sample"], r["protocol"], r["variant"], r["seed"]) for r in rows} == {(j.sample, j.protocol, j.variant, j.seed) for j in got}
+
+
+@pytest.mark.parametrize("protocol", sorted(con.PROTOCOLS))
+def test_whole_protocols_pull_neighbours_together(spark, data, protocol):
+    """What is learned beats a random projection of the same rank at what it is trained for: neighbours against others."""
     from corvane.plans import workloads
 
-    seen = []
-    monkeypatch.setattr(con, "train", lambda xw, rank, p, seed=42: seen.append((p, seed)) or np.eye(xw.shape[1], rank))
-    assert workloads.component_ablation(spark, data).count() == 12 and len({p for p, _ in seen}) == 7
-    seen.clear()
     emb = workloads.vectors(spark, data)
-    assert {r["seed"] for r in workloads.correlation_table(emb, ["contrastive:annealed"], [4]).select("seed").collect()} == {s for _, s in seen} == {42, 43, 44}
-    seen.clear()
-    assert {"spearman", "ndcg10"} == {r["metric_name"] for r in workloads.regularizer_audit(spark, data).select("metric_name").collect()} and len(seen) == 21
+    x = con.Sample(emb)
+    p = con.PROTOCOLS[protocol]
+    idx, _ = x.neighbours(10)
+
+    def gap(w):
+        z = con.unit(x.unit @ w)
+        s = z @ z.T
+        return np.take_along_axis(s, idx, axis=1).mean() - s.mean()
+
+    w = con.train(x.unit, 8, p)
+    r = np.random.default_rng(0)
+    random = [gap(np.linalg.qr(r.normal(size=(64, 8)))[0]) for _ in range(20)]
+    assert gap(w) > max(random) + 3 * np.std(random)
+
+
+def test_one_blas_thread():
+    """In a process of its own, as a worker is."""
+    import subprocess
+    import sys
+
+    code = "import numpy, os; from corvane.operators.threads import *; told = one_blas_thread(); a = numpy.ones((1500, 1500)); import time; w, c = time.time(), time.process_time(); [a @ a for _ in range(6)]; print(len(told), (time.process_time() - c) / (time.time() - w))"
+    told, cores = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True, cwd=os.path.dirname(os.path.dirname(os.path.abspath(__file__)))).stdout.split()
+    assert int(told) >= 1 and float(cores) < 1.3
 
 
 def test_neighbours_by_spark(spark):
