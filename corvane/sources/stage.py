@@ -4,13 +4,25 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir, or else the context's checkpoint folder. Without either, only a local session has one (in its warehouse); elsewhere it is an error."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        found = spark.sparkContext._jsc.sc().getCheckpointDir()
+        found = found.get() if found.isDefined() else None
+    if not found:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        found = f"{spark.conf.get('spark.sql.warehouse.dir')}/_shared"
+    return f"{found.rstrip('/')}/corvane"
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
-    """df written to the folder that the session shares (spark.checkpoint.dir, or else one in the warehouse) and read back."""
+    """df written to the shared folder and read back."""
     spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/_shared"
-    path = f"{folder.rstrip('/')}/corvane/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
