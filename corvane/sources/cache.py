@@ -50,6 +50,22 @@ def encode_missing(wanted: DataFrame, path: str, encoder: Encoder, source: str,
     return wanted.select("id").distinct().join(cached(spark, path, encoder, source, split), "id")
 
 
+def encode_layers(wanted: DataFrame, path: str, encoder: Encoder, layers, pools, source: str, split: str) -> None:
+    """Every layer and pooling of wanted (id, text) that the cache lacks, by one pass of the model over the texts that lack any."""
+    spark = wanted.sparkSession
+    outputs = [(layer, pool) for layer in layers for pool in pools]
+    lacking = wanted.select("id").distinct().withColumn("o", F.explode(F.array(*[F.struct(F.lit(layer).alias("layer"), F.lit(pool).alias("pool")) for layer, pool in outputs]))).select("id", "o.*")
+    have = [(o, cached(spark, path, replace(encoder, layer=o[0], pool=o[1]), source, split)) for o in outputs]
+    for (layer, pool), rows in have:
+        if rows is not None:
+            lacking = lacking.join(rows.select("id", F.lit(layer).alias("layer"), F.lit(pool).alias("pool")), ["id", "layer", "pool"], "left_anti")
+    lacking = staged(lacking, "lacking")
+    texts = wanted.dropDuplicates(["id"]).join(lacking.select("id").distinct(), "id", "left_semi")
+    rows = encoder.encode_many(texts.select("id", "text"), outputs).join(lacking, ["id", "layer", "pool"], "left_semi")
+    rows = rows.select("id", F.col("embedding").cast("array<float>").alias("embedding"), F.lit(encoder.name).alias("model"), F.lit(f"{source}-{encoder.template}").alias("source"), "layer", "pool", F.lit(split).alias("split"))
+    tables.write_embeddings(rows, path)
+
+
 def build_sts(spark: SparkSession, folder: str, path: str, encoder: Encoder) -> DataFrame:
     """Vectors of the distinct sentences of all three splits."""
     splits = [tables.read_pairs(spark, folder, s) for s in ("valid", "train", "test")]
@@ -61,9 +77,7 @@ def build_layers(spark: SparkSession, folder: str, path: str, encoder: Encoder,
     """Vectors of the fit and evaluation sentences at each layer and pooling; the evaluation part covers train and test, so that either can be read from it."""
     fit, pairs = tables.sts_pairs(spark, folder, "train+test")
     for split, texts in (("fit", fit), ("eval", tables.sentences(pairs))):
-        for layer in layers:
-            for pool in pools:
-                encode_missing(texts.select(F.col("text").alias("id"), "text"), path, replace(encoder, layer=layer, pool=pool), "layers", split)
+        encode_layers(texts.select(F.col("text").alias("id"), "text"), path, encoder, layers, pools, "layers", split)
 
 
 def _retrieval_tables(spark: SparkSession, folder: str):

@@ -1,7 +1,8 @@
 """Encoders: text to vectors, by a template, a model's token states, and a pooling.
 
-A model is any function from a list of texts to (states, mask), arrays of (texts, tokens, dims) and (texts, tokens); it is
-called on batches in Arrow workers. Where no model is given, token states are made from digests of the words,
+A model is any function from a list of texts to (states, mask), arrays of (texts, tokens, dims) and (texts, tokens); a
+model that gives all its layers returns states as (layers, texts, tokens, dims), of which an encoder takes its own. It is
+called on batches in Arrow workers, once for all layers and poolings that are asked for together. Where no model is given, token states are made from digests of the words,
 which has no meaning but all the structure: states differ by layer, depend on the word before, and are pooled like
 any other. These need no Python at all.
 """
@@ -53,6 +54,11 @@ def pooled(states: np.ndarray, mask: np.ndarray, pool: str) -> np.ndarray:
     return states[np.arange(len(states)), np.maximum(mask.sum(axis=1).astype(int) - back, 0)]
 
 
+def _unit(pool: str):
+    """Unit vector of token states, null without any."""
+    return lambda t: F.when(F.size(t) > 0, normalize_added(POOLS[pool](t)))
+
+
 @dataclass(frozen=True)
 class Encoder:
     name: str = "digest"
@@ -70,22 +76,41 @@ class Encoder:
         if self.model is None:
             v = POOLS[self.pool]("tokens")
             return self.tokens(df, text).withColumn(out, F.when(F.size("tokens") > 0, normalize_added(v))).drop("tokens")
-        model, template, pool = self.model, TEMPLATES[self.template], self.pool
-        source, names = df.columns.index(text), [c for c in df.columns if c != out]
+        one = self.encode_many(df, [(self.layer, self.pool)], text, out, missing=True)
+        return one.select(*[c for c in df.columns if c != out], out)
+
+    def encode_many(self, df: DataFrame, outputs: list[tuple[int, str]], text: str = "text", out: str = "embedding", missing: bool = False) -> DataFrame:
+        """df with layer, pool and out: a row for each text and output (layer, pooling), all of one pass of the model over each batch. Null and wordless texts are left out, or kept with null vectors on request."""
+        names = [c for c in df.columns if c not in (out, "layer", "pool")]
+        if self.model is None:
+            rows = []
+            for layer, pool in outputs:
+                tokens = digest_states(templated(TEMPLATES[self.template], text), layer)
+                rows.append(F.struct(F.lit(layer).alias("layer"), F.lit(pool).alias("pool"), let(tokens, _unit(pool)).alias(out)))
+            every = df.select(*names, F.explode(F.array(*rows)).alias("_o")).select(*names, "_o.*")
+            return every if missing else every.where(F.col(out).isNotNull())
+        model, template = self.model, TEMPLATES[self.template]
+        source = df.columns.index(text)
+        at = [df.columns.index(c) for c in names]
         kinds = {f.name: f.dataType.simpleString() for f in df.schema}
 
         def run(batches):
             for b in batches:
-                vectors: list = [None] * b.num_rows
                 texts = b.column(source).to_pylist()
                 full = [i for i, t in enumerate(texts) if t and t.strip()]
+                vectors: dict = {o: [None] * b.num_rows for o in outputs}
                 for k in range(0, len(full), BATCH):
                     part = full[k : k + BATCH]
-                    y = pooled(*model([template.replace("{sentence}", texts[i]) for i in part]), pool)
-                    y = y / (np.linalg.norm(y, axis=1, keepdims=True) + 1e-12)
-                    for i, row in zip(part, y.tolist(), strict=True):
-                        vectors[i] = row
-                cols = [b.column(df_index) for df_index in (b.schema.names.index(c) for c in names)]
-                yield pa.RecordBatch.from_arrays([*cols, pa.array(vectors, pa.list_(pa.float64()))], [*names, out])
-
-        return df.mapInArrow(run, ", ".join([*(f"`{c}` {kinds[c]}" for c in names), f"`{out}` array<double>"]))
+                    states, mask = model([template.replace("{sentence}", texts[i]) for i in part])
+                    for layer, pool in outputs:
+                        y = pooled(states if np.ndim(states) == 3 else states[layer], mask, pool)
+                        y = y / (np.linalg.norm(y, axis=1, keepdims=True) + 1e-12)
+                        for i, row in zip(part, y.tolist(), strict=True):
+                            vectors[layer, pool][i] = row
+                keep = pa.array(range(b.num_rows) if missing else full, pa.int64())
+                own = [b.column(i).take(keep) for i in at]
+                for layer, pool in outputs:
+                    n = len(keep)
+                    yield pa.RecordBatch.from_arrays([*own, pa.array([layer] * n, pa.int32()), pa.array([pool] * n, pa.string()), pa.array(vectors[layer, pool], pa.list_(pa.float64())).take(keep)], [*names, "layer", "pool", out])
+
+        return df.mapInArrow(run, ", ".join([*(f"`{c}` {kinds[c]}" for c in names), "layer int, pool string", f"`{out}` array<double>"]))
