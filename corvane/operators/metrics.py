@@ -64,6 +64,33 @@ def retrieval(ranked: DataFrame, qrels: DataFrame, k: int = 10) -> DataFrame:
     rel = qrels.select("query_id", "corpus_id").distinct()
     n = rel.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_rel"))
     hit = ranked.where(F.col("rank") <= k).join(rel, (F.col("anchor_id") == F.col("query_id")) & (F.col("neighbor_id") == F.col("corpus_id")))
+    return _retrieval(n, hit, k)
+
+
+def label_partners(queries: DataFrame, corpus: DataFrame, id_col: str = "vec_id", label: str = "label") -> DataFrame:
+    """(query_id, l, n_rel): how many others of corpus share a query's label, from counts by label; queries without any are left out."""
+    counts = corpus.groupBy(F.col(label).alias("l")).agg(F.count(F.lit(1)).alias("_n"))
+    own = queries.select(F.col(id_col).alias("query_id"), F.col(label).alias("l"))
+    mine = corpus.select(F.col(id_col).alias("query_id"), F.lit(1).alias("_own"))
+    n = own.join(counts, "l").join(mine, "query_id", "left").withColumn("n_rel", F.col("_n") - F.coalesce("_own", F.lit(0)))
+    return n.where("n_rel > 0").select("query_id", "l", "n_rel")
+
+
+def label_hits(ranked: DataFrame, partners: DataFrame, corpus: DataFrame, id_col: str = "vec_id", label: str = "label") -> DataFrame:
+    """ranked (anchor_id, neighbor_id, ...) of the queries with partners, with query_id and hit: whether the neighbour is another vector of the query's label."""
+    seen = ranked.join(partners.select("query_id", "l"), F.col("anchor_id") == F.col("query_id"))
+    seen = seen.join(corpus.select(F.col(id_col).alias("neighbor_id"), F.col(label).alias("_l")), "neighbor_id", "left")
+    return seen.withColumn("hit", (F.col("_l") == F.col("l")) & (F.col("neighbor_id") != F.col("anchor_id"))).drop("l", "_l")
+
+
+def label_retrieval(ranked: DataFrame, queries: DataFrame, corpus: DataFrame, k: int = 10, id_col: str = "vec_id", label: str = "label") -> DataFrame:
+    """As retrieval, where all other vectors of a query's label are relevant; relevant pairs are never made."""
+    partners = label_partners(queries, corpus, id_col, label)
+    hit = label_hits(ranked.where(F.col("rank") <= k), partners, corpus, id_col, label).where("hit")
+    return _retrieval(partners.select("query_id", "n_rel"), hit, k)
+
+
+def _retrieval(n: DataFrame, hit: DataFrame, k: int) -> DataFrame:
     gain = hit.groupBy("query_id").agg(F.count(F.lit(1)).alias("hits"), F.sum(1 / F.log2(F.col("rank") + 1.0)).alias("dcg"))
     top = F.least(F.col("n_rel"), F.lit(k)).cast("int")
     ideal = F.aggregate(F.sequence(F.lit(1), top), F.lit(0.0), lambda s, i: s + 1 / F.log2(i + 1.0))
@@ -95,6 +122,15 @@ def mined_precision(knn: DataFrame, partners: DataFrame, k: int, tau: float) ->
     return per.agg(m(F.col("h") / F.col("mined")).alias("precision"), m(F.col("h") / F.least("n_gold", F.lit(k))).alias("recall"), m((F.col("h") > 0).cast("double")).alias("hit_rate"), F.count(F.lit(1)).alias("n"))
 
 
+def label_precision(ranked: DataFrame, queries: DataFrame, corpus: DataFrame, k: int, id_col: str = "vec_id", label: str = "label") -> DataFrame:
+    """As mined_precision without a threshold, where all other vectors of a query's label are partners."""
+    partners = label_partners(queries, corpus, id_col, label)
+    flags = label_hits(ranked.where(F.col("rank") <= k), partners, corpus, id_col, label)
+    per = flags.groupBy("query_id").agg(F.count(F.lit(1)).alias("mined"), F.count(F.when(F.col("hit"), 1)).alias("h")).join(partners, "query_id")
+    m = lambda c: F.coalesce(F.avg(c), F.lit(NAN))
+    return per.agg(m(F.col("h") / F.col("mined")).alias("precision"), m(F.col("h") / F.least("n_rel", F.lit(k))).alias("recall"), m((F.col("h") > 0).cast("double")).alias("hit_rate"), F.count(F.lit(1)).alias("n"))
+
+
 def last_wins(pairs: DataFrame, a: str, b: str, score: str, order: str) -> DataFrame:
     """(lo, hi, score): one row per unordered pair, the latest judgment."""
     return pairs.groupBy(F.least(a, b).alias("lo"), F.greatest(a, b).alias("hi")).agg(F.max_by(score, order).alias("score"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import replace
 
 import numpy as np
@@ -9,10 +10,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import pooling, text, vectors
-from ..operators import failures, fits, knn, linalg, metrics, setsim
+from ..functions import tables as functions
+from ..operators import cells, directions, draws, failures, fits, knn, linalg, metrics, setsim
 from ..operators.contrastive import contrastive
-from ..sources import cache, tables
-from ..sources.stage import staged
+from ..sources import cache, npy, tables
+from ..sources.stage import shared_folder, staged
 from . import workloads
 from .workloads import label_qrels, queries_of, scored_pairs
 
@@ -90,6 +92,21 @@ def self_knn_top10(spark, d):
     return _r(knn.self_knn(_emb(spark, d), 10), 6, "sim")
 
 
+@query(f"WITH {E}, {KNN} SELECT anchor_id, neighbor_id, rank, round(sim, 6) AS sim FROM k")
+def self_knn_cells(spark, d):
+    """The same search over cells around pivots, of which pairs too far apart are skipped."""
+    return _r(cells.cell_self_knn(_emb(spark, d), 10), 6, "sim")
+
+
+@query(f"WITH {E}, {TOP} SELECT anchor_id, neighbor_id, CAST(rank AS INT) AS rank, round(sim, 6) AS sim FROM t WHERE rank <= 3")
+def topk_table_function(spark, d):
+    """The best three results of each query, chosen by the table function in SQL text."""
+    emb = _emb(spark, d)
+    functions.register(spark)
+    knn.topk_join(queries_of(emb), emb, 10).createOrReplaceTempView("corvane_found")
+    return _r(spark.sql("SELECT * FROM topk(3, TABLE(SELECT anchor_id, neighbor_id, sim FROM corvane_found) PARTITION BY anchor_id)"), 6, "sim")
+
+
 @query(f"WITH {E}, {KNN} SELECT anchor_id, neighbor_id, rank, round(sim, 6) AS sim FROM k WHERE sim >= {TAU}")
 def knn_tau_filter(spark, d):
     return _r(knn.tau_filter(knn.self_knn(_emb(spark, d), 10), TAU), 6, "sim")
@@ -116,7 +133,7 @@ def retrieval_top10(spark, d):
 
 def _per_query(spark, d):
     emb = _emb(spark, d)
-    return metrics.retrieval(knn.topk_join(queries_of(emb), emb, 10), label_qrels(emb), 10)
+    return metrics.label_retrieval(knn.topk_join(queries_of(emb), emb, 10), queries_of(emb), emb, 10)
 
 
 @query(f"WITH {E}, {PER} SELECT round(avg(ndcg) * 100, 4) AS ndcg, count(*) AS n FROM q")
@@ -511,6 +528,13 @@ def seeded_sample(spark, d):
     return cache.drawn(_emb(spark, d).select("vec_id"), "vec_id", 100).select("draw", "vec_id").orderBy("draw")
 
 
+@query(f"WITH RECURSIVE {draws.sql_placed('SELECT vec_id AS id, row_number() OVER (ORDER BY vec_id) - 1 AS x FROM embeddings')} SELECT draw, id AS vec_id FROM draws WHERE draw < 100")
+def permuted_sample(spark, d):
+    """A seeded draw without replacement by a keyed permutation of the places: no list of them is made."""
+    placed = staged(cache.ordinals(_emb(spark, d).select("vec_id"), "vec_id"), "places")
+    return draws.sample(placed, "ordinal", placed.count(), 100).select("draw", "vec_id")
+
+
 @query(f"""WITH {E}, {PAIRS}, {_draws(lambda n: tables.random_pairs(n, 100).T)},
 s AS (SELECT gold FROM draws JOIN p ON least(draws.a, draws.b) = p.a AND greatest(draws.a, draws.b) = p.b ORDER BY i LIMIT 100) SELECT {DIST.format('gold')} FROM s""")
 def random_pair_scores(spark, d):
@@ -571,6 +595,55 @@ def abtt_residual(spark, d):
     return z.select("vec_id", F.abs(F.round(F.array_max(F.transform(left, lambda x: F.abs(x))), 6)).alias("residual"))
 
 
+TRACE = f"""WITH {E}, x AS (SELECT vec_id, unnest(v) AS x, unnest(range(0, len(v))) AS i FROM e), t AS (SELECT var_samp(x) AS s FROM x GROUP BY i)"""
+
+
+def _component_variances(spark, d, name: str, r: int = 64, **kw):
+    """Variances of a projection's components before it normalises, at full dimension."""
+    emb = _emb(spark, d)
+    model = fits.FITTERS[name](emb, r, **kw)
+    model.steps[-1] = replace(model.steps[-1], norm="")
+    return np.diag(linalg.covariance(model.transform(emb.select("embedding")))[1])
+
+
+@query(f"{TRACE} SELECT round(sum(s), 6) AS total FROM t")
+def soft_exp_scaling(spark, d):
+    """Components divided by the eigenvalue's fourth root have its square root for a variance; their squares add up to the total variance, for no other power."""
+    v = _component_variances(spark, d, "soft_exp", s=0.0)
+    return spark.createDataFrame([(round(float((v * v).sum()), 6),)], "total double")
+
+
+@query(f"{TRACE} SELECT round(sum(s), 4) AS total FROM t")
+def soft_shrink_scaling(spark, d):
+    """A component's variance is its eigenvalue over the shrunk one; solved for the eigenvalues, they add up to the total variance, for no other share."""
+    a, v = 0.1, _component_variances(spark, d, "soft_shrink")
+    mu, cov = linalg.covariance(_emb(spark, d), "embedding")
+    mean = np.trace(cov) / len(mu)
+    return spark.createDataFrame([(round(float((v * (a * mean + 1e-8) / (1 - (1 - a) * v)).sum()), 4),)], "total double")
+
+
+@query("SELECT CAST(i AS INT) AS i, true AS falling FROM range(0, 8) r(i)")
+def zca_topr_order(spark, d):
+    """The components kept after whitening, each with at least the variance of the next."""
+    v = np.append(_component_variances(spark, d, "zca_topr", 8), 0.0)
+    return spark.createDataFrame([(i, bool(v[i] >= v[i + 1])) for i in range(8)], "i int, falling boolean")
+
+
+@query(f"{TRACE} SELECT round(sum(s), 6) AS total FROM t")
+def leading_total(spark, d):
+    """All eigenvalues as the range finder gives them, which forms no moments of D x D."""
+    return spark.createDataFrame([(round(float(directions.leading(_emb(spark, d), 64)[1].sum()), 6),)], "total double")
+
+
+@query("SELECT row_number() OVER (ORDER BY vec_id) - 1 AS id, round(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE))), 4) AS total FROM embeddings")
+def npy_round_trip(spark, d):
+    """The vectors written to one NumPy file, in order of their ids, and read from it in ranges of rows."""
+    path = f"{shared_folder(spark)}/round-trip-{uuid.uuid4().hex}.npy"
+    tables.ensure_dir(spark, shared_folder(spark))
+    npy.write_npy(_emb(spark, d), path, order="vec_id")
+    return npy.read_npy(spark, path).select("id", F.round(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x), 4).alias("total"))
+
+
 ONE = "SELECT CAST(i AS INT) AS i, CAST(j AS INT) AS j, CASE WHEN i = j THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END AS {1} FROM range(0, {0}) a(i), range(0, {0}) b(j)"
 
 

@@ -99,8 +99,8 @@ def correlation(emb: DataFrame, model, pairs: DataFrame | None = None) -> DataFr
 
 
 def search(emb: DataFrame, model, k: int = 10) -> DataFrame:
-    z = model.transform(emb)
-    return metrics.retrieval_means(metrics.retrieval(topk_join(queries_of(z), z, k), label_qrels(emb), k))
+    z = staged(model.transform(emb), "projected")  # read by both sides of the search, and counted
+    return metrics.retrieval_means(metrics.label_retrieval(topk_join(queries_of(z), z, k), queries_of(emb), emb, k))
 
 
 def _fits(samples: dict[str, DataFrame], methods, dims, seeds) -> list[tuple]:
@@ -273,12 +273,13 @@ def mined_precision(spark, sf_dir, methods=tuple(SPACES), dims=(16,), seeds=SEED
     """Neighbours among the pairs' own vectors against gold partners, and of the queries among all vectors against judgments."""
     emb = vectors(spark, sf_dir)
     gold = metrics.gold_partners(scored_pairs(emb), 4.0)
-    judged = label_qrels(emb).select(F.col("query_id").alias("anchor"), F.col("corpus_id").alias("partner"))
     rows = []
     for s, m in spaces(emb, methods, dims, seeds).items():
-        z = m.transform(emb)
-        for name, found, partners in (("sts", self_knn(z, 10), gold), ("search", topk_join(queries_of(z), z, 10), judged)):
-            rows.append(metrics.mined_precision(found, partners, 10, 0.0 if name == "sts" else -2.0).select(F.lit(name).alias("dataset"), F.lit(s).alias("space"), *[F.round(c, 4).alias(c) for c in ("precision", "recall", "hit_rate")], "n"))
+        z = staged(m.transform(emb), "projected")
+        mined = metrics.mined_precision(self_knn(z, 10), gold, 10, 0.0)
+        searched = metrics.label_precision(topk_join(queries_of(z), z, 10), queries_of(emb), emb, 10)
+        for name, found in (("sts", mined), ("search", searched)):
+            rows.append(found.select(F.lit(name).alias("dataset"), F.lit(s).alias("space"), *[F.round(c, 4).alias(c) for c in ("precision", "recall", "hit_rate")], "n"))
     return _all(rows)
 
 
