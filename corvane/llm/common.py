@@ -8,6 +8,8 @@ from contextlib import contextmanager
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.stage import shared_folder
+
 #: Word separators of every contract: space and the control characters 9 to 13.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -17,12 +19,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, the context's checkpoint folder, or else one in the warehouse."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = spark.sparkContext._jsc.sc().getCheckpointDir()
-        found = found.get() if found.isDefined() else f"{spark.conf.get('spark.sql.warehouse.dir')}/_shared"
-    return found.rstrip("/")
+    """The folder that driver and executors share, see ``stage.shared_folder``."""
+    return shared_folder(spark).removesuffix("/corvane")
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:

@@ -33,6 +33,7 @@ import functools
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -293,20 +294,23 @@ def _bits(h: np.ndarray, at: np.ndarray, table: int) -> np.ndarray:
 
 
 def _tables(docs: DataFrame, tables: int) -> DataFrame:
-    """(doc_id, t, f0, f1, ...): digest of the text's words, and its fingerprints."""
+    """(row, doc_id, t, f0, f1, ...): 128-bit digest of the text's words, and its fingerprints."""
     names = [f"f{k}" for k in range(tables)]
 
     def run(batches):
+        row = TaskContext.get().partitionId() << 33
         for batch in batches:
             for part in slices(batch, "text"):
                 w = Words(part.column("text"))
                 _, _, text, h = shingle_hashes(w, 2)
                 at = np.searchsorted(text, np.arange(part.num_rows + 1))
-                t = [xxhash.xxh64_intdigest(b" ".join(x.lower().split()) if x else b"", SEED) for x in part.column("text").cast(pa.binary()).to_pylist()]
+                t = [xxhash.xxh3_128_digest(b" ".join(x.lower().split()) if x else b"", SEED) for x in part.column("text").cast(pa.binary()).to_pylist()]
                 cols = [pa.array(_bits(h, at, k)) for k in range(tables)]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(np.array(t, np.uint64).view(np.int64)), *cols], ["doc_id", "t", *names])
+                rows = row + np.arange(part.num_rows)
+                row += part.num_rows
+                yield pa.RecordBatch.from_arrays([pa.array(rows), part.column("doc_id"), pa.array(t, pa.binary()), *cols], ["row", "doc_id", "t", *names])
 
-    return docs.mapInArrow(run, "doc_id long, t long, " + ", ".join(f"{f} long" for f in names))
+    return docs.mapInArrow(run, f"row long, doc_id {docs.schema['doc_id'].dataType.simpleString()}, t binary, " + ", ".join(f"{f} long" for f in names))
 
 
 def _shingles(docs: DataFrame, words: int) -> DataFrame:
@@ -322,14 +326,14 @@ def _shingles(docs: DataFrame, words: int) -> DataFrame:
                 flat = np.concatenate(own) if own else np.zeros(0, np.int64)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.ListArray.from_arrays(pa.array(off, pa.int32()), pa.array(flat, pa.int64()))], ["doc_id", "s"])
 
-    return docs.mapInArrow(run, "doc_id long, s array<long>")
+    return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, s array<long>")
 
 
 def candidates(firsts: DataFrame, tables: int = TABLES, threshold: int = THRESHOLD) -> DataFrame:
     """(a, b): pairs of texts (column t) to compare: in every table, each with one of its fingerprint, and these along the links of the cover."""
     found = []
     for k in range(tables):
-        heads = materialize(firsts.groupBy(F.col(f"f{k}").alias("fp")).agg(F.min_by("t", F.xxhash64(F.lit(k), "t")).alias("head")), "similar-heads")
+        heads = materialize(firsts.groupBy(F.col(f"f{k}").alias("fp")).agg(F.min_by("t", F.xxhash64(F.lit(k), "digest")).alias("head")), "similar-heads")
         same = firsts.select("t", F.col(f"f{k}").alias("fp")).join(heads, "fp").select(F.col("t").alias("a"), F.col("head").alias("b"))
         side = lambda f, h: heads.select(F.col("fp").alias(f), F.col("head").alias(h))  # noqa: E731, B023
         near = links(heads, threshold).join(side("a", "x"), "a").join(side("b", "y"), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
@@ -338,11 +342,11 @@ def candidates(firsts: DataFrame, tables: int = TABLES, threshold: int = THRESHO
 
 
 def similar_components(docs: DataFrame, id_col="doc_id", text_col="text", words: int = 5, similarity: float = 0.8, tables: int = TABLES) -> DataFrame:
-    """One row per document: doc_id, component_id, the smallest id of the texts that it is linked to by similarities of at least that, itself included. Ids are whole numbers and not null."""
-    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    rows = materialize(_tables(base, tables), "similar-rows")
+    """One row per document: doc_id, component_id, the smallest id of the texts that it is linked to by similarities of at least that, itself included. Ids are of any type that is ordered, and not null. A text is known inside by one of its rows."""
+    base = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    rows = materialize(_tables(base, tables).withColumnRenamed("t", "digest"), "similar-rows")
     one = [F.first(f"f{k}").alias(f"f{k}") for k in range(tables)]
-    firsts = materialize(rows.groupBy("t").agg(F.min("doc_id").alias("first"), *one), "similar-firsts")
+    firsts = materialize(rows.groupBy("digest").agg(F.min("row").alias("t"), F.min("doc_id").alias("first"), *one), "similar-firsts")
     pairs = materialize(candidates(firsts, tables), "similar-pairs")
     # the texts of the pairs, one document each; texts that many are compared with are dealt out as often as that takes
     stars = materialize(pairs.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / STAR).cast("int").alias("parts")), "similar-stars")
@@ -356,9 +360,9 @@ def similar_components(docs: DataFrame, id_col="doc_id", text_col="text", words:
     common = F.size(F.array_intersect("x", "y"))
     alike = both.select("a", "b", common.alias("n"), (F.size("x") + F.size("y")).alias("m")).where(F.col("n") >= similarity * (F.col("m") - F.col("n")) - 1e-9)
     comps = components(alike.select("a", "b"), "a", "b")
-    named = firsts.select("t", "first").join(comps.select(F.col("node").alias("t"), "component"), "t", "left").withColumn("component", F.coalesce("component", "t"))
-    whole = named.join(named.groupBy("component").agg(F.min("first").alias("component_id")), "component").select("t", "component_id")
-    return lookup(rows.select("doc_id", "t"), materialize(whole, "similar-components"), "t").select("doc_id", "component_id")
+    named = firsts.select("t", "digest", "first").join(comps.select(F.col("node").alias("t"), "component"), "t", "left").withColumn("component", F.coalesce("component", "t"))
+    whole = named.join(named.groupBy("component").agg(F.min("first").alias("component_id")), "component").select("digest", "component_id")
+    return lookup(rows.select("doc_id", "digest"), materialize(whole, "similar-components"), "digest").select("doc_id", "component_id")
 
 
 def op5_simhash(spark, sf_dir) -> DataFrame:
