@@ -24,12 +24,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import table
-from .tokens import Words, ngrams, slices
+from .tokens import SLICE_BYTES, Words, ngrams, slices
 
 SAMPLE = 4000
-#: Bytes of the longest text that the fit reads, so that the driver holds at most SAMPLE times as many, and the most languages that are learned: beyond, the most frequent.
+#: Bytes of the longest text that the fit reads, so that the driver holds at most SAMPLE times as many (of more languages than that, one text each).
 LONGEST = 1 << 17
-LANGUAGES = 200
 SPACE = 1 << 16
 SIZES = (1, 2, 3, 4)
 SWITCH = 6.0
@@ -150,7 +149,7 @@ def viterbi(scores: np.ndarray, at: np.ndarray, switch: float = SWITCH, chunk: i
         now = first[parts > x] + x
         before[:, now] = (before[:, now - 1][None] + through[:, :, now - 1]).max(axis=1)
     order, live = steps(np.arange(len(text)))
-    came = np.full((k, n), -1, np.int8)
+    came = np.full((k, n), -1, np.int16)
     v = before[:, order].copy()
     for t, m in enumerate(live):
         here, row = v[:, :m], begin[order[:m]] + t
@@ -160,13 +159,13 @@ def viterbi(scores: np.ndarray, at: np.ndarray, switch: float = SWITCH, chunk: i
             came[:, row] = np.where(moved, here.argmax(axis=0), -1)
             np.maximum(here, top - switch, out=here)
         here += s[:, row]
-    state = np.zeros(len(text), np.int8)
+    state = np.zeros(len(text), np.int16)
     state[order] = v.argmax(axis=0)
     for x in range(int(parts.max()) - 1 if len(parts) else 0, 0, -1):
         now = first[parts > x] + x
         reach = before[:, now] + through[state[now], :, now].T
         state[now - 1] = reach.argmax(axis=0)
-    out = np.zeros(n, np.int8)
+    out = np.zeros(n, np.int16)
     state = state[order]
     for t in range(len(live) - 1, -1, -1):
         row = begin[order[: live[t]]] + t
@@ -182,12 +181,12 @@ def label(model: Model, texts: pa.Array):
     w = Words(texts)
     docs = len(texts)
     if not model.langs:
-        return [UND] * docs, np.zeros(docs), w, np.zeros(0, np.int8)
+        return [UND] * docs, np.zeros(docs), w, np.zeros(0, np.int16)
     letters = _letters(w.words)[w.codes] if len(w.words) else np.zeros(0, np.int64)
     table_ = model.words(w) if len(w.words) else np.zeros((0, len(model.langs)), np.float32)
     scores = table_[w.codes] * (letters > 0)[:, None]
-    marks = viterbi(scores, w.at)
     k = len(model.langs)
+    marks = viterbi(scores, w.at, chunk=max(CHUNK, 8 * k))  # what a chunk passes on is k x k
     mass = np.bincount(w.doc * k + marks, weights=letters, minlength=docs * k).reshape(docs, k)
     best = mass.argmax(axis=1)
     total = np.stack([np.bincount(w.doc, weights=scores[:, j], minlength=docs) for j in range(k)], axis=1)
@@ -200,20 +199,17 @@ def label(model: Model, texts: pa.Array):
 
 
 def fit(docs: DataFrame, id_col="doc_id", text_col="text", lang_col="lang", sample: int = SAMPLE) -> Model:
-    """Model from at most sample rows with a language, as many of each as there are, drawn by a digest of the id."""
+    """Model of every language there is, from at most sample rows (or one a language, if that is more), as many of each language as there are, drawn by a digest of id and text. Repeated rows count once."""
     told = docs.where(F.col(lang_col).isNotNull() & (F.octet_length(F.col(text_col).cast("string")) <= LONGEST))
-    rows = told.select(F.col(id_col).alias("doc_id"), F.col(lang_col).alias("lang"))
-    mark = F.xxhash64(F.lit("langid"), F.col("doc_id"))
-    langs = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES)
-    names = [r["lang"] for r in langs.collect()]
-    per = max(1, sample // max(1, len(names)))
-    wide = rows.where(F.col("lang").isin(names)).withColumn("mark", mark)
+    told = told.select(F.xxhash64(F.lit("langid"), F.col(id_col), F.col(text_col)).alias("mark"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
+    rows = told.select("lang", "mark")
+    per = max(1, sample // max(1, rows.select("lang").distinct().count()))
     # one bounded top list per language and bucket, four times as long as its share of the sample, then one per language: no language fills a task
     few = min(per, per // 16 + 16)
-    first = wide.withColumn("r", F.row_number().over(Window.partitionBy("lang", F.pmod("mark", F.lit(64))).orderBy("mark", "doc_id"))).where(F.col("r") <= few)
-    ids = first.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("mark", "doc_id"))).where(F.col("r") <= per).select("doc_id").distinct()
-    got = told.where(F.col(lang_col).isin(names)).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
-    got = got.join(F.broadcast(ids), "doc_id", "left_semi").select("text", "lang").toLocalIterator()  # at most sample rows
+    place = lambda *by: F.dense_rank().over(Window.partitionBy("lang", *by).orderBy("mark"))
+    first = rows.withColumn("r", place(F.pmod("mark", F.lit(64)))).where(F.col("r") <= few).select("lang", "mark").distinct()
+    drawn = first.withColumn("r", place()).where(F.col("r") <= per).select("lang", "mark")
+    got = told.join(F.broadcast(drawn), ["lang", "mark"], "left_semi").dropDuplicates(["lang", "mark"]).select("text", "lang").toLocalIterator()  # at most sample rows, or one a language
     texts, marks = [], []
     for r in got:
         texts.append(r["text"])
@@ -224,6 +220,7 @@ def fit(docs: DataFrame, id_col="doc_id", text_col="text", lang_col="lang", samp
 def identify(docs: DataFrame, model: Model, id_col="doc_id", text_col="text", spans: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
     """(doc_id, lang_pred, score) of every row, and on request spans (array of first word, end word, lang) and the columns in keep."""
     sent = docs.sparkSession.sparkContext.broadcast(model)  # its size is fixed by SPACE and the number of languages
+    limit = SLICE_BYTES * 64 // max(64, len(model.langs))  # a word has a score in each language
     schema = f"doc_id {docs.schema[id_col].dataType.simpleString()}, lang_pred string, score double" + ", spans array<struct<begin:int,end:int,lang:string>>" * spans
     more = [c for c in keep if c not in (id_col, "doc_id", "lang_pred", "score", "spans")]
     schema += "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in more)
@@ -231,7 +228,7 @@ def identify(docs: DataFrame, model: Model, id_col="doc_id", text_col="text", sp
 
     def run(batches):
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", limit):
                 names, score, w, marks = label(sent.value, part.column("text"))
                 cols = [part.column("doc_id"), pa.array(names, pa.string()), pa.array(score, pa.float64())]
                 if spans:
