@@ -106,7 +106,7 @@ def slot_ranks(docs: DataFrame, words: int = SHINGLE) -> np.ndarray:
     tasks = max(64, docs.sparkSession.sparkContext.defaultParallelism)
     once = docs.select("text").coalesce(tasks).mapInArrow(count, schema).groupBy("part", "deal").applyInArrow(add, schema)
     out = np.zeros(1 << SLOTS, np.int64)
-    for r in once.withColumn("deal", F.lit(0)).groupBy("part").applyInArrow(add, schema).toLocalIterator():  # a table of fixed size
+    for r in once.withColumn("deal", F.lit(0)).groupBy("part").applyInArrow(add, schema).collect():  # a table of fixed size
         out[r["part"] * width : (r["part"] + 1) * width] = np.frombuffer(pa.decompress(bytes(r["n"]), 8 * width, codec="zstd", asbytes=True), np.int64)
     return np.frompyfunc(int.bit_length, 1, 1)(out.tolist()).astype(np.int8) if len(out) else out
 
