@@ -1,25 +1,145 @@
-"""Exact token-set similarity join by prefix filtering.
+"""Exact token-set similarity join by prefix filtering and bitmaps.
 
 Texts with one token set form a class; classes are compared, and membership links texts to them.
 Tokens are ordered by rising frequency; two sets of similarity t must share a token among the first
-``size - ceil(t * size) + 1`` of each, so only rare tokens are joined on, never the common ones. A
-pair goes on only if its sizes allow t, and if what follows its last common prefix token, on both sides, still
-leaves room for enough common tokens. Tokens travel as 64-bit hashes up to there; what is left is compared as text.
+``size - ceil(t * size) + 1`` of each, so only rare tokens are joined on, never the common ones. The sets that have a
+token there lie side by side in one run, in order of size; pairs of a run go on if their sizes allow t, and if what
+follows the token on both sides leaves room for enough common ones (at the first token that a pair shares, that bounds
+all they share). Runs are compared in slices; a token that more than ``HOT`` sets have is dealt out by blocks of its sets,
+each pair of blocks to a task of its own. Then a bitmap of ``BITS`` bits a set bounds what a pair can share, before any
+token is looked at: every bit that one has and the other lacks stands for a token that isn't shared. What is left is
+compared by 64-bit hashes, and what reaches t as text.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import token_set
 from ..sources.stage import staged
 
+BITS = 2048
+HOT = 4096
+#: Pairs that are looked at at once.
+PAIRS = 1 << 20
+
+
+def need(m, n, t: float):
+    """The least number of common tokens of sets of m and n tokens of similarity t."""
+    return np.ceil((m + n) * (t / (1 + t)) - 1e-9)
+
+
+def _within(begin: np.ndarray, n: np.ndarray, t: float):
+    """Pairs (i, j), i < j, of rows in runs that begin at begin, in order of n in each, whose sizes allow t; in pieces."""
+    end = np.append(begin[1:], len(n))
+    own = np.repeat(np.arange(len(begin)), end - begin)
+    # a run's sizes rise, so a row's partners are those after it up to a size
+    key = own * (int(n.max()) + 2) + np.minimum(np.floor(n / t + 1e-9), int(n.max()) + 1)
+    last = np.searchsorted(own * (int(n.max()) + 2) + n, key, side="right")
+    count = np.maximum(last - np.arange(len(n)) - 1, 0)
+    yield from _spread(np.arange(len(n)), np.arange(len(n)) + 1, count)
+
+
+def _spread(i: np.ndarray, first: np.ndarray, count: np.ndarray):
+    """Each i with the count rows from first on, in pieces of about PAIRS."""
+    total = np.cumsum(count)
+    a = 0
+    while a < len(i):
+        b = max(a + 1, int(np.searchsorted(total, (total[a - 1] if a else 0) + PAIRS, side="right")))
+        c = count[a:b]
+        at = np.arange(c.sum()) - np.repeat(np.cumsum(c) - c, c)
+        yield np.repeat(i[a:b], c), np.repeat(first[a:b], c) + at
+        a = b
+
+
+def _batch(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    both = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
+    return pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], ["a", "b"])
+
+
+def _runs(t: float):
+    """Rows (w, id, n, at) in order of w, n: pairs (a, b) of each token's sets; a run is never in two pieces."""
+
+    def compare(w, ids, n, left):
+        begin = np.flatnonzero(np.diff(w, prepend=w[0] - 1))
+        for i, j in _within(begin, n, t):
+            ok = np.minimum(left[i], left[j]) >= need(n[i], n[j], t)
+            if ok.any():
+                yield _batch(ids[i[ok]], ids[j[ok]])
+
+    def run(batches):
+        held = None
+        for b in batches:
+            new = [b.column(c).to_numpy().astype(np.int64) for c in ("w", "id", "n", "at")]
+            cols = new if held is None else [np.concatenate(x) for x in zip(held, new, strict=True)]
+            if not len(cols[0]):
+                continue
+            cut = int(np.searchsorted(cols[0], cols[0][-1]))
+            if cut:
+                w, ids, n, at = (c[:cut] for c in cols)
+                yield from compare(w, ids, n, n - at)
+            held = [c[cut:] for c in cols]
+        if held is not None and len(held[0]):
+            w, ids, n, at = held
+            yield from compare(w, ids, n, n - at)
+
+    return run
+
+
+def _blocks(t: float):
+    """Two blocks of a frequent token's sets (or one, with itself): their pairs."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        a, na, pa_ = (left.column(c).to_numpy().astype(np.int64) for c in ("id", "n", "at"))
+        b, nb, pb = (right.column(c).to_numpy().astype(np.int64) for c in ("id", "n", "at"))
+        order = np.argsort(nb, kind="stable")
+        b, nb, pb = b[order], nb[order], pb[order]
+        first, last = np.searchsorted(nb, np.ceil(na * t - 1e-9)), np.searchsorted(nb, np.floor(na / t + 1e-9), side="right")
+        found = []
+        for i, j in _spread(np.arange(len(a)), first, np.maximum(last - first, 0)):
+            ok = (np.minimum(na[i] - pa_[i], nb[j] - pb[j]) >= need(na[i], nb[j], t)) & (a[i] != b[j])
+            found.append(_batch(a[i[ok]], b[j[ok]]))
+        return pa.Table.from_batches(found, pa.schema([("a", pa.int64()), ("b", pa.int64())]))
+
+    return run
+
+
+def _bitmaps(batches):
+    """(id, sig): a bit for each code's low bits."""
+    for b in batches:
+        codes = b.column("codes")
+        flat = codes.flatten().to_numpy().astype(np.int64)
+        off = np.concatenate([[0], np.cumsum(codes.value_lengths().to_numpy())])
+        bits = np.zeros((b.num_rows, BITS), np.uint8)
+        bits[np.repeat(np.arange(b.num_rows), np.diff(off)), flat & (BITS - 1)] = 1
+        yield pa.RecordBatch.from_arrays([b.column("id"), pa.array([x.tobytes() for x in np.packbits(bits, axis=1)], pa.binary())], ["id", "sig"])
+
+
+def _possible(t: float):
+    """Of pairs (a, b, na, nb, x, y) those whose bitmaps allow t."""
+
+    def run(batches):
+        for b in batches:
+            x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint64).reshape(b.num_rows, -1) for c in "xy")
+            na, nb = (b.column(c).to_numpy() for c in ("na", "nb"))
+            most = np.minimum(na - np.bitwise_count(x & ~y).sum(axis=1, dtype=np.int64), nb - np.bitwise_count(y & ~x).sum(axis=1, dtype=np.int64))
+            keep = pa.array(most >= need(na, nb, t))
+            yield b.select(["a", "b"]).filter(keep)
+
+    return run
+
 
 def classes(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(class_id, id, tokens): class_id is the smallest id with the same token set; texts without a token are left out."""
-    sets = df.select(F.col(id_col).alias("id"), F.array_sort(token_set(F.coalesce(F.col(text_col), F.lit("")))).alias("tokens")).where(F.size("tokens") > 0)
-    sets = sets.withColumn("h", F.sha2(F.array_join("tokens", " "), 256))
+    texts = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if texts.rdd.getNumPartitions() < cores:  # a few files, as splitting into words is what takes long
+        texts = texts.repartition(cores)
+    sets = texts.select("id", F.sort_array(token_set("text")).alias("tokens")).where(F.size("tokens") > 0)
+    sets = staged(sets.withColumn("h", F.sha2(F.array_join("tokens", " "), 256)), "token-sets")
     reps = sets.groupBy("h").agg(F.min("id").alias("class_id"))
     return sets.join(reps, "h").select("class_id", "id", "tokens")
 
@@ -30,16 +150,25 @@ def jaccard_join(df: DataFrame, threshold: float, id_col: str, text_col: str) ->
     reps = staged(reps.withColumn("codes", F.transform("tokens", lambda w: F.xxhash64(w))), "sets")
     words = reps.select("id", F.size("codes").alias("n"), F.explode("codes").alias("w"))
     freq = words.groupBy("w").agg(F.count(F.lit(1)).alias("f"))
-    ordered = words.join(freq, "w").groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct("f", "w"))).alias("x"))
+    ordered = words.join(freq, "w").groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct("f", "w"))).alias("x"))
     keep = F.col("n") - F.ceil(F.col("n") * threshold - 1e-9).cast("int") + 1
     prefix = ordered.select("id", "n", F.posexplode(F.slice("x", F.lit(1), keep)).alias("at", "t")).where("t.f > 1").select("id", "n", "at", "t.w")
     prefix = staged(prefix, "prefixes")
-    a, b = (prefix.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("at").alias(f"p{x}"), "w") for x in "ab")
-    near = a.join(b, "w").where((F.col("a") < F.col("b")) & (F.col("na") >= F.col("nb") * threshold - 1e-9) & (F.col("nb") >= F.col("na") * threshold - 1e-9))
-    near = near.groupBy("a", "b", "na", "nb").agg(F.count(F.lit(1)).alias("met"), F.max("pa").alias("pa"), F.max("pb").alias("pb"))
-    # common tokens beyond the last one met lie behind it on both sides
-    most = F.col("met") + F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) - 1
-    near = near.where(most >= (F.col("na") + F.col("nb")) * (threshold / (1 + threshold)) - 1e-9).select("a", "b")
+    hot = staged(freq.where(F.col("f") > HOT).select("w"), "frequent")  # at most one in HOT of the rows
+    runs = prefix.join(hot, "w", "left_anti").select("w", "id", "n", "at").repartition("w").sortWithinPartitions("w", "n")
+    near = runs.mapInArrow(_runs(threshold), "a long, b long")
+    # blocks of a frequent token's sets by a digest of the id, so that each has sets of all sizes
+    size = freq.where(F.col("f") > HOT).select("w", F.ceil(F.col("f") / HOT).cast("int").alias("parts"))
+    many = prefix.join(size, "w").withColumn("own", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    far = F.sequence(F.lit(0), F.col("parts") - 1)
+    left = many.withColumn("other", F.explode(F.filter(far, lambda x: x >= F.col("own")))).select(F.col("w").alias("w"), F.col("own").alias("p"), F.col("other").alias("q"), *(F.col(c).alias(c) for c in ("id", "n", "at")))
+    right = many.withColumn("other", F.explode(F.filter(far, lambda x: x <= F.col("own")))).select(F.col("w").alias("w2"), F.col("other").alias("p2"), F.col("own").alias("q2"), *(F.col(c).alias(c) for c in ("id", "n", "at")))
+    met = left.groupBy("w", "p", "q").cogroup(right.groupBy("w2", "p2", "q2")).applyInArrow(_blocks(threshold), "a long, b long")
+    near = staged(near.unionByName(met).distinct(), "pairs")
+    maps = staged(reps.select("id", "codes").mapInArrow(_bitmaps, "id long, sig binary").join(reps.select("id", F.size("codes").alias("n")), "id"), "bitmaps")
+    side = lambda x, n, v: maps.select(F.col("id").alias(x), F.col("n").alias(n), F.col("sig").alias(v))
+    near = near.join(side("a", "na", "x"), "a").join(side("b", "nb", "y"), "b").select("a", "b", "na", "nb", "x", "y").mapInArrow(_possible(threshold), "a long, b long")
+    near = staged(near, "possible")
     code = lambda x, y: reps.select(F.col("id").alias(x), F.col("codes").alias(y))
     met = near.join(code("a", "x"), "a").join(code("b", "y"), "b")
     common = lambda: F.size(F.array_intersect("x", "y"))

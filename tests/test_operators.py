@@ -335,7 +335,9 @@ def test_jaccard(spark):
     assert [r[0] for r in df.select(text.jaccard("a", "b")).collect()] == pytest.approx([2 / 3, 0, 0])
 
 
-def test_set_join_is_exact(spark):
+@pytest.mark.parametrize("hot", [3, 4096])
+def test_set_join_is_exact(spark, monkeypatch, hot):
+    monkeypatch.setattr(setsim, "HOT", hot)
     r = np.random.default_rng(5)
     rows = [(i, " ".join(r.choice(list("abcdefgh"), r.integers(1, 7)))) for i in range(40)] + [(90, None), (91, " ")]
     df = spark.createDataFrame(rows, "id long, text string")
