@@ -29,7 +29,6 @@ import json
 import os
 import re
 from collections import defaultdict
-from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -37,12 +36,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import discard, materialize, table
+from .common import discard, materialize, table, tidy
+from .tokens import slices
 
 A_PATH = "/opt/tokenizers/byte_bpe_50k.json"
 B_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 #: Bytes of text whose distinct segments are gathered; a longer text is a block of its own.
-BLOCK = 64 << 20
+BLOCK = 32 << 20
 #: A longer segment is known by its digest.
 KEY = 64
 #: Id pairs with over one part in this of all links are broadcast: fewer than this.
@@ -66,13 +66,15 @@ class Models:
         printed = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that a byte-level entry shows as themselves; others follow from 256 on
         other = [x for x in range(256) if x not in printed]
         byte = {chr(x): x for x in printed} | {chr(256 + i): x for i, x in enumerate(other)}
-        entries = self.a.get_vocab(with_added_tokens=False)
         self.a_bytes = [b""] * self.a.get_vocab_size()
-        for entry, i in entries.items():
+        for entry, i in self.a.get_vocab(with_added_tokens=False).items():
             self.a_bytes[i] = bytes(byte[c] for c in entry)
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace(_SPACE, " ").encode() for i, p in enumerate(pieces)]
-        self.sizes = [np.array([len(x) for x in side], np.int32) for side in (self.a_bytes, self.b_bytes)]
+        if max(map(len, self.a_bytes + self.b_bytes)) >> SIZE_BITS or max(len(self.a_bytes), len(self.b_bytes)) >> ID_BITS:
+            raise ValueError("ids or tokens too large to be packed")
+        self.packed = [np.array([(side << SIZE_BITS | len(x)) << ID_BITS | i for i, x in enumerate(entries)], np.int32) for side, entries in enumerate((self.a_bytes, self.b_bytes))]
+
 
         spec, proto = json.loads(a), sentencepiece_model_pb2.ModelProto()
         proto.ParseFromString(b)
@@ -84,9 +86,6 @@ class Models:
         #: whether only a text with the mark for a space is not given back
         self.lossless = byte_level and whole and proto.trainer_spec.byte_fallback
 
-    def segments(self, text: str) -> list[str]:
-        return _SEGMENT.split(text) if self.splits else [text]
-
     def encode(self, texts: list[str]):
         """Ids of both sides, text by text."""
         a = [x.ids for x in self.a.encode_batch([" " + t for t in texts], add_special_tokens=False)]
@@ -96,15 +95,17 @@ class Models:
         want = b" " + text.encode()
         return b"".join(map(self.a_bytes.__getitem__, a)) == want == b"".join(map(self.b_bytes.__getitem__, b))
 
-    def exact(self, text: str, segments: list[str], known: dict) -> bool:
-        """Whether the tokens give the text back; known holds what was found before."""
-        if self.lossless:
-            return _SPACE not in text
+    def exact(self, segments: list[str], known: dict) -> bool:
+        """Whether the tokens of all segments give them back; known holds what was found before."""
         new = [s for s in dict.fromkeys(segments) if s not in known]
         known.update((s, self.gives_back(s, a, b)) for s, a, b in zip(new, *self.encode(new), strict=True))
         return all(map(known.__getitem__, segments))
 
 
+def segments(text: str, splits: bool = True) -> list[str]:
+    return _SEGMENT.split(text) if splits else [text]
+
+
 _LOADED: dict[str, Models] = {}
 
 
@@ -116,18 +117,6 @@ def _load(files: tuple[bytes, bytes]) -> Models:
     return _LOADED[name]
 
 
-@contextmanager
-def _tidy(spark):
-    """Shuffle files go as soon as the job that made them is over."""
-    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(name, "false")
-    spark.conf.set(name, "true")
-    try:
-        yield
-    finally:
-        spark.conf.set(name, before)
-
-
 def _pack(codes: np.ndarray) -> bytes:
     return pa.compress(np.ascontiguousarray(codes.astype("<u4").view(np.uint8).reshape(-1, 4).T), codec="zstd", asbytes=True)
 
@@ -137,11 +126,11 @@ def _unpack(data: bytes, n: int) -> np.ndarray:
     return np.ascontiguousarray(raw.reshape(4, n).T).view("<u4").ravel()
 
 
-def _blocks(files, limit: int, kind: pa.DataType):
+def _blocks(files, splits: bool, lossless: bool, limit: int, kind: pa.DataType):
     """A row for each block: its texts' ids, number of segments (-1: no tokens) and codes, and its distinct segments with their number."""
 
     def run(batches):
-        models, known = _load(files.value), {}
+        known: dict = {}
         base, seq = TaskContext.get().partitionId() << 32, itertools.count()
 
         def flush():
@@ -161,16 +150,17 @@ def _blocks(files, limit: int, kind: pa.DataType):
 
         ids, sizes, held, lex, read = fresh()
         for batch in batches:
-            for i, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
+            for i, text in itertools.chain.from_iterable(zip(x.column("doc_id").to_pylist(), x.column("text").to_pylist(), strict=True) for x in slices(batch, "text")):
                 if read and read + len(text or "") > limit:
                     yield flush()
                     ids, sizes, held, lex, read = fresh()
-                segments = models.segments(text) if text else []
-                ok = text and models.exact(text, segments, known)
+                    pa.default_memory_pool().release_unused()
+                own = segments(text, splits) if text else []
+                ok = text and (_SPACE not in text if lossless else _load(files.value).exact(own, known))
                 ids.append(i)
-                sizes.append(len(segments) if ok else -1)
+                sizes.append(len(own) if ok else -1)
                 if ok:
-                    held.append(np.fromiter(map(lex.__getitem__, segments), np.uint32, len(segments)))
+                    held.append(np.fromiter(map(lex.__getitem__, own), np.uint32, len(own)))
                 read += len(text or "")
         if ids:
             yield flush()
@@ -178,25 +168,31 @@ def _blocks(files, limit: int, kind: pa.DataType):
     return run
 
 
+#: Bits of a token's id and of its size in a packed token; the side is above them.
+ID_BITS, SIZE_BITS = 20, 10
+
+
 def _tokens(files):
-    """Arrow UDF: the tokens of both sides, side by side."""
-    token = pa.struct([("side", pa.int8()), ("id", pa.int32()), ("size", pa.int32())])
-
-    def run(texts: pa.Array) -> pa.Array:
-        models, names = _load(files.value), texts.to_pylist()
-        both = models.encode(names)
-        for name, a, b in zip(names, *both, strict=True):
-            if not models.gives_back(name, a, b):
-                raise ValueError("a segment was taken for one that its tokens give back")
-        parts = [x for pair in zip(*both, strict=True) for x in pair]
-        n = np.array([len(x) for x in parts], np.int64)
-        ids = np.fromiter(itertools.chain.from_iterable(parts), np.int32, int(n.sum()))
-        side = np.repeat(np.arange(len(parts)) % 2, n).astype(np.int8)
-        size = np.where(side == 0, models.sizes[0][np.where(side == 0, ids, 0)], models.sizes[1][np.where(side == 1, ids, 0)])
-        flat = pa.StructArray.from_arrays([pa.array(side), pa.array(ids), pa.array(size)], fields=list(token))
-        return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)])[::2], pa.int32()), flat)
-
-    return F.arrow_udf(run, "array<struct<side tinyint, id int, size int>>")
+    """(key, n, tokens) of texts (key, n, text): the tokens of both sides, first against second, each packed into a number: side, size, id."""
+
+    def run(batches):
+        models = _load(files.value)
+        for batch in batches:
+            for part in slices(batch, "text"):
+                names = part.column("text").to_pylist()
+                both = models.encode(names)
+                for name, a, b in zip(names, *both, strict=True):
+                    if not models.gives_back(name, a, b):
+                        raise ValueError("a segment was taken for one that its tokens give back")
+                sides = [x for pair in zip(*both, strict=True) for x in pair]
+                n = np.array([len(x) for x in sides], np.int64)
+                ids = np.fromiter(itertools.chain.from_iterable(sides), np.int32, int(n.sum()))
+                side = np.repeat(np.arange(len(sides)) % 2, n)
+                packed = np.where(side == 0, models.packed[0][np.where(side == 0, ids, 0)], models.packed[1][np.where(side == 1, ids, 0)])
+                tokens = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)])[::2], pa.int32()), pa.array(packed))
+                yield pa.RecordBatch.from_arrays([part.column("key"), part.column("n"), tokens], ["key", "n", "tokens"])
+
+    return run
 
 
 def align(tokens: DataFrame, by=("key",)) -> DataFrame:
@@ -208,16 +204,42 @@ def align(tokens: DataFrame, by=("key",)) -> DataFrame:
     return met.withColumn("g", F.count(F.when(F.col("a").isNotNull() & F.col("b").isNotNull(), 1)).over(before))
 
 
+def _spell(batches):
+    """(key, n, n_a, n_b, n_groups, groups, links) of segments (key, n, ends): ends (end, a, b, g) in order, with null ids where a side has no token."""
+    link = pa.struct([("a", pa.int32()), ("b", pa.int32())])
+    names = ["key", "n", "n_a", "n_b", "n_groups", "groups", "links"]
+    for batch in batches:
+        ends = batch.column("ends")
+        size = ends.value_lengths().to_numpy()
+        flat = ends.flatten()
+        a, b, g = (flat.field(c).fill_null(-1).to_numpy().astype(np.int64) for c in ("a", "b", "g"))
+        own = np.repeat(np.arange(batch.num_rows), size)
+        count = lambda has: np.bincount(own[has], minlength=batch.num_rows)  # noqa: E731, B023
+        cut = (a >= 0) & (b >= 0)
+        # groups of all segments are numbered on, and the tokens of one brought together, first those of a
+        group = np.concatenate([[0], np.cumsum(count(cut))])[own] + g
+        ids, side, group = np.concatenate([a, b]), np.repeat([0, 1], len(a)), np.tile(group, 2)
+        has = ids >= 0
+        ids, side, group = ids[has], side[has], group[has]
+        order = np.argsort(2 * group + side, kind="stable")
+        ids, side, group = ids[order].astype(str).tolist(), side[order], group[order]
+        apart = np.full(len(ids), 44, np.uint8)  # what stands before a token: a comma, or the end of a side or a group
+        apart[1:][side[1:] != side[:-1]] = 124
+        apart[1:][group[1:] != group[:-1]] = 59
+        marks = apart.tobytes().decode()
+        first = np.concatenate([[0], np.cumsum(count(a >= 0) + count(b >= 0))]).tolist()
+        spelled = ["".join([x for k in range(p, q) for x in (marks[k], ids[k])])[1:] for p, q in itertools.pairwise(first)]
+        links = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(count(cut))]), pa.int32()), pa.StructArray.from_arrays([pa.array(a[cut], pa.int32()), pa.array(b[cut], pa.int32())], fields=list(link)))
+        yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("n"), *(pa.array(count(x), pa.int64()) for x in (a >= 0, b >= 0, cut)), pa.array(spelled, pa.string()), links], names)
+
+
 def _entries(texts: DataFrame, files) -> DataFrame:
     """(key, n, n_a, n_b, n_groups, groups, links): each text (key, text, n) aligned; its groups as a string, and the id pairs that it links."""
-    tokens = texts.select("key", "n", F.posexplode(_tokens(files)(F.col("text")))).select("key", "n", "pos", "col.side", "col.id", "col.size")
-    inner = lambda c: F.expr(f"listagg(CAST({c} AS STRING), ',') WITHIN GROUP (ORDER BY end)")
-    cut = F.col("a").isNotNull() & F.col("b").isNotNull()
-    groups = align(tokens, ("key", "n")).groupBy("key", "n", "g").agg(F.concat(inner("a"), F.lit("|"), inner("b")).alias("s"), F.count("a").alias("n_a"), F.count("b").alias("n_b"), F.max(F.when(cut, F.col("a"))).alias("la"), F.max(F.when(cut, F.col("b"))).alias("lb"))
-    return groups.groupBy("key", "n").agg(
-        F.sum("n_a").alias("n_a"), F.sum("n_b").alias("n_b"), F.count(F.lit(1)).alias("n_groups"),
-        F.expr("listagg(s, ';') WITHIN GROUP (ORDER BY g)").alias("groups"), F.collect_list(F.struct(F.col("la").alias("a"), F.col("lb").alias("b"))).alias("links"),
-    )
+    packed = texts.select("key", "n", "text").mapInArrow(_tokens(files), "key string, n long, tokens array<int>").repartition("key")  # all that follows stays in these partitions
+    bits = lambda low, n: F.shiftright("col", low).bitwiseAND((1 << n) - 1)
+    tokens = packed.select("key", "n", F.posexplode("tokens")).select("key", "n", "pos", bits(ID_BITS + SIZE_BITS, 1).alias("side"), bits(0, ID_BITS).alias("id"), bits(ID_BITS, SIZE_BITS).alias("size"))
+    ends = align(tokens, ("key", "n")).groupBy("key", "n").agg(F.sort_array(F.collect_list(F.struct("end", "a", "b", "g"))).alias("ends"))
+    return ends.mapInArrow(_spell, "key string, n long, n_a long, n_b long, n_groups long, groups string, links array<struct<a int, b int>>")
 
 
 def pair_counts(links: DataFrame) -> DataFrame:
@@ -242,9 +264,14 @@ def _assemble(kind: pa.DataType, keep: bool):
     fields = [("doc_id", kind), *((c, pa.int64()) for c in ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")), ("groups_sha256", pa.string()), *([("groups", pa.string())] if keep else [])]
 
     def run(block: pa.Table, lex: pa.Table) -> pa.Table:
-        lex = lex.sort_by("code")
-        groups = [g.encode() for g in lex.column("groups").to_pylist()]
-        numbers = np.stack([lex.column(c).to_numpy().astype(np.int64) for c in ("n_a", "n_b", "n_groups", "n_best", "count_sum")])
+        at = lex.column("code").to_numpy()
+        groups = [b""] * len(at)
+        for i, g in zip(at.tolist(), lex.column("groups").cast(pa.binary()).to_pylist(), strict=True):
+            groups[i] = g
+        numbers = np.zeros((5, len(at)), np.int64)
+        for k, c in enumerate(("n_a", "n_b", "n_groups", "n_best", "count_sum")):
+            numbers[k, at] = lex.column(c).to_numpy()
+        del lex
         rows = []
         for r in block.to_pylist():
             codes = _unpack(r["codes"], sum(n for n in r["sizes"] if n > 0))
@@ -261,19 +288,20 @@ def _assemble(kind: pa.DataType, keep: bool):
     return run
 
 
-def align_texts(docs: DataFrame, id_col="doc_id", text_col="text", a_path: str = A_PATH, b_path: str = B_PATH, block: int = BLOCK, groups: bool = False) -> DataFrame:
-    """A row per document: doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256; on request the groups themselves (`a1,a2|b1;a3|b2`). The models' files are read where the driver runs."""
+def align_texts(docs: DataFrame, id_col="doc_id", text_col="text", a_path: str = A_PATH, b_path: str = B_PATH, block: int = BLOCK, groups: bool = False, whole: bool = False) -> DataFrame:
+    """A row per document: doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256; on request the groups themselves (`a1,a2|b1;a3|b2`). With whole, as for models of other kinds, segments are whole texts, and every one is encoded to see whether it is given back. The models' files are read where the driver runs."""
     from pyspark.sql.pandas.types import to_arrow_type
 
     spark = docs.sparkSession
     with open(a_path, "rb") as a, open(b_path, "rb") as b:
-        files = spark.sparkContext.broadcast((a.read(), b.read()))  # the models, some 2 MB
+        models = _load(both := (a.read(), b.read()))
+    files = spark.sparkContext.broadcast(both)  # the models, some 2 MB
     kind = to_arrow_type(docs.schema[id_col].dataType)
     name = docs.schema[id_col].dataType.simpleString()
     base = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     schema = f"block long, ids array<{name}>, sizes array<long>, codes binary, keys array<string>, longs array<string>, counts array<long>"
-    with _tidy(spark):
-        blocks = materialize(base.mapInArrow(_blocks(files, block, kind), schema), "align-blocks")
+    with tidy(spark, {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000"}):  # texts are long
+        blocks = materialize(base.mapInArrow(_blocks(files, models.splits and not whole, models.lossless and not whole, block, kind), schema), "align-blocks")
         words = blocks.select("block", F.posexplode(F.arrays_zip("keys", "longs", "counts"))).select("block", F.col("pos").alias("code"), F.col("col.keys").alias("key"), F.col("col.longs").alias("long"), F.col("col.counts").alias("n"))
         short = words.where("long is null").groupBy("key").agg(F.sum("n").alias("n"))
         long = words.where("long is not null").groupBy("key").agg(F.sum("n").alias("n"), F.first("long").alias("text"))

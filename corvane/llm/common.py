@@ -59,15 +59,17 @@ def discard(*tables: DataFrame) -> None:
 
 
 @contextmanager
-def tidy(spark: SparkSession):
-    """Shuffle files of the jobs run inside go as soon as the job is over."""
-    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(name, "false")
-    spark.conf.set(name, "true")
+def tidy(spark: SparkSession, more: dict[str, str] | None = None):
+    """Shuffle files of the jobs run inside go as soon as the job is over; more: other settings that hold inside."""
+    settings = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"} | (more or {})
+    before = {k: spark.conf.get(k, None) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
     try:
         yield
     finally:
-        spark.conf.set(name, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 #: A key is hot if it holds more than one part in this of all rows, and more than HOT_ROWS of them.
