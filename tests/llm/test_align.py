@@ -1,5 +1,6 @@
 """Alignment of two tokenizers against whole texts in plain Python."""
 
+import bisect
 import hashlib
 import random
 from collections import Counter
@@ -27,10 +28,11 @@ def brute(docs):
         ends = [dict(zip(_sums([len(t[x]) for x in ids]), ids, strict=True)) for t, ids in ((MODELS.a_bytes, a), (MODELS.b_bytes, b))]
         cuts = sorted(set(ends[0]) & set(ends[1]))
         links.append([(ends[0][e], ends[1][e]) for e in cuts])
-        groups, last = [], 0
+        groups, order, at = [], [sorted(side) for side in ends], [0, 0]
         for e in cuts:
-            groups.append("|".join(",".join(str(side[x]) for x in sorted(side) if last < x <= e) for side in ends))
-            last = e
+            to = [bisect.bisect_right(x, e) for x in order]
+            groups.append("|".join(",".join(str(side[x]) for x in own[p:q]) for side, own, p, q in zip(ends, order, at, to, strict=True)))
+            at = to
         out.append((i, len(a), len(b), ";".join(groups)))
     count = Counter(x for own in links for x in own)
     top = {}
