@@ -15,11 +15,8 @@ by the smallest id of its documents. As distinct fingerprints grow, a page is cu
 the second codeword, so that it never holds much more than ``PAGE`` fingerprints; then at most
 about 300 copies are moved.
 
-``similar_components`` finds texts whose shingles of five words are alike by 0.8 or more. At that similarity one 64-bit
-fingerprint of shingles differs in some ten bits, beyond any cover of use. So it takes ``TABLES`` fingerprints of word pairs,
-which change less, under hashes of their own, searches the cover over the 46 bits that anchors are made of, and checks what is found on the
-shingles themselves. Every text is checked against one other for each table and group found there, never all
-pairs. At sf0.1 four tables find 0.97 of the pairs that are alike by 0.8 or more, and each table 3 of a million other pairs.
+``similar_components`` finds texts whose shingles of five words are alike by 0.8 or more. At that similarity fingerprints
+differ in some ten bits, beyond any cover of use, so the links are found by the trees of ``signature_tree``, all of them.
 
 Defined results: a null or wordless text has fingerprint zero and links like any other; a row of null
 id links like any other and has the smallest id that it reaches (null if it reaches none); repeated
@@ -33,14 +30,13 @@ import functools
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, lookup, materialize, table
+from . import signature_tree
+from .common import WORD, discard, lookup, materialize, table
 from .components import components
-from .shingles import shingle_hashes
-from .tokens import Words, slices
+from .tokens import slices
 
 THRESHOLD = 3
 SHINGLE = 3
@@ -262,107 +258,17 @@ def simhash_components(docs: DataFrame, id_col="doc_id", text_col="text", words:
     return lookup(fps, whole, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-#: Fingerprints of word pairs that similar texts are searched by, and the bits of each that the anchors cover.
-TABLES = 4
-COVERED = np.uint64((1 << (2 * N)) - 1)
-#: Candidates of one text that are compared in one task.
-STAR = 1000
-
-
-def _bits(h: np.ndarray, at: np.ndarray, table: int) -> np.ndarray:
-    """Fingerprint of each text's hashes h[at[i]:at[i+1]] under the hash of a table, in the covered bits."""
-    x = h ^ (h >> np.uint64(31))
-    x = x * np.uint64((0x9E3779B97F4A7C15 * (2 * table + 1)) & (2**64 - 1))
-    x ^= x >> np.uint64(29)
-    x *= np.uint64(0xBF58476D1CE4E5B9)
-    x ^= x >> np.uint64(32)
-    n = np.diff(at)
-    out = np.zeros(len(n), np.uint64)
-    full = np.flatnonzero(n)
-    step = 1 << 17
-    for k in range(0, len(full), 256):
-        part = full[k : k + 256]
-        ones = np.zeros((len(part), 64), np.int64)
-        begin, end = int(at[part[0]]), int(at[part[-1] + 1])
-        for a in range(begin, end, step):
-            b = min(a + step, end)
-            bits = np.unpackbits(x[a:b].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-            here = np.flatnonzero((at[part] < b) & (at[part + 1] > a))
-            ones[here] += np.add.reduceat(bits, np.maximum(at[part[here]] - a, 0), axis=0, dtype=np.int64)
-        out[part] = np.packbits(2 * ones > n[part, None], axis=1, bitorder="little").view("<u8").ravel()
-    return (out & COVERED).view(np.int64)
-
-
-def _tables(docs: DataFrame, tables: int) -> DataFrame:
-    """(row, doc_id, t, f0, f1, ...): 128-bit digest of the text's words, and its fingerprints."""
-    names = [f"f{k}" for k in range(tables)]
+def similar_components(docs: DataFrame, id_col="doc_id", text_col="text", words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """One row per document: doc_id, component_id, the smallest id of the texts that it is linked to by similarities of shingles of at least that (in whole per cent), itself included.
 
-    def run(batches):
-        row = TaskContext.get().partitionId() << 33
-        for batch in batches:
-            for part in slices(batch, "text"):
-                w = Words(part.column("text"))
-                _, _, text, h = shingle_hashes(w, 2)
-                at = np.searchsorted(text, np.arange(part.num_rows + 1))
-                t = [xxhash.xxh3_128_digest(b" ".join(x.lower().split()) if x else b"", SEED) for x in part.column("text").cast(pa.binary()).to_pylist()]
-                cols = [pa.array(_bits(h, at, k)) for k in range(tables)]
-                rows = row + np.arange(part.num_rows)
-                row += part.num_rows
-                yield pa.RecordBatch.from_arrays([pa.array(rows), part.column("doc_id"), pa.array(t, pa.binary()), *cols], ["row", "doc_id", "t", *names])
-
-    return docs.mapInArrow(run, f"row long, doc_id {docs.schema['doc_id'].dataType.simpleString()}, t binary, " + ", ".join(f"{f} long" for f in names))
-
-
-def _shingles(docs: DataFrame, words: int) -> DataFrame:
-    """(doc_id, s): distinct hashes of the texts' shingles."""
-
-    def run(batches):
-        for batch in batches:
-            for part in slices(batch, "text"):
-                _, _, text, h = shingle_hashes(Words(part.column("text")), words)
-                cut = np.searchsorted(text, np.arange(part.num_rows + 1))
-                own = [np.unique(h[a:b]).view(np.int64) for a, b in zip(cut[:-1], cut[1:], strict=True)]
-                off = np.concatenate([[0], np.cumsum([len(x) for x in own])])
-                flat = np.concatenate(own) if own else np.zeros(0, np.int64)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.ListArray.from_arrays(pa.array(off, pa.int32()), pa.array(flat, pa.int64()))], ["doc_id", "s"])
-
-    return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, s array<long>")
-
-
-def candidates(firsts: DataFrame, tables: int = TABLES, threshold: int = THRESHOLD) -> DataFrame:
-    """(a, b): pairs of texts (column t) to compare: in every table, each with one of its fingerprint, and these along the links of the cover."""
-    found = []
-    for k in range(tables):
-        heads = materialize(firsts.groupBy(F.col(f"f{k}").alias("fp")).agg(F.min_by("t", F.xxhash64(F.lit(k), "digest")).alias("head")), "similar-heads")
-        same = firsts.select("t", F.col(f"f{k}").alias("fp")).join(heads, "fp").select(F.col("t").alias("a"), F.col("head").alias("b"))
-        side = lambda f, h: heads.select(F.col("fp").alias(f), F.col("head").alias(h))  # noqa: E731, B023
-        near = links(heads, threshold).join(side("a", "x"), "a").join(side("b", "y"), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
-        found.append(same.unionByName(near).where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")))
-    return functools.reduce(DataFrame.unionByName, found).distinct()
-
-
-def similar_components(docs: DataFrame, id_col="doc_id", text_col="text", words: int = 5, similarity: float = 0.8, tables: int = TABLES) -> DataFrame:
-    """One row per document: doc_id, component_id, the smallest id of the texts that it is linked to by similarities of at least that, itself included. Ids are of any type that is ordered, and not null. A text is known inside by one of its rows."""
-    base = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    rows = materialize(_tables(base, tables).withColumnRenamed("t", "digest"), "similar-rows")
-    one = [F.first(f"f{k}").alias(f"f{k}") for k in range(tables)]
-    firsts = materialize(rows.groupBy("digest").agg(F.min("row").alias("t"), F.min("doc_id").alias("first"), *one), "similar-firsts")
-    pairs = materialize(candidates(firsts, tables), "similar-pairs")
-    # the texts of the pairs, one document each; texts that many are compared with are dealt out as often as that takes
-    stars = materialize(pairs.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / STAR).cast("int").alias("parts")), "similar-stars")
-    dealt = lookup(pairs, stars, "b").withColumn("part", F.pmod(F.xxhash64("a"), F.col("parts")).cast("int")).drop("parts")
-    nodes = pairs.select(F.col("a").alias("t")).union(pairs.select("b")).distinct().join(firsts.select("t", "first"), "t")
-    sets = _shingles(base.join(nodes.select(F.col("first").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"]), words)
-    sets = materialize(sets.join(nodes.withColumnRenamed("first", "doc_id"), "doc_id").select("t", "s"), "similar-shingles")
-    left = sets.select(F.col("t").alias("a"), F.col("s").alias("x"))
-    right = sets.join(stars.select(F.col("b").alias("t"), "parts"), "t").select(F.col("t").alias("b"), F.col("s").alias("y"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
-    both = dealt.join(left, "a").join(right, ["b", "part"])
-    common = F.size(F.array_intersect("x", "y"))
-    alike = both.select("a", "b", common.alias("n"), (F.size("x") + F.size("y")).alias("m")).where(F.col("n") >= similarity * (F.col("m") - F.col("n")) - 1e-9)
-    comps = components(alike.select("a", "b"), "a", "b")
-    named = firsts.select("t", "digest", "first").join(comps.select(F.col("node").alias("t"), "component"), "t", "left").withColumn("component", F.coalesce("component", "t"))
-    whole = named.join(named.groupBy("component").agg(F.min("first").alias("component_id")), "component").select("digest", "component_id")
-    return lookup(rows.select("doc_id", "digest"), materialize(whole, "similar-components"), "digest").select("doc_id", "component_id")
+    Ids are of any type that is ordered. The links are those of ``signature_tree``, which leaves none out; null and wordless texts are linked with each other.
+    """
+    percent = round(100 * similarity)
+    if abs(percent - 100 * similarity) > 1e-9:
+        raise ValueError("similarities are whole per cents")
+    found = signature_tree.jaccard_components(docs, id_col, text_col, words, percent)
+    empty = docs.where(~F.coalesce(F.col(text_col).cast("string").rlike(WORD), F.lit(False))).agg(F.min(id_col).alias("least"))
+    return found.crossJoin(F.broadcast(empty)).select("doc_id", F.when(F.col("n_shingles") == 0, F.col("least")).otherwise(F.col("component_id")).alias("component_id"))
 
 
 def op5_simhash(spark, sf_dir) -> DataFrame:

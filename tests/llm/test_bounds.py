@@ -69,6 +69,17 @@ def test_similar_texts_under_ids_of_any_type(spark):
     assert len(set(got.values())) < 60 and text == got
 
 
+def test_no_similar_pair_is_left_out(spark):
+    """Pairs alike by 0.8 and little more, whose fingerprints differ in many bits: with four fingerprints of word pairs, some of these were missed."""
+    r = random.Random(11)
+    rows = []
+    for i in range(150):
+        text = [f"w{r.randrange(40000)}" for _ in range(95)]
+        rows += [(2 * i, " ".join(text)), (2 * i + 1, " ".join(w if k not in (30, 60) else f"x{i}" for k, w in enumerate(text)))]  # 81 of 101 shingles are shared
+    got = dict(map(tuple, simhash.similar_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()))
+    assert got == {d: d - d % 2 for d, _ in rows}
+
+
 def test_row_keys(spark):
     rows = [(1, "a"), (None, "1a"), (11, "a"), (1, "1a"), (None, None), (None, ""), (1, None), (1, "")]
     df = spark.createDataFrame(rows, "doc_id long, text string").select(corpus_pipeline.row_key("doc_id", "text").alias("key"))
