@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corvane import cli
+from corvane.functions import pooling, vectors
 from corvane.operators import failures
 from corvane.sources import cache, tables
 from corvane.sources.encoders import Encoder
@@ -46,6 +47,22 @@ def test_model_encoder(spark, pool, want):
     assert got[1] == pytest.approx(np.array(want) / np.linalg.norm(want)) and got[2] is None and got[3] is None
 
 
+def test_digest_vectors_are_those_of_the_states(spark):
+    """Arrow workers give the vectors of the expression; the expression took most of the time of the queries on sources."""
+    texts = [(i, " ".join(f"w{(i * 7 + j) % 91}\u00e9" for j in range(i))) for i in (0, 1, 2, 3, 127, 128, 129, 300)] + [(900, None), (901, " \n"), (902, "a\u00a0b\tc\x1cd")]
+    df = spark.createDataFrame(texts, "id long, text string")
+    pools = {"mean": pooling.mean_pool, "last": pooling.last_pool, "second_last": pooling.second_last_pool}
+    for template in ("Plain", "PromptEOL_A", "Echo"):
+        for pool, f in pools.items():
+            e = Encoder(template=template, pool=pool, layer=9)
+            want = {r["id"]: r["v"] for r in e.tokens(df).select("id", F.when(F.size("tokens") > 0, vectors.normalize_added(f("tokens"))).alias("v")).collect()}
+            got = {r["id"]: r["embedding"] for r in e.encode(df).collect()}
+            assert got.keys() == want.keys()
+            assert all((got[k] is None and want[k] is None) or np.allclose(got[k], want[k], atol=1e-14) for k in want), (template, pool)
+    plan = Encoder().encode(df)._jdf.queryExecution().toString()
+    assert "MapInArrow" in plan and "md5" not in plan
+
+
 def test_digest_encoder(spark):
     df = spark.createDataFrame([(1, "one two"), (2, "two"), (3, "")], "id long, text string")
     states = {r["id"]: [x["h"] for x in r["tokens"]] for r in Encoder().tokens(df).collect()}
