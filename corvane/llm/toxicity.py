@@ -10,7 +10,7 @@ there are as many, drawn by a digest of the id. In the first epochs all windows
 document count as toxic, later those that the network already finds so; the first epochs read two
 clean windows, drawn anew, for each toxic one, the later ones all. The output is set back from the odds
 of the sample to those of the labels, and then, as the highest of many windows errs upwards, by the shift that makes least errors on
-at most ``CALIBRATE`` labelled documents as they come, where a toxic one missed counts ``MISSED`` times. Scoring computes the
+all labelled documents, where a toxic one missed counts ``MISSED`` times; these are scored on Spark, and counted by label and step of the shift. Scoring computes the
 input products once per distinct word of a batch and covers all windows of all texts.
 
 Defined results: a null or wordless text is read as one empty window and gets the score of no
@@ -32,9 +32,9 @@ from .tokens import Words, ngrams, slices, word_hash
 SAMPLE = 3000
 #: Bytes of the longest text that the fit reads, so that the driver holds at most SAMPLE times as many.
 LONGEST = 1 << 17
-#: Labelled documents that the output is shifted by, and the weight of a toxic one that is missed.
-CALIBRATE = 4000
+#: Weight of a toxic document that is missed, when the output is shifted, and the shifts that are tried.
 MISSED = 2
+SHIFTS = np.arange(0, 4.01, 0.25)
 #: Texts of the sample that a word must be in to get a vector of its own; rarer words are read by their characters.
 USUAL = 4
 WIDTH = 64
@@ -262,20 +262,32 @@ def fit(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text", la
     if not texts:
         return None
     net = train(texts, marks, max(odds.get(1, 0), 1) / max(odds.get(0, 0), 1))
-    drawn = rows.select("doc_id", "y", F.xxhash64(F.lit("calibrate"), "doc_id").alias("mark")).orderBy("mark", "doc_id").limit(CALIBRATE)
-    seen = score(one(drawn), net).select("doc_id", "score")
-    got = seen.join(F.broadcast(drawn.select("doc_id", "y")), "doc_id").select("y", "score").toArrow()  # at most CALIBRATE rows
-    net.p["c"] -= np.float32(shift(got.column("y").to_numpy(), got.column("score").to_numpy()))
+    # every labelled document is scored; a step of the shift tells its scores no further apart, so one stands for all of a step and label
+    logit = F.log(F.greatest("score", F.lit(1e-9))) - F.log(F.greatest(1 - F.col("score"), F.lit(1e-9)))
+    step = F.floor(F.least(F.greatest(logit, F.lit(-SHIFTS[1])), F.lit(SHIFTS[-1])) / SHIFTS[1])
+    every = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    told = rows.select("doc_id").distinct()
+    once = every.join(told, "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    seen = score(once, net).select("doc_id", "score").join(rows.select("doc_id", "y"), "doc_id")
+    got = seen.groupBy("y", step.alias("step")).agg(F.count(F.lit(1)).alias("n")).orderBy("y", "step").collect()  # a row a label and step
+    ends = pa.array(np.cumsum([r["n"] for r in got]), pa.int64())
+    runs = lambda v, kind: pa.RunEndEncodedArray.from_arrays(ends, pa.array(v, kind))
+    middle = [(r["step"] + 0.5) * SHIFTS[1] for r in got]
+    net.p["c"] -= np.float32(shift(runs([r["y"] for r in got], pa.int32()), runs([_sigmoid(x) for x in middle], pa.float64())))
     return net
 
 
-def shift(y: np.ndarray, scores: np.ndarray) -> float:
-    """The shift of the logit, from 0 to 4, with the least weighted errors; the middle of the best ones in a row, 0 without documents of both kinds."""
+def shift(y, scores) -> float:
+    """The shift of the logit, from 0 to 4, with the least weighted errors; the middle of the best ones in a row, 0 without documents of both kinds. Labels and scores are arrays, or run-end encoded in the same runs."""
+    n = 1
+    if isinstance(y, pa.RunEndEncodedArray):
+        n = np.diff(y.run_ends.to_numpy(), prepend=0)
+        y, scores = y.values.to_numpy(), scores.values.to_numpy()
     if not (y > 0).any() or not (y == 0).any():
         return 0.0
     logit = np.log(np.maximum(scores, 1e-9)) - np.log(np.maximum(1 - scores, 1e-9))
-    grid = np.arange(0, 4.01, 0.25)
-    cost = np.array([MISSED * ((y > 0) & (logit < g)).sum() + ((y == 0) & (logit >= g)).sum() for g in grid])
+    grid = SHIFTS
+    cost = np.array([(n * (MISSED * ((y > 0) & (logit < g)) + ((y == 0) & (logit >= g)))).sum() for g in grid])
     best = np.flatnonzero(cost == cost.min())
     run = best[: int(np.argmax(np.append(np.diff(best) > 1, True))) + 1]
     return float(grid[run].mean())

@@ -69,6 +69,23 @@ def test_similar_texts_under_ids_of_any_type(spark):
     assert len(set(got.values())) < 60 and text == got
 
 
+def test_toxicity_is_shifted_by_all_labels(spark, monkeypatch):
+    """Over 4,000 labelled documents: all are counted, and the shift is that of all scores."""
+    n, seen = 4600, []
+    r = np.random.default_rng(5)
+    scores = r.random(n).astype(np.float64)
+    marks = (r.random(n) < scores**3).astype(int)
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(n)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(m)) for i, m in enumerate(marks)], "doc_id long, toxic int")
+    given = spark.createDataFrame([(i, float(x)) for i, x in enumerate(scores)], "doc_id long, score double")
+    monkeypatch.setattr(toxicity, "train", lambda texts, marks, odds: toxicity.Net())
+    monkeypatch.setattr(toxicity, "score", lambda df, net, *a: df.join(given, "doc_id").select("doc_id", "score"))
+    real = toxicity.shift
+    monkeypatch.setattr(toxicity, "shift", lambda y, s: seen.append((len(y), real(y, s))) or 0.0)
+    toxicity.fit(docs, labels)
+    assert seen == [(n, real(marks, scores))]
+
+
 def test_no_similar_pair_is_left_out(spark):
     """Pairs alike by 0.8 and little more, whose fingerprints differ in many bits: with four fingerprints of word pairs, some of these were missed."""
     r = random.Random(11)
