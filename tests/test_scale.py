@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corvane.functions import tables as functions
-from corvane.operators import cells, directions, draws, fits, knn, linalg, metrics
+from corvane.operators import cells, directions, draws, fits, knn, linalg, metrics, setsim
 from corvane.operators.projector import Projector
 from corvane.sources import cache, npy, stage, tables
 from corvane.sources.encoders import Encoder
@@ -275,3 +275,19 @@ def test_shared_folder(spark):
 
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
         stage.shared_folder(Session)
+
+
+def test_few_pairs_of_unlike_sets_are_written(spark, monkeypatch):
+    """Unlike sets that share many of their rare tokens are told apart in their runs, before pairs of them are written; all were before."""
+    r, written, real = np.random.default_rng(8), {}, setsim.staged
+
+    def counted(df, name):
+        out = real(df, name)
+        written[name] = out.count() if name == "pairs" else 0
+        return out
+
+    monkeypatch.setattr(setsim, "staged", counted)
+    rows = [(i, " ".join(f"t{x}" for x in r.choice(600, 100, replace=False))) for i in range(200)]
+    rows += [(1000, rows[0][1] + " more"), (1001, rows[1][1] + " of these")]
+    got = setsim.jaccard_join(spark.createDataFrame(rows, "id long, text string"), 0.5, "id", "text").collect()
+    assert {(x["a"], x["b"]) for x in got} == {(0, 1000), (1, 1001)} and written["pairs"] < 200
