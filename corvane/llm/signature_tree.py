@@ -17,8 +17,10 @@ components allow is a task of its own.
 
 Before that, sets that share a least hash (of ``SEEDS`` hash functions) are compared with the first of them, which
 links most copies; what is known to be linked isn't compared again, so a group of copies isn't compared pair by pair.
-What the trees leave is checked on the sets themselves. No link is lost; of linked sets, only as many pairs are
-checked as it takes to link them, best bounds first when there are many.
+What the trees leave is checked on the sets themselves. Trees that leave more than ``DENSE`` pairs a set, as those of a
+group of near copies do whose first member is like few of the others, send only pairs that span them. These are
+checked, and what they don't link is traversed again; after ``TURNS`` such turns all pairs that are left are sent. No link
+is lost; of linked sets, only as many pairs are checked as it takes to link them, best bounds first when there are many.
 
 Shingles are known by 64-bit hashes and equal sets by 128-bit digests of these. Defined results: a text of fewer
 words than a shingle is one shingle; a null or wordless one has none and is linked with nothing; rows of one id are
@@ -56,6 +58,9 @@ CHUNK = 1 << 21
 STAR = 1000
 #: More pairs a set than this are checked best bounds first.
 MANY = 1
+#: More pairs a set than this are not sent by a task at once, and how often it sends a part of them.
+DENSE = 2
+TURNS = 2
 
 
 def need(m, n, percent: int = PERCENT):
@@ -108,7 +113,7 @@ def slot_ranks(docs: DataFrame, words: int = SHINGLE) -> np.ndarray:
     out = np.zeros(1 << SLOTS, np.int64)
     for r in once.withColumn("deal", F.lit(0)).groupBy("part").applyInArrow(add, schema).collect():  # a table of fixed size
         out[r["part"] * width : (r["part"] + 1) * width] = np.frombuffer(pa.decompress(bytes(r["n"]), 8 * width, codec="zstd", asbytes=True), np.int64)
-    return np.frompyfunc(int.bit_length, 1, 1)(out.tolist()).astype(np.int8) if len(out) else out
+    return np.searchsorted(1 << np.arange(63), out, side="right").astype(np.int8)  # bit lengths
 
 
 def widths(n: np.ndarray) -> np.ndarray:
@@ -320,8 +325,21 @@ def _fold(bits: np.ndarray, words: int) -> np.ndarray:
     return np.bitwise_or.reduce(bits.reshape(len(bits), -1, words), axis=1)
 
 
-def _traverse(percent: int):
-    """The pairs (a, b, bound) of a task's sets (side, node, n, reach, comp, sig) that its trees leave: of one side among themselves, or of both across."""
+def spanning(a: np.ndarray, b: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Which pairs (a, b) of components to check first, two a component at most: its heaviest one, and the heaviest with the component of most pairs among those that it is paired with."""
+    own, code = np.unique(np.concatenate([a, b]), return_inverse=True)
+    other = np.roll(code, len(a))
+    pair = np.tile(np.arange(len(a)), 2)
+    pairs = np.bincount(code, minlength=len(own))
+    keep = np.zeros(len(a), bool)
+    for keys in ((-weight[pair], code), (-weight[pair], other, -pairs[other], code)):
+        order = np.lexsort(keys)
+        keep[pair[order[np.searchsorted(code[order], np.arange(len(own)))]]] = True
+    return keep
+
+
+def _traverse(percent: int, turn: int | None = None):
+    """The pairs (a, b, bound) of a task's sets (task, side, node, n, reach, comp, sig) that its trees leave: of one side among themselves, or of both across. With a turn, tasks of many pairs give those that span them, by their bounds at first and drawn anew later, and their name."""
 
     def run(t: pa.Table) -> pa.Table:
         side, node, n, reach, comp = (t.column(c).to_numpy().astype(np.int64) for c in ("side", "node", "n", "reach", "comp"))
@@ -343,19 +361,31 @@ def _traverse(percent: int):
                 left = Tree(_fold(x, words), n[i], reach[i], comp[i])
                 right = left if (s, w) == (r, v) else Tree(_fold(y, words), n[j], reach[j], comp[j])
                 a, b, bound = pairs_of(left, right, percent)
-                out.append((node[i[a]], node[j[b]], bound))
+                out.append((i[a], j[b], bound))
         a, b, bound = (np.concatenate([o[q] for o in out]) if out else np.zeros(0, np.int64) for q in range(3))
-        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b), "bound": bound})
+        more = turn is not None and len(a) > DENSE * len(node)
+        if more:
+            weight = _mixed((node[a] * len(node) + node[b]).astype(np.uint64), turn) >> np.uint64(1) if turn else bound
+            keep = spanning(comp[a], comp[b], weight.astype(np.int64))
+            a, b, bound = a[keep], b[keep], bound[keep]
+        a, b = node[a], node[b]
+        task = pa.array([t.column("task")[0].as_py() if more else None] * len(a), pa.string())
+        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b), "bound": bound, "task": task})
 
     return run
 
 
-def candidates(nodes: DataFrame, comps: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """(a, b, bound): pairs of nodes (node, n, prefix, sig) in different components (node, comp) that may be alike, written."""
+def groups(nodes: DataFrame, comps: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """The groups of nodes (node, n, prefix) of each shingle that may hold a link between components (node, comp), written."""
     known = nodes.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     rows = known.select("node", "n", "comp", F.posexplode("prefix").alias("pos", "token"))
     runs = rows.repartition("token").sortWithinPartitions("token", "comp", "n", "node").select("token", "node", "n", "pos", "comp")
-    live = materialize(runs.mapInArrow(_live(percent), _LIVE), "tree-live")
+    return materialize(runs.mapInArrow(_live(percent), _LIVE), "tree-live")
+
+
+def candidates(nodes: DataFrame, comps: DataFrame, live: DataFrame, percent: int = PERCENT, turn: int | None = None, tasks: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Pairs (a, b, bound) of nodes (node, n, sig) in different components (node, comp) that may be alike, and the tasks that have more of them, both written. Groups are those of ``groups``; tasks: those that still matter."""
+    known = nodes.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     member = lambda side, nodes, reach: F.transform(F.arrays_zip(nodes.alias("node"), reach.alias("reach")), lambda x: F.struct(F.lit(side).alias("side"), x["node"].alias("node"), x["reach"].alias("reach")))
     # a tree that several shingles have is traversed once, without the place of the shingle in each set's order
     single = live.where("single").dropDuplicates(["digest"]).select(F.hex("digest").alias("task"), F.transform("nodes", lambda x: F.struct(F.lit(0).alias("side"), x.alias("node"), F.lit(None).cast("long").alias("reach"))).alias("all"))
@@ -366,12 +396,15 @@ def candidates(nodes: DataFrame, comps: DataFrame, percent: int = PERCENT) -> Da
     both = parts.join(other, "token").where((F.col("part") <= F.col("part_2")) & mixed)
     whole = F.when(F.col("part") == F.col("part_2"), member(0, F.col("nodes"), F.col("reach"))).otherwise(F.concat(member(0, F.col("nodes"), F.col("reach")), member(1, F.col("nodes_2"), F.col("reach_2"))))
     crossed = both.select(F.concat_ws(":", "token", "part", "part_2").alias("task"), whole.alias("all"))
-    sets = single.unionByName(crossed).select("task", F.explode("all").alias("x")).select("task", "x.side", "x.node", "x.reach")
+    due = single.unionByName(crossed)
+    due = due if tasks is None else due.join(tasks, "task", "left_semi")
+    sets = due.select("task", F.explode("all").alias("x")).select("task", "x.side", "x.node", "x.reach")
     sets = sets.join(known.select("node", "n", "comp", "sig"), "node").withColumn("reach", F.coalesce("reach", "n"))
-    found = sets.groupBy("task").applyInArrow(_traverse(percent), "a long, b long, bound long")
+    found = materialize(sets.groupBy("task").applyInArrow(_traverse(percent, turn), "a long, b long, bound long, task string"), "tree-found")
     out = materialize(found.groupBy("a", "b").agg(F.max("bound").alias("bound")), "tree-candidates")
-    discard(live)
-    return out
+    more = materialize(found.where("task is not null").select("task").distinct(), "tree-more")
+    discard(found)
+    return out, more
 
 
 def jaccard_components(docs: DataFrame, id_col="doc_id", text_col="text", words: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -391,17 +424,26 @@ def jaccard_components(docs: DataFrame, id_col="doc_id", text_col="text", words:
         named = lambda edges: components(edges, "a", "b").withColumnRenamed("component", "comp")
         comps = materialize(named(links), "tree-comps")
 
-        left = candidates(nodes, comps, percent)
-        if left.count() > MANY * nodes.count():  # many: first the best of each set with each component, then what that hasn't linked
-            comp = lambda c: comps.select(F.col("node").alias(c), F.col("comp").alias(f"comp_{c}"))
-            full = left.join(comp("a"), "a", "left").join(comp("b"), "b", "left").withColumns({f"comp_{c}": F.coalesce(f"comp_{c}", c) for c in "ab"})
-            best = lambda x, y: full.groupBy(x, f"comp_{y}").agg(F.max_by(F.struct("a", "b"), "bound").alias("p")).select("p.*")
-            chosen = materialize(best("a", "b").union(best("b", "a")).distinct(), "tree-best")
-            links = links.unionByName(_verified(base, nodes, chosen, words, percent))
+        live, tasks, checked = groups(nodes, comps, percent), None, None
+        comp = lambda c: comps.select(F.col("node").alias(c), F.col("comp").alias(f"comp_{c}"))
+        for turn in range(TURNS + 1):
+            left, tasks = candidates(nodes, comps, live, percent, turn if turn < TURNS else None, tasks)
+            if checked is not None:
+                left = materialize(left.join(checked, ["a", "b"], "left_anti"), "tree-new")
+            checked = left.select("a", "b") if checked is None else checked.unionByName(left.select("a", "b"))
+            if left.count() > MANY * nodes.count():  # many: first the best of each set with each component, then what that hasn't linked
+                full = left.join(comp("a"), "a", "left").join(comp("b"), "b", "left").withColumns({f"comp_{c}": F.coalesce(f"comp_{c}", c) for c in "ab"})
+                best = lambda x, y: full.groupBy(x, f"comp_{y}").agg(F.max_by(F.struct("a", "b"), "bound").alias("p")).select("p.*")  # noqa: B023, E731
+                chosen = materialize(best("a", "b").union(best("b", "a")).distinct(), "tree-best")
+                links = links.unionByName(_verified(base, nodes, chosen, words, percent))
+                comps = materialize(named(links), "tree-comps")
+                full = left.join(chosen, ["a", "b"], "left_anti").join(comp("a"), "a", "left").join(comp("b"), "b", "left")
+                left = materialize(full.where(F.coalesce("comp_a", "a") != F.coalesce("comp_b", "b")).select("a", "b"), "tree-rest")
+            links = links.unionByName(_verified(base, nodes, left, words, percent))
+            if tasks.isEmpty():
+                break
             comps = materialize(named(links), "tree-comps")
-            full = left.join(chosen, ["a", "b"], "left_anti").join(comp("a"), "a", "left").join(comp("b"), "b", "left")
-            left = materialize(full.where(F.coalesce("comp_a", "a") != F.coalesce("comp_b", "b")).select("a", "b"), "tree-rest")
-        links = links.unionByName(_verified(base, nodes, left, words, percent))
+        discard(live)
         comps = named(links)
         own = nodes.select("node", "t", "least").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
         names = own.groupBy("comp").agg(F.min("least").alias("component_id"))

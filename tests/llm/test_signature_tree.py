@@ -89,6 +89,31 @@ def test_trees_alone_find_all(spark, monkeypatch, many):
     assert got == sorted(map(repr, brute(rows)))
 
 
+def test_groups_send_pairs_in_proportion_to_their_sets(spark, monkeypatch):
+    """Near copies that no seed links: nearly all of their 20,000 pairs are alike, and a few a set are checked."""
+    monkeypatch.setattr(st, "SEEDS", 1)
+    monkeypatch.setattr(st, "_mixed", lambda h, k: np.arange(len(h), dtype=np.uint64) + (h << np.uint64(20)))
+    r, sent = random.Random(9), []
+    base = [f"w{i}" for i in range(200)]
+    rows = []
+    for i in range(200):
+        copy = list(base)
+        for _ in range(2):
+            copy[r.randrange(200)] = f"x{r.random()}"
+        rows.append((i, " ".join(copy)))
+    write = st.materialize
+
+    def counted(df, name):
+        out = write(df, name)
+        sent.append(out.count() if name == "tree-candidates" else 0)
+        return out
+
+    monkeypatch.setattr(st, "materialize", counted)
+    got = sorted(map(repr, map(tuple, st.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect())))
+    assert got == sorted(map(repr, brute(rows)))
+    assert 0 < sum(sent) <= 20 * len(rows)
+
+
 def test_documents_as_by_brute_force(spark):
     t = pq.read_table("/root/testdata/sf0.01/documents.parquet")
     rows = list(zip(t["doc_id"].to_pylist(), t["text"].to_pylist(), strict=True))
