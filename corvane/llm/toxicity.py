@@ -10,7 +10,8 @@ there are as many, drawn by a digest of the id. In the first epochs all windows
 document count as toxic, later those that the network already finds so; the first epochs read two
 clean windows, drawn anew, for each toxic one, the later ones all. The output is set back from the odds
 of the sample to those of the labels, and then, as the highest of many windows errs upwards, by the shift that makes least errors on
-all labelled documents, where a toxic one missed counts ``MISSED`` times; these are scored on Spark, and counted by label and step of the shift. Scoring computes the
+all labelled documents, where a toxic one missed counts ``MISSED`` times; these are scored on Spark, and counted by label and step of the shift.
+Documents are scored where they are read, so no text is shuffled: only ids and scores meet the labels. Scoring computes the
 input products once per distinct word of a batch and covers all windows of all texts.
 
 Defined results: a null or wordless text is read as one empty window and gets the score of no
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import materialize, table
 from .langid import held_out
 from .tokens import Words, ngrams, slices, word_hash
 
@@ -244,8 +245,8 @@ def train(texts: list[str], toxic: list[int], odds: float | None = None, epochs:
     return net
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text", label_col="toxic", sample: int = SAMPLE) -> Net | None:
-    """Network from at most sample labelled rows, drawn by a digest of the id, evenly from both labels."""
+def learn(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text", label_col="toxic", sample: int = SAMPLE) -> Net | None:
+    """Network from at most sample labelled rows, drawn by a digest of the id, evenly from both labels, before the shift."""
     odds = {r["y"]: r["n"] for r in labels.where(F.col(label_col).isNotNull()).groupBy(F.col(label_col).cast("int").alias("y")).agg(F.count(F.lit(1)).alias("n")).collect()}  # one row a label
     rows = labels.where(F.col(label_col).isNotNull()).select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("y"), F.xxhash64(F.lit("toxicity"), F.col(id_col)).alias("mark"))
     # one bounded top list per label and bucket, four times as long as its share of the sample, then one per label: no label fills a task
@@ -261,19 +262,32 @@ def fit(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text", la
         marks.append(r["y"])
     if not texts:
         return None
-    net = train(texts, marks, max(odds.get(1, 0), 1) / max(odds.get(0, 0), 1))
-    # every labelled document is scored; a step of the shift tells its scores no further apart, so one stands for all of a step and label
-    logit = F.log(F.greatest("score", F.lit(1e-9))) - F.log(F.greatest(1 - F.col("score"), F.lit(1e-9)))
-    step = F.floor(F.least(F.greatest(logit, F.lit(-SHIFTS[1])), F.lit(SHIFTS[-1])) / SHIFTS[1])
-    every = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    told = rows.select("doc_id").distinct()
-    once = every.join(told, "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
-    seen = score(once, net).select("doc_id", "score").join(rows.select("doc_id", "y"), "doc_id")
+    return train(texts, marks, max(odds.get(1, 0), 1) / max(odds.get(0, 0), 1))
+
+
+def _logit(score):
+    return F.log(F.greatest(score, F.lit(1e-9))) - F.log(F.greatest(1 - score, F.lit(1e-9)))
+
+
+def offset(scored: DataFrame, labels: DataFrame, id_col="doc_id", label_col="toxic") -> float:
+    """The shift of the logit by all labelled rows of scored (doc_id, score). A repeated id has the highest of its scores."""
+    rows = labels.where(F.col(label_col).isNotNull()).select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("y"))
+    # a step of the shift tells its scores no further apart, so one stands for all of a step and label
+    step = F.floor(F.least(F.greatest(_logit(F.col("score")), F.lit(-SHIFTS[1])), F.lit(SHIFTS[-1])) / SHIFTS[1])
+    seen = scored.groupBy("doc_id").agg(F.max("score").alias("score")).join(rows, "doc_id")
     got = seen.groupBy("y", step.alias("step")).agg(F.count(F.lit(1)).alias("n")).orderBy("y", "step").collect()  # a row a label and step
     ends = pa.array(np.cumsum([r["n"] for r in got]), pa.int64())
     runs = lambda v, kind: pa.RunEndEncodedArray.from_arrays(ends, pa.array(v, kind))
     middle = [(r["step"] + 0.5) * SHIFTS[1] for r in got]
-    net.p["c"] -= np.float32(shift(runs([r["y"] for r in got], pa.int32()), runs([_sigmoid(x) for x in middle], pa.float64())))
+    return shift(runs([r["y"] for r in got], pa.int32()), runs([_sigmoid(x) for x in middle], pa.float64()))
+
+
+def fit(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text", label_col="toxic", sample: int = SAMPLE) -> Net | None:
+    """Network as by ``learn``, with its output shifted by all labelled rows."""
+    net = learn(docs, labels, id_col, text_col, label_col, sample)
+    if net is not None:
+        every = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+        net.p["c"] -= np.float32(offset(score(every, net).select("doc_id", "score"), labels, id_col, label_col))
     return net
 
 
@@ -309,6 +323,10 @@ def score(docs: DataFrame, net: Net | None, id_col="doc_id", text_col="text") ->
 
 def op4_toxicity(spark, sf_dir) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    labels = table(spark, sf_dir, "labels")
-    net = fit(docs, labels.where(~held_out("doc_id", 5, 0)))
-    return score(docs, net).select("doc_id", held_out("doc_id", 5, 0).alias("held_out"), "score", "predicted")
+    labels = table(spark, sf_dir, "labels").where(~held_out("doc_id", 5, 0))
+    net = learn(docs, labels)
+    scored = score(docs, net).select("doc_id", "score")
+    if net is not None:  # scored once: the shift is taken from the stored scores, and they are set back by it
+        scored = materialize(scored, "toxicity")
+        scored = scored.withColumn("score", 1 / (1 + F.exp(offset(scored, labels) - _logit(F.col("score")))))
+    return scored.select("doc_id", held_out("doc_id", 5, 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

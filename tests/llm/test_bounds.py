@@ -111,3 +111,17 @@ def test_rows_whose_short_hashes_collide_are_kept(spark, data, monkeypatch, tmp_
     spark.createDataFrame([(1, "no such words")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     monkeypatch.setattr(corpus_pipeline.F, "xxhash64", lambda *c: F.lit(7).cast("long"))
     assert corpus_pipeline.decontaminated(spark, df, str(tmp_path)).count() == 40
+
+
+def test_toxicity_shuffles_no_text(spark, monkeypatch):
+    """The documents that are scored for the shift are read as they lie, however many labels there are."""
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(50)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(0, 50, 3)], "doc_id long, toxic int")
+    plans, real = [], toxicity.score
+    monkeypatch.setattr(toxicity, "train", lambda texts, marks, odds: toxicity.Net())
+    monkeypatch.setattr(toxicity, "score", lambda df, net, *a: plans.append(df._jdf.queryExecution().executedPlan().toString()) or real(df, net, *a))
+    monkeypatch.setattr(toxicity, "held_out", lambda *a: F.lit(False))
+    monkeypatch.setattr(toxicity, "table", lambda spark, d, name: {"documents": docs, "labels": labels}[name])
+    toxicity.fit(docs, labels)
+    assert toxicity.op4_toxicity(spark, "").count() == 50
+    assert len(plans) == 2 and not any("Exchange" in p for p in plans)
