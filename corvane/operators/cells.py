@@ -6,9 +6,9 @@ of a smaller angle than w - u - v, so no product above cos(w - u - v) times both
 meets the corpus cells of best bounds; the least k-th product that its queries then have is what any other cell must be able
 to reach, and cells that can't are skipped. What is left is compared, so the result is that of comparing all.
 
-Cells are written once to the shared folder, cut into blocks of at most ``BLOCK_BYTES``, a folder each. A task is a pair of
-blocks and reads both there, so no vector is sent through a shuffle for every block that it meets: what is shuffled is each
-vector once, and k rows for every query and block met. The store is read by pyarrow, which knows local, HDFS and S3 folders.
+Cells are written once to the shared folder, cut into blocks of at most ``BLOCK_BYTES``, a folder each. A task takes the pairs of
+some query blocks with up to ``BLOCK_BYTES`` of the corpus and reads both there, so no vector is sent through a shuffle for every
+block that it meets: what is shuffled is each vector once, and k rows for every query and ``BLOCK_BYTES`` of the corpus, however many cells. The store is read by pyarrow, which knows local, HDFS and S3 folders.
 """
 
 from __future__ import annotations
@@ -24,12 +24,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.stage import shared_folder, staged
-from .knn import BLOCK_BYTES, best_of, matrix, topk_join
+from .knn import BLOCK_BYTES, best_rows, matrix, topk_join
+from .threads import one_blas_thread
 
 #: Pivots at most, rows a pivot stands for at least, and cells that a block of queries meets before any is skipped.
 PIVOTS = 1024
 PER_PIVOT = 256
 FIRST = 2
+#: Rows of queries at most that a task compares with a block's worth of the corpus.
+TOGETHER = 16384
 #: Rounding that a bound allows for, in products and in angles.
 SLACK, BEND = 1e-9, 1e-7
 
@@ -77,20 +80,38 @@ def _read(path: str, cell: int, part: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _compare(left: str, right: str, k: int, exclude_self: bool):
-    """The best k of each query of pairs of blocks (at, qc, qp, cc, cp)."""
-
-    def run(batches):
-        for b in batches:
-            for at, qc, qp, cc, cp in zip(*(b.column(c).to_pylist() for c in ("at", "qc", "qp", "cc", "cp")), strict=True):
-                ids, q, s = best_of(*_read(left, qc, qp), *_read(right, cc, cp), k, exclude_self)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), at, np.int32)), pa.array(np.full(len(ids), qp, np.int32)), pa.array(ids), pa.array(q), pa.array(s)], ["at", "qp", "anchor_id", "neighbor_id", "sim"])
+    """The best k of each query among a unit's pairs of blocks (at, qc, qp, cc, cp): every block is read once, and query blocks that meet the same blocks are compared at once."""
+
+    def run(pairs):
+        one_blas_thread()
+        met, alike, read, out = {}, {}, {}, []
+        for at, qc, qp, *other in zip(*(pairs.column(c).to_pylist() for c in ("at", "qc", "qp", "cc", "cp")), strict=True):
+            met.setdefault((at, qc, qp), []).append(tuple(other))
+        for q, others in met.items():
+            alike.setdefault(tuple(sorted(others)), []).append(q)
+        for others, own in alike.items():
+            read |= {x: _read(right, *x) for x in others if x not in read}
+            ids_c, c = (np.concatenate([read[x][i] for x in others]) for i in (0, 1))
+            got = [_read(left, qc, qp) for _, qc, qp in own]
+            ids_q, block = np.concatenate([g[0] for g in got]), np.repeat(np.arange(len(own)), [len(g[0]) for g in got])
+            row, n, s = best_rows(ids_q, np.concatenate([g[1] for g in got]), ids_c, c, k, exclude_self)
+            at, qp = (np.array([x[i] for x in own], np.int32)[block[row]] for i in (0, 2))
+            out.append(pa.table([at, qp, ids_q[row], n, s], ["at", "qp", "anchor_id", "neighbor_id", "sim"]))
+        return pa.concat_tables(out)
 
     return run
 
 
-def _spread(left: Store, right: Store, cells: np.ndarray, least: bool):
-    """Pairs of blocks, of blocks (at, qp, least): a query block with all blocks of the corpus cells marked for its cell or, with least, of those whose bound reaches what its queries have."""
+def _groups(parts: np.ndarray, n: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """(place of each cell's first block, group of each block): blocks in order, rows of vectors to a group."""
+    size = np.repeat(n / parts, parts)
+    return np.cumsum(parts) - parts, ((np.cumsum(size) - size) // rows).astype(np.int64)
+
+
+def _spread(left: Store, right: Store, cells: np.ndarray, least: bool, rows: tuple[int, int]):
+    """Pairs of blocks, of blocks (at, qp, least): a query block with all blocks of the corpus cells marked for its cell or, with least, of those whose bound reaches what its queries have. A unit is so many rows of queries and of the corpus."""
     lc, rc, parts = left.cells, right.cells, right.parts
+    (lf, lg), (rf, rg) = _groups(left.parts, left.n, rows[0]), _groups(right.parts, right.n, rows[1])
 
     def run(batches):
         for b in batches:
@@ -98,7 +119,8 @@ def _spread(left: Store, right: Store, cells: np.ndarray, least: bool):
                 met = np.flatnonzero((cells[at] >= low) & np.isfinite(cells[at])) if least else np.flatnonzero(cells[at])
                 cc = np.repeat(rc[met], parts[met])
                 cp = np.concatenate([np.arange(x) for x in parts[met]]) if len(met) else np.zeros(0, np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(cc), x, t)) for x, t in ((at, np.int32), (lc[at], np.int64), (qp, np.int32))] + [pa.array(cc), pa.array(cp)], ["at", "qc", "qp", "cc", "cp"])
+                unit = lg[lf[at] + qp] * (rg[-1] + 1) + rg[np.repeat(rf[met], parts[met]) + cp]
+                yield pa.RecordBatch.from_arrays([pa.array(unit)] + [pa.array(np.full(len(cc), x, t)) for x, t in ((at, np.int32), (lc[at], np.int64), (qp, np.int32))] + [pa.array(cc), pa.array(cp)], ["unit", "at", "qc", "qp", "cc", "cp"])
 
     return run
 
@@ -125,17 +147,18 @@ def cell_topk(queries: DataFrame, corpus: DataFrame, k: int = 10, id_col: str =
     nearest = np.zeros(bound.shape, bool)
     np.put_along_axis(nearest, np.argsort(-bound, axis=1, kind="stable")[:, :FIRST], True, axis=1)
     enough = (nearest * right.n).sum(axis=1) > k  # else some query hasn't k others there
-    tasks = 16 * spark.sparkContext.defaultParallelism
+    cores = spark.sparkContext.defaultParallelism
+    together = max(1, min(TOGETHER, int(left.n.sum()) // (4 * cores))), rows
     begin = spark.createDataFrame([(at, q, 0.0) for at in range(len(left.cells)) for q in range(left.parts[at])], "at int, qp int, least double")  # a row a block
-    compare = lambda pairs: pairs.repartition(tasks).mapInArrow(_compare(left.path, right.path, k, exclude_self), "at int, qp int, anchor_id long, neighbor_id long, sim double")
-    schema = "at int, qc long, qp int, cc long, cp long"
-    first = begin.mapInArrow(_spread(left, right, nearest, False), schema)
+    compare = lambda pairs: pairs.repartition(16 * cores, "unit").groupBy("unit").applyInArrow(_compare(left.path, right.path, k, exclude_self), "at int, qp int, anchor_id long, neighbor_id long, sim double")
+    schema = "unit long, at int, qc long, qp int, cc long, cp long"
+    first = begin.mapInArrow(_spread(left, right, nearest, False, together), schema)
     begun = staged(compare(first), "cells-first")
     rank = F.row_number().over(Window.partitionBy("anchor_id").orderBy(F.desc("sim"), "neighbor_id"))
     kth = begun.withColumn("rank", rank).where(F.col("rank") <= k).groupBy("at", "qp", "anchor_id").agg(F.when(F.count(F.lit(1)) == k, F.min("sim")).otherwise(-math.inf).alias("least"))
     full = F.create_map(*[F.lit(x) for at, ok in enumerate(enough.tolist()) for x in (at, ok)])
     reach = begin.drop("least").join(kth.groupBy("at", "qp").agg(F.min("least").alias("least")), ["at", "qp"], "left").withColumn("least", F.when(full[F.col("at")], F.coalesce("least", F.lit(-math.inf))).otherwise(-math.inf))
-    rest = staged(reach.mapInArrow(_spread(left, right, np.where(nearest, -np.inf, bound), True), schema).where("cc is not null"), "cells-rest")
+    rest = staged(reach.mapInArrow(_spread(left, right, np.where(nearest, -np.inf, bound), True, together), schema).where("cc is not null"), "cells-rest")
     if seen is not None:
         seen |= {"all": int(left.parts.sum() * right.parts.sum()), "compared": first.count() + rest.count()}
     return begun.unionByName(compare(rest)).withColumn("rank", rank).where(F.col("rank") <= k).select("anchor_id", "neighbor_id", "rank", "sim")
