@@ -38,6 +38,13 @@ def unjudged_failures(ranked: DataFrame, queries: DataFrame, corpus: DataFrame,
     return _cases(_texts(pairs, queries, corpus), dataset, model, space, jac_min, f"mined but not duplicate, jaccard>= {jac_min}")
 
 
+def label_unjudged_failures(ranked: DataFrame, queries: DataFrame, corpus: DataFrame, labels: DataFrame, id_col: str = "vec_id", label: str = "label", **kw) -> DataFrame:
+    """As unjudged_failures, where another vector of the query's label is a judged answer: only labels of the results are looked up, and judgments are never made."""
+    of = lambda x, l: labels.where(F.col(label).isNotNull()).select(F.col(id_col).alias(x), F.col(label).alias(l)).distinct()  # noqa: E731, E741
+    own = ranked.where("anchor_id <> neighbor_id").select("anchor_id", "neighbor_id").join(of("anchor_id", "_a"), "anchor_id").join(of("neighbor_id", "_b"), "neighbor_id")
+    return unjudged_failures(ranked, queries, corpus, own.where("_a = _b").select(F.col("anchor_id").alias("query_id"), F.col("neighbor_id").alias("corpus_id")), **kw)
+
+
 def first(cases: DataFrame, top: int = 30) -> DataFrame:
     """The top cases by falling overlap, then cosine."""
     return cases.orderBy(F.desc("lexical_overlap"), F.desc("cosine_similarity"), "anchor_id", "neighbor_id").limit(top)

@@ -78,3 +78,20 @@ def test_cells_send_few_rows_a_query(spark, tmp_path):
     want = knn.self_knn(df, 4).collect()
     assert sorted(zip(*(got.column(c).to_pylist() for c in ("anchor_id", "neighbor_id")), strict=True)) == sorted((r["anchor_id"], r["neighbor_id"]) for r in want)
     assert [v.tolist() for v in cells._groups(np.array([1, 2, 1]), np.array([10, 20, 5]), 15)] == [[0, 1, 3], [0, 0, 1, 2]]
+
+
+def test_failures_by_label_are_those_of_written_judgments(spark):
+    """Nulls and several labels of an id included; and no join is on the label alone, which would pair all vectors of a label."""
+    from pyspark.sql import functions as F
+
+    from corvane.operators import failures
+    from corvane.plans.workloads import label_qrels
+
+    emb = spark.createDataFrame([(i, None if i % 7 == 3 else i % 3) for i in range(400)] + [(200, 2), (5, 1)], "vec_id long, label int")
+    texts = spark.createDataFrame([(i, f"a b {i}") for i in range(400)], "id long, text string")
+    ranked = emb.where("vec_id % 100 = 0").select(F.col("vec_id").alias("anchor_id")).distinct().crossJoin(spark.range(0, 30).select(F.col("id").alias("neighbor_id")))
+    ranked = ranked.union(spark.createDataFrame([(100, 100), (200, 200)], "a long, b long")).withColumns({"rank": F.lit(1), "sim": F.lit(0.5)})
+    got = failures.label_unjudged_failures(ranked, texts, texts, emb, jac_min=0.1)
+    want = failures.unjudged_failures(ranked, texts, texts, label_qrels(emb), 0.1)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and 60 < got.count() < 122
+    assert "label" not in " ".join(x for x in got._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join" in x)
