@@ -95,3 +95,19 @@ def test_failures_by_label_are_those_of_written_judgments(spark):
     want = failures.unjudged_failures(ranked, texts, texts, label_qrels(emb), 0.1)
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and 60 < got.count() < 122
     assert "label" not in " ".join(x for x in got._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join" in x)
+
+
+def test_a_sample_is_searched_once_for_all_jobs(spark, monkeypatch):
+    """Jobs that want fewer neighbours take the first of those found, and train as by a search of their own."""
+    from corvane.operators import grid
+
+    x = con.unit(np.random.default_rng(8).normal(size=(120, 6)))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    asked, search = [], con.Sample.neighbours
+    monkeypatch.setattr(con.Sample, "neighbours", lambda self, k: asked.append(k) or search(self, k))
+    jobs = [grid.Job(0, 3, over=(("epochs", 1), ("k", k), ("steps", 5))) for k in (1, 5, 20)]
+    got = grid.fit_grid({0: df}, jobs)
+    assert asked == [20]
+    for j in jobs:
+        s = con.Sample(df)
+        assert np.allclose(got[j].steps[0].w, s.projector(con.train(s.unit, 3, j.settings(), j.seed), "annealed").steps[0].w, atol=1e-4)
