@@ -291,3 +291,21 @@ def test_few_pairs_of_unlike_sets_are_written(spark, monkeypatch):
     rows += [(1000, rows[0][1] + " more"), (1001, rows[1][1] + " of these")]
     got = setsim.jaccard_join(spark.createDataFrame(rows, "id long, text string"), 0.5, "id", "text").collect()
     assert {(x["a"], x["b"]) for x in got} == {(0, 1000), (1, 1001)} and written["pairs"] < 200
+
+
+def test_learned_fits_take_all_rows(spark, monkeypatch):
+    """Beyond the rows that a task holds, a fit draws among all rows of the table and finds what a fit in memory finds; no sample is drawn."""
+    from corvane.operators import contrastive as con
+    from corvane.operators import grid, store
+
+    monkeypatch.setattr(con, "fit_rows", None)
+    monkeypatch.setattr(store, "ROWS", 64)
+    x = np.random.default_rng(6).normal(size=(300, 8)) * np.arange(1, 9) + 2
+    df = spark.createDataFrame([(7 * i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    few = (("batch", 32), ("epochs", 2))  # 32 x 8 and fewer rows are drawn a turn, of 300, or more than all
+    jobs = [grid.Job(0, 3, n, over=(*few, ("steps", s), ("warmup", 2))) for n in ("annealed", "banked", "ablation") for s in (4, 9)]
+    jobs += [grid.Job(0, 3, "annealed", v, over=(*few, ("steps", 4))) for v in ("random_pairs", "noise", "dropout")]
+    whole, stored = grid.fit_grid({0: df}, jobs), grid.fit_grid({0: df}, jobs, limit=100)
+    assert set(whole) == set(stored) == set(jobs)
+    for j in jobs:
+        assert np.allclose(whole[j].apply(x), stored[j].apply(x), atol=2e-3), j
