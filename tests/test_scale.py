@@ -309,3 +309,19 @@ def test_learned_fits_take_all_rows(spark, monkeypatch):
     assert set(whole) == set(stored) == set(jobs)
     for j in jobs:
         assert np.allclose(whole[j].apply(x), stored[j].apply(x), atol=2e-3), j
+
+
+@pytest.mark.parametrize("counters", [4, 1 << 22])
+def test_set_join_sends_numbers_only(spark, monkeypatch, counters):
+    """Neither tokens nor bitmaps go with the rows that meet, whatever tokens share a counter; copies count once."""
+    kinds, real = {}, setsim.staged
+    monkeypatch.setattr(setsim, "staged", lambda df, name: kinds.update({f"{name}.{f.name}": f.dataType.simpleString() for f in df.schema}) or real(df, name))
+    monkeypatch.setattr(setsim, "COUNTERS", counters)
+    r = np.random.default_rng(9)
+    sets = [frozenset(r.choice(40, r.integers(1, 12), replace=False).tolist()) for _ in range(150)]
+    rows = [(i, " ".join(f"Wört{x}" for x in s)) for i, s in enumerate(sets)] + [(i + 1000, " ".join(f"wört{x}" for x in sorted(sets[i % 5]))) for i in range(300)]
+    got = {(x["a"], x["b"]): x["jaccard"] for x in setsim.jaccard_join(spark.createDataFrame(rows, "id long, text string"), 0.5, "id", "text").collect()}
+    first = {s: sets.index(s) for s in sets}
+    share = {(i, j): len(s & t) / len(s | t) for s, i in first.items() for t, j in first.items() if i < j}
+    assert got == {k: pytest.approx(v) for k, v in share.items() if v >= 0.5} and len(got) > 5
+    assert kinds and set(kinds.values()) <= {"bigint", "int", "double"}, kinds
